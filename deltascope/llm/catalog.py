@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, sharding, simhash, warc
 
 
 def queries():
     return {
         "op2_mix_sources": mixing.op2_mix_sources,
         "op5_shards": sharding.op5_shards,
+        "op6_warc_round_trip": warc.op6_warc_round_trip,
+        "op7_simhash_components": simhash.op7_simhash_components,
     }
 
 
 def oracle_sql():
-    return {"op2_mix_sources": mixing.OP2_SQL}
+    return {"op2_mix_sources": mixing.OP2_SQL, "op6_warc_round_trip": warc.OP6_SQL}
