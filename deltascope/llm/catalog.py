@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, simhash, warc
+from . import langid, mixing, quality, sharding, simhash, warc
 
 
 def queries():
     return {
         "op2_mix_sources": mixing.op2_mix_sources,
+        "op4_quality": quality.op4_quality,
         "op5_shards": sharding.op5_shards,
         "op6_warc_round_trip": warc.op6_warc_round_trip,
         "op7_simhash_components": simhash.op7_simhash_components,
+        "op8_language_id": langid.op8_language_id,
     }
 
 
