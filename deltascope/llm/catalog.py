@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, quality, sharding, simhash, warc
+from . import langid, mixing, pii, quality, secrets, sharding, simhash, warc
 
 
 def queries():
     return {
+        "op1_secrets": secrets.op1_secrets,
         "op2_mix_sources": mixing.op2_mix_sources,
+        "op3_personal_data": pii.op3_personal_data,
         "op4_quality": quality.op4_quality,
         "op5_shards": sharding.op5_shards,
         "op6_warc_round_trip": warc.op6_warc_round_trip,

@@ -5,7 +5,7 @@ the hash of their text; runs of groups that agree in the first ATOM_BITS bits of
 the hash are the atoms that are laid out, so that their number has a fixed bound
 whatever the input. The smallest feasible shard capacity is found by binary
 search, each guess checked by filling shards greedily in order, and the atoms are
-cut there. Both are one SQL expression over one row of at most 2**ATOM_BITS sums.
+cut there. Search and cuts are SQL expressions over one row of at most 2**ATOM_BITS sums.
 
 Slots number the rows of a shard without gaps. They are prefix sums over shard,
 atom and salt, so a group of copies that holds a third of all rows is still
@@ -27,24 +27,25 @@ from .common import table, written
 ATOM_BITS = 16
 SALTS = 256
 
-_SHARDS_NEEDED = """aggregate(sizes, named_struct('k', 1, 'load', 0L),
-    (a, x) -> if(a.load + x <= {cap}, named_struct('k', a.k, 'load', a.load + x), named_struct('k', a.k + 1, 'load', x)), a -> a.k)"""
-
-
 def cut_points(atoms: DataFrame, shards: int) -> list[int]:
-    """atoms(atom, bytes), at most 2**ATOM_BITS rows -> the first atom of every shard but the first."""
+    """atoms(atom, bytes), at most 2**ATOM_BITS rows -> the first atom of every shard but the first.
+
+    Only the bounds, the capacity found and the cuts come to the driver. The capacity
+    is a literal in the last step: inlined into its lambda it would be sought anew for
+    each atom.
+    """
+    most, total = atoms.agg(F.coalesce(F.max("bytes"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    low = max(most, -(-total // shards))
     line = atoms.agg(F.sort_array(F.collect_list(F.struct("atom", "bytes"))).alias("line"))
-    line = line.selectExpr("line", "transform(line, x -> x.bytes) AS sizes")
-    line = line.selectExpr("line", "sizes", "coalesce(array_max(sizes), 0L) AS most", "aggregate(sizes, 0L, (a, x) -> a + x) AS total")
-    line = line.selectExpr("line", "sizes", "most", f"greatest(most, cast(ceil(total / {shards}) AS BIGINT)) AS low")
-    needed = _SHARDS_NEEDED.format(cap="(s.lo + s.hi) div 2")
-    search = f"""aggregate(sequence(1, 63), named_struct('lo', low, 'hi', low + most),
+    needed = """aggregate(line, named_struct('k', 1, 'load', 0L),
+        (a, x) -> if(a.load + x.bytes <= s.mid, named_struct('k', a.k, 'load', a.load + x.bytes), named_struct('k', a.k + 1, 'load', x.bytes)), a -> a.k)"""
+    search = f"""aggregate(sequence(1, 63), named_struct('lo', {low}L, 'mid', {low + most // 2}L, 'hi', {low + most}L),
         (s, i) -> if(s.lo >= s.hi, s, if({needed} <= {shards},
-            named_struct('lo', s.lo, 'hi', (s.lo + s.hi) div 2),
-            named_struct('lo', (s.lo + s.hi) div 2 + 1, 'hi', s.hi))), s -> s.lo)"""
-    line = line.selectExpr("line", f"{search} AS cap")
-    cuts = """aggregate(line, named_struct('load', 0L, 'cuts', cast(array() AS array<bigint>)),
-        (a, x) -> if(a.load + x.bytes <= cap, named_struct('load', a.load + x.bytes, 'cuts', a.cuts),
+            named_struct('lo', s.lo, 'mid', (s.lo + s.mid) div 2, 'hi', s.mid),
+            named_struct('lo', s.mid + 1, 'mid', (s.mid + 1 + s.hi) div 2, 'hi', s.hi))), s -> s.lo)"""
+    capacity = line.selectExpr(f"{search} AS capacity").first().capacity
+    cuts = f"""aggregate(line, named_struct('load', 0L, 'cuts', cast(array() AS array<bigint>)),
+        (a, x) -> if(a.load + x.bytes <= {capacity}L, named_struct('load', a.load + x.bytes, 'cuts', a.cuts),
             named_struct('load', x.bytes, 'cuts', concat(a.cuts, array(x.atom)))), a -> a.cuts)"""
     return list(line.selectExpr(f"{cuts} AS cuts").first().cuts)
 
