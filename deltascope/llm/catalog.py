@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, pii, quality, secrets, sharding, simhash, warc
+from . import decontam, langid, mixing, pii, quality, secrets, sharding, simhash, topk, warc
 
 
 def queries():
@@ -15,8 +15,10 @@ def queries():
         "op6_warc_round_trip": warc.op6_warc_round_trip,
         "op7_simhash_components": simhash.op7_simhash_components,
         "op8_language_id": langid.op8_language_id,
+        "op9_decontaminate": decontam.op9_decontaminate,
+        "op10_top_k": topk.op10_top_k,
     }
 
 
 def oracle_sql():
-    return {"op2_mix_sources": mixing.OP2_SQL, "op6_warc_round_trip": warc.OP6_SQL}
+    return {"op2_mix_sources": mixing.OP2_SQL, "op6_warc_round_trip": warc.OP6_SQL, "op10_top_k": topk.OP10_SQL}
