@@ -147,6 +147,20 @@ def identify(docs: DataFrame, model: dict, *, text="text", carry=("doc_id",)) ->
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
+def identified(docs: DataFrame, model: dict, *, text="text", min_score=0.5) -> DataFrame:
+    """The documents that have a language, with all their columns: `und` and scores under `min_score` are rejected."""
+    at = docs.columns.index(text)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            found = [scorer(t.as_py()) for t in batch.column(at)]
+            yield batch.filter(pa.array([lang != "und" and score >= min_score for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id="doc_id") -> Column:
     return id_crc(doc_id) % 4 == 2
 

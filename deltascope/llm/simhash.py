@@ -25,7 +25,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -199,7 +199,7 @@ def sketches(text: str | None, shingle: int) -> tuple[bytes, list[int]]:
 
 
 def near_duplicate_groups(docs: DataFrame, *, doc_id="doc_id", text="text", shingle=5, similarity=0.8) -> DataFrame:
-    """doc_id, group_id (the smallest doc_id of the group) for every document.
+    """doc_id, text_hash, group_id (the smallest doc_id of the group) for every document.
 
     Two documents are linked if their 512-bit SimHashes over the sets of their
     shingles are no further apart than expected at `similarity`. One standard
@@ -211,10 +211,10 @@ def near_duplicate_groups(docs: DataFrame, *, doc_id="doc_id", text="text", shin
     def run(batches):
         for batch in batches:
             made = [sketches(t, shingle) for t in _texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.list_(pa.int32()))], ["doc_id", "bits", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.list_(pa.int32()))], ["doc_id", "text_hash", "bits", "keys"])
 
-    ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    schema = T.StructType([ids.schema["doc_id"], T.StructField("bits", T.BinaryType()), T.StructField("keys", T.ArrayType(T.IntegerType()))])
+    ids = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    schema = T.StructType([*ids.schema.fields[:2], T.StructField("bits", T.BinaryType()), T.StructField("keys", T.ArrayType(T.IntegerType()))])
     made = written(ids.mapInArrow(run, schema).withColumn("id", F.xxhash64("bits")), "sketches")
     distinct = made.groupBy("id").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
     distinct = written(distinct, "sketches-distinct")
@@ -222,4 +222,13 @@ def near_duplicate_groups(docs: DataFrame, *, doc_id="doc_id", text="text", shin
     roots = components(compare_within(entries, radius_for(similarity)))
     placed = distinct.join(roots, distinct.id == roots.node, "left").select("id", "first_id", F.coalesce("root", "id").alias("root"))
     named = placed.join(placed.groupBy("root").agg(F.min("first_id").alias("group_id")), "root").select("id", "group_id")
-    return made.join(named, "id").select("doc_id", "group_id")
+    return made.join(named, "id").select("doc_id", "text_hash", "group_id")
+
+
+def one_of_each_group(docs: DataFrame, *, doc_id="doc_id", text="text", **options) -> DataFrame:
+    """The document with the smallest id of each near-duplicate group, with all its columns; of equal rows one."""
+    kept = near_duplicate_groups(docs, doc_id=doc_id, text=text, **options).filter(F.col("doc_id").eqNullSafe(F.col("group_id"))).select("doc_id", "text_hash").distinct()
+    keyed = docs.withColumn("__text_hash", F.xxhash64(text))
+    same = keyed[doc_id].eqNullSafe(kept.doc_id) & (keyed["__text_hash"] == kept.text_hash)
+    once = Window.partitionBy(doc_id, "__text_hash").orderBy(F.lit(0))
+    return keyed.join(kept, same, "left_semi").withColumn("__copy", F.row_number().over(once)).filter("__copy = 1").select(*docs.columns)

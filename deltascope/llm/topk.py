@@ -124,10 +124,10 @@ def top_k(vectors: DataFrame, *, every=20, k=K, vec_id="vec_id", embedding="embe
     is_query = F.col("vec_id") % every == 0
     n, asked = rows.agg(F.count("*"), F.count_if(is_query)).first()
     parts, groups = max(1, -(-n // data_block)), max(1, -(-asked // query_block))
-    here = F.pmod(F.xxhash64("vec_id"), F.lit(parts))
-    group = F.pmod(F.xxhash64("vec_id", F.lit("query")), F.lit(groups))
-    data = rows.select("*", here.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).cast("long").alias("group"))
-    queries = rows.filter(is_query).select("*", group.alias("group"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long").alias("part"))
+    here = F.pmod(F.xxhash64("vec_id"), F.lit(parts).cast("long"))
+    group = F.pmod(F.xxhash64("vec_id", F.lit("query")), F.lit(groups).cast("long"))
+    data = rows.select("*", here.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"))
+    queries = rows.filter(is_query).select("*", group.alias("group"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
 
     def run(key, asked: pa.Table, given: pa.Table) -> pa.Table:
         none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
