@@ -1,11 +1,676 @@
-"""Queries of the engine over the standard tables, each with its SQL counterpart."""
+"""Queries of the engine over the standard tables, each with its SQL counterpart.
+
+The tables are single snapshots, so "after" snapshots are derived from them by SQL
+that both engines run as it stands. Amounts are cast to DECIMAL first.
+"""
 
 from __future__ import annotations
 
+import re
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.canonical import canonical
+from ..operators import cells as C
+from ..operators import diff as D
+from ..operators import hypotheses as H
+from ..operators import links as L
+from ..operators import profile as P
+from ..operators import snapshot as S
+from ..sources.catalog import FileSource, FrameSource, Table
+from ..sources.scenarios import one_transaction, synthetic
+from . import pipeline, trace
+
+#: Columns of the standard tables: i(nteger), f(loat), t(ext), d(ate and time).
+SCHEMAS = {
+    "region": "r_regionkey:i r_name:t", "nation": "n_nationkey:i n_name:t n_regionkey:i", "customer": "c_custkey:i c_name:t c_nationkey:i c_acctbal:f c_mktsegment:t",
+    "supplier": "s_suppkey:i s_name:t s_nationkey:i s_acctbal:f", "part": "p_partkey:i p_name:t p_brand:t p_type:t p_size:i p_retailprice:f",
+    "orders": "o_orderkey:i o_custkey:i o_orderstatus:t o_totalprice:f o_orderdate:d o_orderpriority:t",
+    "lineitem": "l_orderkey:i l_partkey:i l_suppkey:i l_linenumber:i l_quantity:f l_extendedprice:f l_discount:f l_tax:f l_returnflag:t l_linestatus:t l_shipdate:d",
+    "events": "event_id:i ts:d user_id:i event_type:t value:f props:t", "documents": "doc_id:i text:t lang:t source:t n_chars:i", "labels": "doc_id:i quality:i toxic:i",
+    "pages": "page_id:i url:t html:t", "benchmark": "item_id:i text:t", "conversations": "conv_id:i turn:i role:t text:t", "embeddings": "vec_id:i label:i",
+}
+COLUMNS = {t: [tuple(c.split(":")) for c in s.split()] for t, s in SCHEMAS.items()}
+
+ORDERS_BEFORE = "SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(18,2)) AS o_totalprice, o_orderdate, o_orderpriority FROM orders"
+ORDERS_AFTER = """
+SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 1000 = 11 THEN o_orderstatus || ' ' ELSE o_orderstatus END AS o_orderstatus,
+  CAST(CASE WHEN o_orderkey % 1000 = 7 THEN CAST(o_totalprice AS DECIMAL(18,2)) + 1234.56 ELSE CAST(o_totalprice AS DECIMAL(18,2)) END AS DECIMAL(18,2)) AS o_totalprice,
+  o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 1000 <> 3
+UNION ALL
+SELECT o_orderkey + 1 + (SELECT max(o_orderkey) FROM orders), o_custkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(18,2)), o_orderdate, o_orderpriority FROM orders WHERE o_orderkey < 3"""
+ORDERS = [("o_orderkey", "i"), ("o_custkey", "i"), ("o_orderstatus", "t"), ("o_totalprice", "m"), ("o_orderdate", "d"), ("o_orderpriority", "t")]
+LINES_BEFORE = "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_quantity AS DECIMAL(18,2)) AS l_quantity, l_returnflag FROM lineitem"
+LINES_AFTER = """
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(CASE WHEN l_orderkey % 500 = 11 THEN CAST(l_quantity AS DECIMAL(18,2)) + 1 ELSE CAST(l_quantity AS DECIMAL(18,2)) END AS DECIMAL(18,2)) AS l_quantity, l_returnflag
+FROM lineitem WHERE l_orderkey % 500 <> 3
+UNION ALL
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_quantity AS DECIMAL(18,2)), l_returnflag FROM lineitem WHERE l_orderkey % 500 = 7"""
+LINES = [("l_orderkey", "i"), ("l_partkey", "i"), ("l_suppkey", "i"), ("l_linenumber", "i"), ("l_quantity", "m"), ("l_returnflag", "t")]
+
+START, END = datetime(2024, 1, 15, 10), datetime(2024, 1, 15, 12)
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """Runs SQL that names standard tables."""
+    used = set(re.findall(r"\b(?:FROM|JOIN)\s+({})\b".format("|".join(COLUMNS)), text))
+    named = re.sub(r"\b(FROM|JOIN)\s+({})\b".format("|".join(COLUMNS)), r"\1 {\2}", text)
+    return spark.sql(named, **{t: load(spark, sf_dir, t) for t in used})
+
+
+def canon(column: str, kind: str) -> str:
+    """DuckDB: the canonical text of a column."""
+    stamp = f"CASE WHEN date_trunc('second', {column}) = {column} THEN strftime({column}, '%Y-%m-%dT%H:%M:%S') ELSE strftime({column}, '%Y-%m-%dT%H:%M:%S.%f') END"
+    body = {"i": f"'I:' || {column}::VARCHAR", "m": f"'M:' || {column}::VARCHAR", "t": f"'T:' || {column}", "d": f"'D:' || {stamp}"}[kind]
+    return f"coalesce({body}, 'N:')"
+
+
+def fingerprint(columns: list) -> str:
+    return "sha256(" + " || ".join(f"strlen({canon(c, k)}) || ':' || {canon(c, k)}" for c, k in columns) + ")"
+
+
+# Snapshots
+
+
+def _orders(spark, sf_dir, after=False, key=("o_orderkey",)):
+    return S.snapshot_of(Table("orders", sql(spark, sf_dir, ORDERS_AFTER if after else ORDERS_BEFORE), key))
+
+
+def _lines(spark, sf_dir, after=False):
+    return S.snapshot_of(Table("lineitem", sql(spark, sf_dir, LINES_AFTER if after else LINES_BEFORE)))
+
+
+def snapshot_stats(spark, sf_dir):
+    parts = [load(spark, sf_dir, t).agg(F.count("*").alias("n_rows")).select(F.lit(t).alias("table"), "n_rows") for t in COLUMNS]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole
+
+
+SNAPSHOT_STATS = " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n_rows FROM {t}" for t in COLUMNS)
+
+
+def top_tables(spark, sf_dir):
+    return snapshot_stats(spark, sf_dir).orderBy(F.desc("n_rows"), "table").limit(15)
+
+
+def row_fingerprint_orders(spark, sf_dir):
+    rows = S.with_fingerprint(_orders(spark, sf_dir).rows, [c for c, _ in ORDERS])
+    return rows.select(F.substring("o_orderkey", 3, 30).cast("bigint").alias("o_orderkey"), "fingerprint")
+
+
+def table_fingerprint_orders(spark, sf_dir):
+    return S.exact_table_fingerprint(_orders(spark, sf_dir).rows, [c for c, _ in ORDERS])
+
+
+def table_digest_orders(spark, sf_dir):
+    return S.table_digest(_orders(spark, sf_dir).rows, [c for c, _ in ORDERS])
+
+
+_FPS = f"WITH b AS ({ORDERS_BEFORE}), p AS (SELECT o_orderkey, {fingerprint(ORDERS)} AS fp FROM b)"
+TABLE_DIGEST = (
+    _FPS + " SELECT count(*) AS n_rows, sha256(concat_ws(':', count(*)::VARCHAR, " + ", ".join(f"sum(('0x' || substr(fp, {1 + 15 * k}, 15))::HUGEINT)::HUGEINT::VARCHAR" for k in range(4)) + ")) AS fingerprint FROM p"
+)
+
+# Differences
+
+
+def _orders_diff(spark, sf_dir):
+    b, a = _orders(spark, sf_dir), _orders(spark, sf_dir, True)
+    return D.keyed_diff("orders", b.rows, a.rows, [c for c, _ in ORDERS], ["o_orderkey"], D.PRIMARY)
+
+
+def _lines_diff(spark, sf_dir):
+    return D.bag_diff("lineitem", _lines(spark, sf_dir).rows, _lines(spark, sf_dir, True).rows, [c for c, _ in LINES])
+
+
+_ORDER_ID = F.element_at("key", F.lit("o_orderkey")).alias("o_orderkey")
+
+
+def diff_orders_keyed_ops(spark, sf_dir):
+    return _orders_diff(spark, sf_dir).groupBy("op").agg(F.count("*").alias("n"))
+
+
+def diff_orders_keyed_fields(spark, sf_dir):
+    return D.field_changes(_orders_diff(spark, sf_dir)).select("table", _ORDER_ID, "column", "before", "after")
+
+
+def _side(op: str, side: str):
+    def query(spark, sf_dir):
+        return _orders_diff(spark, sf_dir).filter(F.col("op") == op).select(*[F.element_at(side, F.lit(c)).alias(c) for c, _ in ORDERS])
+
+    return query
+
+
+_CANON_ORDERS = ", ".join(f"{canon(c, k)} AS {c}" for c, k in ORDERS)
+_BOTH = f"WITH b0 AS ({ORDERS_BEFORE}), a0 AS ({ORDERS_AFTER}), b AS (SELECT {_CANON_ORDERS} FROM b0), a AS (SELECT {_CANON_ORDERS} FROM a0)"
+_DIFFERS = " OR ".join(f"b.{c} <> a.{c}" for c, _ in ORDERS)
+OPS = f"""{_BOTH} SELECT op, count(*) AS n FROM (
+  SELECT CASE WHEN b.o_orderkey IS NULL THEN 'insert' WHEN a.o_orderkey IS NULL THEN 'delete' WHEN {_DIFFERS} THEN 'update' END AS op
+  FROM b FULL JOIN a ON b.o_orderkey = a.o_orderkey) WHERE op IS NOT NULL GROUP BY op"""
+FIELDS = _BOTH + " UNION ALL ".join(f" SELECT 'orders' AS \"table\", a.o_orderkey, '{c}' AS \"column\", b.{c} AS before, a.{c} AS after FROM b JOIN a ON b.o_orderkey = a.o_orderkey WHERE b.{c} <> a.{c}" for c, _ in ORDERS)
+
+
+def _bag(op: str, side: str):
+    def query(spark, sf_dir):
+        return _lines_diff(spark, sf_dir).filter(F.col("op") == op).select(*[F.element_at(side, F.lit(c)).alias(c) for c, _ in LINES])
+
+    return query
+
+
+_CANON_LINES = ", ".join(f"{canon(c, k)} AS {c}" for c, k in LINES)
+_LINES_BOTH = f"WITH b0 AS ({LINES_BEFORE}), a0 AS ({LINES_AFTER}), b AS (SELECT {_CANON_LINES} FROM b0), a AS (SELECT {_CANON_LINES} FROM a0)"
+
+
+def diff_key_uniqueness(spark, sf_dir):
+    """Keys a diff may be asked to use, and whether it can."""
+    rows = _lines(spark, sf_dir).rows
+    keys = [["l_orderkey", "l_linenumber"], ["l_orderkey", "l_partkey"], [c for c, _ in LINES]]
+    return spark.createDataFrame([("lineitem", ",".join(k), "candidate" if D.is_unique(rows, k) else "aucune") for k in keys], "table string, key string, key_type string")
+
+
+UNIQUENESS = " UNION ALL ".join(
+    f"SELECT 'lineitem' AS \"table\", '{','.join(k)}' AS key, CASE WHEN count(*) = count(DISTINCT ({', '.join(k)})) THEN 'candidate' ELSE 'aucune' END AS key_type FROM ({LINES_BEFORE})"
+    for k in (["l_orderkey", "l_linenumber"], ["l_orderkey", "l_partkey"], [c for c, _ in LINES])
+)
+
+
+def diff_pair_candidates(spark, sf_dir):
+    """How many added and removed rows differ in one or two fields: what probable updates are chosen from."""
+    return D.candidate_pairs(_lines_diff(spark, sf_dir), [c for c, _ in LINES]).groupBy("fields").agg(F.count("*").alias("n"))
+
+
+PAIRS = f"""{_LINES_BOTH}, added AS (SELECT * FROM a EXCEPT ALL SELECT * FROM b), removed AS (SELECT * FROM b EXCEPT ALL SELECT * FROM a)
+SELECT fields, count(*) AS n FROM (SELECT ({" + ".join(f"(x.{c} <> y.{c})::INT" for c, _ in LINES)}) AS fields FROM added x, removed y) WHERE fields <= 2 GROUP BY fields"""
+
+
+def diff_probable_updates(spark, sf_dir):
+    columns = [c for c, _ in LINES]
+    found, warning = D.probable_updates(_lines_diff(spark, sf_dir), columns, "lineitem")
+    counts = found.groupBy("op").agg(F.count("*").alias("n"))
+    return counts.withColumn("warning", F.lit(warning["code"] if warning else None).cast("string"))
+
+
+def _changed_schema(spark, sf_dir):
+    before = sql(spark, sf_dir, ORDERS_BEFORE)
+    after = sql(spark, sf_dir, ORDERS_AFTER).drop("o_orderpriority").withColumn("o_comment", F.lit("new"))
+    return D.diff_table(S.snapshot_of(Table("orders", before, ("o_orderkey",))), S.snapshot_of(Table("orders", after, ("o_orderkey",))))
+
+
+def diff_schema_columns(spark, sf_dir):
+    _, change, warnings = _changed_schema(spark, sf_dir)
+    details = warnings[0]["details"]
+    rows = [(change["table"], change["change"], c, what) for what, key in (("added", "colonnes_ajoutees"), ("removed", "colonnes_supprimees"), ("retyped", "colonnes_retypees")) for c in details[key].split(",") if c]
+    return spark.createDataFrame(rows, "table string, change string, column string, what string")
+
+
+SCHEMA_COLUMNS = "SELECT * FROM (VALUES ('orders', 'colonnes_modifiees', 'o_comment', 'added'), ('orders', 'colonnes_modifiees', 'o_orderpriority', 'removed')) t(\"table\", change, \"column\", what)"
+
+
+def diff_common_columns(spark, sf_dir):
+    return _changed_schema(spark, sf_dir)[0].groupBy("op").agg(F.count("*").alias("n"))
+
+
+def _whole_diff(spark, sf_dir):
+    snap = lambda tables: S.Snapshot({t.table.name: t for t in tables})
+    b, a = snap([_orders(spark, sf_dir), _lines(spark, sf_dir)]), snap([_orders(spark, sf_dir, True), _lines(spark, sf_dir, True)])
+    for s, mark in ((b, "b"), (a, "a")):
+        for t in s.tables.values():
+            t.fingerprint = mark  # both tables are known to differ
+    return D.diff_snapshots(spark, b, a, noise_tables=["LINEITEM"], cap=0)
+
+
+def diff_noise_split(spark, sf_dir):
+    result = _whole_diff(spark, sf_dir)
+    mark = lambda df, noise: df.groupBy("table", "op").agg(F.count("*").alias("n")).withColumn("noise", F.lit(noise))
+    return mark(result.changes, False).unionByName(mark(result.noise, True))
+
+
+NOISE_SPLIT = f"""SELECT 'orders' AS "table", op, n, false AS noise FROM ({OPS})
+UNION ALL SELECT 'lineitem', 'row_added', count(*), true FROM ({_LINES_BOTH} SELECT * FROM a EXCEPT ALL SELECT * FROM b)
+UNION ALL SELECT 'lineitem', 'row_removed', count(*), true FROM ({_LINES_BOTH} SELECT * FROM b EXCEPT ALL SELECT * FROM a)"""
+
+
+def diff_summary(spark, sf_dir):
+    result = _whole_diff(spark, sf_dir)
+    return D.summary(result.changes.unionByName(result.noise))
+
+
+_PART = "CASE WHEN {0} > 0 THEN {0} || ' ' || CASE WHEN {0} > 1 THEN '{2}' ELSE '{1}' END END"
+DIFF_SUMMARY = f"""WITH n AS (SELECT "table", sum(CASE WHEN op IN ('insert', 'row_added') THEN n ELSE 0 END)::BIGINT AS added, sum(CASE WHEN op = 'update' THEN n ELSE 0 END)::BIGINT AS modified,
+  sum(CASE WHEN op IN ('delete', 'row_removed') THEN n ELSE 0 END)::BIGINT AS deleted FROM ({NOISE_SPLIT}) GROUP BY "table")
+SELECT *, concat_ws(', ', {_PART.format("added", "ligne ajoutée", "lignes ajoutées")}, {_PART.format("modified", "ligne modifiée", "lignes modifiées")}, {_PART.format("deleted", "ligne supprimée", "lignes supprimées")}) AS summary FROM n"""
+
+
+# Profiles
+
+
+def _table(spark, sf_dir, name):
+    return Table(name, load(spark, sf_dir, name).select(*[c for c, _ in COLUMNS[name]]))
+
+
+def _profile_columns(name: str):
+    def query(spark, sf_dir):
+        found = P.column_profile(_table(spark, sf_dir, name))
+        exact = F.col("declared_type") != "DOUBLE"  # the text of a double is each engine's own
+        return found.select("table", "column", "n_rows", "n_nulls", F.col("pct_nulls").cast("double").alias("pct_nulls"), "n_distinct", F.when(exact, F.col("min")).alias("min"), F.when(exact, F.col("max")).alias("max"))
+
+    return query
+
+
+def _profile_sql(name: str) -> str:
+    parts = []
+    for c, k in COLUMNS[name]:
+        low, high = ("NULL", "NULL") if k == "f" else (f"substr({canon(f'min({c})', k)}, 3)", f"substr({canon(f'max({c})', k)}, 3)")
+        parts.append(f"""SELECT '{name}' AS "table", '{c}' AS "column", count(*) AS n_rows, count(*) - count({c}) AS n_nulls,
+          CAST(CASE WHEN count(*) = 0 THEN 0 ELSE round_even((count(*) - count({c})) * 100.0 / count(*), 2) END AS DECIMAL(5,2))::DOUBLE AS pct_nulls, count(DISTINCT {c}) AS n_distinct, {low} AS min, {high} AS max FROM {name}""")
+    return " UNION ALL ".join(parts)
+
+
+def _keys(spark, sf_dir):
+    found = []
+    for name in COLUMNS:
+        table = _table(spark, sf_dir, name)
+        for i, key in enumerate(P.candidate_keys(table, P.column_profile(table).collect())):
+            found.append((name, ",".join(key), len(key), i + 1))
+    return spark.createDataFrame(found, "table string, key string, n_columns int, rank int")
+
+
+def _single_sql() -> str:
+    parts = []
+    for name, columns in COLUMNS.items():
+        for i, (c, k) in enumerate(columns):
+            if k in "it":
+                short = f"AND max(length({c})) <= 255" if k == "t" else ""
+                parts.append(f"SELECT '{name}' AS t, '{c}' AS c, {i} AS place, {int(k == 't')} AS kind, count(*) = count(DISTINCT {c}) AS is_unique, count(*) = count({c}) {short} AS eligible, count(*) AS n FROM {name}")
+    return " UNION ALL ".join(parts)
+
+
+def _pair_sql() -> str:
+    parts = []
+    for name, columns in COLUMNS.items():
+        own = [(i, c) for i, (c, k) in enumerate(columns) if k in "it"]
+        for x, (_, a) in enumerate(own):
+            for _, b in own[x + 1 :]:
+                parts.append(f"SELECT '{name}' AS t, '{a}' AS a, '{b}' AS b, count(*) = count(DISTINCT ({a}, {b})) AS is_unique FROM {name}")
+    return " UNION ALL ".join(parts)
+
+
+KEYS = f"""WITH s AS ({_single_sql()}), p AS ({_pair_sql()}),
+k AS (
+  SELECT t, c AS key, 1 AS n_columns, kind, place AS p1, -1 AS p2 FROM s WHERE is_unique AND eligible AND n >= 2
+  UNION ALL
+  SELECT p.t, p.a || ',' || p.b, 2, greatest(x.kind, y.kind), x.place, y.place FROM p JOIN s x ON x.t = p.t AND x.c = p.a JOIN s y ON y.t = p.t AND y.c = p.b
+  WHERE p.is_unique AND x.eligible AND y.eligible AND NOT x.is_unique AND NOT y.is_unique AND x.n >= 2)
+SELECT t AS "table", key, n_columns, row_number() OVER (PARTITION BY t ORDER BY kind, n_columns, p1, p2)::INT AS rank FROM k"""
+
+
+def profile_relations(spark, sf_dir):
+    counts = None
+    for name in COLUMNS:
+        part = P.value_counts(_table(spark, sf_dir, name))
+        counts = part if counts is None else counts.unionByName(part)
+    keys = _keys(spark, sf_dir).filter("n_columns = 1").select("table", F.col("key").alias("column"))
+    found = P.relations(counts, keys)
+    return found.withColumns({c: F.col(c).cast("double") for c in ("inclusion_rate", "inclusion_rate_distinct")})
+
+
+def _values_sql() -> str:
+    text = {"i": ("number", "CAST({0} AS DECIMAL(38,10))::VARCHAR"), "f": ("number", "CAST({0}::VARCHAR AS DECIMAL(38,10))::VARCHAR"), "d": ("date", "strftime({0}, '%Y-%m-%dT%H:%M:%S.%f')"), "t": ("text", "CASE WHEN length({0}) > 64 THEN '#' || sha256({0}) ELSE {0} END")}
+    return " UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c, '{text[k][0]}' AS family, {text[k][1].format(c)} AS key, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY 4" for t, cols in COLUMNS.items() for c, k in cols)
+
+
+RELATIONS = f"""WITH v AS (SELECT t, c, family, key, sum(n)::BIGINT AS n FROM ({_values_sql()}) GROUP BY ALL), keys AS (SELECT "table" AS t, key AS c FROM ({KEYS}) WHERE n_columns = 1),
+total AS (SELECT t, c, sum(n)::BIGINT AS n_values, count(*) AS n_distinct_src FROM v GROUP BY ALL),
+met AS (SELECT a.t AS st, a.c AS sc, a.family, b.t AS dt, b.c AS dc, sum(a.n)::BIGINT AS n_included, count(*) AS n_distinct_included
+  FROM v a JOIN v b ON a.family = b.family AND a.key = b.key JOIN keys k ON k.t = b.t AND k.c = b.c WHERE NOT (a.t = b.t AND a.c = b.c) GROUP BY ALL)
+SELECT st AS src_table, sc AS src_column, dt AS dst_table, dc AS dst_column, CAST(round_even(n_included * 1.0 / n_values, 4) AS DECIMAL(5,4))::DOUBLE AS inclusion_rate, n_values, n_included,
+  CAST(round_even(n_distinct_included * 1.0 / n_distinct_src, 4) AS DECIMAL(5,4))::DOUBLE AS inclusion_rate_distinct, n_distinct_src, n_distinct_included, CASE WHEN n_distinct_src < 3 THEN 'faible' ELSE 'normale' END AS confidence
+FROM met JOIN total ON total.t = st AND total.c = sc WHERE n_included * 100 >= n_values * 99"""
+
+
+# Links: typed values against written cells, both stated here
+
+INPUT_ROWS = [
+    (1, "Montant", "S", "1 234,56", "montant"), (2, "Montant", "S", "500", "montant"), (3, "Date", "S", "15/01/2024", "date"), (4, "Date", "S", "2024-02-01", "date"),
+    (5, "Code", "S", "6111", "code"), (6, "Code", "S", "0042", "code"), (7, "Libelle", "S", "Test-S003", "texte"), (8, "Libelle", "S", "Facture Dupont", "texte"),
+    (9, "Montant", "S", "1.234,56", "montant"), (10, "Date", "S", "31/02/2024", "date"), (11, "Montant", "S", "0", "montant"), (12, "Montant", "S", "7,25", "montant"),
+    (13, "Libelle", "S", "Test-S030", "texte"), (14, "Autre", "S", "Rien du tout", "texte"), (15, "Montant", "S", "1243,56", "montant"), (16, "Date", "S", "3.2.2024", "date"),
+]
+CELL_ROWS = [
+    (1, "ECR", "MONTANT", "M:1234.56"), (2, "ECR", "CREDIT", "M:-1234.56"), (3, "ECR", "CENTIMES", "I:123456"), (4, "ECR", "TAUX", "M:12.3456"), (5, "ECR", "MONTANT", "M:-500.00"), (6, "ECR", "CENTIMES", "I:50000"),
+    (7, "ECR", "DATE_ECR", "D:2024-01-15T00:00:00"), (8, "ECR", "SAISIE", "D:2024-01-15T00:00:01"), (9, "ECR", "JOUR", "J:2024-01-15"), (10, "ECR", "TEXTE", "T:15.01.2024"), (11, "ECR", "JOUR", "J:2024-02-02"),
+    (12, "CPT", "COMPTE", "I:6111"), (13, "CPT", "COMPTE", "T:6111  "), (14, "CPT", "NUM", "I:42"), (15, "CPT", "NUM", "T:0042"), (16, "CPT", "LIB", "T:TEST-S003"), (17, "CPT", "LIB", "T:Test-S"), (18, "CPT", "LIB", "T:Te"),
+    (19, "CPT", "LIB2", "T:Facture Dupont "), (20, "CPT", "LIB2", "T: Facture Dupont"), (21, "CPT", "TXT", "T:1234.56"), (22, "ECR", "ZERO", "M:0.00"), (23, "ECR", "MONTANT", "M:7.250"), (24, "CPT", "LIB", "T:Test-S003\t"),
+    (25, "ECR", "MONTANT", "M:1234.65"), (26, "CPT", "NUL", "N:"), (27, "CPT", "LOG", "L:1"), (28, "ECR", "JOUR", "J:2024-02-03"), (29, "CPT", "LIB", "T:TEST-S0031"),
+]
+
+
+def _link_frames(spark):
+    cells = spark.createDataFrame([(t, i, c, True, v, None, {c: v}) for i, t, c, v in CELL_ROWS], "table string, row_id long, column string, is_insert boolean, value string, before string, row map<string,string>")
+    return spark.createDataFrame(INPUT_ROWS, L.INPUTS), cells
+
+
+def _links(kind: str | None):
+    def query(spark, sf_dir):
+        inputs, cells = _link_frames(spark)
+        found = L.matches(inputs, cells)
+        found = found if kind is None else found.filter(F.col("type") == kind)
+        confidence = F.create_map(*[F.lit(x) for pair in L.CONFIDENCE.items() for x in pair])[F.col("match_type")]
+        return found.select("input_id", "row_id", "table", "column", "match_type", confidence.alias("confidence"))
+
+    return query
+
+
+def _quoted(v) -> str:
+    return str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+
+
+def _rows_sql(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(map(_quoted, r)) + ")" for r in rows)
+
+
+_DAYS = "coalesce(CAST(try_strptime(trim({0}), ['%Y-%m-%d', '%d/%m/%Y', '%d-%m-%Y', '%d.%m.%Y']) AS DATE))"
+_READY = f"""WITH inp AS (SELECT *, CASE WHEN type = 'montant' THEN TRY_CAST(replace(regexp_replace(value, '[\\s\\x{{00A0}}\\x{{202F}}]', '', 'g'), ',', '.') AS DECIMAL(28,10)) END AS amt,
+    CASE WHEN type = 'date' THEN {_DAYS.format("value")} END AS d FROM (VALUES {_rows_sql(INPUT_ROWS)}) t(input_id, field, screen, value, type)),
+  cel AS (SELECT *, substr(v, 1, 1) AS tag, substr(v, 3) AS body FROM (VALUES {_rows_sql(CELL_ROWS)}) t(row_id, tab, col, v)),
+  ready AS (SELECT *, CASE WHEN type = 'montant' THEN amt IS NOT NULL WHEN type = 'date' THEN d IS NOT NULL ELSE true END AS valid FROM inp),
+  typed AS (SELECT *, CASE WHEN tag IN ('I', 'M') THEN TRY_CAST(body AS DECIMAL(28,10)) END AS n, CASE WHEN tag = 'D' THEN TRY_CAST(body AS TIMESTAMP) END AS ts,
+    CASE WHEN tag IN ('D', 'J') THEN TRY_CAST(substr(body, 1, 10) AS DATE) WHEN tag = 'T' THEN {_DAYS.format("body")} END AS cd FROM cel)"""
+_MATCHED = f"""{_READY}, met AS (SELECT input_id, field, screen, value, type, row_id, tab, col, CASE
+    WHEN type = 'montant' THEN CASE WHEN n = amt THEN 'exacte' WHEN n = -amt AND amt <> 0 THEN 'signe_inverse' WHEN n = amt * 100 THEN 'x100' WHEN n * 100 = amt THEN 'div100' END
+    WHEN type = 'date' THEN CASE WHEN cd = d AND tag = 'D' AND date_trunc('day', ts) <> ts THEN 'date_heure' WHEN cd = d THEN 'exacte' END
+    WHEN type = 'code' THEN CASE WHEN n = floor(n) AND CAST(n AS BIGINT)::VARCHAR = value THEN 'exacte' WHEN tag = 'T' AND body = value THEN 'exacte' WHEN tag = 'T' AND rtrim(body, ' ') = rtrim(value, ' ') THEN 'espaces_fin' END
+    ELSE CASE WHEN tag <> 'T' THEN NULL WHEN body = value THEN 'exacte' WHEN rtrim(body, ' ') = rtrim(value, ' ') THEN 'espaces_fin' WHEN body = upper(value) THEN 'majuscules'
+      WHEN length(body) >= 3 AND length(body) < length(value) AND starts_with(value, body) THEN 'tronque' END END AS m FROM ready, typed WHERE valid),
+  kept AS (SELECT * FROM met WHERE m IS NOT NULL QUALIFY m IN ('exacte', 'espaces_fin') OR NOT bool_or(m IN ('exacte', 'espaces_fin')) OVER (PARTITION BY input_id))"""
+_CONF = "CASE WHEN m IN ('exacte', 'espaces_fin', 'date_heure') THEN 'haute' WHEN m IN ('x100', 'div100') THEN 'faible' ELSE 'moyenne' END"
+
+
+def _links_sql(kind: str | None) -> str:
+    return f'{_MATCHED} SELECT input_id, row_id, tab AS "table", col AS "column", m AS match_type, {_CONF} AS confidence FROM kept' + (f" WHERE type = '{kind}'" if kind else "")
+
+
+def links_precedence(spark, sf_dir):
+    inputs, cells = _link_frames(spark)
+    return L.matches(inputs, cells).groupBy("input_id").agg(F.count("*").alias("n"), F.max(F.col("match_type").isin(*L.EXACT)).alias("is_exact"))
+
+
+def deviations(spark, sf_dir):
+    inputs, cells = _link_frames(spark)
+    return L.deviations(inputs, cells, L.matches(inputs, cells))
+
+
+_PLAIN = "CASE WHEN contains({0}::VARCHAR, '.') THEN regexp_replace({0}::VARCHAR, '\\.?0+$', '') ELSE {0}::VARCHAR END"
+DEVIATIONS = f"""{_MATCHED}, lost AS (SELECT *, CASE WHEN type = 'montant' THEN {_PLAIN.format("amt")} WHEN type = 'date' THEN d::VARCHAR ELSE rtrim(value, ' ') END AS target
+    FROM ready WHERE valid AND input_id NOT IN (SELECT input_id FROM kept)),
+  near AS (SELECT l.input_id, t.tab, t.col, t.body, row_number() OVER (PARTITION BY l.input_id ORDER BY t.tab, t.row_id, t.col) AS r FROM lost l
+    JOIN (SELECT DISTINCT field, screen, tab, col FROM kept) s ON s.field = l.field AND s.screen = l.screen JOIN typed t ON t.tab = s.tab AND t.col = s.col,
+    LATERAL (SELECT CASE WHEN l.type = 'montant' THEN {_PLAIN.format("t.n")} WHEN l.type = 'date' THEN t.cd::VARCHAR WHEN t.tag = 'T' THEN rtrim(t.body, ' ') WHEN t.n = floor(t.n) THEN CAST(t.n AS BIGINT)::VARCHAR END AS shape) x
+    WHERE t.row_id NOT IN (SELECT row_id FROM kept) AND shape <> target AND (l.type NOT IN ('texte', 'code') OR length(target) >= 4) AND damerau_levenshtein(shape, target) <= 1)
+SELECT l.field, l.screen, l.value AS expected, CASE WHEN n.input_id IS NULL THEN 'introuvable' ELSE 'valeur_differente' END AS kind, n.tab AS "table", n.col AS "column", n.body AS found
+FROM lost l LEFT JOIN near n ON n.input_id = l.input_id AND n.r = 1"""
+
+
+def invalid_inputs(spark, sf_dir):
+    return L.prepared(_link_frames(spark)[0]).filter("NOT valid").select("input_id", "value", "type")
+
+
+# Hypotheses
+
+
+def _context(spark, changes, cells, before=None, inputs=None, **more):
+    return H.Context(changes, cells, inputs if inputs is not None else spark.createDataFrame([], L.INPUTS), START, END, before or {}, **more)
+
+
+def hyp_counter_int(spark, sf_dir):
+    changes = _orders_diff(spark, sf_dir)
+    cells = C.extract_cells(changes)
+    return H.counter(cells, _context(spark, changes, cells, {"orders": _orders(spark, sf_dir).rows})).join(cells, H.REF).select("table", "column", "value", "detail")
+
+
+COUNTER_INT = f"WITH m AS (SELECT max(o_orderkey) AS k FROM orders) SELECT 'orders' AS \"table\", 'o_orderkey' AS \"column\", 'I:' || (k + i)::VARCHAR AS value, 'max avant = ' || k::VARCHAR AS detail FROM m, (VALUES (1), (2), (3)) t(i)"
+
+CUSTOMER_AFTER = """SELECT c_custkey, c_name, c_nationkey FROM customer UNION ALL
+SELECT max(c_custkey) + 1, 'Customer#' || lpad(CAST(CAST(substr(max(c_name), 10) AS BIGINT) + 1 AS VARCHAR(9)), 9, '0'), CAST(0 AS INT) FROM customer"""
+
+
+def hyp_counter_text(spark, sf_dir):
+    before = S.snapshot_of(Table("customer", sql(spark, sf_dir, "SELECT c_custkey, c_name, c_nationkey FROM customer"), ("c_custkey",)))
+    after = S.snapshot_of(Table("customer", sql(spark, sf_dir, CUSTOMER_AFTER), ("c_custkey",)))
+    changes = D.keyed_diff("customer", before.rows, after.rows, before.columns, ["c_custkey"], D.PRIMARY)
+    cells = C.extract_cells(changes)
+    return H.counter(cells, _context(spark, changes, cells, {"customer": before.rows})).join(cells, H.REF).select("table", "column", "value", "detail")
+
+
+COUNTER_TEXT = """WITH m AS (SELECT max(c_custkey) AS k, max(c_name) AS n FROM customer)
+SELECT 'customer' AS "table", 'c_custkey' AS "column", 'I:' || (k + 1)::VARCHAR AS value, 'max avant = ' || k::VARCHAR AS detail FROM m
+UNION ALL SELECT 'customer', 'c_name', 'T:Customer#' || lpad((substr(n, 10)::BIGINT + 1)::VARCHAR, 9, '0'), 'max avant = ' || n FROM m"""
+
+COUNTERS = [("ACH", 41, 42), ("VTE", 57, 62), ("OD", 3, 8)]
+
+
+def _updates(spark, table, rows, key, column):
+    """rows(key value, before, after) as cells of updates."""
+    found = [(table, i + 1, column, False, after, before, {key: k, column: after}) for i, (k, before, after) in enumerate(rows)]
+    return spark.createDataFrame(found, "table string, row_id long, column string, is_insert boolean, value string, before string, row map<string,string>")
+
+
+def hyp_counter_update(spark, sf_dir):
+    cells = _updates(spark, "COMPTEURS", [(f"T:{k}", f"I:{a}", f"I:{b}") for k, a, b in COUNTERS], "CODE_JOURNAL", "DERNIER_NUM")
+    none = spark.createDataFrame([], D.ROW_CHANGES)
+    return H.counter(cells, _context(spark, none, cells)).join(cells, H.REF).select(F.element_at("row", F.lit("CODE_JOURNAL")).alias("journal"), "value")
+
+
+COUNTER_UPDATE = f"""WITH c AS (SELECT * FROM (VALUES {_rows_sql(COUNTERS)}) t(j, a, b)), s AS (SELECT count(*) >= 2 AND count(DISTINCT b - a) = 1 AS shared FROM c)
+SELECT 'T:' || j AS journal, 'I:' || b::VARCHAR AS value FROM c, s WHERE b - a > 0 AND (b - a = 1 OR shared)"""
+
+
+def hyp_timestamp(spark, sf_dir):
+    events = load(spark, sf_dir, "events")
+    cells = events.select(F.lit("events").alias("table"), F.col("event_id").alias("row_id"), F.lit("ts").alias("column"), F.lit(True).alias("is_insert"), canonical(F.col("ts"), events.schema["ts"].dataType).alias("value"))
+    return H.system_time(cells, _context(spark, None, cells)).select(F.col("row_id").alias("event_id"), "detail")
+
+
+TIMESTAMP = f"SELECT event_id, substr({canon('ts', 'd')}, 3) || ' dans [2024-01-15T10:00:00, 2024-01-15T12:00:00] ±2 min' AS detail FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-15 09:58:00' AND TIMESTAMP '2024-01-15 12:02:00'"
+
+CHILDREN = "SELECT l_orderkey + 1 + (SELECT max(o_orderkey) FROM orders) AS l_orderkey, l_partkey, CAST(l_extendedprice AS DECIMAL(18,2)) AS l_extendedprice FROM lineitem WHERE l_orderkey < 3"
+PARENTS = f"SELECT l_orderkey AS o_orderkey, CAST(sum(l_extendedprice) AS DECIMAL(18,2)) AS o_totalprice FROM ({CHILDREN}) c GROUP BY l_orderkey"
+
+
+def hyp_sum_lines(spark, sf_dir):
+    part = lambda name, text, key: S.snapshot_of(Table(name, sql(spark, sf_dir, text), key))
+    parents, children = part("orders", PARENTS, ("o_orderkey",)), part("lineitem", CHILDREN, ())
+    changes = D.keyed_diff("orders", parents.rows.limit(0), parents.rows, parents.columns, ["o_orderkey"], D.PRIMARY).unionByName(D.bag_diff("lineitem", children.rows.limit(0), children.rows, children.columns))
+    cells = C.extract_cells(changes)
+    rel = spark.createDataFrame([("lineitem", "l_orderkey", "orders", "o_orderkey", "normale")], "src_table string, src_column string, dst_table string, dst_column string, confidence string")
+    hit = H.sum_of_children(cells.filter("table = 'orders' AND column = 'o_totalprice'"), _context(spark, changes, cells, relations=rel))
+    return hit.join(cells, H.REF).select(F.element_at("row", F.lit("o_orderkey")).alias("o_orderkey"), "value", "detail")
+
+
+SUM_LINES = f"WITH c AS ({CHILDREN}) SELECT 'I:' || l_orderkey::VARCHAR AS o_orderkey, 'M:' || CAST(sum(l_extendedprice) AS DECIMAL(18,2))::VARCHAR AS value, 'somme de lineitem.l_extendedprice (' || count(*)::VARCHAR || ' lignes liées)' AS detail FROM c GROUP BY l_orderkey"
+
+EXTENDED = "SELECT o_orderkey + 1 + (SELECT max(o_orderkey) FROM orders) AS o_orderkey, o_custkey, c_mktsegment AS segment FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey < 300"
+
+
+def hyp_copy(spark, sf_dir):
+    new = S.snapshot_of(Table("orders_ext", sql(spark, sf_dir, EXTENDED), ("o_orderkey",)))
+    changes = D.keyed_diff("orders_ext", new.rows.limit(0), new.rows, new.columns, ["o_orderkey"], D.PRIMARY)
+    cells = C.extract_cells(changes)
+    rel = spark.createDataFrame([("orders_ext", "o_custkey", "customer", "c_custkey", "normale")], "src_table string, src_column string, dst_table string, dst_column string, confidence string")
+    before = {"customer": S.canonical_rows(Table("customer", load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), ("c_custkey",)))}
+    hit = H.copied(cells, _context(spark, changes, cells, before, relations=rel))
+    return hit.join(cells, H.REF).select(F.element_at("row", F.lit("o_orderkey")).alias("o_orderkey"), "column", "value", "detail")
+
+
+COPY = f"WITH e AS ({EXTENDED}) SELECT 'I:' || o_orderkey::VARCHAR AS o_orderkey, 'segment' AS \"column\", 'T:' || segment AS value, 'copie de customer.c_mktsegment (ligne c_custkey = ' || o_custkey::VARCHAR || ')' AS detail FROM e"
+
+
+def hyp_constant(spark, sf_dir):
+    """Columns with one value, were one row more written with it."""
+    table = Table("region", load(spark, sf_dir, "region").withColumns({"site": F.lit("S"), "level": F.lit(7)}))
+    profile = P.column_profile(table)
+    cells = spark.createDataFrame([("region", 1, c, True, v, None, {}) for c, v in (("site", "T:S"), ("level", "M:7.00"), ("r_name", "T:ASIA"), ("site", "T:X"))], "table string, row_id long, column string, is_insert boolean, value string, before string, row map<string,string>")
+    return H.constant(cells, _context(spark, None, cells, column_profile=profile)).select("table", "column", "detail").distinct()
+
+
+CONSTANT = "SELECT 'region' AS \"table\", c AS \"column\", 'valeur constante sur toute la table (' || v || ')' AS detail FROM (VALUES ('site', 'S'), ('level', '7.00')) t(c, v) WHERE (SELECT count(*) FROM region) >= 2"
+
+
+def hyp_running_total(spark, sf_dir):
+    changes = _orders_diff(spark, sf_dir)
+    cells = C.extract_cells(changes)
+    inputs = spark.createDataFrame([(1, "Montant", "S", "1 234,56", "montant")], L.INPUTS)
+    hit = H.running_total(cells, _context(spark, changes, cells, inputs=inputs))
+    return hit.join(cells, H.REF).select(F.element_at("row", F.lit("o_orderkey")).alias("o_orderkey"), "column", "detail")
+
+
+RUNNING_TOTAL = "SELECT 'I:' || o_orderkey::VARCHAR AS o_orderkey, 'o_totalprice' AS \"column\", 'delta 1234.56 = montant saisi Montant (1 234,56)' AS detail FROM orders WHERE o_orderkey % 1000 = 7"
+
+ACCOUNTS = [
+    ("6", "1234.5600"), ("61", "1234.5600"), ("612", "1234.5600"), ("6126", "1234.5600"), ("61263", "1234.5600"), ("3", "246.9100"), ("34", "246.9100"), ("345", "246.9100"), ("3455", "246.9100"),
+    ("34552", "246.9100"), ("44", "-1481.4700"), ("441", "-1481.4700"), ("4411", "-1481.4700"), ("441110024", "-1481.4700"), ("70", "50.0000"), ("512", "80.0000"),
+]
+
+
+def hyp_hierarchical_total(spark, sf_dir):
+    cells = _updates(spark, "compte", [(f"T:{a}  ", "M:1000.0000", f"M:{1000 + float(d):.4f}") for a, d in ACCOUNTS], "Compte", "Debit")
+    hit = H.hierarchical_total(cells, _context(spark, None, cells))
+    return hit.join(cells, H.REF).select(F.trim(F.substring(F.element_at("row", F.lit("Compte")), 3, 20)).alias("account"), "detail")
+
+
+HIERARCHICAL = f"""WITH c AS (SELECT a, d::DECIMAL(18,4) AS d FROM (VALUES {_rows_sql(ACCOUNTS)}) t(a, d)),
+p AS (SELECT x.a, x.d, y.a AS b FROM c x JOIN c y ON x.d = y.d AND (starts_with(x.a, y.a) OR starts_with(y.a, x.a)) WHERE length(x.a) >= 2 AND length(y.a) >= 2)
+SELECT a AS account, 'delta ' || {_PLAIN.format("d")} || ' identique sur ' || count(*)::VARCHAR || ' comptes liés par préfixe : ' || string_agg(b, ', ' ORDER BY length(b), b) AS detail FROM p GROUP BY a, d HAVING count(*) > 1"""
+
+
+def computed_fields_all(spark, sf_dir):
+    """Everything at once on the orders diff: counters, running totals, unknowns."""
+    changes = _orders_diff(spark, sf_dir)
+    cells = C.extract_cells(changes)
+    inputs = spark.createDataFrame([(1, "Montant", "S", "1 234,56", "montant")], L.INPUTS)
+    found = L.matches(inputs, cells)
+    context = _context(spark, changes, cells, {"orders": _orders(spark, sf_dir).rows}, inputs)
+    return H.computed_fields(cells, L.explained(found), context).select("table", "column", "value", F.array_join("hypotheses", ",").alias("hypotheses"), "details")
+
+
+COMPUTED = f"""WITH f AS ({FIELDS}), m AS (SELECT max(o_orderkey) AS k FROM orders), a0 AS ({ORDERS_AFTER}), a AS (SELECT {_CANON_ORDERS} FROM a0, m WHERE o_orderkey > k),
+cells AS (SELECT "column", after AS value, before FROM f {" ".join(f"UNION ALL SELECT '{c}', {c}, NULL FROM a" for c, _ in ORDERS)})
+SELECT DISTINCT 'orders' AS "table", "column", value,
+  CASE WHEN "column" = 'o_orderkey' THEN 'compteur' WHEN "column" = 'o_totalprice' AND before IS NOT NULL THEN 'cumul_mis_a_jour' ELSE 'inconnu' END AS hypotheses,
+  CASE WHEN "column" = 'o_orderkey' THEN 'max avant = ' || k::VARCHAR WHEN "column" = 'o_totalprice' AND before IS NOT NULL THEN 'delta 1234.56 = montant saisi Montant (1 234,56)' ELSE '' END AS details FROM cells, m"""
+
+
+# Pipelines
+
+
+def calibration(spark, sf_dir):
+    """Two snapshots of tables of which one moves by itself."""
+    turn = {"n": 0}
+
+    def orders():
+        turn["n"] += 1
+        return sql(spark, sf_dir, ORDERS_BEFORE if turn["n"] == 1 else ORDERS_AFTER)
+
+    source = FrameSource(spark, {"orders": orders, "nation": lambda: load(spark, sf_dir, "nation")}, {"orders": ("o_orderkey",), "nation": ("n_nationkey",)})
+    found = pipeline.calibrate(source, 0.0, sleep=lambda _: None)
+    return spark.createDataFrame(list(found.proposed.items()), "table string, summary string")
+
+
+CALIBRATION = f'SELECT "table", summary FROM ({DIFF_SUMMARY}) WHERE "table" = \'orders\''
+
+
+def latest_status(spark, sf_dir):
+    """The latest event type of each user, for users 0 to 199 whether they have events or not."""
+    runs = load(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("id"), F.struct("ts", "event_id").alias("start"), F.col("event_type").alias("status"))
+    return pipeline.latest_status(runs, spark.range(200).select(F.col("id").cast("string").alias("id")))
+
+
+LATEST_STATUS = "SELECT s.i::VARCHAR AS id, coalesce(l.status, 'a_faire') AS status FROM range(200) s(i) LEFT JOIN (SELECT user_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY user_id) l ON l.user_id = s.i"
+
+
+def anonymize(spark, sf_dir):
+    updates = sql(spark, sf_dir, "SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,4)) AS before, CAST(CAST(o_totalprice AS DECIMAL(18,4)) + o_orderkey AS DECIMAL(18,4)) AS after FROM orders")
+    return trace.anonymised(updates).select("o_orderkey", F.col("fake_before").cast("double").alias("fake_before"), (F.col("fake_after") - F.col("fake_before")).cast("double").alias("delta"))
+
+
+ANONYMIZE = "SELECT o_orderkey, CAST((('0x' || substr(sha256(CAST(o_totalprice AS DECIMAL(18,4))::VARCHAR), 1, 10))::BIGINT % 1000000000)::DECIMAL(18,4) / 100 AS DECIMAL(18,4))::DOUBLE AS fake_before, o_orderkey::DOUBLE AS delta FROM orders"
+
+JSON_VALUES = ["1234.5600", "12.5", "26", "2024-01-15T10:00:00", "2024-01-15", "2024-02-30", "-0.0100", "texte", "", "2024-01-15T25:00:00"]
+
+
+def retype_values(spark, sf_dir):
+    rows = spark.createDataFrame([(v,) for v in JSON_VALUES], "value string")
+    return rows.select("value", trace.retyped(F.col("value")).alias("typed"))
+
+
+RETYPE = f"""SELECT value, CASE WHEN regexp_full_match(value, '-?[0-9]+\\.[0-9]{{4}}') THEN 'M:' || value
+  WHEN regexp_full_match(value, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9:.]+') AND TRY_CAST(value AS TIMESTAMP) IS NOT NULL THEN 'D:' || value
+  WHEN regexp_full_match(value, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND TRY_CAST(value AS DATE) IS NOT NULL THEN 'J:' || value ELSE 'T:' || value END AS typed
+  FROM (VALUES {_rows_sql([(v,) for v in JSON_VALUES])}) t(value)"""
+
+
+def scenario_computed(spark, sf_dir):
+    """A whole scenario on generated tables: snapshot, another program's transaction, snapshot, diff with profiled keys, interpretation."""
+    before_tables = synthetic(spark, 200)
+    keys = {"CLIENTS": ("ID",), "FACTURES": ("NUM",), "SESSIONS": ("ID",)}
+    source = FrameSource(spark, before_tables, keys)
+    profile = P.profile(source)
+    before, after = S.take_snapshot(source), S.take_snapshot(FrameSource(spark, one_transaction(before_tables), keys))
+    result = D.diff_snapshots(spark, before, after, profile.first_keys(), ["SESSIONS"])
+    inputs = spark.createDataFrame([(1, "Montant", "Facture", "1 234,56", "montant"), (2, "Commentaire", "Facture", "test-sim", "texte")], L.INPUTS)
+    found = pipeline.interpret(spark, result.changes, before, inputs, datetime(2024, 6, 1, 10, 14), datetime(2024, 6, 1, 10, 16), profile)
+    return found.computed.select("table", "column", "value", F.array_join("hypotheses", ",").alias("hypotheses"), "details")
+
+
+def all_table_profile(spark, sf_dir):
+    """The profile pipeline over the reference tables: candidate keys of every table."""
+    source = FileSource(spark, sf_dir, ["region", "nation", "customer", "supplier", "part", "orders"])
+    return P.profile(source).key_frame(spark).select("table", F.array_join("columns", ",").alias("key"), "rank")
+
+
+ALL_TABLE_PROFILE = f"SELECT \"table\", key, rank FROM ({KEYS}) WHERE \"table\" IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders')"
+
 
 def queries():
-    return {}
+    found = {
+        "snapshot_stats": snapshot_stats, "top_tables_by_rows": top_tables, "row_fingerprint_orders": row_fingerprint_orders, "table_fingerprint_orders": table_fingerprint_orders, "table_digest_orders": table_digest_orders,
+        "diff_orders_keyed_ops": diff_orders_keyed_ops, "diff_orders_keyed_inserts": _side("insert", "after"), "diff_orders_keyed_deletes": _side("delete", "before"), "diff_orders_keyed_fields": diff_orders_keyed_fields,
+        "diff_lineitem_added": _bag("row_added", "after"), "diff_lineitem_removed": _bag("row_removed", "before"), "diff_key_uniqueness_fallback": diff_key_uniqueness, "diff_pair_candidates_lineitem": diff_pair_candidates,
+        "diff_probable_updates_lineitem": diff_probable_updates, "diff_schema_columns": diff_schema_columns, "diff_schema_common_columns": diff_common_columns, "diff_noise_split": diff_noise_split, "diff_summary": diff_summary,
+        "profile_key_preference": lambda s, d: _keys(s, d), "profile_key_single": lambda s, d: _keys(s, d).filter("n_columns = 1").select("table", "key"), "profile_key_pair": lambda s, d: _keys(s, d).filter("n_columns = 2").select("table", "key"),
+        "profile_relations": profile_relations, "profile_all_tables": all_table_profile,
+        "links_all": _links(None), "links_amount": _links("montant"), "links_date": _links("date"), "links_code": _links("code"), "links_text": _links("texte"), "links_exact_precedence": links_precedence,
+        "deviation_osa1": deviations, "invalid_inputs": invalid_inputs,
+        "hyp_counter_int": hyp_counter_int, "hyp_counter_text": hyp_counter_text, "hyp_counter_update": hyp_counter_update, "hyp_timestamp": hyp_timestamp, "hyp_sum_lines": hyp_sum_lines, "hyp_copy": hyp_copy,
+        "hyp_constant": hyp_constant, "hyp_running_total": hyp_running_total, "hyp_hierarchical_total": hyp_hierarchical_total, "computed_fields_all": computed_fields_all,
+        "calibration_noise_tables": calibration, "scenario_latest_status": latest_status, "anonymize_keep_deltas": anonymize, "retype_json_values": retype_values, "scenario_computed_fields": scenario_computed,
+    }
+    return found | {f"profile_columns_{t}": _profile_columns(t) for t in COLUMNS}
 
 
 def oracle_sql():
-    return {}
+    both = lambda order: f"{_BOTH} {order}"
+    found = {
+        "snapshot_stats": SNAPSHOT_STATS, "top_tables_by_rows": f'{SNAPSHOT_STATS} ORDER BY n_rows DESC, "table" LIMIT 15', "row_fingerprint_orders": f"{_FPS} SELECT o_orderkey, fp AS fingerprint FROM p",
+        "table_fingerprint_orders": f"{_FPS} SELECT count(*) AS n_rows, sha256(string_agg(fp, '' ORDER BY fp)) AS fingerprint FROM p", "table_digest_orders": TABLE_DIGEST,
+        "diff_orders_keyed_ops": OPS, "diff_orders_keyed_inserts": both("SELECT a.* FROM a ANTI JOIN b ON a.o_orderkey = b.o_orderkey"), "diff_orders_keyed_deletes": both("SELECT b.* FROM b ANTI JOIN a ON a.o_orderkey = b.o_orderkey"),
+        "diff_orders_keyed_fields": FIELDS, "diff_lineitem_added": f"{_LINES_BOTH} SELECT * FROM a EXCEPT ALL SELECT * FROM b", "diff_lineitem_removed": f"{_LINES_BOTH} SELECT * FROM b EXCEPT ALL SELECT * FROM a",
+        "diff_key_uniqueness_fallback": UNIQUENESS, "diff_pair_candidates_lineitem": PAIRS, "diff_schema_columns": SCHEMA_COLUMNS, "diff_schema_common_columns": OPS, "diff_noise_split": NOISE_SPLIT, "diff_summary": DIFF_SUMMARY,
+        "profile_key_preference": KEYS, "profile_key_single": f'SELECT "table", key FROM ({KEYS}) WHERE n_columns = 1', "profile_key_pair": f'SELECT "table", key FROM ({KEYS}) WHERE n_columns = 2',
+        "profile_relations": RELATIONS, "profile_all_tables": ALL_TABLE_PROFILE,
+        "links_all": _links_sql(None), "links_amount": _links_sql("montant"), "links_date": _links_sql("date"), "links_code": _links_sql("code"), "links_text": _links_sql("texte"),
+        "links_exact_precedence": f"{_MATCHED} SELECT input_id, count(*) AS n, bool_or(m IN ('exacte', 'espaces_fin')) AS is_exact FROM kept GROUP BY input_id", "deviation_osa1": DEVIATIONS,
+        "invalid_inputs": f"{_READY} SELECT input_id, value, type FROM ready WHERE NOT valid",
+        "hyp_counter_int": COUNTER_INT, "hyp_counter_text": COUNTER_TEXT, "hyp_counter_update": COUNTER_UPDATE, "hyp_timestamp": TIMESTAMP, "hyp_sum_lines": SUM_LINES, "hyp_copy": COPY, "hyp_constant": CONSTANT,
+        "hyp_running_total": RUNNING_TOTAL, "hyp_hierarchical_total": HIERARCHICAL, "computed_fields_all": COMPUTED,
+        "calibration_noise_tables": CALIBRATION, "scenario_latest_status": LATEST_STATUS, "anonymize_keep_deltas": ANONYMIZE, "retype_json_values": RETYPE,
+    }
+    return found | {f"profile_columns_{t}": _profile_sql(t) for t in COLUMNS}
