@@ -2,12 +2,11 @@
 
 Archives are written by Spark's text writer with the record terminator
 (CRLF CRLF) as line separator, so files are committed like any other table. The
-reader splits files at the same separator and gets every segment's offset as a
-prefix sum of segment lengths. A segment that starts with the magic is only a
-*candidate* record: it may be inside a payload. Each candidate names its
-successor (end of header + Content-Length + terminator), and pointer jumping from
-offset 0 of each file, doubling the step each round, keeps the records that the
-chain reaches. All work is DataFrame operations.
+reader takes files apart at the same separator. A segment that starts with the
+magic is only a *candidate* record: it may be inside a payload. Each candidate
+names its successor (end of header + Content-Length + terminator), and pointer
+jumping from offset 0 of each file, doubling the step each round, keeps the
+records that the chain reaches.
 
 Defined results: null html is an empty payload; equal payloads (empty ones too)
 are one response, under the smallest page_id (a null id counts as larger than
@@ -19,7 +18,10 @@ successor isn't a record; no rows give archives without records.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -27,6 +29,7 @@ from .common import new_path, table, written
 
 CRLF, END = "\r\n", "\r\n\r\n"
 MAGIC = "WARC/1.1"
+_LENGTH = re.compile(rb"(?i)\r\nContent-Length:[ \t]*([0-9]{1,18})")
 #: Records in an archive file at most.
 RECORDS_PER_FILE = 1024
 
@@ -57,37 +60,71 @@ def write_archives(pages: DataFrame, path: str, *, page_id="page_id", url="url",
     rows.select(record.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def segments(spark: SparkSession, path: str) -> DataFrame:
-    """file, off, seg: what lies between terminators, with its byte offset in the (unpacked) file."""
+def _scan(batches):
+    """Segments in file order -> every candidate record that ends within its file, with its payload.
+
+    A false candidate is inside a payload, so several may be open at once; they share one buffer.
+    """
+    rows: list[tuple] = []
+    held = 0
+    file, off, base, buffer, waiting = None, 0, 0, bytearray(), []
+    for batch in batches:
+        for name, block, seg in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if block:
+                raise ValueError("an archive was split: store it compressed, as one unit")
+            if name != file:
+                file, off, waiting = name, 0, []
+                buffer.clear()
+            if waiting:
+                buffer += seg + END.encode()
+            end = off + len(seg) + len(END)
+            start = 2 if seg.startswith(CRLF.encode()) else 0  # a payload's last CRLF reads as part of the terminator before it
+            if seg.startswith((b"WARC/1.0\r\n", b"WARC/1.1\r\n"), start) and (found := _LENGTH.search(seg)):
+                if not waiting:
+                    base = end
+                    buffer.clear()
+                waiting.append((off + start, end, int(found[1]), seg[start:]))
+            off = end
+            still = []
+            for record in waiting:
+                at, body, length, head = record
+                if body + length > end:
+                    still.append(record)
+                    continue
+                rows.append((file, at, body + length + len(END), head.decode("utf-8", "replace"), bytes(buffer[body - base : body - base + length])))
+                held += length
+            waiting = still
+            if held > 1 << 22 or len(rows) >= 1000:
+                yield _records(rows)
+                rows, held = [], 0
+    yield _records(rows)
+
+
+def _records(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["file", "off", "next", "head", "payload"])
+
+
+def scan_archives(spark: SparkSession, path: str) -> DataFrame:
+    """file, off, next, head, payload of every candidate: a place where a record may start, and where its successor would.
+
+    One pass in file order, without a shuffle. Archives are compressed files, which
+    Spark reads as one unit each; the writer bounds their size.
+    """
     try:
         lines = spark.read.option("lineSep", END).text(path)
     except AnalysisException as empty:  # a folder without files
-        if "UNABLE_TO_INFER_SCHEMA" not in str(empty) and "PATH_NOT_FOUND" not in str(empty):
+        if "UNABLE_TO_INFER_SCHEMA" not in str(empty):
             raise
-        return spark.createDataFrame([], "file string, off bigint, seg string")
-    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("seg"))
-    within = Window.partitionBy("file", "block").orderBy("row")
-    lines = lines.withColumn("upto", F.sum(F.octet_length("seg") + len(END)).over(within))
-    blocks = lines.groupBy("file", "block").agg(F.max("upto").alias("bytes"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("base", F.coalesce(F.sum("bytes").over(before), F.lit(0)))
-    return lines.join(blocks.drop("bytes"), ["file", "block"]).select("file", (F.col("base") + F.col("upto") - F.octet_length("seg") - len(END)).alias("off"), "seg")
+        return spark.createDataFrame([], "file long, off long, next long, head string, payload binary")
+    lines = lines.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("seg"))
+    return lines.mapInArrow(_scan, "file long, off long, next long, head string, payload binary")
 
 
 def _field(name: str):
     return F.nullif(F.regexp_extract("head", rf"(?i)\r\n{name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
 
 
-def candidates(segs: DataFrame) -> DataFrame:
-    """file, off, body, next, head: every place where a record may start, and where its successor would."""
-    start = F.when(F.col("seg").startswith(CRLF), 2).otherwise(0)  # a payload's last CRLF reads as part of the terminator before it
-    head = segs.filter(F.col("seg").rlike(r"^(\r\n)?WARC/1\.[01]\r\n")).select(
-        "file", (F.col("off") + start).alias("off"), (F.col("off") + F.octet_length("seg") + len(END)).alias("body"), F.substr("seg", start + 1).alias("head")
-    )
-    length = F.expr("try_cast(regexp_extract(head, '(?i)\\\\r\\\\nContent-Length:[ \\\\t]*([0-9]+)', 1) AS BIGINT)")
-    return head.withColumn("length", length).filter("length IS NOT NULL").withColumn("next", F.col("body") + F.col("length") + len(END))
-
-
 def reachable(found: DataFrame) -> DataFrame:
     """The candidates' (file, off) that the chain from each file's start reaches."""
     spark = found.sparkSession
@@ -105,28 +142,23 @@ def reachable(found: DataFrame) -> DataFrame:
     return spark.read.schema(reached.schema).parquet(path)
 
 
+def verified(found: DataFrame) -> DataFrame:
+    """The candidates (file, off, next and more) that are records: the ones a chain from its file's start reaches."""
+    found = written(found, "warc-candidates")
+    return found.join(reachable(found), ["file", "off"])
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """file, off, head, payload (binary) of every true record."""
-    found = candidates(segments(spark, path))
-    kept = found.join(reachable(found), ["file", "off"])
-    kept = written(kept.select("file", "off", "body", "length", "head"), "warc-records")
-    pieces = segments(spark, path).select("file", "off", "seg").unionByName(kept.select("file", F.col("body").alias("off"), F.struct("off", "length", "body").alias("record")), allowMissingColumns=True)
-    # a record's first piece is at its body; the marker sorts before the piece with the same offset
-    inside = Window.partitionBy("file").orderBy("off", F.col("record").isNull())
-    pieces = pieces.withColumn("within", F.last("record", ignorenulls=True).over(inside)).filter("seg IS NOT NULL AND off < within.body + within.length")
-    joined = F.concat_ws(END, F.transform(F.sort_array(F.collect_list(F.struct("off", "seg"))), lambda x: x["seg"]))
-    payloads = pieces.groupBy("file", F.col("within.off").alias("off")).agg(F.concat(joined, F.lit(END)).cast("binary").alias("raw"))
-    return kept.join(payloads, ["file", "off"], "left").select(
-        "file", "off", "head", F.coalesce(F.expr("substring(raw, 1, cast(length AS INT))"), F.lit(b"")).alias("payload")
-    )
+    """file, off, next, head, payload of every record."""
+    return verified(scan_archives(spark, path))
 
 
 def page_records(records: DataFrame) -> DataFrame:
-    """What the records say of each page."""
+    """file, off, next, and what the (candidate) records say of each page; payloads are read here and not carried on."""
     response = _field("WARC-Type") == "response"
     number = lambda name: F.regexp_extract(F.coalesce(_field(name), F.lit("")), r"urn:page:(-?[0-9]+)", 1).try_cast("bigint")
     return records.select(
-        number("WARC-Record-ID").alias("page_id"),
+        "file", "off", "next", number("WARC-Record-ID").alias("page_id"),
         F.when(response, F.octet_length("payload")).otherwise(_field("X-Payload-Length").try_cast("bigint")).cast("long").alias("payload_bytes"),
         F.when(response, base32_sha1(F.col("payload"))).otherwise(F.regexp_replace(_field("WARC-Payload-Digest"), "^sha1:", "")).alias("payload_digest"),
         F.when(response, "response").otherwise("revisit").alias("record_type"),
@@ -137,7 +169,7 @@ def page_records(records: DataFrame) -> DataFrame:
 def op6_warc_round_trip(spark, sf_dir):
     path = new_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    return page_records(read_archives(spark, path))
+    return verified(page_records(scan_archives(spark, path))).drop("file", "off", "next")
 
 
 OP6_SQL = r"""
