@@ -186,7 +186,7 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
-    return majority(np.ascontiguousarray(h).view(np.uint8).reshape(len(h), -1))
+    return majority(np.ascontiguousarray(h).view(np.uint8).reshape(len(h), SKETCH_BITS // 8))
 
 
 def sketches(text: str | None, shingle: int) -> tuple[bytes, list[int]]:
