@@ -35,7 +35,7 @@ class Interpretation:
 
     @property
     def has_deviation(self) -> bool:
-        return not self.deviations.filter("kind = 'valeur_differente'").isEmpty()
+        return not self.deviations.isEmpty()
 
 
 def interpret(

@@ -16,6 +16,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from ..functions.canonical import NULL
 from ..operators.diff import ROW_CHANGES, DiffResult, summary
@@ -142,7 +143,13 @@ def read_trace(path: str) -> dict:
 def read_trace_folder(spark: SparkSession, folder: str) -> DataFrame:
     """path, id, start, status of all */trace.json; hidden folders are left out, unreadable files have nulls. Newest first."""
     schema = "fiche struct<id:string,titre:string>, execution struct<debut:string,statut:string>, _corrupt_record string"
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(f"{folder}/*/trace.json")
+    read = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+    try:
+        rows = read.json(f"{folder}/*/trace.json")
+    except AnalysisException as none:
+        if "PATH_NOT_FOUND" not in str(none):
+            raise
+        return spark.createDataFrame([], "path string, id string, start string, status string")
     rows = rows.select(F.col("_metadata.file_path").alias("path"), F.col("fiche.id").alias("id"), F.col("execution.debut").alias("start"), F.col("execution.statut").alias("status"))
     return rows.filter(~F.element_at(F.split("path", "/"), -2).startswith(".")).orderBy(F.desc("start"), "path")
 

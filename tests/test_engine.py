@@ -298,7 +298,7 @@ def test_interpretation_and_re_analysis_agree(spark, tmp_path):
     computed = {(r.column, tuple(r.hypotheses)) for r in found.computed.collect()}
     assert computed == {("S", ("cumul_mis_a_jour",)), ("ID", ("compteur",)), ("S", ("inconnu",))}
     assert {r.code for r in found.warnings.collect()} == {"valeur_saisie_invalide", "profil_absent"}
-    assert [(r.field, r.kind) for r in found.deviations.collect()] == [("Montant", "introuvable")] and not found.has_deviation
+    assert [(r.field, r.kind) for r in found.deviations.collect()] == [("Montant", "introuvable")] and found.has_deviation
     document = trace.build_trace({"id": "S-1", "titre": "t", "valeurs_saisies": values}, {"debut": "2024-01-15T10:00:00", "fin": "2024-01-15T10:01:00", "statut": pipeline.status(False, found)}, {"chemin": "x"}, result, found)
     assert set(document) == {"format_version", "fiche", "execution", "base", "changements", "bruit", "liens", "champs_calcules", "ecarts_saisie", "schema_modifie", "avertissements"}
     folder = trace.write_trace(document, str(tmp_path))
