@@ -131,15 +131,12 @@ def _lines_diff(spark, sf_dir):
     return D.bag_diff("lineitem", _lines(spark, sf_dir).rows, _lines(spark, sf_dir, True).rows, [c for c, _ in LINES])
 
 
-_ORDER_ID = F.element_at("key", F.lit("o_orderkey")).alias("o_orderkey")
-
-
 def diff_orders_keyed_ops(spark, sf_dir):
     return _orders_diff(spark, sf_dir).groupBy("op").agg(F.count("*").alias("n"))
 
 
 def diff_orders_keyed_fields(spark, sf_dir):
-    return D.field_changes(_orders_diff(spark, sf_dir)).select("table", _ORDER_ID, "column", "before", "after")
+    return D.field_changes(_orders_diff(spark, sf_dir)).select("table", F.element_at("key", F.lit("o_orderkey")).alias("o_orderkey"), "column", "before", "after")
 
 
 def _side(op: str, side: str):
