@@ -30,3 +30,12 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(SQL)))
 def test_query_runs(spark, name):
     assert catalog.queries()[name](spark, SF).count() > 0
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent, check=True)
