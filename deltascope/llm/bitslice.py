@@ -17,46 +17,49 @@ STEP = 1 << 17
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def words_of(prints: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
-    """Planes of runs of fingerprints (n x bytes), each run padded to whole words: planes, valid lanes, first row of each word, first word of each run."""
-    counts = (sizes + 63) // 64
-    first_word = np.concatenate([[0], np.cumsum(counts)])
-    n_words, width = int(first_word[-1]), prints.shape[1] * 8
-    run = np.repeat(np.arange(len(sizes)), sizes)
-    inside = np.arange(len(prints)) - starts[run]
-    word, lane = first_word[run] + inside // 64, inside % 64
-    slots = np.zeros((n_words, 64, prints.shape[1]), np.uint8)
-    slots[word, lane] = prints
-    bits = np.unpackbits(slots, axis=2, bitorder="little").transpose(0, 2, 1)
-    planes = np.packbits(bits, axis=2, bitorder="little").reshape(n_words, width, 8).view("<u8")[:, :, 0]
-    lanes = np.zeros((n_words, 64), np.uint8)
-    lanes[word, lane] = 1
-    valid = np.packbits(lanes, axis=1, bitorder="little").view("<u8")[:, 0]
-    base = np.zeros(n_words, np.int64)
-    base[word] = starts[run] + inside // 64 * 64
-    return planes, valid, base, first_word, run
+def planes_of(prints: np.ndarray) -> np.ndarray:
+    """Word w holds rows 64 w to 64 w + 63, whatever run they are in: words x bits."""
+    width, n_words = prints.shape[1], -(-len(prints) // 64)
+    planes = np.empty((n_words, width * 8), np.uint64)
+    for a in range(0, n_words, 128):
+        rows = prints[64 * a : 64 * (a + 128)]
+        slots = np.zeros((-(-len(rows) // 64) * 64, width), np.uint8)
+        slots[: len(rows)] = rows
+        bits = np.unpackbits(slots, axis=1, bitorder="little").reshape(-1, 64, width * 8).transpose(0, 2, 1)
+        planes[a : a + 128] = np.packbits(bits, axis=2, bitorder="little").view("<u8")[:, :, 0]
+    return planes
+
+
+def _below(n: np.ndarray) -> np.ndarray:
+    """Masks of the lowest n lanes, 0 <= n <= 64."""
+    n = n.astype(np.uint64)
+    return np.where(n >= 64, FULL, (np.uint64(1) << np.minimum(n, np.uint64(63))) - np.uint64(1))
 
 
 def near_pairs(prints: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int):
-    """Yields arrays (i, j), i < j, of rows of the same run within the radius."""
-    planes, valid, base, first_word, run = words_of(prints, starts, sizes)
+    """Yields arrays (i, j), i < j, of rows (n x bytes) of the same run within the radius. Runs follow each other."""
+    planes, n = planes_of(prints), len(prints)
     width = planes.shape[1]
-    # a row meets the words from its own on
-    own = first_word[run] + (np.arange(len(prints)) - starts[run]) // 64
-    todo = first_word[run + 1] - own
+    end = np.repeat(starts + sizes, sizes)
+    # a row meets the words from its successor's to its run's last
+    first = (np.arange(n) + 1) // 64
+    todo = np.where(end > np.arange(n) + 1, (end - 1) // 64 - first + 1, 0)
     total = np.concatenate([[0], np.cumsum(todo)])
     at = 0
-    while at < len(prints):
+    while at < n:
         upto = max(at + 1, int(np.searchsorted(total, total[at] + STEP, side="right")) - 1)
         query = np.repeat(np.arange(at, upto), todo[at:upto])
-        word = own[query] + np.arange(len(query)) - (total[query] - total[at])
+        word = first[query] + np.arange(len(query)) - (total[query] - total[at])
         at = upto
+        if not len(query):
+            continue
         bits = radius.bit_length()
         start = (1 << bits) - 1 - radius
         counters = [np.full(len(query), FULL if start >> b & 1 else 0, np.uint64) for b in range(bits)]
-        over = ~valid[word]
+        lanes = _below(np.minimum(end[query] - 64 * word, 64)) & ~_below(np.maximum(query + 1 - 64 * word, 0))
+        over = ~lanes
         for p in range(width):
-            flip = np.where(prints[query, p >> 3] >> (p & 7) & 1, FULL, np.uint64(0))
+            flip = (prints[query, p >> 3] >> (p & 7) & 1).astype(np.uint64) * FULL
             carry = planes[word, p] ^ flip
             for b in range(bits):
                 counters[b], carry = counters[b] ^ carry, counters[b] & carry
@@ -72,8 +75,7 @@ def near_pairs(prints: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius
         query, word, near = query[alive], word[alive], ~over[alive]
         for k in range(0, len(query), 1 << 14):
             hit, lane = np.nonzero(np.unpackbits(near[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-            i, j = query[k + hit], base[word[k + hit]] + lane
-            yield i[i < j], j[i < j]
+            yield query[k + hit], 64 * word[k + hit] + lane
 
 
 def forest(i: np.ndarray, j: np.ndarray):

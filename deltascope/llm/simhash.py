@@ -85,7 +85,7 @@ def fingerprint_documents(docs: DataFrame, *, doc_id="doc_id", text="text", shin
     return ids.mapInArrow(run, T.StructType([ids.schema["doc_id"], T.StructField("fp", T.LongType())]))
 
 
-def _runs(batches, keys: int, limit: int = 1 << 16):
+def _runs(batches, keys: int, limit: int = 1 << 15):
     """Sorted rows (keys..., id, bytes) -> whole runs of equal keys, several at a time: ids, prints, starts, sizes."""
     held = None
     for batch in _ended(batches):
@@ -118,14 +118,16 @@ def _ended(batches):
     yield None
 
 
-def compare_within(entries: DataFrame, radius: int) -> DataFrame:
-    """entries(t, key, id, bits): links (u, v) between ids of equal (t, key) whose bits differ in at most `radius` places."""
+def compare_within(entries: DataFrame, radius: int, prints: DataFrame | None = None) -> DataFrame:
+    """entries(t, key, id), prints(id, bits): links (u, v) between ids of equal (t, key) whose bits differ in at most `radius` places. Without prints the ids are the bits."""
     shared = entries.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
     met = entries.join(shared, ["t", "key"])
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     met = met.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("id"), blocks).cast("int")})
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("t", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", "bits")
+    met = met.select("t", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id")
+    # only what shares a key carries its bits
+    met = met.withColumn("bits", F.col("id")) if prints is None else met.join(prints.select("id", "bits"), "id").select("t", "key", "lo", "hi", "id", "bits")
     met = met.repartition("t", "key", "lo", "hi").sortWithinPartitions("t", "key", "lo", "hi", "id")
 
     def run(batches):
@@ -145,7 +147,7 @@ def near_links(prints: DataFrame, radius: int = 3, bits: int = 64) -> DataFrame:
     masks = [sum((1 << b) - (1 << a) for a, b in ((edges[i], edges[i + 1]), (edges[j], edges[j + 1]))) for i, j in combinations(range(n), 2)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for t, m in enumerate(signed)])
-    entries = prints.select("fp", F.explode(keys).alias("k")).select("k.t", "k.key", F.col("fp").alias("id"), F.col("fp").alias("bits"))
+    entries = prints.select("fp", F.explode(keys).alias("k")).select("k.t", "k.key", F.col("fp").alias("id"))
     return compare_within(entries, radius)
 
 
@@ -218,8 +220,8 @@ def near_duplicate_groups(docs: DataFrame, *, doc_id="doc_id", text="text", shin
     made = written(ids.mapInArrow(run, schema).withColumn("id", F.xxhash64("bits")), "sketches")
     distinct = made.groupBy("id").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
     distinct = written(distinct, "sketches-distinct")
-    entries = distinct.select("id", "bits", F.posexplode("keys").alias("t", "key"))
-    roots = components(compare_within(entries, radius_for(similarity)))
+    entries = distinct.select("id", F.posexplode("keys").alias("t", "key"))
+    roots = components(compare_within(entries, radius_for(similarity), distinct))
     placed = distinct.join(roots, distinct.id == roots.node, "left").select("id", "first_id", F.coalesce("root", "id").alias("root"))
     named = placed.join(placed.groupBy("root").agg(F.min("first_id").alias("group_id")), "root").select("id", "group_id")
     return made.join(named, "id").select("doc_id", "text_hash", "group_id")
