@@ -16,12 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_unshared: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (in tests on one machine)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="deltascope-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _unshared:
+            _unshared.append("file://" + tempfile.mkdtemp(prefix="deltascope-"))
+        base = _unshared[0]
     return base.rstrip("/")
 
 

@@ -110,7 +110,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     every = docs.count()
     # unlabelled text stands for all web text: a random share of it, whatever labels there may be
     take = lambda rows: np.array([r.x for r in with_features(rows, ["doc_id"]).collect()], float)
-    positive = take(docs.join(trusted, "doc_id", "left_semi"))
+    positive = take(docs.join(F.broadcast(trusted), "doc_id", "left_semi"))  # SAMPLE_ROWS ids
     unlabelled = take(_sampled(docs, every))
     return fit(positive, unlabelled, prior)
 
