@@ -26,7 +26,7 @@ def planes_of(prints: np.ndarray) -> np.ndarray:
         slots = np.zeros((-(-len(rows) // 64) * 64, width), np.uint8)
         slots[: len(rows)] = rows
         bits = np.unpackbits(slots, axis=1, bitorder="little").reshape(-1, 64, width * 8).transpose(0, 2, 1)
-        planes[a : a + 128] = np.packbits(bits, axis=2, bitorder="little").view("<u8")[:, :, 0]
+        planes[a : a + 128] = np.ascontiguousarray(np.packbits(bits, axis=2, bitorder="little")).view("<u8")[:, :, 0]
     return planes
 
 

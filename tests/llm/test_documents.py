@@ -236,6 +236,18 @@ def test_bitslice_counts_exactly():
         assert got == want
 
 
+@pytest.mark.parametrize("width", [8, 64])
+def test_bitslice_of_few_rows(width):
+    import numpy as np
+
+    rng = np.random.default_rng(width)
+    for n in (1, 2, 3, 63, 64, 65, 129):
+        prints = rng.integers(0, 2, (n, width), dtype=np.uint8)
+        prints[n // 2 :] = prints[: n - n // 2]
+        got = {(int(a), int(b)) for i, j in bitslice.near_pairs(prints, np.array([0]), np.array([n]), 0) for a, b in zip(i, j)}
+        assert got == {(a, b) for a in range(n) for b in range(a + 1, n) if (prints[a] == prints[b]).all()}
+
+
 def test_component_chains(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 200), (300, 200), (7, 7)]
     roots = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
