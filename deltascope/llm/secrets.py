@@ -40,12 +40,12 @@ CHUNK = 512
 
 
 def labelled_samples(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFrame:
-    """token, random: strings made from digests (base64, base64 without padding, hexadecimal, alphanumeric), and identifiers made of neighbouring words of sampled documents."""
+    """token, random: strings made from digests (base64, base64 without padding, hexadecimal in both cases, alphanumeric), and identifiers made of neighbouring words of sampled documents."""
     spark = docs.sparkSession
     digest = F.sha2(F.concat(F.lit("sample:"), F.col("id").cast("string")).cast("binary"), 256)
     base64 = F.base64(F.unhex(digest))
-    kind = F.col("id") % 4
-    made = F.when(kind == 0, base64).when(kind == 1, F.substring(base64, 1, 32)).when(kind == 2, F.substring(digest, 1, 40)).otherwise(F.regexp_replace(base64, "[+/=]", ""))
+    kind = F.col("id") % 5
+    made = F.when(kind == 0, base64).when(kind == 1, F.substring(base64, 1, 32)).when(kind == 2, F.substring(digest, 1, 40)).when(kind == 3, F.upper(F.substring(digest, 1, 40))).otherwise(F.regexp_replace(base64, "[+/=]", ""))
     random = spark.range(RANDOM_SAMPLES).select(made.alias("token"), F.lit(True).alias("random"))
     share = int(min(1.0, SAMPLE_DOCUMENTS / max(1, docs.count())) * (1 << 30))
     sampled = docs.filter(F.pmod(F.xxhash64(doc_id, F.lit("secrets")), F.lit(1 << 30)) < share)
