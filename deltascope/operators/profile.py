@@ -7,6 +7,7 @@ columns and all keys cost one self-join on (family, key), not a loop over pairs.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
@@ -17,8 +18,9 @@ from pyspark.sql import types as T
 
 from ..functions.canonical import canonical, family, family_key
 from ..sources.catalog import Source, Table
-from .snapshot import needs_nfc
 
+#: Tables profiled at the same time.
+TABLES_AT_ONCE = 8
 #: Least rows for a key, least distinct values for a relation to count, longest text of a key, declared types that are never keys (by prefix).
 MIN_KEY_ROWS, MIN_RELATION_VALUES, MAX_KEY_TEXT = 2, 3, 255
 NEVER_KEYS = ("DECIMAL", "NUMERIC", "CURRENCY", "MONEY", "FLOAT", "DOUBLE", "REAL", "SINGLE", "DATE", "TIME", "MEMO", "LONGTEXT", "LONGCHAR", "CLOB", "BLOB", "BINARY", "VARBINARY", "LONGBINARY", "OLE", "IMAGE")
@@ -29,7 +31,7 @@ RELATIONS = "src_table string, src_column string, dst_table string, dst_column s
 
 def value_counts(table: Table, normalise: set[str] | None = None) -> DataFrame:
     """table, column, family, key, n over the non-null values of all columns."""
-    which = needs_nfc(table) if normalise is None else normalise
+    which = table.non_ascii if normalise is None else normalise
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(family(table.kind(c))).alias("family"), family_key(F.col(f"`{c}`"), table.kind(c), c in which).alias("key")) for c in table.columns])
     long = table.df.select(F.explode(cells).alias("c")).select(F.lit(table.name).alias("table"), "c.column", "c.family", "c.key").filter("key IS NOT NULL")
     return long.groupBy("table", "column", "family", "key").agg(F.count("*").alias("n"))
@@ -86,7 +88,7 @@ def candidate_keys(table: Table, columns: list) -> list[tuple[str, ...]]:
     pairs = [(a.column, b.column) for a, b in combinations(rest, 2) if a.n_distinct * b.n_distinct >= n]
     unique = []
     if pairs:
-        which = needs_nfc(table)
+        which = table.non_ascii
         digest = lambda p: F.xxhash64(*[canonical(F.col(f"`{c}`"), table.kind(c), c in which) for c in p])
         # a pair whose digests collide anywhere isn't unique unless proven so: estimate first, then count the few that are left
         close = table.df.agg(*[F.approx_count_distinct(digest(p), 0.02).alias(f"p{i}") for i, p in enumerate(pairs)]).first()
@@ -130,18 +132,31 @@ class Profile:
         return spark.createDataFrame(rows, "table string, columns array<string>, rank int")
 
 
+def profile_tables(tables: list[Table], progress=None) -> tuple[list[DataFrame], list[DataFrame], dict[str, list[tuple[str, ...]]]]:
+    """Value counts, column profiles and candidate keys of each table. The tables' jobs don't depend on each other, so several run at once."""
+
+    def one(table: Table):
+        counts = value_counts(table).persist()
+        columns = column_profile(table, counts)
+        return counts, columns, candidate_keys(table, columns.collect())
+
+    parts, columns, keys = [], [], {}
+    with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
+        for k, (table, found) in enumerate(zip(tables, pool.map(one, tables), strict=True)):
+            if progress is not None:
+                progress(table.name, k, len(tables))
+            parts.append(found[0])
+            columns.append(found[1])
+            keys[table.name] = found[2]
+    return parts, columns, keys
+
+
 def profile(source: Source, ignored=(), progress=None) -> Profile:
     skip, spark = {i.lower() for i in ignored}, source.spark
-    names = [n for n in source.list_tables() if n.lower() not in skip]
-    tables = [source.table(n) for n in names]
-    parts, columns, keys = [], [], {}
-    for k, table in enumerate(tables):
-        if progress is not None:
-            progress(table.name, k, len(tables))
-        parts.append(value_counts(table).persist())
-        columns.append(column_profile(table, parts[-1]))
-        keys[table.name] = candidate_keys(table, columns[-1].collect())
+    tables = [source.table(n) for n in source.list_tables() if n.lower() not in skip]
+    parts, columns, keys = profile_tables(tables, progress)
     union = lambda frames, ddl: reduce(DataFrame.unionByName, frames) if frames else spark.createDataFrame([], ddl)
     counts = union(parts, "table string, column string, family string, key string, n long")
     singles = spark.createDataFrame([(t, k[0]) for t, own in keys.items() for k in own if len(k) == 1], "table string, column string")
-    return Profile(union(columns, COLUMN_PROFILE), keys, relations(counts, singles), {t.name: t.primary_key for t in tables}, {t.name: t.skipped for t in tables if t.skipped})
+    # small tables about columns, which every hypothesis reads again
+    return Profile(union(columns, COLUMN_PROFILE).persist(), keys, relations(counts, singles).persist(), {t.name: t.primary_key for t in tables}, {t.name: t.skipped for t in tables if t.skipped})

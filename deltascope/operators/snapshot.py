@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.canonical import canonical, row_fingerprint
 from ..sources.catalog import Source, Table
@@ -37,17 +36,8 @@ class Snapshot:
         return sum(t.n_rows for t in self.tables.values())
 
 
-def needs_nfc(table: Table) -> set[str]:
-    """Text columns with anything but ASCII. One aggregate without a shuffle of rows; pure ASCII columns skip the Python function."""
-    texts = [c for c in table.columns if isinstance(table.kind(c), T.StringType)]
-    if not texts:
-        return set()
-    found = table.df.agg(*[F.max(F.col(c).rlike(r"[^\x00-\x7F]")).alias(f"c{i}") for i, c in enumerate(texts)]).first()
-    return {c for i, c in enumerate(texts) if found[i]}
-
-
 def canonical_rows(table: Table, normalise: set[str] | None = None, columns: list[str] | None = None) -> DataFrame:
-    which = needs_nfc(table) if normalise is None else normalise
+    which = table.non_ascii if normalise is None else normalise
     return table.df.select(*[canonical(F.col(f"`{c}`"), table.kind(c), c in which).alias(c) for c in (columns or table.columns)])
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -271,15 +272,15 @@ def _profile_sql(name: str) -> str:
     return " UNION ALL ".join(parts)
 
 
-def _keys(spark, sf_dir):
-    found = []
-    for name in COLUMNS:
-        table = _table(spark, sf_dir, name)
-        for i, key in enumerate(P.candidate_keys(table, P.column_profile(table).collect())):
-            found.append((name, ",".join(key), len(key), i + 1))
+def _key_frame(spark, keys):
+    found = [(name, ",".join(key), len(key), i + 1) for name, own in keys.items() for i, key in enumerate(own)]
     return spark.createDataFrame(found, "table string, key string, n_columns int, rank int")
 
 
+def _keys(spark, sf_dir):
+    return _key_frame(spark, P.profile_tables([_table(spark, sf_dir, name) for name in COLUMNS])[2])
+
+
 def _single_sql() -> str:
     parts = []
     for name, columns in COLUMNS.items():
@@ -310,12 +311,9 @@ SELECT t AS "table", key, n_columns, row_number() OVER (PARTITION BY t ORDER BY
 
 
 def profile_relations(spark, sf_dir):
-    counts = None
-    for name in COLUMNS:
-        part = P.value_counts(_table(spark, sf_dir, name))
-        counts = part if counts is None else counts.unionByName(part)
-    keys = _keys(spark, sf_dir).filter("n_columns = 1").select("table", F.col("key").alias("column"))
-    found = P.relations(counts, keys)
+    parts, _, keys = P.profile_tables([_table(spark, sf_dir, name) for name in COLUMNS])
+    singles = _key_frame(spark, keys).filter("n_columns = 1").select("table", F.col("key").alias("column"))
+    found = P.relations(reduce(DataFrame.unionByName, parts), singles)
     return found.withColumns({c: F.col(c).cast("double") for c in ("inclusion_rate", "inclusion_rate_distinct")})
 
 

@@ -43,6 +43,7 @@ def interpret(
     profile: Profile | None = None, ignored_tables=H.IGNORED_TABLES,
 ) -> Interpretation:
     """Links and deviations of the inputs, then hypotheses for every cell that no input explains."""
+    changes = changes.persist()
     cells = C.extract_cells(changes).persist()
     found = L.matches(inputs, cells).persist()
     warnings = L.invalid_inputs(L.prepared(inputs))

@@ -8,9 +8,11 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.canonical import NESTED
 
@@ -40,6 +42,15 @@ class Table:
     def declared_type(self, column: str) -> str:
         return self.declared.get(column) or self.kind(column).simpleString().upper()
 
+    @cached_property
+    def non_ascii(self) -> frozenset[str]:
+        """Text columns with anything but ASCII. One aggregate without a shuffle of rows; other text columns skip the NFC function."""
+        texts = [c for c in self.columns if isinstance(self.kind(c), T.StringType)]
+        if not texts:
+            return frozenset()
+        found = self.df.agg(*[F.max(F.col(f"`{c}`").rlike(r"[^\x00-\x7F]")).alias(f"c{i}") for i, c in enumerate(texts)]).first()
+        return frozenset(c for i, c in enumerate(texts) if found[i])
+
     def signature(self) -> tuple:
         return tuple((c, self.declared_type(c)) for c in self.columns), self.primary_key
 
