@@ -201,7 +201,7 @@ def sketches(text: str | None, shingle: int) -> tuple[bytes, list[int]]:
 
 
 def near_duplicate_groups(docs: DataFrame, *, doc_id="doc_id", text="text", shingle=5, similarity=0.8) -> DataFrame:
-    """doc_id, text_hash, group_id (the smallest doc_id of the group) for every document.
+    """doc_id, text_hash, root (which names the group), group_id (the smallest doc_id of the group) for every document.
 
     Two documents are linked if their 512-bit SimHashes over the sets of their
     shingles are no further apart than expected at `similarity`. One standard
@@ -223,13 +223,14 @@ def near_duplicate_groups(docs: DataFrame, *, doc_id="doc_id", text="text", shin
     entries = distinct.select("id", F.posexplode("keys").alias("t", "key"))
     roots = components(compare_within(entries, radius_for(similarity), distinct))
     placed = distinct.join(roots, distinct.id == roots.node, "left").select("id", "first_id", F.coalesce("root", "id").alias("root"))
-    named = placed.join(placed.groupBy("root").agg(F.min("first_id").alias("group_id")), "root").select("id", "group_id")
-    return made.join(named, "id").select("doc_id", "text_hash", "group_id")
+    named = placed.join(placed.groupBy("root").agg(F.min("first_id").alias("group_id")), "root").select("id", "root", "group_id")
+    return made.join(named, "id").select("doc_id", "text_hash", "root", "group_id")
 
 
 def one_of_each_group(docs: DataFrame, *, doc_id="doc_id", text="text", **options) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group, with all its columns; of equal rows one."""
-    kept = near_duplicate_groups(docs, doc_id=doc_id, text=text, **options).filter(F.col("doc_id").eqNullSafe(F.col("group_id"))).select("doc_id", "text_hash").distinct()
+    """The document with the smallest id of each near-duplicate group, with all its columns; of equal rows one, of different texts under that id (or without any id) the one with the smallest hash."""
+    named = near_duplicate_groups(docs, doc_id=doc_id, text=text, **options).filter(F.col("doc_id").eqNullSafe(F.col("group_id")))
+    kept = named.groupBy("root").agg(F.first("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash")).select("doc_id", "text_hash")
     keyed = docs.withColumn("__text_hash", F.xxhash64(text))
     same = keyed[doc_id].eqNullSafe(kept.doc_id) & (keyed["__text_hash"] == kept.text_hash)
     once = Window.partitionBy(doc_id, "__text_hash").orderBy(F.lit(0))

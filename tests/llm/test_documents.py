@@ -275,3 +275,11 @@ def test_similar_documents_are_caught_and_others_left(spark):
     groups = {r.doc_id: r.group_id for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     caught = sum(groups[2 * k + 1] == 2 * k for k in range(60))
     assert caught >= 58 and all(groups[2 * k] == 2 * k for k in range(60))
+
+
+def test_ids_that_repeat_or_are_missing_keep_one_row_of_each_group(spark):
+    words = [[f"{c}{i}" for i in range(120)] for c in "abc"]
+    one, two, three = (" ".join(w) for w in words)
+    rows = [(1, one), (1, one + " tail"), (2, one), (1, two), (1, two), (None, three), (None, three + " tail")]
+    kept = [tuple(r) for r in simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert Counter((i, t[0]) for i, t in kept) == {(1, "a"): 1, (1, "b"): 1, (None, "c"): 1}
