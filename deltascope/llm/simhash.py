@@ -118,8 +118,15 @@ def _ended(batches):
     yield None
 
 
-def compare_within(entries: DataFrame, radius: int, prints: DataFrame | None = None) -> DataFrame:
-    """entries(t, key, id), prints(id, bits): links (u, v) between ids of equal (t, key) whose bits differ in at most `radius` places. Without prints the ids are the bits."""
+def _forest(prints, i, j):
+    return forest(i, j)
+
+
+def compare_within(entries: DataFrame, radius: int, prints: DataFrame | None = None, choose=_forest) -> DataFrame:
+    """entries(t, key, id), prints(id, bits): links (u, v) between ids of equal (t, key) whose bits differ in at most `radius` places. Without prints the ids are the bits.
+
+    ``choose`` reduces the pairs (i, j) of rows found at once. Bits beyond SKETCH_BITS are not compared, they are for ``choose`` only.
+    """
     shared = entries.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
     met = entries.join(shared, ["t", "key"])
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -132,9 +139,9 @@ def compare_within(entries: DataFrame, radius: int, prints: DataFrame | None = N
 
     def run(batches):
         for ids, prints, starts, sizes in _runs(batches, 4):
-            for i, j in near_pairs(prints, starts, sizes, radius):
+            for i, j in near_pairs(np.ascontiguousarray(prints[:, : SKETCH_BITS // 8]), starts, sizes, radius):
                 if len(i):
-                    u, v = forest(i, j)
+                    u, v = choose(prints, i, j)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], ["u", "v"])
 
     return met.mapInArrow(run, "u long, v long").distinct()
@@ -168,13 +175,16 @@ def op7_simhash_components(spark, sf_dir):
 
 # Similar documents: five words, similarity 0.8
 
-#: Bits of the sketches; both are SimHashes of sets.
+#: Bits of the sketch, a SimHash of the set of shingles.
 SKETCH_BITS = 512
-#: Tables of KEY_BITS sampled bits of the word sketch. At similarity 0.8 about one word in 45 differs, so a
-#: bit differs with probability 0.07 and a pair meets in some table with probability over 0.98.
-TABLES, KEY_BITS = 20, 24
+#: Tables under which documents meet, each keyed by KEY_SHINGLES min-hashes of the set of shingles. A pair of similarity s
+#: meets with probability 1 - (1 - s^5)^16 whatever the kind of edit: 0.998 at 0.8.
+TABLES, KEY_SHINGLES = 16, 5
+#: Distances above the expected one at which a pair is still verified: over five standard deviations (8 to 9 bits), and three
+#: for sets of four shingles and five, which lie further apart than expected.
+SLACK_BITS = 48
 _MIX = np.array([2 * k * 0x9E3779B97F4A7C15 % (1 << 64) | 1 for k in range(1, SKETCH_BITS // 64 + 1)], "<u8")
-_SAMPLED = np.random.default_rng(7).permuted(np.tile(np.arange(SKETCH_BITS), (TABLES, 1)), axis=1)[:, :KEY_BITS]
+_ORDERS = np.random.default_rng(7).integers(0, 1 << 63, (TABLES * KEY_SHINGLES, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def radius_for(similarity: float, bits: int = SKETCH_BITS) -> int:
@@ -191,47 +201,138 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return majority(np.ascontiguousarray(h).view(np.uint8).reshape(len(h), SKETCH_BITS // 8))
 
 
-def sketches(text: str | None, shingle: int) -> tuple[bytes, list[int]]:
-    """The shingle sketch and the keys sampled from the word sketch."""
-    found = words(text)
-    distinct = np.array([xxhash.xxh64_intdigest(w, 42) for w in set(found)], "<u8")
-    bits = np.unpackbits(sketch(distinct), bitorder="little")[_SAMPLED]
-    keys = np.packbits(bits, axis=1, bitorder="little")
-    return sketch(shingle_hashes(found, shingle)).tobytes(), [int.from_bytes(k.tobytes(), "little") for k in keys]
+def meeting_keys(distinct: np.ndarray) -> list[int]:
+    """One signed 64-bit key a table; none for an empty set."""
+    if not len(distinct):
+        return []
+    least = np.full(len(_ORDERS), np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(distinct), 4096):
+        h = distinct[None, a : a + 4096] * _ORDERS
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+        np.minimum(least, h.min(1), out=least)
+    return [xxhash.xxh64_intdigest(row.tobytes(), 42) - (1 << 63) for row in least.reshape(TABLES, KEY_SHINGLES)]
+
+
+def sketches(text: str | None, shingle: int) -> tuple[int, bytes, list[int]]:
+    """The hash of the set of shingles, which names it, its sketch and the keys it meets others under."""
+    distinct = np.unique(shingle_hashes(words(text), shingle))
+    return xxhash.xxh64_intdigest(distinct.tobytes(), 42) - (1 << 63), sketch(distinct).tobytes(), meeting_keys(distinct)
+
+
+def spanning(prints: np.ndarray, i: np.ndarray, j: np.ndarray):
+    """Of the pairs (i, j), a spanning forest of least distances: in rounds, each tree takes its nearest pair to another."""
+    far = np.bitwise_count(prints[i].view("<u8") ^ prints[j].view("<u8")).sum(1, dtype=np.int64)
+    order = np.argsort(far, kind="stable")
+    i, j = i[order], j[order]
+    nodes, back = np.unique(np.concatenate([i, j]), return_inverse=True)
+    a, b = back[: len(i)], back[len(i) :]
+    label, taken, left = np.arange(len(nodes)), np.zeros(len(i), bool), np.arange(len(i))
+    while True:
+        left = left[label[a[left]] != label[b[left]]]
+        if not len(left):
+            return i[taken], j[taken]
+        first = np.full(len(nodes), len(i))
+        np.minimum.at(first, label[a[left]], left)
+        np.minimum.at(first, label[b[left]], left)
+        new = np.unique(first[first < len(i)])
+        taken[new] = True
+        # the trees joined by the new pairs take the least label among them
+        x, y, merged = label[a[new]], label[b[new]], np.arange(len(nodes))
+        while True:
+            low, before = np.minimum(merged[x], merged[y]), merged.copy()
+            np.minimum.at(merged, x, low)
+            np.minimum.at(merged, y, low)
+            merged = merged[merged]
+            if (merged == before).all():
+                break
+        label = merged[label]
+
+
+def _across(prints: np.ndarray, i: np.ndarray, j: np.ndarray):
+    """The pairs whose last eight bytes differ."""
+    kept = (prints[i, -8:] != prints[j, -8:]).any(1)
+    return i[kept], j[kept]
+
+
+def verified(links: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The links (u, v) whose sets of shingles have a Jaccard similarity of `similarity` or more; texts(id, text)."""
+
+    def run(batches):
+        held, own = None, None
+        for batch in batches:
+            kept = []
+            for u, a, b in zip(*(c.to_pylist() for c in (batch.column(0), batch.column(2), batch.column(3))), strict=True):
+                if u != held:
+                    held, own = u, np.unique(shingle_hashes(words(a), shingle))
+                other = np.unique(shingle_hashes(words(b), shingle))
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                kept.append(both >= similarity * (len(own) + len(other) - both))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(pa.array(kept, pa.bool_()))
+
+    pairs = links.join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v").join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u")
+    return pairs.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
 def near_duplicate_groups(docs: DataFrame, *, doc_id="doc_id", text="text", shingle=5, similarity=0.8) -> DataFrame:
     """doc_id, text_hash, root (which names the group), group_id (the smallest doc_id of the group) for every document.
 
-    Two documents are linked if their 512-bit SimHashes over the sets of their
-    shingles are no further apart than expected at `similarity`. One standard
-    deviation of that estimate is 0.03 in the similarity. Candidates meet under
-    24 bits sampled 20 times from a SimHash over their words, which changes
-    less than that over shingles when a word does.
+    Two documents are linked if the Jaccard similarity of their sets of shingles
+    (of 64-bit hashes of them) is at least `similarity`. Candidates meet under
+    min-hashes and are near by a 512-bit SimHash; every link is then verified on
+    the whole sets. First a spanning forest of the near pairs is verified, of
+    least distances; then every pair that may still join two of the groups
+    found, so that a refuted link hides no other.
     """
 
     def run(batches):
         for batch in batches:
             made = [sketches(t, shingle) for t in _texts(batch)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.list_(pa.int32()))], ["doc_id", "text_hash", "bits", "keys"])
+            columns = [pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["doc_id", "text_hash", "id", "bits", "keys"])
 
     ids = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    schema = T.StructType([*ids.schema.fields[:2], T.StructField("bits", T.BinaryType()), T.StructField("keys", T.ArrayType(T.IntegerType()))])
-    made = written(ids.mapInArrow(run, schema).withColumn("id", F.xxhash64("bits")), "sketches")
-    distinct = made.groupBy("id").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
+    schema = T.StructType([*ids.schema.fields[:2], T.StructField("id", T.LongType()), T.StructField("bits", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    made = written(ids.mapInArrow(run, schema), "sketches")
+    distinct = made.groupBy("id").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_hash")).alias("example"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
     distinct = written(distinct, "sketches-distinct")
     entries = distinct.select("id", F.posexplode("keys").alias("t", "key"))
-    roots = components(compare_within(entries, radius_for(similarity), distinct))
+    entries = written(entries.join(entries.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), ["t", "key"]), "sketches-met")
+    example = distinct.join(entries.select("id").distinct(), "id", "left_semi").select("id", "example.*")
+    found = ids.select("text", *_identity("doc_id", "text_hash")).join(example.select("id", *_identity("doc_id", "text_hash")), _IDENTITY)
+    texts = written(found.dropDuplicates(["id"]).select("id", "text"), "sketches-texts")
+
+    radius = radius_for(similarity)
+    links = written(verified(compare_within(entries, radius, distinct, spanning), texts, shingle, similarity), "sketches-links")
+    roots = components(links)
+    rooted = distinct.join(roots, distinct.id == roots.node, "left").select("id", "bits", F.coalesce("root", "id").alias("root"))
+    rooted = written(rooted, "sketches-rooted")
+    split = entries.join(rooted.select("id", "root"), "id")
+    split = split.groupBy("t", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("t", "key")
+    prints = rooted.select("id", F.concat("bits", F.unhex(F.lpad(F.hex("root"), 16, "0"))).alias("bits"))
+    more = compare_within(entries.join(split, ["t", "key"]), radius + SLACK_BITS, prints, _across)
+    roots = components(links.unionByName(verified(more, texts, shingle, similarity)))
     placed = distinct.join(roots, distinct.id == roots.node, "left").select("id", "first_id", F.coalesce("root", "id").alias("root"))
     named = placed.join(placed.groupBy("root").agg(F.min("first_id").alias("group_id")), "root").select("id", "root", "group_id")
     return made.join(named, "id").select("doc_id", "text_hash", "root", "group_id")
 
 
+#: Columns that name a row by id and text, never null: joins and windows over them need one shuffle between them.
+_IDENTITY = ["__id", "__no_id", "__text_hash"]
+
+
+def _identity(doc_id, text_hash):
+    named = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    hashed = F.col(text_hash) if isinstance(text_hash, str) else text_hash
+    return F.coalesce(named.cast("string"), F.lit("")).alias("__id"), named.isNull().alias("__no_id"), hashed.alias("__text_hash")
+
+
 def one_of_each_group(docs: DataFrame, *, doc_id="doc_id", text="text", **options) -> DataFrame:
     """The document with the smallest id of each near-duplicate group, with all its columns; of equal rows one, of different texts under that id (or without any id) the one with the smallest hash."""
     named = near_duplicate_groups(docs, doc_id=doc_id, text=text, **options).filter(F.col("doc_id").eqNullSafe(F.col("group_id")))
     kept = named.groupBy("root").agg(F.first("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash")).select("doc_id", "text_hash")
-    keyed = docs.withColumn("__text_hash", F.xxhash64(text))
-    same = keyed[doc_id].eqNullSafe(kept.doc_id) & (keyed["__text_hash"] == kept.text_hash)
-    once = Window.partitionBy(doc_id, "__text_hash").orderBy(F.lit(0))
-    return keyed.join(kept, same, "left_semi").withColumn("__copy", F.row_number().over(once)).filter("__copy = 1").select(*docs.columns)
+    kept = kept.select(*_identity("doc_id", "text_hash"))
+    keyed = docs.select("*", *_identity(doc_id, F.xxhash64(text)))
+    once = Window.partitionBy(*_IDENTITY).orderBy(F.lit(0))
+    return keyed.join(kept, _IDENTITY, "left_semi").withColumn("__copy", F.row_number().over(once)).filter("__copy = 1").select(*docs.columns)

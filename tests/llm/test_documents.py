@@ -4,6 +4,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -277,6 +278,47 @@ def test_similar_documents_are_caught_and_others_left(spark):
     assert caught >= 58 and all(groups[2 * k] == 2 * k for k in range(60))
 
 
+def test_links_are_exact_whatever_the_edit(spark):
+    """Pairs at or just above a similarity of 0.8 are joined and pairs just below are not, by kind of edit."""
+    rng = random.Random(2)
+    fresh = lambda n: [f"w{rng.getrandbits(60):x}" for _ in range(n)]
+    rows, joined, kinds = [], set(), defaultdict(list)
+
+    def pair(kind, a, b):
+        k = 2 * len(rows)
+        rows.extend([(k, " ".join(a)), (k + 1, " ".join(b))])
+        sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a, b)]
+        if len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]):
+            joined.add(k)
+        kinds[kind].append(k)
+
+    for n in [8, 12, 20, 44, 104, 404] * 8:
+        tail = (n - 4) // 4
+        for kind, text in ((kind, fresh(n)) for kind in ("appended", "truncated", "too much appended", "inserted")):
+            other = fresh(tail) + text if kind == "inserted" else text + fresh(tail + (1 + n // 40) * (kind == "too much appended"))
+            pair(kind, *((other, text) if kind == "truncated" else (text, other)))
+        if n > 44:
+            text = fresh(n)
+            edited = list(text)
+            for w in range(10, 10 + 25 * (n // 250 + 1) // 2, 12):
+                edited[w] = "changed"
+            pair("edited", text, edited)
+    groups = {r.doc_id: r.group_id for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    for kind, found in kinds.items():
+        want = [k for k in found if k in joined]
+        assert sum(groups[k + 1] == k for k in want) >= 0.96 * len(want), kind
+        assert all(groups[k + 1] == k + 1 for k in found if k not in joined), kind
+    assert not joined & set(kinds["too much appended"]) and all(joined & set(kinds[k]) for k in ("appended", "truncated", "inserted", "edited"))
+
+
+def test_spanning_forest_is_of_given_pairs():
+    rng = np.random.default_rng(5)
+    prints = rng.integers(0, 256, (60, 64), dtype=np.uint8)
+    i, j = np.nonzero(np.triu(rng.random((60, 60)) < 0.05, 1))
+    u, v = simhash.spanning(prints, i, j)
+    assert set(zip(u, v, strict=True)) <= set(zip(i, j, strict=True)) and len(u) == len(bitslice.forest(i, j)[0]) == len(bitslice.forest(u, v)[0])
+
+
 def test_ids_that_repeat_or_are_missing_keep_one_row_of_each_group(spark):
     words = [[f"{c}{i}" for i in range(120)] for c in "abc"]
     one, two, three = (" ".join(w) for w in words)
