@@ -4,21 +4,24 @@ Documents with equal texts form a group and stay together. Groups are ordered by
 the hash of their text; runs of groups that agree in the first ATOM_BITS bits of
 the hash are the atoms that are laid out, so that their number has a fixed bound
 whatever the input. The smallest feasible shard capacity is found by binary
-search, each guess checked by filling shards greedily in order, and the atoms are
-cut there. Search and cuts are SQL expressions over one row of at most 2**ATOM_BITS sums.
+search, each guess checked by filling shards greedily in order. It bounds every
+shard; within it the cuts are placed by fair shares of what is left, so that a
+large group leaves the other shards even. Search and cuts run on the driver over
+at most 2**ATOM_BITS sums.
 
 Slots number the rows of a shard without gaps. They are prefix sums over shard,
 atom and salt, so a group of copies that holds a third of all rows is still
 numbered by many tasks.
 
 Defined results: null text has no bytes (size 8, crc 0) and forms a group of its
-own; a group larger than a fair share makes its shard as large as it is; shards
-may stay empty when there are fewer atoms than shards; equal rows are
-interchangeable; an empty table gives an empty result.
+own; a group larger than a fair share makes its shard as large as it is and the
+other shards share the rest; shards stay empty only when there are fewer atoms
+than shards; equal rows are interchangeable; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,27 +30,60 @@ from .common import table, written
 ATOM_BITS = 16
 SALTS = 256
 
+
+
+def ends(sizes: np.ndarray, shards: int) -> list[int]:
+    """The end of every shard used, as positions in sizes (positive): the largest shard is as small as it can be, all shards are used where there are atoms enough, and sizes are near equal."""
+    n, upto = len(sizes), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    reach = lambda a, capacity: int(np.searchsorted(upto, upto[a] + capacity, side="right")) - 1
+
+    def fits(capacity):
+        a = 0
+        for _ in range(shards):
+            a = reach(a, capacity)
+        return a == n
+
+    low, high = max(int(sizes.max()), -(-int(upto[n]) // shards)), int(upto[n])
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if fits(middle) else (middle + 1, high)
+    # atoms above the fair share of the others are hot: their shards are no measure for the rest
+    rest, hot = int(upto[n]), []
+    for i in np.argsort(-sizes, kind="stable")[: shards - 1].tolist():
+        if sizes[i] * (shards - len(hot)) <= rest:
+            break
+        hot.append(i)
+        rest -= int(sizes[i])
+    hot.sort()
+    # from since[m] on, the atoms fit in m shards
+    since = [n]
+    for _ in range(shards):
+        since.append(int(np.searchsorted(upto, upto[since[-1]] - low, side="left")))
+    found, a = [], 0
+    while a < n:
+        left = shards - len(found) - 1
+        earliest, latest = max(since[left], a + 1), min(reach(a, low), max(n - left, a + 1))
+        hot = [i for i in hot if i >= a]
+        if hot[:1] == [a]:
+            wanted = a + 1
+        else:
+            until = hot[0] if hot else n
+            # the run up to the next hot atom is cut in equal parts, as many as its share of the shards
+            others = int(upto[n] - upto[a] - sizes[hot].sum())
+            run = int(upto[until] - upto[a])
+            parts = max(1, round(run * max(left + 1 - len(hot), 0) / others))
+            target = upto[a] + run / parts
+            wanted = int(np.searchsorted(upto, target))
+            wanted -= wanted > a + 1 and target - upto[wanted - 1] < upto[wanted] - target
+        a = min(max(wanted, earliest), latest)
+        found.append(a)
+    return found
+
+
 def cut_points(atoms: DataFrame, shards: int) -> list[int]:
-    """atoms(atom, bytes), at most 2**ATOM_BITS rows -> the first atom of every shard but the first.
-
-    Only the bounds, the capacity found and the cuts come to the driver. The capacity
-    is a literal in the last step: inlined into its lambda it would be sought anew for
-    each atom.
-    """
-    most, total = atoms.agg(F.coalesce(F.max("bytes"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-    low = max(most, -(-total // shards))
-    line = atoms.agg(F.sort_array(F.collect_list(F.struct("atom", "bytes"))).alias("line"))
-    needed = """aggregate(line, named_struct('k', 1, 'load', 0L),
-        (a, x) -> if(a.load + x.bytes <= s.mid, named_struct('k', a.k, 'load', a.load + x.bytes), named_struct('k', a.k + 1, 'load', x.bytes)), a -> a.k)"""
-    search = f"""aggregate(sequence(1, 63), named_struct('lo', {low}L, 'mid', {low + most // 2}L, 'hi', {low + most}L),
-        (s, i) -> if(s.lo >= s.hi, s, if({needed} <= {shards},
-            named_struct('lo', s.lo, 'mid', (s.lo + s.mid) div 2, 'hi', s.mid),
-            named_struct('lo', s.mid + 1, 'mid', (s.mid + 1 + s.hi) div 2, 'hi', s.hi))), s -> s.lo)"""
-    capacity = line.selectExpr(f"{search} AS capacity").first().capacity
-    cuts = f"""aggregate(line, named_struct('load', 0L, 'cuts', cast(array() AS array<bigint>)),
-        (a, x) -> if(a.load + x.bytes <= {capacity}L, named_struct('load', a.load + x.bytes, 'cuts', a.cuts),
-            named_struct('load', x.bytes, 'cuts', concat(a.cuts, array(x.atom)))), a -> a.cuts)"""
-    return list(line.selectExpr(f"{cuts} AS cuts").first().cuts)
+    """atoms(atom, bytes), at most 2**ATOM_BITS rows -> the first atom of every shard but the first."""
+    line = atoms.agg(F.sort_array(F.collect_list(F.struct("atom", "bytes"))).alias("line")).select("line.atom", "line.bytes").first()
+    return [line.atom[e] for e in ends(np.array(line.bytes, np.int64), shards)[:-1]] if line.atom else []
 
 
 def shard(docs: DataFrame, shards: int = 24, *, doc_id="doc_id", text="text") -> DataFrame:

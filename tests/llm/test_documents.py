@@ -106,6 +106,26 @@ def test_cuts_reach_the_least_capacity(spark):
         assert len(loads) <= shards and max(loads) == brute_capacity(sizes, shards)
 
 
+def test_a_hot_group_leaves_the_other_shards_even():
+    """All shards are used and even beside atoms larger than a fair share, within the least capacity."""
+    rng = np.random.default_rng(4)
+    for part in (0, 1 / 3, 0.08, 0.05):
+        for at in (0, 5_000, 12_345, 19_999):
+            sizes = rng.integers(90, 110, 20_000)
+            sizes[at] = max(sizes[at], int(sizes.sum() * part / (1 - part)))
+            ends = sharding.ends(sizes, 24)
+            loads = np.diff([0, *np.cumsum(sizes)[np.array(ends) - 1]])
+            fair = (sizes.sum() - sizes[at]) / 23
+            assert len(loads) == 24 and loads.max() <= max(sizes[at] + fair * 0.01, fair * 1.1)
+            assert np.sort(loads)[:-1].min() > 0.5 * fair and sorted(loads)[2] > 0.9 * fair
+    for _ in range(300):
+        sizes, shards = rng.integers(1, 400, int(rng.integers(1, 40))), int(rng.integers(1, 9))
+        sizes[rng.integers(0, len(sizes), 2)] *= rng.integers(1, 20)
+        ends = sharding.ends(sizes, shards)
+        loads = [int(sizes[a:b].sum()) for a, b in zip([0, *ends], ends)]
+        assert ends[-1] == len(sizes) and len(loads) == min(shards, len(sizes)) and max(loads) == brute_capacity(sizes.tolist(), shards)
+
+
 def test_shards_of_nothing(no_docs):
     assert sharding.shard(no_docs).collect() == []
 
