@@ -582,14 +582,22 @@ def calibration(spark, sf_dir):
 CALIBRATION = f'SELECT "table", summary FROM ({DIFF_SUMMARY}) WHERE "table" = \'orders\''
 
 
-def latest_status(spark, sf_dir):
-    """The latest event type of each user, for users 0 to 199 whether they have events or not."""
+def latest_status(spark, sf_dir, sheets="SELECT id FROM range(200)"):
+    """The latest event type of each user, for users 0 to 199 (or those of `sheets`) whether they have events or not."""
     runs = load(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("id"), F.struct("ts", "event_id").alias("start"), F.col("event_type").alias("status"))
-    return pipeline.latest_status(runs, spark.range(200).select(F.col("id").cast("string").alias("id")))
+    return pipeline.latest_status(runs, sql(spark, sf_dir, sheets).select(F.col("id").cast("string").alias("id")))
 
 
 LATEST_STATUS = "SELECT s.i::VARCHAR AS id, coalesce(l.status, 'a_faire') AS status FROM range(200) s(i) LEFT JOIN (SELECT user_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY user_id) l ON l.user_id = s.i"
 
+#: All users of the events, and 50 ids without any.
+ALL_SHEETS = "SELECT DISTINCT user_id AS id FROM events WHERE user_id IS NOT NULL UNION ALL SELECT m.top + s.id AS id FROM (SELECT max(user_id) AS top FROM events) m CROSS JOIN (SELECT id FROM {}) s"
+LATEST_STATUS_ALL = f"SELECT s.id::VARCHAR AS id, coalesce(l.status, 'a_faire') AS status FROM ({ALL_SHEETS.format('range(1, 51) r(id)')}) s LEFT JOIN (SELECT user_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY user_id) l ON l.user_id = s.id"
+
+
+def latest_status_all(spark, sf_dir):
+    return latest_status(spark, sf_dir, ALL_SHEETS.format("range(1, 51)"))
+
 
 def anonymize(spark, sf_dir):
     updates = sql(spark, sf_dir, "SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,4)) AS before, CAST(CAST(o_totalprice AS DECIMAL(18,4)) + o_orderkey AS DECIMAL(18,4)) AS after FROM orders")
@@ -646,7 +654,7 @@ def queries():
         "deviation_osa1": deviations, "invalid_inputs": invalid_inputs,
         "hyp_counter_int": hyp_counter_int, "hyp_counter_text": hyp_counter_text, "hyp_counter_update": hyp_counter_update, "hyp_timestamp": hyp_timestamp, "hyp_sum_lines": hyp_sum_lines, "hyp_copy": hyp_copy,
         "hyp_constant": hyp_constant, "hyp_running_total": hyp_running_total, "hyp_hierarchical_total": hyp_hierarchical_total, "computed_fields_all": computed_fields_all,
-        "calibration_noise_tables": calibration, "scenario_latest_status": latest_status, "anonymize_keep_deltas": anonymize, "retype_json_values": retype_values, "scenario_computed_fields": scenario_computed,
+        "calibration_noise_tables": calibration, "scenario_latest_status": latest_status, "scenario_latest_status_all": latest_status_all, "anonymize_keep_deltas": anonymize, "retype_json_values": retype_values, "scenario_computed_fields": scenario_computed,
     }
     return found | {f"profile_columns_{t}": _profile_columns(t) for t in COLUMNS}
 
@@ -666,6 +674,6 @@ def oracle_sql():
         "invalid_inputs": f"{_READY} SELECT input_id, value, type FROM ready WHERE NOT valid",
         "hyp_counter_int": COUNTER_INT, "hyp_counter_text": COUNTER_TEXT, "hyp_counter_update": COUNTER_UPDATE, "hyp_timestamp": TIMESTAMP, "hyp_sum_lines": SUM_LINES, "hyp_copy": COPY, "hyp_constant": CONSTANT,
         "hyp_running_total": RUNNING_TOTAL, "hyp_hierarchical_total": HIERARCHICAL, "computed_fields_all": COMPUTED,
-        "calibration_noise_tables": CALIBRATION, "scenario_latest_status": LATEST_STATUS, "anonymize_keep_deltas": ANONYMIZE, "retype_json_values": RETYPE,
+        "calibration_noise_tables": CALIBRATION, "scenario_latest_status": LATEST_STATUS, "scenario_latest_status_all": LATEST_STATUS_ALL, "anonymize_keep_deltas": ANONYMIZE, "retype_json_values": RETYPE,
     }
     return found | {f"profile_columns_{t}": _profile_sql(t) for t in COLUMNS}

@@ -32,6 +32,13 @@ def test_query_runs(spark, name):
     assert catalog.queries()[name](spark, SF).count() > 0
 
 
+def test_latest_status_of_all_users(spark, tmp_path):
+    """Every user of the events, however many, and some without events."""
+    spark.sql("SELECT id AS event_id, id AS user_id, timestamp'2024-01-01' AS ts, 'click' AS event_type FROM range(1500)").write.parquet(f"file://{tmp_path}/events.parquet")
+    found = {r.id: r.status for r in catalog.queries()["scenario_latest_status_all"](spark, f"file://{tmp_path}").collect()}
+    assert found == {str(i): "click" if i < 1500 else "a_faire" for i in range(1550)}
+
+
 def test_entry_imports_without_a_session():
     import subprocess
     import sys
