@@ -478,11 +478,14 @@ TIMESTAMP = f"SELECT event_id, substr({canon('ts', 'd')}, 3) || ' dans [2024-01-
 
 CHILDREN = "SELECT l_orderkey + 1 + (SELECT max(o_orderkey) FROM orders) AS l_orderkey, l_partkey, CAST(l_extendedprice AS DECIMAL(18,2)) AS l_extendedprice FROM lineitem WHERE l_orderkey < 3"
 PARENTS = f"SELECT l_orderkey AS o_orderkey, CAST(sum(l_extendedprice) AS DECIMAL(18,2)) AS o_totalprice FROM ({CHILDREN}) c GROUP BY l_orderkey"
+#: The same over all lines.
+ALL_CHILDREN = CHILDREN.removesuffix(" WHERE l_orderkey < 3")
+ALL_PARENTS = PARENTS.replace(CHILDREN, ALL_CHILDREN)
 
 
-def hyp_sum_lines(spark, sf_dir):
+def hyp_sum_lines(spark, sf_dir, child_rows=CHILDREN, parent_rows=PARENTS):
     part = lambda name, text, key: S.snapshot_of(Table(name, sql(spark, sf_dir, text), key))
-    parents, children = part("orders", PARENTS, ("o_orderkey",)), part("lineitem", CHILDREN, ())
+    parents, children = part("orders", parent_rows, ("o_orderkey",)), part("lineitem", child_rows, ())
     changes = D.keyed_diff("orders", parents.rows.limit(0), parents.rows, parents.columns, ["o_orderkey"], D.PRIMARY).unionByName(D.bag_diff("lineitem", children.rows.limit(0), children.rows, children.columns))
     cells = C.extract_cells(changes)
     rel = spark.createDataFrame([("lineitem", "l_orderkey", "orders", "o_orderkey", "normale")], "src_table string, src_column string, dst_table string, dst_column string, confidence string")
@@ -491,12 +494,20 @@ def hyp_sum_lines(spark, sf_dir):
 
 
 SUM_LINES = f"WITH c AS ({CHILDREN}) SELECT 'I:' || l_orderkey::VARCHAR AS o_orderkey, 'M:' || CAST(sum(l_extendedprice) AS DECIMAL(18,2))::VARCHAR AS value, 'somme de lineitem.l_extendedprice (' || count(*)::VARCHAR || ' lignes liées)' AS detail FROM c GROUP BY l_orderkey"
+SUM_LINES_ALL = SUM_LINES.replace(CHILDREN, ALL_CHILDREN)
+
+
+def hyp_sum_lines_all(spark, sf_dir):
+    return hyp_sum_lines(spark, sf_dir, ALL_CHILDREN, ALL_PARENTS)
+
 
 EXTENDED = "SELECT o_orderkey + 1 + (SELECT max(o_orderkey) FROM orders) AS o_orderkey, o_custkey, c_mktsegment AS segment FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey < 300"
+#: The same over all orders.
+ALL_EXTENDED = EXTENDED.removesuffix(" WHERE o_orderkey < 300")
 
 
-def hyp_copy(spark, sf_dir):
-    new = S.snapshot_of(Table("orders_ext", sql(spark, sf_dir, EXTENDED), ("o_orderkey",)))
+def hyp_copy(spark, sf_dir, rows=EXTENDED):
+    new = S.snapshot_of(Table("orders_ext", sql(spark, sf_dir, rows), ("o_orderkey",)))
     changes = D.keyed_diff("orders_ext", new.rows.limit(0), new.rows, new.columns, ["o_orderkey"], D.PRIMARY)
     cells = C.extract_cells(changes)
     rel = spark.createDataFrame([("orders_ext", "o_custkey", "customer", "c_custkey", "normale")], "src_table string, src_column string, dst_table string, dst_column string, confidence string")
@@ -507,6 +518,12 @@ def hyp_copy(spark, sf_dir):
 
 COPY = f"WITH e AS ({EXTENDED}) SELECT 'I:' || o_orderkey::VARCHAR AS o_orderkey, 'segment' AS \"column\", 'T:' || segment AS value, 'copie de customer.c_mktsegment (ligne c_custkey = ' || o_custkey::VARCHAR || ')' AS detail FROM e"
 
+COPY_ALL = COPY.replace(EXTENDED, ALL_EXTENDED)
+
+
+def hyp_copy_all(spark, sf_dir):
+    return hyp_copy(spark, sf_dir, ALL_EXTENDED)
+
 
 def hyp_constant(spark, sf_dir):
     """Columns with one value, were one row more written with it."""
@@ -652,7 +669,7 @@ def queries():
         "profile_relations": profile_relations, "profile_all_tables": all_table_profile,
         "links_all": _links(None), "links_amount": _links("montant"), "links_date": _links("date"), "links_code": _links("code"), "links_text": _links("texte"), "links_exact_precedence": links_precedence,
         "deviation_osa1": deviations, "invalid_inputs": invalid_inputs,
-        "hyp_counter_int": hyp_counter_int, "hyp_counter_text": hyp_counter_text, "hyp_counter_update": hyp_counter_update, "hyp_timestamp": hyp_timestamp, "hyp_sum_lines": hyp_sum_lines, "hyp_copy": hyp_copy,
+        "hyp_counter_int": hyp_counter_int, "hyp_counter_text": hyp_counter_text, "hyp_counter_update": hyp_counter_update, "hyp_timestamp": hyp_timestamp, "hyp_sum_lines": hyp_sum_lines, "hyp_copy": hyp_copy, "hyp_sum_lines_all": hyp_sum_lines_all, "hyp_copy_all": hyp_copy_all,
         "hyp_constant": hyp_constant, "hyp_running_total": hyp_running_total, "hyp_hierarchical_total": hyp_hierarchical_total, "computed_fields_all": computed_fields_all,
         "calibration_noise_tables": calibration, "scenario_latest_status": latest_status, "scenario_latest_status_all": latest_status_all, "anonymize_keep_deltas": anonymize, "retype_json_values": retype_values, "scenario_computed_fields": scenario_computed,
     }
@@ -672,7 +689,7 @@ def oracle_sql():
         "links_all": _links_sql(None), "links_amount": _links_sql("montant"), "links_date": _links_sql("date"), "links_code": _links_sql("code"), "links_text": _links_sql("texte"),
         "links_exact_precedence": f"{_MATCHED} SELECT input_id, count(*) AS n, bool_or(m IN ('exacte', 'espaces_fin')) AS is_exact FROM kept GROUP BY input_id", "deviation_osa1": DEVIATIONS,
         "invalid_inputs": f"{_READY} SELECT input_id, value, type FROM ready WHERE NOT valid",
-        "hyp_counter_int": COUNTER_INT, "hyp_counter_text": COUNTER_TEXT, "hyp_counter_update": COUNTER_UPDATE, "hyp_timestamp": TIMESTAMP, "hyp_sum_lines": SUM_LINES, "hyp_copy": COPY, "hyp_constant": CONSTANT,
+        "hyp_counter_int": COUNTER_INT, "hyp_counter_text": COUNTER_TEXT, "hyp_counter_update": COUNTER_UPDATE, "hyp_timestamp": TIMESTAMP, "hyp_sum_lines": SUM_LINES, "hyp_copy": COPY, "hyp_sum_lines_all": SUM_LINES_ALL, "hyp_copy_all": COPY_ALL, "hyp_constant": CONSTANT,
         "hyp_running_total": RUNNING_TOTAL, "hyp_hierarchical_total": HIERARCHICAL, "computed_fields_all": COMPUTED,
         "calibration_noise_tables": CALIBRATION, "scenario_latest_status": LATEST_STATUS, "scenario_latest_status_all": LATEST_STATUS_ALL, "anonymize_keep_deltas": ANONYMIZE, "retype_json_values": RETYPE,
     }
