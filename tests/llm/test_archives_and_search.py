@@ -170,20 +170,71 @@ def test_top_k_is_exact(spark, seed):
     assert got == brute_top(rows, 20, 20)
 
 
-def test_tight_clusters_are_pruned():
-    rows = vectors(3000, 3, spread=0.002)
-    x = np.floor(64 * np.array([v for _, v in rows])).astype(np.int64)
-    root = topk.Node(x.astype(float), np.arange(len(x)))
-    assert root.children
-
-    def check(node):
-        assert (np.sqrt(((x[node.rows] - node.center) ** 2).sum(1)) <= node.radius + 1e-9).all()
-        for c in node.children:
-            assert c.radius <= node.radius / 2 + 1e-9
-            check(c)
-        assert not node.children or sorted(np.concatenate([c.rows for c in node.children])) == sorted(node.rows)
-
-    check(root)
+@pytest.mark.parametrize("spread", [0.0, 0.002, 0.05, 3.0])
+def test_trees_are_nets_that_cover(spread):
+    x = np.floor(64 * np.array([v for _, v in vectors(3000, 3, spread=spread)]))
+    order, nodes = topk.build(x)
+    assert sorted(order.tolist()) == list(range(len(x))) and len(nodes) > 1
+    radius = nodes[:, 4].copy().view(np.float64)
+    for n, (a, b, child, many, _, up) in enumerate(nodes.tolist()):
+        away = np.sqrt(((x[order[a:b]] - x[order[a]]) ** 2).sum(1))
+        assert away.max() == radius[n] <= up
+        if not many:
+            assert b - a <= topk.LEAF or radius[n] == 0
+            continue
+        kids = nodes[child : child + many]
+        assert kids[0, 0] == a and kids[-1, 1] == b and (kids[1:, 0] == kids[:-1, 1]).all()
+        centers = x[order[kids[:, 0]]]
+        apart = np.sqrt(((centers[:, None] - centers[None]) ** 2).sum(2)) + 1e12 * np.eye(many)
+        assert apart.min() >= radius[child : child + many].max()
+
+
+def test_clusters_are_pruned_and_noise_stays_exact(spark):
+    """Products made by top_k itself, of all 40 x 799 products that there are."""
+    made = {}
+    for name, spread, data_block in (("one block", 0.002, 4000), ("many blocks", 0.002, 100), ("noise", 3.0, 100)):
+        rows = vectors(800, 5, spread)
+        counter = spark.sparkContext.accumulator(0)
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        found = topk.top_k(frame, k=5, data_block=data_block, query_block=10, products=counter).collect()
+        assert {tuple(r) for r in found} == brute_top(rows, 20, 5)
+        made[name] = counter.value
+    assert made["one block"] < 0.3 * 40 * 799 and made["many blocks"] < 0.6 * 40 * 799
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_search_equals_sorting(seed):
+    rng = np.random.default_rng(seed)
+    n, m, dim, k = rng.integers(1, 900, 2).tolist() + [int(rng.integers(0, 6)), int(rng.integers(1, 40))]
+    wide = 2**40 if seed % 4 == 3 else 3
+    def made(size):
+        v = rng.integers(-wide, wide + 1, (size, dim))
+        ids = rng.permutation(1000)[:size].astype(np.int64)
+        order, nodes = topk.build(v.astype(float))
+        return topk.Tree(v[order], ids[order], nodes)
+
+    q, d = made(n), made(m)
+    at, ids, scores, _, _ = topk.search(q, d, k)
+    got = {(int(a), int(i), int(s)) for a, i, s in zip(at, ids, scores, strict=True)}
+    products = np.clip(q.v.astype(object) @ d.v.astype(object).T, -(2**63), 2**63 - 1) if dim else np.zeros((n, m), object)
+    want = set()
+    for a in range(n):
+        own = sorted((-int(s), int(i)) for s, i in zip(products[a], d.ids, strict=True) if i != q.ids[a])
+        want |= {(a, i, -s) for s, i in own[:k]}
+    assert got == want
+
+
+def test_repeated_rows_and_a_hot_vector(spark):
+    rows = [(i, [0.5, 0.25, 0.0]) for i in range(300)] + [(7, [0.5, 0.25, 0.0])] * 20 + [(400 + i, [i / 64, 1.0, -1.0]) for i in range(30)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(frame, k=12, data_block=50, query_block=8).collect())
+    ok = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+    want = []
+    for q, a in ok:
+        if q % 20 == 0:
+            found = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in ok if i != q)
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found[:12])]
+    assert got == sorted(want)
 
 
 def test_large_components_stay_exact(spark):
