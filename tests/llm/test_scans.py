@@ -1,6 +1,7 @@
 """Secrets and personal data against plain regular expressions."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -59,17 +60,64 @@ def test_many_matches_keep_their_offsets(spark):
     assert [f"{s.kind}:{s.start}:{s.end}" for s in row.base] == base_of(SECRETS, text)
 
 
-def test_random_strings_are_told_from_identifiers(spark):
-    words = "the quick brown fox jumps over lazy dogs while nobody watches closely enough".split()
-    docs = spark.createDataFrame([(i, " ".join(words[i % 5 :] + words)) for i in range(40)], "doc_id long, text string")
-    ratios = train(labelled_samples(docs))
-    random = [hashlib.sha256(str(i).encode()).hexdigest()[:20].upper() + "xQ9zK" + str(i) for i in range(20)]
-    plain = [f"{a}_{b}_{c}_watches_closely_2024" for a, b, c in zip(words, words[1:], words[2:])]
-    asked = spark.createDataFrame([(i, "see " + t + " there") for i, t in enumerate(random + plain)], "doc_id long, text string")
-    found = {r.doc_id: [s.kind for s in r.spans] for r in scan(asked, ratios).collect()}
-    hits = [found[i] == ["random"] for i in range(len(random))]
-    assert sum(hits) >= 18
-    assert not any(found[len(random) + i] for i in range(len(plain)))
+#: Ordinary tokens written by hand, none of them made by the operator's own samples.
+ORDINARY = """/wp-content/uploads/2019/03/holiday-photo-1024x768 articles/2024/01/15/how-to-cook-pasta 2024-01-15-2024-02-20-report order-000000000000000123 getHttpResponseCode200 MAX_BUFFER_SIZE_4096 application/json
+/usr/local/lib/python3 com/example/project/Main user_profile_settings_v2 INV-2024-000123 /api/v1/users/12345/orders 20240115T120000 1234567890123 +4930123456 backup_2023_12_31 DSC00012345 IMG_20240115_134500 utf-8-sig
+x86_64-linux-gnu libssl1-dev kubernetes-dashboard-7 ISO-8859-1 SHA-256-digest iPhone15ProMax covid-19-vaccine 1920x1080 HTTP/1 addEventListener XMLHttpRequest javax/servlet/http responsibilities internationalization
+/2021/11/black-friday-deals-2021 page=2 utm_source=newsletter utm_campaign=spring_sale_2023 session_id=12345 /static/css/main /assets/img/logo-dark-2x README_zh_CN node_modules/react-dom/index EUR-1250-USD-1375
+room-B204-floor2 Q3-2023-results 0000-00-00 123-45-6789 12/31/1999 192/168/0/1 A4-210x297mm PostgreSQL14 macOS-13-Ventura AES-256-GCM RFC-2616-section-10 ----------------- ================= _____________
+test_user_login_returns_401 feature/JIRA-1234-add-login release-2024-05-rc1 /en-US/docs/Web/JavaScript ProductID_998877 ABC-12345-XYZ Windows-10-x64 abcdefghijklmnop qwertyuiop 1234567890 aaaaaaaaaaaa lasagne_recipe_final
+chapter-12-section-4 annual-report-2022-final-v3 PROD_DB_HOST_01 invoice_2024_03_17 /blog/2018/07/04/summer-in-the-city minutes/2023/meeting-notes-14 student_id=0012345 screenshot-2024-02-11-at-10 UserAccountServiceImpl
+renderTemplateString NullPointerException thread-pool-worker-17 track-08-disc-2 episode_s03e07 season-4-episode-12 flight-LH400-FRA-JFK highway-A7-exit-23 vitamin-B12-tablets mp3-player-16gb
+gradle-wrapper-properties section-2-paragraph-15 Kapitel-3-Abschnitt-12 /de/produkte/schuhe/groesse-42 numero-de-telephone ElasticSearchClient7 SELECT_COUNT_DISTINCT en_GB-UTF-8 multipart/form-data wp-admin/admin-ajax
+IMG-20231231-WA0007 report_Q4_2021_draft part-00017 base64-decoder""".split()
+PROSE = "the old harbour office keeps a careful register of every vessel that entered between spring and late autumn while the clerks write down names cargo weights and captains in a long yellow ledger nobody reads today".split()
+
+
+@pytest.fixture(scope="module")
+def ratios(spark):
+    docs = spark.createDataFrame([(i, " ".join(PROSE[i % 7 :] + PROSE[: i % 11]) + f" on 20{i % 30:02d}-0{i % 9 + 1}-11") for i in range(60)], "doc_id long, text string")
+    return train(labelled_samples(docs))
+
+
+def test_random_strings_are_told_from_ordinary_tokens(spark, ratios):
+    """The random ones come from Python's own generator, from 12 characters up, in alphabets that secrets use."""
+    rng = random.Random(20)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    alphabets = [letters + letters.upper() + "0123456789", letters + letters.upper() + "0123456789-_", letters + "0123456789", letters.upper() + "0123456789", letters.upper() + "234567", "0123456789abcdef", "0123456789ABCDEF"]
+    secret = ["".join(rng.choice(a) for _ in range(n)) for a in alphabets for n in (12, 14, 16, 19, 22) for _ in range(12)]
+    asked = spark.createDataFrame([(i, "see " + t + " there") for i, t in enumerate(secret + ORDINARY)], "doc_id long, text string")
+    found = {r.doc_id: [(s.start, s.end, s.kind) for s in r.spans] for r in scan(asked, ratios).collect()}
+    hits = sum(found[i] == [(4, 4 + len(t), "random")] for i, t in enumerate(secret))
+    wrong = [t for i, t in enumerate(ORDINARY) if found[len(secret) + i]]
+    assert hits >= 0.9 * len(secret)
+    assert len(ORDINARY) >= 100 and len(wrong) <= 0.01 * len(ORDINARY), wrong
+
+
+def test_the_query_equals_plain_expressions(spark, edge_docs, edge_rows, tmp_path):
+    """op1_secrets itself: counts, digest and spans; the model's spans by the ratio of each run, computed in Python."""
+    edge_docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    ratios = train(labelled_samples(edge_docs))
+    place = {c: i + 1 for i, c in enumerate(secrets.ALPHABET)}
+
+    def random_runs(text, base):
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{8,}", text):
+            codes = [place[c] for c in m[0]]
+            ratio = sum(round(ratios[a * secrets.STATES + b], 4) for a, b in zip(codes, codes[1:]))
+            if ratio >= max(secrets.MIN_RATIO, secrets.MIN_MEAN * (len(codes) - 1)) and not any(a < m.end() and m.start() < b for a, b in base):
+                yield m.start(), 3, m.end(), "random"
+
+    want = []
+    for i, text, *_ in edge_rows:
+        base = base_of(SECRETS, text)
+        fixed = [tuple(map(int, s.split(":")[1:])) for s in base]
+        ranks = {name: k for k, (name, _) in enumerate(SECRETS)}
+        spans = sorted([(a, ranks[s.split(":")[0]], b, s.split(":")[0]) for s, (a, b) in zip(base, fixed)] + list(random_runs(text or "", fixed)))
+        n = [sum(s.startswith(k + ":") for s in base) for k in ("assign", "access", "hex")]
+        want.append((i, *n, hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(f"{k}:{a}:{b}" for a, _, b, k in spans)))
+    got = secrets.op1_secrets(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
 
 
 def test_no_documents(spark, no_docs):
