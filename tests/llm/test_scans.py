@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -141,17 +142,77 @@ def test_long_runs_take_linear_time():
     assert pii.fixed_spans("a" * 200_000 + "@" * 1000 + "1" * 200_000 + "." * 1000) == []
 
 
-def test_reliable_labelers_are_found():
-    """Labeler 0 agrees with the truth, labeler 1 is noise."""
-    patterns = [((1, 1), 40), ((1, -1), 40), ((-1, 1), 60), ((-1, -1), 60), ((1, 0), 20), ((-1, 0), 20)]
-    share, chance = pii.reliabilities(patterns)
-    gap = abs(chance[1] - chance[0]).sum(1)
-    assert 0 < share < 1 and gap[0] > 0 and chance.shape == (2, 2, 3)
+def test_reliable_labelers_are_told_from_noise():
+    """Planted: labelers 0 to 3 are right in 95, 85, 75 and 65 % of the cases, 4 is noise, 5 is always right but votes on a tenth."""
+    rng = random.Random(6)
+    rates, counts = [0.95, 0.85, 0.75, 0.65, 0.5], {}
+    for _ in range(4000):
+        truth = rng.random() < 0.3
+        votes = tuple((1 if (rng.random() < r) == truth else -1) for r in rates) + (((1 if truth else -1) if rng.random() < 0.1 else 0),)
+        counts[votes] = counts.get(votes, 0) + 1
+    share, chance = pii.reliabilities(list(counts.items()))
+    right = [(chance[1, k, 2] + chance[0, k, 0]) / 2 for k in range(5)]
+    assert abs(share - 0.3) < 0.03
+    assert all(abs(r - w) < 0.05 for r, w in zip(right, rates)), right
+    assert right == sorted(right, reverse=True) and chance[1, 5, 2] > 5 * chance[0, 5, 2]
+
+
+def planted_texts():
+    """text, the looser spans in it that are personal."""
+    rng = random.Random(8)
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda: rng.choice(PROSE)
+    names = ["Mary Poole", "Hans Gruber", "Claudia Vogel", "James Whitfield", "Isabel Serrano"]
+    for i in range(240):
+        before, after = " ".join(word() for _ in range(6)), " ".join(word() for _ in range(6))
+        mail = f"{word()}{i} [at] {word()}-shop [dot] {rng.choice(['com', 'de', 'org'])}"
+        phone = f"{rng.randint(200, 999)}-{d(3)}-{d(4)}"
+        ssn = f"{d(3)}-{d(2)}-{d(4)}"
+        name = rng.choice(names)
+        yield f"{before}, write to {mail} {after}", [("email_like", mail)]
+        yield f"{before}, call my office at {phone} {after}", [("phone_like", phone)]
+        yield f"{before}, his ssn {ssn} {after}", [("account_like", ssn)]
+        yield f"{before}, signed by Dr. {name} {after}", [("name_like", name)]
+        yield f"{before} on {rng.randint(1980, 2024)}-{rng.randint(10, 12)}-{rng.randint(10, 28)} {after}", []
+        yield f"{before} version 10.{d(4)}.{d(4)} and item {d(4)}-{d(4)} {after} page 1234567", []
+        yield f"{before} total: {d(4)} {d(4)} kg {after}", []
+
+
+def test_planted_looser_spans_are_found_and_dates_are_not(spark, tmp_path):
+    planted = list(planted_texts())
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(planted)], "doc_id long, text string")
+    frame.coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in pii.op3_personal_data(spark, str(tmp_path)).collect()}
+    assert len(found) == len(planted) and all(r.n_email == r.n_ip == r.n_phone == 0 for r in found.values())
+    hits, misses, wrong = {}, {}, 0
+    for i, (text, spans) in enumerate(planted):
+        got = {(k, text[int(a) : int(b)]) for k, a, b in (s.split(":") for s in found[i].spans.split(",") if s)}
+        for kind, span in spans:
+            (hits if (kind, span) in got else misses).setdefault(kind, []).append(span)
+        wrong += not spans and bool(got)
+    assert all(len(hits.get(k, [])) >= 0.9 * 240 for k in pii.KINDS[pii.LOOSER :]), {k: len(v) for k, v in hits.items()}
+    assert wrong <= 0.01 * 720
+
+
+def test_the_personal_query_keeps_the_base(spark, edge_docs, edge_rows, tmp_path):
+    """op3_personal_data itself: counts and digest against plain expressions; the fixed spans among all."""
+    edge_docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = pii.op3_personal_data(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    want = []
+    for i, text, *_ in edge_rows:
+        base = base_of(PRIVATE, text)
+        want.append((i, *[sum(s.startswith(k + ":") for s in base) for k in ("email", "ip", "card", "phone")], hashlib.sha256(",".join(base).encode()).hexdigest(), tuple(base)))
+    rows = [(*tuple(r)[:6], tuple(s for s in r.spans.split(",") if s.split(":")[0] in pii.KINDS[: pii.LOOSER])) for r in got.collect()]
+    assert sorted(map(str, rows)) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("text", ["1 " * 100_000 + "x", "9" * 200_000, "a" * 200_000 + " [at", "A " * 100_000, "AB12" * 50_000, " at b" * 50_000 + " dot ", "(1-" * 50_000, "Dr. " * 50_000])
+def test_looser_patterns_take_linear_time(text):
+    began = time.process_time()
+    pii.candidates(text)
+    assert time.process_time() - began < 5
 
 
-def test_looser_spans_are_learned(spark):
-    texts = [f"call me: phone 555-{100 + i}-{2000 + i} or mail joe{i}@mail.example.com" for i in range(60)] + [f"on 2024-01-{1 + i % 28:02d} we had 12 34" for i in range(60)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = pii.find_candidates(docs)
-    weights = pii.train(found)
-    assert len(weights) == 1 + 5 + len(pii.KINDS) + 4
+def test_account_numbers():
+    assert pii.iban("GB82 WEST 1234 5698 7654 32") and not pii.iban("GB83 WEST 1234 5698 7654 32") and not pii.iban("GB82")
