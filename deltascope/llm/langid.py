@@ -6,12 +6,15 @@ letters down to one), averaged over the positions so that a word always weighs
 one word. The score is the posterior of the best language.
 
 The model is counted from a sample of SAMPLE_ROWS documents a language at most
-(by a hash of the id) and keeps MAX_WORDS words and MAX_GRAMS n-grams of each
-length, the most frequent ones; so its size has a bound, and it is broadcast.
+(by a hash of the id) and holds every word and every n-gram of that sample, so
+its size has the sample's bound, and it is broadcast.
 
 Defined results: `und` with score 0 for null text, text without a letter, or an
 untrained model; documents with null lang or text are never learned from; a null
-id counts as the empty text for folds; ties go to the language that sorts first.
+id counts as the empty text for folds; ties go to the language that sorts first;
+texts of any length are read whole, in pieces; equal rows give equal rows; an
+empty table gives an empty result; other columns, whatever their names, are kept
+by `identified` and left by `identify`.
 """
 
 from __future__ import annotations
@@ -27,9 +30,10 @@ from pyspark.sql import types as T
 
 from .common import id_crc, table, written
 
-SAMPLE_ROWS, MAX_WORDS, MAX_GRAMS, MAX_GRAM = 4000, 50_000, 20_000, 4
-#: Unseen words whose scores a task remembers.
-REMEMBERED = 200_000
+#: Documents of each language that are counted, and the longest n-gram.
+SAMPLE_ROWS, MAX_GRAM = 1000, 4
+#: Unseen words whose scores a task remembers, and words that are looked up at once.
+REMEMBERED, PIECE = 100_000, 50_000
 RUN = re.compile(r"[^\W\d_]+")
 
 
@@ -53,7 +57,7 @@ def _count_words(batches):
 
 
 def train(docs: DataFrame, *, learn: Column, text="text", lang="lang", doc_id="doc_id") -> dict:
-    """The model: langs, and for words and for n-grams of each length a dict from text to row of the matrix of log frequencies."""
+    """The model: langs, and for words and for n-grams of each length the texts and the matrix of their log frequencies."""
     rows = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang).alias("lang")).count().collect()}  # as many as there are classes
     keep = F.lit(False)
@@ -64,25 +68,17 @@ def train(docs: DataFrame, *, learn: Column, text="text", lang="lang", doc_id="d
     words = written(words, "langid-words")
     langs = sorted(counts)
     model = {"langs": langs, "tables": []}
-    sized = [(0, words, MAX_WORDS)]
+    sized = [words]
     for n in range(1, MAX_GRAM + 1):
         padded = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
         places = F.when(F.length(padded) >= n, F.sequence(F.lit(1), F.length(padded) - n + 1)).otherwise(F.array().cast("array<int>"))
         found = words.select("lang", "n", padded.alias("p"), F.explode(places).alias("i")).select("lang", F.col("p").substr(F.col("i"), F.lit(n)).alias("word"), "n")
-        sized.append((n, found.groupBy("lang", "word").agg(F.sum("n").alias("n")), MAX_GRAMS))
-    for n, found, most in sized:
-        top = found.groupBy("word").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-        if n == 0:
-            top = top.filter("all > 1")
-        top = top.orderBy(F.desc("all"), "word").limit(most)
-        total = {r[0]: r[1] for r in found.groupBy("lang").agg(F.sum("n")).collect()}
-        index, matrix = {}, []
-        for row in top.select("word", *[F.coalesce(F.element_at("by", F.lit(x)), F.lit(0)) for x in langs]).collect():
-            index[row[0]] = len(matrix)
-            matrix.append(row[1:])
-        size = np.array([total.get(x, 0) for x in langs], float)
-        seen = np.array(matrix, float).reshape(len(index), len(langs))
-        model["tables"].append((index, np.log((seen + 0.5) / (size + 0.5 * (len(index) + 1)))))
+        sized.append(found)
+    for found in sized if langs else []:
+        by = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)]
+        held = found.groupBy("word").agg(*by).toArrow()  # the sample's vocabulary
+        seen = np.stack([held[f"n{i}"].to_numpy() for i in range(len(langs))], 1).astype(float)
+        model["tables"].append((held["word"].to_pylist(), np.log((seen + 0.5) / (seen.sum(0) + 0.5 * (len(seen) + 1)))))
     model["prior"] = np.log(np.array([counts[x] for x in langs], float) / max(1, sum(counts.values())))
     return model
 
@@ -91,19 +87,20 @@ class Scorer:
     """Scores texts by a model; rows of unseen words are remembered, up to a bound."""
 
     def __init__(self, model: dict):
-        self.langs, self.prior, self.tables = model["langs"], model["prior"], model["tables"]
+        self.langs, self.prior = model["langs"], model["prior"]
+        self.known, self.tables = (model["tables"] or [([], np.zeros((0, 0)))])[0], [({w: i for i, w in enumerate(words)}, rows) for words, rows in model["tables"][1:]]
+        self.matrix = np.zeros((len(self.known[0]) + REMEMBERED + PIECE, len(self.langs)))
+        self.matrix[: len(self.known[0])] = self.known[1]
         self.forget()
 
     def forget(self) -> None:
-        self.index, known = dict(self.tables[0][0]), self.tables[0][1]
-        self.matrix = np.zeros((len(known) + REMEMBERED, len(self.langs)))
-        self.matrix[: len(known)] = known
+        self.index = {w: i for i, w in enumerate(self.known[0])}
 
     def unseen(self, word: str) -> np.ndarray:
         total, places, padded = np.zeros(len(self.langs)), 0, f"^{word}$"
         for i in range(len(padded) - MAX_GRAM + 1 if len(padded) > MAX_GRAM else 1):
             for n in range(min(MAX_GRAM, len(padded)), 0, -1):
-                index, known = self.tables[n]
+                index, known = self.tables[n - 1]
                 row = index.get(padded[i : i + n])
                 if row is not None:
                     total += known[row]
@@ -114,19 +111,23 @@ class Scorer:
     def row(self, word: str) -> int:
         at = self.index.get(word)
         if at is None:
-            if len(self.index) >= len(self.matrix):
-                self.forget()
             at = self.index[word] = len(self.index)
             self.matrix[at] = self.unseen(word)
         return at
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs or not any(c.isalpha() for c in text):
+        runs = letter_runs(text) if self.langs else []
+        if not runs or not any(c.isalpha() for c in text):
             return "und", 0.0
         total = self.prior.copy()
-        runs = letter_runs(text)
-        for k in range(0, len(runs), 50_000):
-            total += sum(self.matrix[self.row(w)] for w in runs[k : k + 50_000]) if len(self.index) + 50_000 > len(self.matrix) else self.matrix[[self.row(w) for w in runs[k : k + 50_000]]].sum(0)
+        for k in range(0, len(runs), PIECE):
+            piece = runs[k : k + PIECE]
+            if len(self.index) > len(self.known[0]) + REMEMBERED:
+                self.forget()
+            rows = list(map(self.index.get, piece))
+            if None in rows:
+                rows = [self.row(w) if r is None else r for r, w in zip(rows, piece, strict=True)]
+            total += self.matrix[rows].sum(0)
         odds = np.exp(total - total.max())
         best = int(odds.argmax())
         return self.langs[best], float(odds[best] / odds.sum())

@@ -156,8 +156,8 @@ def test_language_without_training(no_docs, edge_docs):
 def test_unseen_words_back_off():
     import numpy as np
 
-    model = {"langs": ["x", "y"], "prior": np.zeros(2), "tables": [({"known": 0}, np.array([[0.0, -5.0]]))] + [({}, np.zeros((0, 2))) for _ in range(4)]}
-    model["tables"][2] = ({"zz": 0}, np.array([[-9.0, -1.0]]))
+    model = {"langs": ["x", "y"], "prior": np.zeros(2), "tables": [(["known"], np.array([[0.0, -5.0]]))] + [([], np.zeros((0, 2))) for _ in range(4)]}
+    model["tables"][2] = (["zz"], np.array([[-9.0, -1.0]]))
     score = langid.Scorer(model)
     assert score("known")[0] == "x" and score("zzzz")[0] == "y" and score("???") == ("und", 0.0)
 
