@@ -9,12 +9,14 @@ bound. Each comparison emits a spanning forest, never all pairs, and the links
 are closed to components by star steps.
 
 ``near_duplicate_groups`` is for similar rather than nearly equal fingerprints
-(five words, similarity 0.8): see there.
+(five words, similarity 0.8): see there. Texts of any length are read whole.
 
 Defined results: null text counts as empty; a text without words has fingerprint
 zero, which is linked like any other; a text of fewer words than a shingle is one
 shingle; equal fingerprints are always one component; null ids never name a
-component unless all its ids are null; an empty table gives an empty result.
+component unless all its ids are null; equal rows give equal rows; other columns,
+whatever their names, are carried or left, never read; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -85,14 +87,14 @@ def fingerprint_documents(docs: DataFrame, *, doc_id="doc_id", text="text", shin
     return ids.mapInArrow(run, T.StructType([ids.schema["doc_id"], T.StructField("fp", T.LongType())]))
 
 
-def _runs(batches, keys: int, limit: int = 1 << 15):
-    """Sorted rows (keys..., id, bytes) -> whole runs of equal keys, several at a time: ids, prints, starts, sizes."""
+def _runs(batches, keys: int, limit: int = 1 << 15, most: int = 1 << 25):
+    """Rows sorted by their first columns, the keys -> tables of whole runs of equal keys, several at a time, and where the runs start."""
     held = None
     for batch in _ended(batches):
         last = batch is None
         if not last:
             held = batch if held is None else pa.concat_tables([held, batch])
-            if held.num_rows < limit:
+            if held.num_rows < limit and held.nbytes < most:
                 continue
         if held is None or not held.num_rows:
             continue
@@ -103,12 +105,7 @@ def _runs(batches, keys: int, limit: int = 1 << 15):
         end = held.num_rows if last else starts[-1]  # the last run may go on
         if not last and end == 0:
             continue
-        starts = starts[starts < end]
-        part = held.slice(0, end)
-        sizes = np.diff(np.append(starts, end))
-        raw = part.column(keys + 1).combine_chunks()
-        prints = np.frombuffer(b"".join(x.as_py() for x in raw), np.uint8).reshape(end, -1) if pa.types.is_binary(raw.type) else raw.to_numpy().view(np.uint8).reshape(end, 8)
-        yield part.column(keys).to_numpy(), prints, starts, sizes
+        yield held.slice(0, end), starts[starts < end]
         held = held.slice(end)
 
 
@@ -118,30 +115,26 @@ def _ended(batches):
     yield None
 
 
-def _forest(prints, i, j):
-    return forest(i, j)
-
+def _in_blocks(met: DataFrame, blocks) -> DataFrame:
+    """met(t, key, id) -> t, key, lo, hi, id: the rows of each (t, key) dealt into blocks, every pair of blocks once."""
+    met = met.withColumns({"blocks": blocks.cast("int"), "own": F.pmod(F.xxhash64("id"), blocks.cast("int")).cast("int")})
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return met.select("t", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id")
 
-def compare_within(entries: DataFrame, radius: int, prints: DataFrame | None = None, choose=_forest) -> DataFrame:
-    """entries(t, key, id), prints(id, bits): links (u, v) between ids of equal (t, key) whose bits differ in at most `radius` places. Without prints the ids are the bits.
 
-    ``choose`` reduces the pairs (i, j) of rows found at once. Bits beyond SKETCH_BITS are not compared, they are for ``choose`` only.
-    """
+def compare_within(entries: DataFrame, radius: int) -> DataFrame:
+    """entries(t, key, id): links (u, v) between ids, taken as bits, that share a (t, key) and differ in at most `radius` bits."""
     shared = entries.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = entries.join(shared, ["t", "key"])
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    met = met.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("id"), blocks).cast("int")})
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("t", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id")
-    # only what shares a key carries its bits
-    met = met.withColumn("bits", F.col("id")) if prints is None else met.join(prints.select("id", "bits"), "id").select("t", "key", "lo", "hi", "id", "bits")
+    met = _in_blocks(entries.join(shared, ["t", "key"]), F.ceil(F.col("n") / BLOCK))
     met = met.repartition("t", "key", "lo", "hi").sortWithinPartitions("t", "key", "lo", "hi", "id")
 
     def run(batches):
-        for ids, prints, starts, sizes in _runs(batches, 4):
-            for i, j in near_pairs(np.ascontiguousarray(prints[:, : SKETCH_BITS // 8]), starts, sizes, radius):
+        for rows, starts in _runs(batches, 4):
+            ids = rows.column(4).to_numpy()
+            prints = ids.view(np.uint8).reshape(len(ids), 8) if ids.flags.c_contiguous else np.ascontiguousarray(ids).view(np.uint8).reshape(len(ids), 8)
+            for i, j in near_pairs(prints, starts, np.diff(np.append(starts, len(ids))), radius):
                 if len(i):
-                    u, v = choose(prints, i, j)
+                    u, v = forest(i, j)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], ["u", "v"])
 
     return met.mapInArrow(run, "u long, v long").distinct()
@@ -215,64 +208,79 @@ def meeting_keys(distinct: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(row.tobytes(), 42) - (1 << 63) for row in least.reshape(TABLES, KEY_SHINGLES)]
 
 
-def sketches(text: str | None, shingle: int) -> tuple[int, bytes, list[int]]:
-    """The hash of the set of shingles, which names it, its sketch and the keys it meets others under."""
+def sketches(text: str | None, shingle: int) -> tuple[int, int, bytes, list[int]]:
+    """The hash of the set of shingles, which names it, its size, its sketch and the keys it meets others under."""
     distinct = np.unique(shingle_hashes(words(text), shingle))
-    return xxhash.xxh64_intdigest(distinct.tobytes(), 42) - (1 << 63), sketch(distinct).tobytes(), meeting_keys(distinct)
-
-
-def spanning(prints: np.ndarray, i: np.ndarray, j: np.ndarray):
-    """Of the pairs (i, j), a spanning forest of least distances: in rounds, each tree takes its nearest pair to another."""
-    far = np.bitwise_count(prints[i].view("<u8") ^ prints[j].view("<u8")).sum(1, dtype=np.int64)
-    order = np.argsort(far, kind="stable")
-    i, j = i[order], j[order]
-    nodes, back = np.unique(np.concatenate([i, j]), return_inverse=True)
-    a, b = back[: len(i)], back[len(i) :]
-    label, taken, left = np.arange(len(nodes)), np.zeros(len(i), bool), np.arange(len(i))
-    while True:
-        left = left[label[a[left]] != label[b[left]]]
-        if not len(left):
-            return i[taken], j[taken]
-        first = np.full(len(nodes), len(i))
-        np.minimum.at(first, label[a[left]], left)
-        np.minimum.at(first, label[b[left]], left)
-        new = np.unique(first[first < len(i)])
-        taken[new] = True
-        # the trees joined by the new pairs take the least label among them
-        x, y, merged = label[a[new]], label[b[new]], np.arange(len(nodes))
-        while True:
-            low, before = np.minimum(merged[x], merged[y]), merged.copy()
-            np.minimum.at(merged, x, low)
-            np.minimum.at(merged, y, low)
-            merged = merged[merged]
-            if (merged == before).all():
-                break
-        label = merged[label]
-
-
-def _across(prints: np.ndarray, i: np.ndarray, j: np.ndarray):
-    """The pairs whose last eight bytes differ."""
-    kept = (prints[i, -8:] != prints[j, -8:]).any(1)
-    return i[kept], j[kept]
-
-
-def verified(links: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The links (u, v) whose sets of shingles have a Jaccard similarity of `similarity` or more; texts(id, text)."""
+    return xxhash.xxh64_intdigest(distinct.tobytes(), 42) - (1 << 63), len(distinct), sketch(distinct).tobytes(), meeting_keys(distinct)
 
-    def run(batches):
-        held, own = None, None
-        for batch in batches:
-            kept = []
-            for u, a, b in zip(*(c.to_pylist() for c in (batch.column(0), batch.column(2), batch.column(3))), strict=True):
-                if u != held:
-                    held, own = u, np.unique(shingle_hashes(words(a), shingle))
-                other = np.unique(shingle_hashes(words(b), shingle))
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                kept.append(both >= similarity * (len(own) + len(other) - both))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(pa.array(kept, pa.bool_()))
 
-    pairs = links.join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v").join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u")
-    return pairs.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+def similar(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the pairs (i, j), by i, of sets (sorted hashes) have a Jaccard similarity of `similarity` or more.
+
+    CHUNK rows i at a time: their hashes number the places of a bit set, so the sizes
+    of all intersections come from counting bits.
+    """
+    size = np.array([len(s) for s in sets])
+    both = np.zeros(len(i), np.int64)
+    fits = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
+    left = np.nonzero(fits)[0]
+    at = 0
+    while at < len(left):
+        own = np.unique(i[left[at : at + CHUNK * 64]])[:CHUNK]
+        upto = at + int(np.searchsorted(i[left[at:]], own[-1], side="right"))
+        pairs, at = left[at:upto], upto
+        if len(pairs) < 16:
+            both[pairs] = [len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i[pairs], j[pairs], strict=True)]
+            continue
+        places = np.unique(np.concatenate([sets[r] for r in own]))
+        rows = np.unique(np.concatenate([own, j[pairs]]))
+        if not len(places):  # sets without elements are equal
+            continue
+        flat = np.concatenate([sets[r] for r in rows])
+        place = np.minimum(np.searchsorted(places, flat), len(places) - 1)
+        known = places[place] == flat
+        row, place = np.repeat(np.arange(len(rows)), size[rows])[known], place[known]
+        bits = np.zeros((len(rows), -(-len(places) // 64)), np.uint64)
+        np.bitwise_or.at(bits, (row, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+        a, b = np.searchsorted(rows, i[pairs]), np.searchsorted(rows, j[pairs])
+        step = max(1, (1 << 21) // bits.shape[1])
+        for k in range(0, len(pairs), step):
+            both[pairs[k : k + step]] = np.bitwise_count(bits[a[k : k + step]] & bits[b[k : k + step]]).sum(1, dtype=np.int64)
+    return fits & (both >= similarity * (size[i] + size[j] - both))
+
+
+#: Rows whose sets are compared with others at once, bytes of sets in a block, and hashes of a set in a row.
+CHUNK, BLOCK_BYTES, PIECE = 64, 1 << 25, 1024
+
+
+def verified_links(met: DataFrame, prints: DataFrame, sets: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """met(t, key, lo, hi, id), prints(id, bits), sets(id, pieces): links (u, v) that connect all ids of the same (t, key, lo, hi) whose sets are similar, among those whose sketches are near. Pairs are compared where they meet; a run leaves a spanning forest."""
+    keys = ["t", "key", "lo", "hi"]
+    rows = met.join(prints.select("id", "bits"), "id").join(sets, "id").select(*keys, "id", "bits", F.posexplode("pieces").alias("piece", "part"))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "id", "piece")
+
+    def run(batches):
+        for rows, starts in _runs(batches, 4):
+            first = np.nonzero(rows["piece"].to_numpy() == 0)[0]
+            parts, ends = rows["part"].to_pylist(), np.append(first[1:], rows.num_rows)
+            sets = [np.frombuffer(b"".join(parts[a:b]), "<u8") for a, b in zip(first, ends, strict=True)]
+            ids = rows["id"].to_numpy()[first]
+            prints = np.frombuffer(b"".join(rows["bits"].take(pa.array(first)).to_pylist()), np.uint8).reshape(len(ids), -1)
+            starts = np.searchsorted(first, starts)
+            links = [np.zeros((2, 0), np.int64)]
+            for i, j in near_pairs(prints, starts, np.diff(np.append(starts, len(ids))), radius):
+                order = np.argsort(i, kind="stable")
+                i, j = i[order], j[order]
+                hit = similar(sets, i, j, similarity)
+                links.append(np.stack([i[hit], j[hit]]))
+                if sum(x.shape[1] for x in links) > 1 << 20:
+                    links = [np.stack(forest(*np.concatenate(links, axis=1)))]
+            u, v = np.concatenate(links, axis=1)
+            if len(u):
+                u, v = forest(u, v)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], ["u", "v"])
+
+    return rows.mapInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, *, doc_id="doc_id", text="text", shingle=5, similarity=0.8) -> DataFrame:
@@ -280,39 +288,38 @@ def near_duplicate_groups(docs: DataFrame, *, doc_id="doc_id", text="text", shin
 
     Two documents are linked if the Jaccard similarity of their sets of shingles
     (of 64-bit hashes of them) is at least `similarity`. Candidates meet under
-    min-hashes and are near by a 512-bit SimHash; every link is then verified on
-    the whole sets. First a spanning forest of the near pairs is verified, of
-    least distances; then every pair that may still join two of the groups
-    found, so that a refuted link hides no other.
+    min-hashes; those that are near by a 512-bit SimHash, compared bit-sliced, are
+    verified on the whole sets where they meet, so no pair is ever written or joined.
+    Of keys under which the same documents meet one is used.
     """
 
-    def run(batches):
+    def sketched(batches):
         for batch in batches:
             made = [sketches(t, shingle) for t in _texts(batch)]
-            columns = [pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["doc_id", "text_hash", "id", "bits", "keys"])
+            columns = [pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["doc_id", "text_hash", "id", "size", "bits", "keys"])
+
+    def split(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(words(t), shingle)) for t in _texts(batch)]
+            pieces = [[s[k : k + PIECE].tobytes() for k in range(0, len(s), PIECE)] for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pieces, pa.list_(pa.binary()))], ["id", "pieces"])
 
     ids = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    schema = T.StructType([*ids.schema.fields[:2], T.StructField("id", T.LongType()), T.StructField("bits", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
-    made = written(ids.mapInArrow(run, schema), "sketches")
-    distinct = made.groupBy("id").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_hash")).alias("example"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
+    schema = T.StructType([*ids.schema.fields[:2], *T.StructType.fromDDL("id long, size long, bits binary, keys array<long>").fields])
+    made = written(ids.mapInArrow(sketched, schema), "sketches")
+    distinct = made.groupBy("id").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_hash")).alias("example"), F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.first("size").alias("size"))
     distinct = written(distinct, "sketches-distinct")
-    entries = distinct.select("id", F.posexplode("keys").alias("t", "key"))
-    entries = written(entries.join(entries.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), ["t", "key"]), "sketches-met")
-    example = distinct.join(entries.select("id").distinct(), "id", "left_semi").select("id", "example.*")
-    found = ids.select("text", *_identity("doc_id", "text_hash")).join(example.select("id", *_identity("doc_id", "text_hash")), _IDENTITY)
-    texts = written(found.dropDuplicates(["id"]).select("id", "text"), "sketches-texts")
-
-    radius = radius_for(similarity)
-    links = written(verified(compare_within(entries, radius, distinct, spanning), texts, shingle, similarity), "sketches-links")
+    entries = distinct.select("id", "size", F.posexplode("keys").alias("t", "key"))
+    shared = entries.groupBy("t", "key").agg(F.count("*").alias("n"), F.sum("size").alias("hashes"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).filter("n > 1")
+    shared = shared.groupBy("n", "hashes", "x", "y").agg(F.min(F.struct("t", "key")).alias("k")).select("k.t", "k.key", "n", "hashes")
+    met = written(entries.join(shared, ["t", "key"]).select("t", "key", "id", "n", "hashes"), "sketches-met")
+    example = distinct.join(met.select("id").distinct(), "id", "left_semi").select("id", "example.*")
+    found = ids.select("text", *_identity("doc_id", "text_hash")).join(example.select("id", *_identity("doc_id", "text_hash")), _IDENTITY).dropDuplicates(_IDENTITY)
+    sets = written(found.select("id", "text").mapInArrow(split, "id long, pieces array<binary>"), "sketches-sets")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(8 * F.col("hashes") / BLOCK_BYTES))
+    links = verified_links(_in_blocks(met, blocks), distinct, sets, radius_for(similarity) + SLACK_BITS, similarity)
     roots = components(links)
-    rooted = distinct.join(roots, distinct.id == roots.node, "left").select("id", "bits", F.coalesce("root", "id").alias("root"))
-    rooted = written(rooted, "sketches-rooted")
-    split = entries.join(rooted.select("id", "root"), "id")
-    split = split.groupBy("t", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("t", "key")
-    prints = rooted.select("id", F.concat("bits", F.unhex(F.lpad(F.hex("root"), 16, "0"))).alias("bits"))
-    more = compare_within(entries.join(split, ["t", "key"]), radius + SLACK_BITS, prints, _across)
-    roots = components(links.unionByName(verified(more, texts, shingle, similarity)))
     placed = distinct.join(roots, distinct.id == roots.node, "left").select("id", "first_id", F.coalesce("root", "id").alias("root"))
     named = placed.join(placed.groupBy("root").agg(F.min("first_id").alias("group_id")), "root").select("id", "root", "group_id")
     return made.join(named, "id").select("doc_id", "text_hash", "root", "group_id")

@@ -331,12 +331,39 @@ def test_links_are_exact_whatever_the_edit(spark):
     assert not joined & set(kinds["too much appended"]) and all(joined & set(kinds[k]) for k in ("appended", "truncated", "inserted", "edited"))
 
 
-def test_spanning_forest_is_of_given_pairs():
+def test_similarity_of_sets_is_exact():
     rng = np.random.default_rng(5)
-    prints = rng.integers(0, 256, (60, 64), dtype=np.uint8)
-    i, j = np.nonzero(np.triu(rng.random((60, 60)) < 0.05, 1))
-    u, v = simhash.spanning(prints, i, j)
-    assert set(zip(u, v, strict=True)) <= set(zip(i, j, strict=True)) and len(u) == len(bitslice.forest(i, j)[0]) == len(bitslice.forest(u, v)[0])
+    base = rng.integers(0, 1 << 60, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(200, 300), replace=False), rng.integers(0, 1 << 60, rng.integers(0, 60), dtype=np.uint64)])) for _ in range(150)]
+    sets += [np.zeros(0, np.uint64), np.zeros(0, np.uint64), base[:1], np.unique(base)]
+    i, j = np.nonzero(np.triu(np.ones((len(sets), len(sets)), bool), 1))
+    for s in (0.5, 0.7, 0.8):
+        got = simhash.similar(sets, i, j, s)
+        want = [len(set(sets[a]) & set(sets[b])) >= s * len(set(sets[a]) | set(sets[b])) for a, b in zip(i, j)]
+        assert got.tolist() == want and 0 < sum(want) < len(want)
+
+
+@pytest.mark.parametrize("block", [4096, 40])
+def test_a_large_group_of_near_copies_equals_brute_force(spark, monkeypatch, block):
+    """Copies of one text with none to many scattered edits: their mutual similarities lie on both sides of 0.8."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(3)
+    base = [f"w{rng.getrandbits(40):x}" for _ in range(140)]
+    rows = []
+    for k in range(130):
+        text = list(base)
+        for _ in range(rng.randint(0, 9)):
+            text[rng.randrange(len(text))] = f"e{rng.getrandbits(40):x}"
+        rows.append((k, " ".join(text)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    found = {r.doc_id: r.group_id for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert [found[k] for k in range(len(rows))] == label and 1 < len(set(label)) < len(rows)
 
 
 def test_ids_that_repeat_or_are_missing_keep_one_row_of_each_group(spark):
