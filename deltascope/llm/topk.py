@@ -190,8 +190,14 @@ def planted(vectors: DataFrame, every: int, vec_id: str, embedding: str, data_bl
     n, asked = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
     cells = [max(1, min(MAX_PIVOTS, -(-m // size))) for m, size in ((n, data_block), (asked, query_block))]
     rows = written(_in_cells(rows, *cells, every), "topk-cells")
-    sizes = rows.groupBy("dim", "asks", "cell").agg(F.ceil(F.count("*") / F.when(F.col("asks"), query_block).otherwise(data_block)).alias("subs"))
-    rows = rows.join(sizes, ["dim", "asks", "cell"]).withColumn("sub", F.pmod(F.xxhash64("place"), F.col("subs")))
+    cell = ["dim", "asks", "cell"]
+    sizes = rows.groupBy(*cell).count().orderBy(F.desc("count"), *cell).limit(2 * MAX_PIVOTS).collect()
+    most = lambda asks: query_block if asks else data_block
+    known = rows.sparkSession.createDataFrame([(r.dim, r.asks, r.cell, -(-r["count"] // most(r.asks))) for r in sizes], "dim int, asks boolean, cell int, subs long")
+    # cells beyond the largest have no more rows than the last of these
+    least = sizes[-1]["count"] if sizes else 1
+    other = F.when(F.col("asks"), -(-least // query_block)).otherwise(-(-least // data_block))
+    rows = rows.join(F.broadcast(known), cell, "left").withColumn("sub", F.pmod(F.xxhash64("place"), F.coalesce("subs", other)))
     keys = ["dim", "asks", "cell", "sub"]
     blocks = rows.select(*keys, "vec_id", "v").groupBy(*keys).applyInArrow(_plant, "dim int, asks boolean, cell int, sub long, vec_id long, v array<long>, place long")
     return written(blocks, "topk-blocks")
