@@ -6,14 +6,19 @@ pieces, one of them is left whole in every such passage. All pieces are sought a
 once by an Aho-Corasick automaton, and around each hit Myers' bit-parallel
 algorithm (the item's rows are the bits of one number) gives the exact distance.
 
+Items of under MIN_CHARS characters leave no room for edits: they are one piece,
+found as it is between word borders.
+
 Items are handled in blocks of BLOCK_CHARS characters, so an automaton has a
 bounded size whatever the benchmark's; each block is one pass over the documents
 and nothing is shuffled.
 
-Defined results: null texts and items match nothing; items of under MIN_CHARS
-characters are no evidence and aren't sought; items with equal text are all
-reported; a document that repeats a passage reports it once, at its least
-distance; equal documents are all reported; empty tables give empty results.
+Defined results: null texts and items match nothing, nor do items without a
+character but white space; ids of items may be null and of any type; items with
+equal text are all reported; a document that repeats a passage reports it once,
+at its least distance; texts of any length are searched whole; equal documents
+are all reported, null ids too; `clean` keeps all columns, whatever their names;
+empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import table
 
@@ -68,7 +74,7 @@ class Matcher:
         self.items, self.automaton = [], ahocorasick.Automaton()
         places: dict[str, list] = {}
         for n, text in enumerate(self.groups):
-            k = int(len(text) * error_rate)
+            k = int(len(text) * error_rate) if len(text) >= MIN_CHARS else 0
             masks: dict[str, int] = {}
             for i, c in enumerate(text):
                 masks[c] = masks.get(c, 0) | 1 << i
@@ -91,6 +97,12 @@ class Matcher:
                 start = last - size + 1 - offset
                 if n in best and best[n][0] == 0:
                     continue
+                if len(item) < MIN_CHARS:
+                    if not (body[start - 1 : start].isalnum() or body[last + 1 : last + 2].isalnum()):
+                        best[n] = (0, last + 1)
+                        if first:
+                            return [(i, *best[n]) for i in self.groups[item]]
+                    continue
                 low, high = seen.get(n, (1, 0))
                 if low <= start <= high:  # an earlier window held all passages with this start, give or take the budget
                     continue
@@ -109,23 +121,23 @@ class Matcher:
         return [(i, *found) for n, found in best.items() for i in self.groups[self.items[n][0]]]
 
 
-def item_blocks(benchmark: DataFrame, *, item_id="item_id", text="text"):
-    """The items, normalised and long enough, in lists of about BLOCK_CHARS characters; one list is on the driver at a time."""
+def item_blocks(benchmark: DataFrame, *, item_id="item_id", text="text", min_chars=1):
+    """The items of at least `min_chars` characters, normalised, in lists of about BLOCK_CHARS characters; one list is on the driver at a time."""
     items = benchmark.select(F.col(item_id).alias("id"), F.col(text).alias("text")).filter("text IS NOT NULL")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-chars // BLOCK_CHARS))
     for k in range(n):
         block = items.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == k).collect()
-        yield [(r.id, t) for r in block if len(t := normal(r.text)) >= MIN_CHARS]
+        yield [(r.id, t) for r in block if len(t := normal(r.text)) >= max(1, min_chars)]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, *, doc_id="doc_id", text="text", error_rate=ERROR_RATE) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, *, doc_id="doc_id", text="text", item_id="item_id", error_rate=ERROR_RATE) -> DataFrame:
     """doc_id, item_id, distance: one row for each document and item found in it."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = benchmark.schema["item_id"].dataType
+    kind = benchmark.schema[item_id].dataType
     schema = T.StructType([rows.schema["doc_id"], T.StructField("item_id", kind), T.StructField("distance", T.IntegerType())])
     found = None
-    for block in item_blocks(benchmark):
+    for block in item_blocks(benchmark, item_id=item_id):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
@@ -133,21 +145,17 @@ def find(docs: DataFrame, benchmark: DataFrame, *, doc_id="doc_id", text="text",
             for batch in batches:
                 hits = [(i, *h) for i, t in enumerate(batch.column(1)) for h in matcher.hits(t.as_py())]
                 ids = batch.column(0).take(pa.array([h[0] for h in hits], pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([h[1] for h in hits], _arrow(kind)), pa.array([h[2] for h in hits], pa.int32())], ["doc_id", "item_id", "distance"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array([h[1] for h in hits], to_arrow_type(kind)), pa.array([h[2] for h in hits], pa.int32())], ["doc_id", "item_id", "distance"])
 
         part = rows.mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def _arrow(kind: T.DataType) -> pa.DataType:
-    return {"long": pa.int64(), "integer": pa.int32(), "string": pa.string()}[kind.typeName()]
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, *, text="text", error_rate=ERROR_RATE) -> DataFrame:
-    """The documents that hold no item, with all their columns."""
+def clean(docs: DataFrame, benchmark: DataFrame, *, text="text", item_id="item_id", error_rate=ERROR_RATE, min_chars=MIN_CHARS) -> DataFrame:
+    """The documents that hold no item, with all their columns. Items under `min_chars` are no evidence of a leak: ordinary prose holds them too."""
     at = docs.columns.index(text)
-    for block in item_blocks(benchmark):
+    for block in item_blocks(benchmark, item_id=item_id, min_chars=min_chars):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):

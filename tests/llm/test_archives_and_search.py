@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -114,9 +115,9 @@ def spoil(text, edits, rng):
 def test_leaks_against_brute_force(spark, monkeypatch):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
-    items = [(i, " ".join(word() for _ in range(rng.randint(6, 30)))) for i in range(12)] + [(50, None), (51, ""), (52, "too short")]
+    items = [(i, " ".join(word() for _ in range(rng.randint(6, 30)))) for i in range(12)] + [(50, None), (51, ""), (52, "too short"), (53, "short"), (54, "ort"), (55, " "), (56, "What is 7 * 6?")]
     items.append((60, items[0][1].upper()))
-    docs = [(0, None), (1, ""), (2, "too short")]
+    docs = [(0, None), (1, ""), (2, "too short"), (3, "so what is\n7 * 6? ask"), (4, "tooshort shorts"), (5, "short")]
     for k in range(60):
         item = items[k % 12][1]
         docs.append((10 + k, " ".join(word() for _ in range(20)) + " " + spoil(item, k // 12 * 2, rng).replace(" ", "\n ") + " " + " ".join(word() for _ in range(9))))
@@ -128,12 +129,24 @@ def test_leaks_against_brute_force(spark, monkeypatch):
             body, it = decontam.normal(text), decontam.normal(item)
             if len(it) >= decontam.MIN_CHARS and body and (n := substring_distance(it, body)) <= int(len(it) * decontam.ERROR_RATE):
                 want.add((d, i, n))
+            elif 0 < len(it) < decontam.MIN_CHARS and re.search(rf"(?<![^\W_]){re.escape(it)}(?![^\W_])", body):
+                want.add((d, i, 0))
     assert len(want) > 30
     assert {tuple(r) for r in decontam.find(frame, bench).collect()} == want
     monkeypatch.setattr(decontam, "BLOCK_CHARS", 600)
     assert {tuple(r) for r in decontam.find(frame, bench).collect()} == want
     clean = decontam.clean(frame.selectExpr("*", "1 AS item_id"), bench)
-    assert {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {w[0] for w in want} and clean.columns == ["doc_id", "text", "item_id"]
+    long = {i for i, t in items if len(decontam.normal(t)) >= decontam.MIN_CHARS}
+    assert {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {w[0] for w in want if w[1] in long} and clean.columns == ["doc_id", "text", "item_id"]
+
+
+@pytest.mark.parametrize("kind", ["short", "string", "decimal(9,0)", "double"])
+def test_items_with_ids_of_any_type(spark, kind):
+    bench = spark.createDataFrame([(1, "a passage of more than twenty-four characters"), (None, "brief one")], "item_id int, text string").selectExpr(f"cast(item_id AS {kind}) AS item_id", "text")
+    docs = spark.createDataFrame([(7, "x a passage of more than twenty four characters, and brief one")], "doc_id long, text string")
+    found = decontam.find(docs, bench)
+    assert found.schema["item_id"].dataType == bench.schema["item_id"].dataType
+    assert sorted((r.doc_id, r.item_id is None, r.distance) for r in found.collect()) == [(7, False, 1), (7, True, 0)]
 
 
 def test_no_benchmark_and_no_documents(spark, no_docs, edge_docs):
