@@ -20,9 +20,11 @@ _unshared: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (in tests on one machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a new one if all run on one machine (as in tests), else an error: executors' own folders would hide rows."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _unshared:
             _unshared.append("file://" + tempfile.mkdtemp(prefix="deltascope-"))
         base = _unshared[0]

@@ -340,6 +340,6 @@ def one_of_each_group(docs: DataFrame, *, doc_id="doc_id", text="text", **option
     named = near_duplicate_groups(docs, doc_id=doc_id, text=text, **options).filter(F.col("doc_id").eqNullSafe(F.col("group_id")))
     kept = named.groupBy("root").agg(F.first("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash")).select("doc_id", "text_hash")
     kept = kept.select(*_identity("doc_id", "text_hash"))
-    keyed = docs.select("*", *_identity(doc_id, F.xxhash64(text)))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_identity(doc_id, F.xxhash64(text)))
     once = Window.partitionBy(*_IDENTITY).orderBy(F.lit(0))
-    return keyed.join(kept, _IDENTITY, "left_semi").withColumn("__copy", F.row_number().over(once)).filter("__copy = 1").select(*docs.columns)
+    return keyed.join(kept, _IDENTITY, "left_semi").withColumn("__copy", F.row_number().over(once)).filter("__copy = 1").select("row.*")
