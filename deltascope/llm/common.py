@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,12 +32,34 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_held: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _held:
+        _held[-1].append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables written inside are deleted at the end; what is to stay is written to a path made before."""
+    _held.append([])
+    try:
+        yield
+    finally:
+        for path in _held.pop():
+            delete(spark, path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as a table in the shared folder and read again: a lost executor costs no recomputation."""
+    """df, written as a table in the shared folder and read again: a lost executor costs no recomputation. It stays until `scratch` or the cluster's own clean-up deletes it."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,10 +11,15 @@ Lengths are integers of 2**-24 copies: sums are exact in any order, and reruns
 agree. Documents are ordered by size class first, which spreads the teeth over
 short and long documents alike, so the words taken come near the target.
 
+The words taken differ from a source's target by less than its longest document
+(systematic sampling takes whole documents): with few documents, some of them
+very long, that may be a large share of a small source's target.
+
 Defined results: null text has size 0; the null source is a source of its own
 and comes last; a source without words has target 0 and none of its documents
 is taken; null ids are ordered first; equal rows are interchangeable; an empty
-table gives an empty result. Other columns are only carried on request.
+table gives an empty result; texts of any length are counted whole. Other
+columns, whatever their names, are only carried on request.
 """
 
 from __future__ import annotations

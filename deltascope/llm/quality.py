@@ -8,7 +8,10 @@ positives and SAMPLE_ROWS unlabelled documents, chosen by a hash of the id.
 
 Defined results: null text scores as the empty text; without positives or
 unlabelled rows every score is the prior; a document labelled more than once is
-positive if any label is; a null id counts as the empty text for folds.
+positive if any label is; a null id counts as the empty text for folds; texts of
+any length are read whole; equal texts have equal scores, so repeated rows do too;
+a score of exactly 0.3 is predicted 1; an empty table gives an empty result; other
+columns, whatever their names, are left.
 """
 
 from __future__ import annotations

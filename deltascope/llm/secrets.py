@@ -126,7 +126,7 @@ def _spans(kind: str) -> str:
 
 def scan(docs: DataFrame, ratios: list[float], *, doc_id="doc_id", text="text") -> DataFrame:
     """doc_id, base and spans: arrays of (start, rank, end, kind), sorted by start and then by kind."""
-    body = F.translate(F.coalesce(F.col(text), F.lit("")), MARK, OTHER)
+    body = F.replace(F.coalesce(F.col(text), F.lit("")), F.lit(MARK), F.lit(OTHER))
     marked = docs.select(F.col(doc_id).alias("doc_id"), body.alias("body")).select("doc_id", *[F.split(F.regexp_replace("body", pattern, f"{MARK}$0{MARK}"), MARK, -1).alias(kind) for kind, pattern in KINDS.items()])
     # pieces between matches and matches take turns
     turns = [(f"{kind}_hits", F.filter(kind, lambda x, i: i % 2 == 1)) for kind in KINDS] + [(f"{kind}_gaps", F.transform(F.filter(kind, lambda x, i: i % 2 == 0), lambda x: F.length(x))) for kind in KINDS]

@@ -16,7 +16,10 @@ numbered by many tasks.
 Defined results: null text has no bytes (size 8, crc 0) and forms a group of its
 own; a group larger than a fair share makes its shard as large as it is and the
 other shards share the rest; shards stay empty only when there are fewer atoms
-than shards; equal rows are interchangeable; an empty table gives an empty result.
+than shards; equal rows are interchangeable; of atoms that fit either side of a
+cut the side nearer to the fair share is taken, the earlier cut on a tie; texts of
+any length enter by their length and hashes; other columns, whatever their names,
+are left; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -13,7 +13,10 @@ are one response, under the smallest page_id (a null id counts as larger than
 any), and revisits that refer to it; rows that repeat page_id and payload of a
 response are responses as well; CR and LF in a url become spaces, null urls and
 ids are left out of the header; a chain ends where a record is cut short or its
-successor isn't a record; no rows give archives without records.
+successor isn't a record; no rows give archives without records; payloads of any
+length are written and read whole (one record's payload is held at a time, with
+those of false candidates inside it); ties between equal payloads go to the
+smallest page_id; other columns, whatever their names, are left.
 """
 
 from __future__ import annotations
