@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next stage's docs; all but the last return the
 columns of documents. Stages filter or repeat whole rows and never change one.
+
+Defined results: null texts and texts without a letter have no language and go
+(null languages are no reason to); of rows equal in id and text one stays; rows
+with null ids are kept apart by their texts; ties between near-duplicates go to
+the smallest id; texts of any length are read whole; other columns, whatever
+their names, are carried up to the last stage, whose rows name doc_id, size,
+text_crc32, law, shard, slot and grown_shard; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -10,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from deltascope.llm import decontam, langid, mixing, sharding, simhash
-from deltascope.llm.common import table, written
+from deltascope.llm.common import delete, new_path, scratch, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +52,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. Each stage's own tables, and its input, go once its output is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        path = new_path(spark, name)
+        with scratch(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        if last is not None:
+            delete(spark, last)
+        docs, last = spark.read.schema(made.schema).parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
