@@ -55,6 +55,19 @@ def row_fingerprint(texts: list[Column]) -> Column:
     return F.sha2(F.concat(*parts).cast("binary"), 256)
 
 
+def _stripped(text: Column) -> Column:
+    """Decimal notation without needless zeros and minus."""
+    return F.regexp_replace(F.regexp_replace(text, r"\.0*$|(\.[0-9]*[1-9])0+$", "$1"), "^-0$", "0")
+
+
+def exact_number(text: Column) -> Column:
+    """The text of a number of any type, so that equal numbers have equal texts: plain notation where a decimal can hold it, else (beyond any decimal) as it is."""
+    exponent = F.regexp_extract(text, r"E(-?[0-9]+)$", 1).try_cast("int")
+    wide = lambda kind: text.try_cast(kind).cast("string")
+    plain = F.when(exponent.between(0, 19), wide("decimal(38,18)")).when(exponent.between(20, 37), wide("decimal(38,0)")).when(exponent.between(-21, -1), wide("decimal(38,37)"))
+    return _stripped(F.when(text.contains("E"), F.coalesce(plain, text)).otherwise(text))
+
+
 def family(kind: T.DataType) -> str | None:
     """Types that profiling compares with each other."""
     if isinstance(kind, T.BooleanType):
@@ -72,8 +85,7 @@ def family_key(column: Column, kind: T.DataType, normalise: bool = False) -> Col
     """A text that is equal for equal values of a family, and never longer than a digest."""
     which = family(kind)
     if which == "number":
-        text = column.cast("string")
-        return F.coalesce(text.try_cast("decimal(38,10)").cast("string"), text)
+        return exact_number(column.cast("string"))
     if which == "date":
         return F.date_format(column.cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     if which == "binary":
@@ -96,8 +108,10 @@ def body(text: Column) -> Column:
 
 
 def number(text: Column) -> Column:
-    """The numeric view: integers, decimals and finite floats; never booleans or text."""
-    return F.when(tag(text).isin("I", "M", "F"), body(text).try_cast("decimal(38,10)"))
+    """The numeric view: integers, decimals and finite floats; never booleans or text, nor numbers that DECIMAL(38,10) doesn't hold exactly."""
+    value = body(text).try_cast("decimal(38,10)")
+    finer = F.coalesce(*[body(text).try_cast(kind).cast("string") for kind in ("decimal(38,37)", "decimal(38,18)", "decimal(38,10)")])
+    return F.when(tag(text) == "I", value).when(tag(text).isin("M", "F") & (_stripped(value.cast("string")) == _stripped(finer)), value)
 
 
 def integer(text: Column) -> Column:

@@ -2,8 +2,10 @@
 
 Keyed tables are joined on their key's canonical text (never NULL, so the join is
 a plain equi-join); keyless ones are compared as bags by one signed aggregate.
-Results are long: row_changes(table, key_type, op, key, before, after) and
-field_changes(table, key, column, before, after), with canonical texts.
+Both compare hashes of rows first and fetch rows only where something changed.
+Results are long: row_changes(table, key_type, op, key, before, after, ord) and
+field_changes(table, key, column, before, after), with canonical texts; `ord` is
+the row's place in its source.
 """
 
 from __future__ import annotations
@@ -12,15 +14,14 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.canonical import row_fingerprint
 from ..sources.catalog import Table
-from .snapshot import Snapshot, TableSnapshot
+from .snapshot import ORD, Snapshot, TableSnapshot, in_order
 
-ROW_CHANGES = "table string, key_type string, op string, row_id long, key map<string,string>, before map<string,string>, after map<string,string>"
+ROW_CHANGES = "table string, key_type string, op string, row_id long, key map<string,string>, before map<string,string>, after map<string,string>, ord long"
 #: Fields in which a probable update may differ, comparisons beyond which none is sought, and rows under which a candidate key is doubtful.
 MAX_FIELDS, PAIRING_CAP, SMALL_TABLE = 2, 1_000_000, 50
 
@@ -41,55 +42,86 @@ def is_unique(rows: DataFrame, key: list[str]) -> bool:
     return rows.groupBy(*[F.col(f"`{k}`") for k in key]).count().filter("count > 1").isEmpty()
 
 
+#: Two 64-bit hashes name a row among the rows of two snapshots.
+_PRINT = ["f1", "f2"]
+
+
+def _print(columns: list[str]) -> list[F.Column]:
+    texts = [F.col(f"`{c}`") for c in columns]
+    return [F.xxhash64(*texts).alias("f1"), F.xxhash64(F.lit("second"), *texts).alias("f2")]
+
+
 def keyed_diff(name: str, before: DataFrame, after: DataFrame, columns: list[str], key: list[str], key_type: str) -> DataFrame:
-    """Rows after only: insert; before only: delete; both and unequal: update."""
-    pack = lambda df, side: df.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(key)], F.struct(*[F.col(f"`{c}`") for c in columns]).alias(side))
-    both = pack(before, "b").join(pack(after, "a"), [f"k{i}" for i in range(len(key))], "full_outer")
+    """Rows after only: insert; before only: delete; both and unequal: update.
+
+    Only keys and hashes of rows are compared; the rows themselves are fetched for the keys that differ.
+    """
+    on = [f"k{i}" for i in range(len(key))]
+    keyed = lambda df: in_order(df).select(*[F.col(f"`{k}`").alias(i) for i, k in zip(on, key, strict=True)], *_print(columns), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), ORD)
+    b, a = keyed(before), keyed(after)
+    sides = b.select(*on, F.struct(*_PRINT).alias("b")).join(a.select(*on, F.struct(*_PRINT).alias("a")), on, "full_outer")
     op = F.when(F.col("b").isNull(), "insert").when(F.col("a").isNull(), "delete").when(F.col("b") != F.col("a"), "update")
-    keys = F.map_from_arrays(F.array(*[F.lit(k) for k in key]), F.array(*[F.col(f"k{i}") for i in range(len(key))]))
-    changed = both.withColumn("op", op).filter("op IS NOT NULL").select(
-        F.lit(name).alias("table"), F.lit(key_type).alias("key_type"), "op", F.lit(0).alias("copy"), keys.alias("key"),
-        F.when(F.col("b").isNotNull(), _map(columns, "b.")).alias("before"), F.when(F.col("a").isNotNull(), _map(columns, "a.")).alias("after"),
+    differ = sides.select(*on, op.alias("op")).filter("op IS NOT NULL")
+    whole = lambda df, side: df.select(*on, F.col("row").alias(side), F.col(ORD).alias(f"{side}_ord"))
+    both = differ.join(whole(b, "b"), on, "left").join(whole(a, "a"), on, "left")
+    keys = F.map_from_arrays(F.array(*[F.lit(k) for k in key]), F.array(*[F.col(i) for i in on]))
+    changed = both.select(
+        F.lit(name).alias("table"), F.lit(key_type).alias("key_type"), "op", F.lit(0).alias("copy"), keys.alias("key"), F.when(F.col("b").isNotNull(), _map(columns, "b.")).alias("before"),
+        F.when(F.col("a").isNotNull(), _map(columns, "a.")).alias("after"), F.coalesce("a_ord", "b_ord").alias("ord"),
     )
     return changed.withColumn("row_id", _row_id(name)).select(*[f.name for f in T.StructType.fromDDL(ROW_CHANGES)])
 
 
 def bag_diff(name: str, before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:
-    """Copies that one side has more: row_added and row_removed. One shuffle of fingerprints, partially summed first."""
-    side = lambda df, sign: df.select(row_fingerprint([F.col(f"`{c}`") for c in columns]).alias("fp"), _map(columns).alias("row"), F.lit(sign).alias("sign"))
-    summed = side(before, -1).unionAll(side(after, 1)).groupBy("fp").agg(F.sum("sign").alias("n"), F.first("row").alias("row")).filter("n <> 0")
-    copies = summed.select("*", F.explode(F.sequence(F.lit(1), F.abs("n").cast("int"))).alias("copy"))
-    added = F.col("n") > 0
-    changed = copies.select(
-        F.lit(name).alias("table"), F.lit(NO_KEY).alias("key_type"), F.when(added, "row_added").otherwise("row_removed").alias("op"), "copy",
-        F.lit(None).cast("map<string,string>").alias("key"), F.when(~added, F.col("row")).alias("before"), F.when(added, F.col("row")).alias("after"),
-    )
-    return changed.withColumn("row_id", _row_id(name)).select(*[f.name for f in T.StructType.fromDDL(ROW_CHANGES)])
+    """Copies that one side has more, the last ones in source order: row_added and row_removed.
+
+    Hashes of rows are counted with their sign, summed before the shuffle; rows are
+    fetched only for hashes whose sum isn't zero. Copies are listed by pieces of the
+    source, so copies of one row, however many, are dealt out.
+    """
+    side = lambda df: in_order(df).select(*_print(columns), F.col(ORD).alias("ord"), F.shiftright(ORD, 33).alias("piece"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    b, a = side(before), side(after)
+    signed = b.select(*_PRINT, F.lit(-1).alias("sign")).unionAll(a.select(*_PRINT, F.lit(1).alias("sign")))
+    more = signed.groupBy(*_PRINT).agg(F.sum("sign").alias("n")).filter("n <> 0")
+    later = F.coalesce(F.sum("held").over(Window.partitionBy(*_PRINT).orderBy(F.desc("piece")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    def extra(df: DataFrame, sign: int) -> DataFrame:
+        met = df.join(more.filter(F.col("n") * sign > 0).select(*_PRINT, F.abs("n").alias("n")), _PRINT)
+        pieces = met.groupBy(*_PRINT, "piece").agg(F.sort_array(F.collect_list("ord"), asc=False).alias("ords"), F.first("row").alias("row"), F.first("n").alias("n"), F.count("*").alias("held"))
+        pieces = pieces.withColumn("later", later).filter("later < n")
+        copies = pieces.select("row", "later", F.posexplode(F.slice("ords", 1, F.least(F.col("n") - F.col("later"), F.col("held")).cast("int"))).alias("at", "ord"))
+        row, none = _map(columns, "row."), F.lit(None).cast("map<string,string>")
+        return copies.select(
+            F.lit(name).alias("table"), F.lit(NO_KEY).alias("key_type"), F.lit("row_added" if sign > 0 else "row_removed").alias("op"), (F.col("later") + F.col("at") + 1).alias("copy"),
+            none.alias("key"), (none if sign > 0 else row).alias("before"), (row if sign > 0 else none).alias("after"), "ord",
+        )
+
+    return extra(b, -1).unionByName(extra(a, 1)).withColumn("row_id", _row_id(name)).select(*[f.name for f in T.StructType.fromDDL(ROW_CHANGES)])
 
 
 def candidate_pairs(changes: DataFrame, columns: list[str]) -> DataFrame:
-    """added, removed (row ids) and the number of fields in which they differ, at most MAX_FIELDS.
+    """added, removed (row ids), their places a_ord and r_ord, and the number of fields in which they differ, at most MAX_FIELDS.
 
     With three or more columns the columns are dealt into MAX_FIELDS + 1 groups; two
     rows that differ in at most MAX_FIELDS fields agree on a whole group, so they meet in an
     equi-join. With fewer columns every pair qualifies, and the cap bounds their number.
     """
     texts = lambda side: F.transform(F.array(*[F.lit(c) for c in columns]), lambda c: F.element_at(side, c))
-    added = changes.filter("op = 'row_added'").select(F.col("row_id").alias("added"), texts(F.col("after")).alias("a"))
-    removed = changes.filter("op = 'row_removed'").select(F.col("row_id").alias("removed"), texts(F.col("before")).alias("b"))
+    added = changes.filter("op = 'row_added'").select(F.col("row_id").alias("added"), F.col("ord").alias("a_ord"), texts(F.col("after")).alias("a"))
+    removed = changes.filter("op = 'row_removed'").select(F.col("row_id").alias("removed"), F.col("ord").alias("r_ord"), texts(F.col("before")).alias("b"))
     n = MAX_FIELDS + 1 if len(columns) > MAX_FIELDS else 1
     groups = [[i for i in range(len(columns)) if i % n == g] for g in range(n)] if n > 1 else [[]]
     key = lambda side: F.array(*[F.xxhash64(F.lit(g), *[F.element_at(side, i + 1) for i in own]) for g, own in enumerate(groups)])
     met = added.withColumn("k", F.explode(key(F.col("a")))).join(removed.withColumn("k", F.explode(key(F.col("b")))), "k")
     fields = F.size(F.filter(F.zip_with("a", "b", lambda x, y: x != y), lambda d: d))
-    return met.select("added", "removed", fields.alias("fields")).filter(F.col("fields") <= MAX_FIELDS).distinct()
+    return met.select("added", "removed", "a_ord", "r_ord", fields.alias("fields")).filter(F.col("fields") <= MAX_FIELDS).distinct()
 
 
 def _greedy(pairs: pd.DataFrame) -> pd.DataFrame:
-    """Each added row, in order, takes the nearest removed row that is still free."""
+    """Each added row, in source order, takes the nearest removed row that is still free, of equally near ones the first."""
     taken, rows = set(), []
-    for added, own in pairs.sort_values(["added", "fields", "removed"]).groupby("added", sort=True):
-        for removed in own["removed"]:
+    for _, own in pairs.sort_values(["a_ord", "fields", "r_ord"]).groupby(["a_ord", "added"], sort=True):
+        for added, removed in zip(own["added"], own["removed"], strict=True):
             if removed not in taken:
                 taken.add(removed)
                 rows.append((added, removed))
@@ -97,24 +129,38 @@ def _greedy(pairs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["added", "removed"])
 
 
-def probable_updates(changes: DataFrame, columns: list[str], name: str, cap: int = PAIRING_CAP) -> tuple[DataFrame, dict | None]:
-    """Pairs of an added and a removed row become probable updates. Beyond the cap there are none, and a warning."""
+def _in_rounds(pairs: DataFrame) -> DataFrame:
+    """The same choice without gathering the pairs: a pair is settled once its removed row is the best left for the added one and no earlier added row is left that could want it. Rounds are as many as the longest chain of such waits."""
+    pairs, settled = pairs.checkpoint(), []
+    while not pairs.isEmpty():
+        best = pairs.groupBy("added").agg(F.min(F.struct("fields", "r_ord", "removed")).alias("best")).select("added", "best.removed")
+        first = pairs.groupBy("removed").agg(F.min(F.struct("a_ord", "added")).alias("first")).select("removed", "first.added")
+        settled.append(best.join(first, ["added", "removed"]).checkpoint())
+        done = settled[-1]
+        pairs = pairs.join(done.select("added"), "added", "left_anti").join(done.select("removed"), "removed", "left_anti").checkpoint()
+    return reduce(DataFrame.unionByName, settled) if settled else pairs.select("added", "removed")
+
+
+def probable_updates(changes: DataFrame, columns: list[str], name: str, cap: int | None = PAIRING_CAP) -> tuple[DataFrame, dict | None]:
+    """Pairs of an added and a removed row become probable updates. Beyond the cap there are none, and a warning; with a cap of None there is no limit."""
     n = {r.op: r["count"] for r in changes.groupBy("op").count().collect()}
     added, removed = n.get("row_added", 0), n.get("row_removed", 0)
-    if added * removed > cap:
+    if cap is not None and added * removed > cap:
         details = {"lignes_ajoutees_non_appariees": str(added), "lignes_supprimees_non_appariees": str(removed)}
         message = f"{name}: {added} added and {removed} removed rows are too many to look for probable updates (cap: {cap} comparisons)."
         return changes, {"table": name, "code": "appariement_plafond_atteint", "message": message, "details": details}
     if not added or not removed:
         return changes, None
-    pairs = candidate_pairs(changes, columns).withColumn("table", F.lit(name))
-    # sequential by definition; the cap bounds the group
-    chosen = pairs.groupBy("table").applyInPandas(lambda p: _greedy(p), "added long, removed long")
-    left = changes.filter("op = 'row_added'").select(F.col("row_id").alias("added"), F.col("after").alias("new"))
+    pairs = candidate_pairs(changes, columns)
+    if cap is None:
+        chosen = _in_rounds(pairs)
+    else:  # sequential by definition; the cap bounds the group
+        chosen = pairs.withColumn("table", F.lit(name)).groupBy("table").applyInPandas(lambda p: _greedy(p), "added long, removed long")
+    left = changes.filter("op = 'row_added'").select(F.col("row_id").alias("added"), F.col("after").alias("new"), "ord")
     right = changes.filter("op = 'row_removed'").select(F.col("row_id").alias("removed"), F.col("before").alias("old"))
     paired = chosen.join(left, "added").join(right, "removed").select(
         F.lit(name).alias("table"), F.lit(NO_KEY).alias("key_type"), F.lit("probable_update").alias("op"), F.col("added").alias("row_id"),
-        F.lit(None).cast("map<string,string>").alias("key"), F.col("old").alias("before"), F.col("new").alias("after"),
+        F.lit(None).cast("map<string,string>").alias("key"), F.col("old").alias("before"), F.col("new").alias("after"), "ord",
     )
     used = chosen.select(F.explode(F.array("added", "removed")).alias("row_id"))
     return changes.join(used, "row_id", "left_anti").select(*changes.columns).unionByName(paired), None
@@ -153,7 +199,7 @@ def _describe(table: Table) -> list[dict]:
     return [{"name": c, "type": table.declared_type(c)} for c in table.columns]
 
 
-def diff_table(before: TableSnapshot, after: TableSnapshot, candidate_key=None, cap: int = PAIRING_CAP) -> tuple[DataFrame, dict | None, list[dict]]:
+def diff_table(before: TableSnapshot, after: TableSnapshot, candidate_key=None, cap: int | None = PAIRING_CAP) -> tuple[DataFrame, dict | None, list[dict]]:
     """Row changes, the schema change if any, and warnings."""
     old, new, name, warnings, schema_change = before.table, after.table, after.table.name, [], None
     columns, rows_before, rows_after, key = new.columns, before.rows, after.rows, new.primary_key
@@ -166,7 +212,7 @@ def diff_table(before: TableSnapshot, after: TableSnapshot, candidate_key=None,
             "table": name, "code": "schema_modifie_colonnes_communes", "message": f"{name}: the schema changed; only common columns are compared.",
             "details": {"colonnes_ajoutees": ",".join(gained), "colonnes_supprimees": ",".join(lost), "colonnes_retypees": ",".join(retyped)},
         })
-        rows_before, rows_after = before.rows.select(*[f"`{c}`" for c in columns]), after.rows.select(*[f"`{c}`" for c in columns])
+        rows_before, rows_after = (in_order(t.rows).select(*[f"`{c}`" for c in columns], ORD) for t in (before, after))
         key = new.primary_key if new.primary_key == old.primary_key and set(new.primary_key) <= set(columns) else ()
     found = None
     if key:  # a declared key that isn't unique doesn't hand over to a candidate
@@ -183,7 +229,7 @@ def diff_table(before: TableSnapshot, after: TableSnapshot, candidate_key=None,
     return found, schema_change, warnings
 
 
-def diff_snapshots(spark: SparkSession, before: Snapshot, after: Snapshot, candidate_keys=None, noise_tables=(), cap: int = PAIRING_CAP) -> DiffResult:
+def diff_snapshots(spark: SparkSession, before: Snapshot, after: Snapshot, candidate_keys=None, noise_tables=(), cap: int | None = PAIRING_CAP) -> DiffResult:
     """Tables that are equal in count and fingerprint aren't read. Changes of noise tables (named in any case) go to `noise`; their warnings stay."""
     noisy = {n.lower() for n in noise_tables}
     found, noise, schema, warnings = [], [], [], []

@@ -18,6 +18,7 @@ from ..functions.canonical import body, day, integer, moment, number, plain, tag
 from ..functions.matching import glob, trivial
 from .cells import inserted_rows
 from .links import prepared
+from .snapshot import ORD, in_order
 
 REF = ["table", "row_id", "column"]
 MARGIN = timedelta(minutes=2)
@@ -103,7 +104,7 @@ def counter(cells: DataFrame, ctx: Context) -> DataFrame:
         F.when((p0 == p1) & (F.length(d0) == F.length(d1)), d1.try_cast("decimal(38,0)") - d0.try_cast("decimal(38,0)")),
     )
     is_int = tag(F.col("value")) == "I"
-    step = F.concat(F.lit("+"), F.col("delta").cast("string"), F.lit(" depuis "), shown(F.col("before")))
+    step = F.concat(shown(F.col("before")), F.lit(" → "), shown(F.col("value")))
     found.append(
         old.withColumn("delta", delta).filter("delta > 0").join(shared, ["table", "column"], "left")
         .filter((F.col("delta") == 1) | (is_int & F.coalesce(F.col("several") & F.col("same"), F.lit(False)))).select(*REF, step.alias("detail"))
@@ -154,12 +155,13 @@ def copied(cells: DataFrame, ctx: Context) -> DataFrame:
     for name, key in targets:
         if name in ctx.before:
             rows = ctx.before[name]
-            others = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(c).alias("other"), F.col(f"`{c}`").alias("value")) for i, c in enumerate(rows.columns) if c != key])
-            if len(rows.columns) > 1:
+            columns = [c for c in rows.columns if c not in (key, ORD)]
+            if columns:
                 # only rows that a cell refers to are unpivoted; the first row of a repeated key counts
+                others = F.array(*[F.struct(F.lit(rows.columns.index(c)).alias("place"), F.lit(c).alias("other"), F.col(f"`{c}`").alias("value")) for c in columns])
                 needed = asked.filter((F.col("dst_table") == name) & (F.col("dst_column") == key)).select("fk").distinct()
-                held = rows.select(F.col(f"`{key}`").alias("fk"), others.alias("others")).join(needed, "fk")
-                held = held.withColumn("n", F.row_number().over(Window.partitionBy("fk").orderBy(F.to_json("others")))).filter("n = 1")
+                held = in_order(rows).select(F.col(f"`{key}`").alias("fk"), others.alias("others"), ORD).join(needed, "fk")
+                held = held.groupBy("fk").agg(F.min_by("others", ORD).alias("others"))
                 parts.append(held.select(F.lit(name).alias("dst_table"), F.lit(key).alias("dst_column"), "fk", F.explode("others").alias("o")).select("dst_table", "dst_column", "fk", "o.*"))
     if not parts:
         return _none(cells)

@@ -30,7 +30,7 @@ def prepared(inputs: DataFrame) -> DataFrame:
 
 def invalid_inputs(ready: DataFrame) -> DataFrame:
     """Warnings for inputs that can't be sought; these are no deviations."""
-    message = F.concat(F.lit("La valeur « "), "value", F.lit(" » du champ « "), "field", F.lit(" » n'est pas un(e) "), "type", F.lit(" valide : elle ne peut pas être recherchée."))
+    message = F.concat("field", F.lit(" : « "), "value", F.lit(" » ne se lit pas comme "), "type", F.lit(", saisie laissée de côté."))
     details = F.create_map(F.lit("champ_ecran"), "field", F.lit("ecran"), "screen")
     return ready.filter("NOT valid").select(F.lit(None).cast("string").alias("table"), F.lit("valeur_saisie_invalide").alias("code"), message.alias("message"), details.alias("details"))
 
@@ -110,9 +110,9 @@ def deviations(inputs: DataFrame, cells: DataFrame, found: DataFrame) -> DataFra
         .otherwise(F.when(tag(cell) == "T", F.rtrim(body(cell))).otherwise(whole))
     )
     long_enough = ~F.col("type").isin("texte", "code") | (F.length("target") >= MIN_DEVIATION)
-    near = lost.join(free.select("field", "screen", "table", "column", "row_id", F.col("value").alias("found")), ["field", "screen"]).withColumn("shape", shape)
+    near = lost.join(free.select("field", "screen", "table", "column", "row_id", *(["ord"] if "ord" in cells.columns else []), F.col("value").alias("found")), ["field", "screen"]).withColumn("shape", shape)
     near = near.filter(long_enough & (F.col("shape") != F.col("target")) & one_edit_apart(F.col("shape"), F.col("target")))
-    first = Window.partitionBy("input_id").orderBy("table", "row_id", "column")
+    first = Window.partitionBy("input_id").orderBy("table", *(["ord"] if "ord" in cells.columns else []), "row_id", "column")
     near = near.withColumn("n", F.row_number().over(first)).filter("n = 1").select("input_id", "table", "column", "found")
     kind = F.when(F.col("found").isNotNull(), "valeur_differente").otherwise("introuvable")
     return lost.join(near, "input_id", "left").select("field", "screen", F.col("value").alias("expected"), kind.alias("kind"), "table", "column", F.substring("found", 3, 1 << 30).alias("found"))

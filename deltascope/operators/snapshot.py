@@ -12,9 +12,13 @@ from ..functions.canonical import canonical, row_fingerprint
 from ..sources.catalog import Source, Table
 
 
+#: A snapshot's column of row places in source order: unique and rising, not consecutive.
+ORD = "__ord"
+
+
 @dataclass
 class TableSnapshot:
-    """A table as it was: `rows` has one canonical text column for each column of the table."""
+    """A table as it was: `rows` has one canonical text column for each column of the table, and ORD."""
 
     table: Table
     rows: DataFrame
@@ -41,6 +45,11 @@ def canonical_rows(table: Table, normalise: set[str] | None = None, columns: lis
     return table.df.select(*[canonical(F.col(f"`{c}`"), table.kind(c), c in which).alias(c) for c in (columns or table.columns)])
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """rows with ORD, as a scan gives them; kept where it is there."""
+    return rows if ORD in rows.columns else rows.withColumn(ORD, F.monotonically_increasing_id())
+
+
 def with_fingerprint(rows: DataFrame, columns: list[str], name: str = "fingerprint") -> DataFrame:
     return rows.withColumn(name, row_fingerprint([F.col(f"`{c}`") for c in columns]))
 
@@ -61,7 +70,7 @@ def table_digest(rows: DataFrame, columns: list[str]) -> DataFrame:
 def take_table(table: Table, path: str | None = None) -> TableSnapshot:
     """With a path the rows are written there, so later changes of the source don't reach the snapshot."""
     began = time.monotonic()
-    rows = canonical_rows(table)
+    rows = in_order(canonical_rows(table))
     if path is not None:
         rows.write.mode("overwrite").parquet(path)
         rows = table.df.sparkSession.read.schema(rows.schema).parquet(path)
@@ -88,4 +97,4 @@ def stats(snapshot: Snapshot, spark) -> DataFrame:
 
 def snapshot_of(table: Table) -> TableSnapshot:
     """Rows of a table without counting or fingerprinting them: for comparing two tables outright."""
-    return TableSnapshot(table, canonical_rows(table), -1, "")
+    return TableSnapshot(table, in_order(canonical_rows(table)), -1, "")

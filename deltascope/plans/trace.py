@@ -76,7 +76,7 @@ def _fields(before: dict, after: dict) -> list[dict]:
 
 def changes_to_json(changes: DataFrame) -> list[dict]:
     tables: dict[str, dict] = {}
-    for r in changes.orderBy("table", "op", "row_id").toLocalIterator():
+    for r in changes.orderBy("table", "op", "ord", "row_id").toLocalIterator():
         t = tables.setdefault(r["table"], {"table": r["table"], "type_cle": r.key_type, "inserts": [], "updates": [], "deletes": [], "lignes_ajoutees": [], "lignes_supprimees": [], "updates_probables": []})
         if r.op == "insert":
             t["inserts"].append({"cle": _values(r.key), "valeurs": _values(r.after)})
@@ -107,30 +107,47 @@ def changes_from_json(spark: SparkSession, changes: list[dict]) -> DataFrame:
                     key, before, after = None, text(c["avant"]), text(c["apres"])
                 else:
                     key, before, after = None, None if op == "row_added" else text(c), text(c) if op == "row_added" else None
-                rows.append((t["table"], t["type_cle"], op, n, key, before, after))
+                rows.append((t["table"], t["type_cle"], op, n, key, before, after, n))
     return spark.createDataFrame(rows, ROW_CHANGES)
 
 
+def _records(df: DataFrame, **names) -> list[dict]:
+    return [{names.get(k, k): v for k, v in r.asDict().items()} for r in df.toLocalIterator()]
+
+
+def interpretation_parts(found) -> dict:
+    """Links, computed fields, deviations and warnings of an interpretation, under the document's names."""
+    return {
+        "liens": _records(found.links, field="champ_ecran", screen="ecran", value="valeur", column="colonne", match_type="type_correspondance", confidence="confiance"),
+        "champs_calcules": [c | {"valeur": json_value(c["valeur"])} for c in _records(found.computed, column="colonne", value="valeur")],
+        "ecarts_saisie": _records(found.deviations, field="champ_ecran", screen="ecran", expected="valeur_attendue", kind="type", column="colonne", found="valeur_trouvee"),
+        "avertissements": _records(found.warnings),
+    }
+
+
 def build_trace(scenario: dict, execution: dict, base: dict, diff: DiffResult | None, interpretation) -> dict:
     """The document; a cancelled run keeps no comparison."""
     if execution.get("statut") == "annulee":
         diff, interpretation = None, None
-    own = lambda df, **names: [{names.get(k, k): v for k, v in r.asDict().items()} for r in df.toLocalIterator()] if df is not None else []
-    links = own(interpretation.links, field="champ_ecran", screen="ecran", value="valeur", column="colonne", match_type="type_correspondance", confidence="confiance") if interpretation else []
-    gaps = own(interpretation.deviations, field="champ_ecran", screen="ecran", expected="valeur_attendue", kind="type", column="colonne", found="valeur_trouvee") if interpretation else []
-    computed = own(interpretation.computed, column="colonne", value="valeur") if interpretation else []
-    warnings = list(diff.warnings) if diff else []
-    if interpretation:
-        warnings += own(interpretation.warnings)
+    parts = interpretation_parts(interpretation) if interpretation else {"liens": [], "champs_calcules": [], "ecarts_saisie": [], "avertissements": []}
     return {
         "format_version": FORMAT_VERSION, "fiche": {k: scenario[k] for k in ("id", "titre", "valeurs_saisies")}, "execution": execution, "base": base,
         "changements": changes_to_json(diff.changes) if diff else [],
         "bruit": [{"table": r["table"], "resume": r["summary"]} for r in summary(diff.noise).orderBy("table").collect()] if diff else [],
-        "liens": links, "champs_calcules": [c | {"valeur": json_value(c["valeur"])} for c in computed], "ecarts_saisie": gaps,
-        "schema_modifie": list(diff.schema_changes) if diff else [], "avertissements": warnings,
+        "liens": parts["liens"], "champs_calcules": parts["champs_calcules"], "ecarts_saisie": parts["ecarts_saisie"],
+        "schema_modifie": list(diff.schema_changes) if diff else [], "avertissements": [*(diff.warnings if diff else []), *parts["avertissements"]],
     }
 
 
+def duration(execution: dict) -> str:
+    """How long a run took, in minutes and seconds; empty if its bounds can't be read."""
+    try:
+        seconds = int((datetime.fromisoformat(execution["fin"]) - datetime.fromisoformat(execution["debut"])).total_seconds())
+    except (KeyError, TypeError, ValueError):
+        return ""
+    return f"{seconds // 60} min {seconds % 60:02d} s" if seconds >= 60 else f"{seconds} s"
+
+
 def read_trace(path: str) -> dict:
     with open(path, encoding="utf-8-sig") as f:
         found = json.load(f)
@@ -169,7 +186,7 @@ def render_report(trace: dict) -> str:
             table = f"<details><summary>{len(rows)} lignes</summary>{table}</details>"
         return f"<h2>{e(title)}</h2>{table}"
 
-    parts = [f"<h1>{e(trace['fiche']['id'])} – {e(trace['fiche'].get('titre'))}</h1>", f"<p>{e(trace['execution'].get('debut'))} – {e(trace['execution'].get('fin'))} : {e(trace['execution'].get('statut'))}</p>"]
+    parts = [f"<h1>{e(trace['fiche']['id'])} – {e(trace['fiche'].get('titre'))}</h1>", f"<p>{e(trace['execution'].get('debut'))} – {e(trace['execution'].get('fin'))} ({e(duration(trace['execution']))}) : {e(trace['execution'].get('statut'))}</p>"]
     for t in trace["changements"]:
         for name in ("inserts", "updates", "deletes", "lignes_ajoutees", "lignes_supprimees", "updates_probables"):
             parts.append(section(f"{t['table']} – {name}", t[name]))

@@ -2,14 +2,15 @@
 
 Each micro-batch is compared with the rows its keys had before, so the result is
 the same as a diff of two snapshots that differ by the batch. Rows are kept in an
-append-only store with the number of their batch; a batch that is run again after
-a failure finds its own output and replaces it.
+append-only store with the number of their batch, in parts by key; a batch that is
+run again after a failure finds its own output and replaces it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
@@ -27,17 +28,23 @@ def _read(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+#: Parts of the store by hash of the key: a batch reads only those that its keys are in.
+PARTS = 256
+
+
 def apply_batch(batch: DataFrame, number: int, name: str, key: list[str], store: str, changes: str) -> None:
-    """Writes the changes of a batch under {changes}/batch=n and its rows under {store}/batch=n. The last row of a repeated key counts."""
+    """Writes the changes of a batch under {changes}/batch=n and its rows under {store}/batch=n. Of rows with the same key the last one counts, in the order in which the source gives them."""
     spark = batch.sparkSession
     rows = canonical_rows(Table(name, batch))
     columns = rows.columns
-    last = rows.groupBy(*key).agg(F.max(F.struct(*[F.col(c) for c in columns])).alias("r")).select("r.*")
-    ddl = ", ".join(f"`{c}` string" for c in columns) + ", batch int"
-    held = _read(spark, store, ddl).filter(F.col("batch") < number).join(last.select(*key), key, "left_semi")
-    before = held.groupBy(*key).agg(F.max_by(F.struct(*[F.col(c) for c in columns]), "batch").alias("r")).select("r.*")
-    D.keyed_diff(name, before, last, columns, key, D.PRIMARY).write.mode("overwrite").parquet(f"{changes}/batch={number}")
-    last.write.mode("overwrite").parquet(f"{store}/batch={number}")
+    row, part = F.struct(*[F.col(f"`{c}`") for c in columns]), F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in key]), F.lit(PARTS)).cast("int")
+    last = rows.withColumn("__place", F.monotonically_increasing_id()).groupBy(*[F.col(f"`{k}`") for k in key]).agg(F.max_by(row, "__place").alias("r")).select("r.*").withColumn("__part", part)
+    touched = [r[0] for r in last.select("__part").distinct().collect()]  # at most PARTS
+    schema = T.StructType([*[T.StructField(c, T.StringType()) for c in columns], T.StructField("batch", T.IntegerType()), T.StructField("__part", T.IntegerType())])
+    held = _read(spark, store, schema).filter((F.col("batch") < number) & F.col("__part").isin(touched)).join(last.select(*key), key, "left_semi")
+    before = held.groupBy(*[F.col(f"`{k}`") for k in key]).agg(F.max_by(row, "batch").alias("r")).select("r.*")
+    D.keyed_diff(name, before, last.drop("__part"), columns, key, D.PRIMARY).write.mode("overwrite").parquet(f"{changes}/batch={number}")
+    last.repartition("__part").write.mode("overwrite").partitionBy("__part").parquet(f"{store}/batch={number}")
 
 
 def watch(stream: DataFrame, name: str, key: list[str], store: str, changes: str, checkpoint: str, **trigger) -> StreamingQuery:
