@@ -49,7 +49,7 @@ def interpret(
     warnings = L.invalid_inputs(L.prepared(inputs))
     if profile is None:
         names = ", ".join(H.NEEDS_PROFILE)
-        row = (None, "profil_absent", f"Profil absent : les hypothèses {names} sont désactivées. Lancer le profilage de la base.", {"hypotheses_desactivees": names})
+        row = (None, "profil_absent", f"Sans profil, ces hypothèses ne sont pas examinées : {names}.", {"hypotheses_desactivees": names})
         warnings = warnings.unionByName(spark.createDataFrame([row], WARNINGS))
     rows = {n: t.rows for n, t in before.tables.items()} if before else {}
     context = H.Context(changes, cells, inputs, start, end, rows, profile.columns if profile else None, profile.relations if profile else None, tuple(ignored_tables))
@@ -118,7 +118,7 @@ def reanalyse(spark: SparkSession, changes: DataFrame, inputs: DataFrame, start:
     context = H.Context(changes, cells, inputs, start, end, ignored_tables=tuple(ignored_tables))
     open_cells = cells.join(explained, H.REF, "left_anti").filter("value <> 'N:'")
     reused = reusable(open_cells, original_hypotheses(original), ignored_tables)
-    message = F.concat(F.lit("Hypothèse « "), "hypothesis", F.lit(" » sur "), "table", F.lit("."), "column", F.lit(" : non recalculable hors ligne, reprise de la trace d'origine (filtrée par les règles courantes)."))
+    message = F.concat("table", F.lit("."), "column", F.lit(" : « "), "hypothesis", F.lit(" » vient de la première analyse, la base manquant pour la vérifier."))
     notes = reused.select("table", "column", "hypothesis").distinct().select(
         "table", F.lit("non_recalculable_hors_ligne").alias("code"), message.alias("message"), F.create_map(F.lit("colonne"), "column", F.lit("hypothese"), "hypothesis").alias("details")
     )

@@ -1,4 +1,4 @@
-"""SQLite sources, configuration, restoring, profiles on disk, re-analysed and anonymised traces."""
+"""SQLite sources, profiles on disk, re-analysed and anonymised traces."""
 
 import copy
 import json
@@ -12,7 +12,7 @@ import pytest
 from deltascope.__main__ import main
 from deltascope.operators import profile as P
 from deltascope.operators import snapshot as S
-from deltascope.plans import files, pipeline
+from deltascope.plans import files, pipeline, trace
 from deltascope.sources import sqlite
 from deltascope.sources.catalog import FrameSource
 
@@ -40,40 +40,25 @@ def test_sqlite_tables(spark, base, monkeypatch):
         con.execute("DELETE FROM VIDE")
 
 
-def config(tmp_path, **more):
-    values = {"base_test": str(tmp_path / "test.mdb"), "instantane_reference": str(tmp_path / "ref.mdb"), "chemins_interdits": [str(tmp_path / "prod")], "dossier_sorties": "out", "mot_de_passe": "s3cret"} | more
-    (tmp_path / "config.json").write_text("﻿" + json.dumps(values), encoding="utf-8")
-    return files.read_configuration(str(tmp_path / "config.json"))
+def test_sqlite_rows_in_sparse_places_or_without_numbers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sqlite, "BATCH", 3)
+    path = str(tmp_path / "sparse.db")
+    with sqlite3.connect(path) as con:
+        con.execute("CREATE TABLE FAR (ID INTEGER PRIMARY KEY, A TEXT)")
+        con.executemany("INSERT INTO FAR VALUES (?, 'x')", [(10**k,) for k in range(8)])
+        con.execute("CREATE TABLE KEYED (K TEXT, N INTEGER, PRIMARY KEY (K, N)) WITHOUT ROWID")
+        con.executemany("INSERT INTO KEYED VALUES (?, ?)", [(f"k{i % 3}", i) for i in range(10)])
+    source = sqlite.SqliteSource(spark, path)
+    far, keyed = source.table("FAR").df, source.table("KEYED").df
+    assert sorted(r.ID for r in far.collect()) == [10**k for k in range(8)] and far.rdd.getNumPartitions() == 3
+    assert sorted((r.K, r.N) for r in keyed.collect()) == sorted((f"k{i % 3}", i) for i in range(10)) and source.table("KEYED").primary_key == ("K", "N")
 
 
-def test_configuration_and_masking(tmp_path):
-    found = config(tmp_path, mot_de_passe_mdw="")
-    assert found.secrets() == ["s3cret"] and "s3cret" not in repr(found) and found.delai_stabilisation_s == 3
-    with pytest.raises(files.ConfigurationError):
-        config(tmp_path, base_test="")
+def test_logs_are_masked():
     record = logging.LogRecord("x", logging.INFO, "", 0, "key %s", ("s3cret",), None)
     assert files.MaskingFormatter(["s3cret"]).format(record) == "key ***"
 
 
-def test_restoring_the_base(tmp_path):
-    found = config(tmp_path)
-    with pytest.raises(files.SafetyError):
-        files.restore_base(found, lambda _: True)
-    (tmp_path / "ref.mdb").write_bytes(b"fresh")
-    (tmp_path / "test.mdb").write_bytes(b"used")
-    assert files.restore_base(found, lambda _: False) == "" and (tmp_path / "test.mdb").read_bytes() == b"used"
-    assert len(files.restore_base(found, lambda _: True)) == 64 and (tmp_path / "test.mdb").read_bytes() == b"fresh"
-    (tmp_path / "test.ldb").write_bytes(b"")
-    with pytest.raises(files.SafetyError):
-        files.restore_base(found, lambda _: True)
-    (tmp_path / "test.ldb").unlink()
-    for wrong in (config(tmp_path, base_test=str(tmp_path / "prod" / "x.mdb")), config(tmp_path, base_test=str(tmp_path / "ref.mdb"))):
-        with pytest.raises(files.SafetyError):
-            files.restore_base(wrong, lambda _: True)
-    with pytest.raises(files.SafetyError):
-        files.restore_base(config(tmp_path), lambda _: True, copier=lambda a, b: None if b == a else open(b, "wb").close())
-
-
 def test_profiles_and_noise_on_disk(spark, tmp_path):
     frames = {"P": spark.range(50).toDF("ID"), "C": spark.range(60).selectExpr("id % 50 AS FK", "cast(id AS decimal(9,2)) AS M", "concat('t', id) AS T")}
     found = P.profile(FrameSource(spark, frames, {"P": ("ID",)}))
@@ -108,7 +93,7 @@ def test_re_analysis_of_a_file(spark, tmp_path):
     path.write_text(json.dumps(old))
     target, summary = files.reanalyse_file(spark, str(path))
     new = json.loads(open(target).read())
-    assert json.loads(path.read_text()) == old and "Liens : 0 → 1" in summary
+    assert json.loads(path.read_text()) == old and "liens: 0 -> 1" in summary
     assert [(x["table"], x["colonne"]) for x in new["liens"]] == [("ecrit", "M")] and new["execution"]["statut"] == "terminee"
     found = {(c["table"], c["colonne"], str(c["valeur"])): c["hypotheses"] for c in new["champs_calcules"]}
     assert found["ecrit", "N", "4"] == ["compteur"] and found["ecrit", "K", "A"] == ["constante"]  # copies of saved tables aren't admitted
@@ -131,6 +116,30 @@ def test_anonymised_traces_keep_differences():
     assert new["changements"][1] == old["changements"][1] and old == trace_document() and copy.deepcopy(new) == files.anonymise_trace(old)
 
 
+def test_anonymised_traces_leak_nothing():
+    old = trace_document()
+    old["execution"] |= {"poste": "PC-DUPONT", "utilisateur_windows": "dupont", "remarques": "vu avec M. Dupont"}
+    old["base"] = {"chemin": "C:\\CLIENTS\\DUPONT\\BASE.mdb", "empreinte_fichier_avant": "sha256:" + "a" * 64}
+    old["fiche"]["valeurs_saisies"] += [{"champ_ecran": "Solde", "ecran": "E", "valeur": "1 150,00", "type": "montant"}, {"champ_ecran": "Tiers", "ecran": "E", "valeur": "Dupont SA", "type": "texte"}, {"champ_ecran": "Solde", "ecran": "E", "valeur": "57,50", "type": "montant"}]
+    old["changements"][0]["updates"][0]["champs"][0]["apres"] = "1150.0000"
+    old["champs_calcules"].append({"table": "compte", "colonne": "Debit", "valeur": "1150.0000", "hypotheses": ["cumul_mis_a_jour"], "details": "delta 1050 = montant saisi ; solde 1150.0000 puis 7.5000, 100.00"})
+    old["avertissements"].append({"table": "compte", "code": "x", "message": "57.5000 est rare", "details": {"tiers": "Dupont SA".ljust(40)}})
+    new = files.anonymise_trace(old, names={"Dupont SA": "Tiers Un", "Dupont": "Un"})
+    whole = json.dumps(new, ensure_ascii=False)
+    assert not any(real in whole for real in ("1150.0000", "1 150,00", "7.5000", "57.5000", "57,50", "100.00", "60.0000", "upont", "DUPONT", "PC-", "vu avec"))
+    assert "delta 1050 = montant" in whole and new["avertissements"][-1]["details"]["tiers"] == "Tiers Un".ljust(40)
+    typed = new["fiche"]["valeurs_saisies"]
+    assert "," in typed[1]["valeur"] and Decimal(typed[3]["valeur"].replace(",", ".")) == Decimal(new["changements"][0]["updates"][2]["champs"][0]["avant"])
+    assert list(new) == list(old) and old["execution"]["poste"] == "PC-DUPONT"
+    with pytest.raises(ValueError):
+        files.anonymise_trace(old, names={"S-1": "S-1"})
+
+
+def test_reports_say_how_long_a_run_took():
+    assert [trace.duration({"debut": "2024-01-15T10:00:00", "fin": f}) for f in ("2024-01-15T10:01:05", "2024-01-15T10:00:07", "?")] == ["1 min 05 s", "7 s", ""]
+    assert "(1 min 00 s)" in trace.render_report(trace_document())
+
+
 def test_diagnosis(spark, tmp_path):
     said = []
     assert files.diagnose(FrameSource(spark, {"T": spark.range(30).toDF("ID")}), say=said.append) and "snapshot in" in said[-1]
