@@ -132,30 +132,91 @@ class CatalogSource(Source):
 
 
 class JdbcSource(Source):
-    """Tables behind JDBC, read in batches by a connection that refuses writes."""
+    """Tables behind JDBC: names, declared types and primary keys from the database's own metadata, rows read in batches by a connection that refuses writes.
 
-    def __init__(self, spark, url: str, names: list[str], keys=None, fetch_size: int = 10_000, options=None):
+    A table whose key starts with a whole number is read in `partitions` ranges of it.
+    """
+
+    def __init__(self, spark, url: str, names: list[str] | None = None, keys=None, schema: str | None = None, fetch_size: int = 10_000, partitions: int = 8, options=None):
         super().__init__(spark, keys)
-        self.given = names
-        self.options = {"url": url, "fetchsize": str(fetch_size), "sessionInitStatement": "SET TRANSACTION READ ONLY"} | (options or {})
+        self.url, self.given, self.schema, self.partitions = url, names, schema, partitions
+        every = {"url": url, "fetchsize": str(fetch_size), "sessionInitStatement": "SET TRANSACTION READ ONLY"} | (options or {})
+        self.options = {k: v for k, v in every.items() if v}
+
+    def _metadata(self, read):
+        """read(metadata) on a connection of its own."""
+        jvm = self.spark._jvm
+        properties = jvm.java.util.Properties()
+        for k, v in self.options.items():
+            properties.setProperty(k, v)
+        connection = jvm.java.sql.DriverManager.getConnection(self.url, properties)
+        try:
+            return read(connection.getMetaData())
+        finally:
+            connection.close()
+
+    @staticmethod
+    def _rows(found, *columns) -> list[tuple]:
+        rows = []
+        while found.next():
+            rows.append(tuple(found.getString(c) for c in columns))
+        return rows
 
     def names(self):
-        return list(self.given)
+        if self.given is not None:
+            return list(self.given)
+        kinds = self.spark.sparkContext._gateway.new_array(self.spark._jvm.java.lang.String, 1)
+        kinds[0] = "TABLE"
+        return [r[0] for r in self._metadata(lambda m: self._rows(m.getTables(None, self.schema, "%", kinds), "TABLE_NAME"))]
+
+    def _quoted(self, name: str) -> str:
+        return '"' + name.replace('"', '""') + '"'
+
+    def _qualified(self, name: str) -> str:
+        return ".".join(map(self._quoted, [self.schema, name] if self.schema else [name]))
+
+    def table(self, name):
+        def read(metadata):
+            key = sorted(self._rows(metadata.getPrimaryKeys(None, self.schema, name), "KEY_SEQ", "COLUMN_NAME"), key=lambda r: int(r[0]))
+            return tuple(c for _, c in key), dict(self._rows(metadata.getColumns(None, self.schema, name, "%"), "COLUMN_NAME", "TYPE_NAME"))
+
+        key, declared = self._metadata(read)
+        key = self.keys.get(name, key)
+        return Table(name, self._load(name, key), key, declared)
 
     def load(self, name):
-        return self.spark.read.format("jdbc").options(**self.options).option("dbtable", name).load()
+        return self._load(name, self.keys.get(name, ()))
+
+    def _load(self, name: str, key: tuple[str, ...]) -> DataFrame:
+        reader = self.spark.read.format("jdbc").options(**self.options)
+        whole = reader.option("dbtable", self._qualified(name)).load()
+        if not key or not isinstance(whole.schema[key[0]].dataType, T.IntegralType):
+            return whole
+        column = self._quoted(key[0])
+        low, high = self.spark.read.format("jdbc").options(**self.options).option("query", f"SELECT min({column}) AS low, max({column}) AS high FROM {self._qualified(name)}").load().first()
+        if low is None or low == high:
+            return whole
+        return reader.options(partitionColumn=key[0], lowerBound=str(low), upperBound=str(high), numPartitions=str(self.partitions)).option("dbtable", self._qualified(name)).load()
 
 
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-_SELECT = re.compile(r"^\s*(?:--[^\n]*\n\s*)*(?:SELECT|WITH)\b", re.IGNORECASE)
+def _nodes(plan):
+    """Every node of a parsed plan, those of its WITH clauses and subqueries too."""
+    yield plan
+    for group in (plan.children(), plan.innerChildren()):
+        for i in range(group.size()):
+            yield from _nodes(group.apply(i))
 
 
 def select_only(spark: SparkSession, sql: str, **frames) -> DataFrame:
-    """Runs a query, and nothing but a query."""
-    if not _SELECT.match(sql):
+    """Runs a query, and nothing but a query: the parsed statement may hold no command and no write, wherever it stands."""
+    named = re.sub(r"\{(\w+)\}", r"\1", sql)
+    parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(named)
+    refused = [spark._jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.logical.{kind}") for kind in ("Command", "ParsedStatement", "InsertIntoStatement")]
+    if any(kind.isInstance(node) for node in _nodes(parsed) for kind in refused):
         raise PermissionError("only SELECT is allowed on a source")
     return spark.sql(sql, **frames)
 

@@ -68,26 +68,35 @@ def describe(path: str, table: str) -> tuple[list[tuple[str, str]], tuple[str, .
     return [(i[1], i[2] or "") for i in infos], tuple(i[1] for i in sorted((i for i in infos if i[5]), key=lambda i: i[5]))
 
 
-class _Range(InputPartition):
-    def __init__(self, low: int, high: int):
-        self.low, self.high = low, high
+class _Piece(InputPartition):
+    def __init__(self, rest: str, values: tuple):
+        self.rest, self.values = rest, values
 
 
 class _Reader(DataSourceReader):
+    """Pieces of BATCH rows: ranges of row numbers where the table has them, however sparse, else of its primary key's order."""
+
     def __init__(self, path: str, table: str, schema: T.StructType):
         self.path, self.table, self.schema = path, table, schema
 
     def partitions(self):
+        name = quoted(self.table)
         with connect(self.path) as con:
-            low, high = con.execute(f"SELECT min(rowid), max(rowid) FROM {quoted(self.table)}").fetchone()
-        return [_Range(a, min(a + BATCH - 1, high)) for a in range(low, high + 1, BATCH)] if low is not None else [_Range(0, -1)]
+            try:
+                cuts = con.execute(f"SELECT min(rowid), max(rowid) FROM (SELECT rowid, row_number() OVER (ORDER BY rowid) - 1 AS n FROM {name}) GROUP BY n / {BATCH}").fetchall()
+                pieces = [_Piece("WHERE rowid BETWEEN ? AND ?", c) for c in cuts]
+            except sqlite3.OperationalError:  # WITHOUT ROWID
+                key = ", ".join(quoted(c) for c in describe(self.path, self.table)[1])
+                n = con.execute(f"SELECT count(*) FROM {name}").fetchone()[0]
+                pieces = [_Piece(f"ORDER BY {key} LIMIT ? OFFSET ?", (BATCH, k)) for k in range(0, n, BATCH)]
+        return pieces or [_Piece("LIMIT ?", (0,))]
 
     def read(self, partition):
         convert = [converter(f.dataType) for f in self.schema]
         names = ", ".join(quoted(f.name) for f in self.schema)
         con = connect(self.path)
         try:
-            for row in con.execute(f"SELECT {names} FROM {quoted(self.table)} WHERE rowid BETWEEN ? AND ?", (partition.low, partition.high)):
+            for row in con.execute(f"SELECT {names} FROM {quoted(self.table)} {partition.rest}", partition.values):
                 yield tuple(None if v is None else c(v) for c, v in zip(convert, row, strict=True))
         finally:
             con.close()

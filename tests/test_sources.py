@@ -8,7 +8,7 @@ import pytest
 from deltascope.operators import profile as P
 from deltascope.plans import pipeline
 from deltascope.sources import scenarios
-from deltascope.sources.catalog import CatalogSource, FileSource, FrameSource, file_digests, file_versions, read_keys
+from deltascope.sources.catalog import CatalogSource, FileSource, FrameSource, JdbcSource, file_digests, file_versions, read_keys
 from deltascope.streaming import feed
 from tests.conftest import SF
 
@@ -26,6 +26,26 @@ def test_folders_and_catalogs(spark, tmp_path):
     assert read_keys(spark, f"file://{tmp_path}/keys.json") == {"region": ("r_regionkey",)}
 
 
+def test_jdbc_metadata_keys_and_ranges(spark):
+    """The Derby database that Spark's own jars hold, in memory."""
+    url = "jdbc:derby:memory:shop;create=true"
+    manager = spark._jvm.java.sql.DriverManager
+    connection = manager.getConnection(url)
+    statement = connection.createStatement()
+    for text in (
+        "CREATE TABLE ORDERS (NUM INT NOT NULL, CLIENT VARCHAR(20), TOTAL DECIMAL(12,2), PRIMARY KEY (NUM))", "CREATE TABLE LINES (RANG INT NOT NULL, NUM INT NOT NULL, QTE INT, PRIMARY KEY (NUM, RANG))", "CREATE TABLE NOTES (T VARCHAR(20))",
+        "INSERT INTO ORDERS VALUES " + ", ".join(f"({i}, 'c{i % 3}', {i}.25)" for i in range(1, 41)), "INSERT INTO LINES VALUES (1, 7, 3), (2, 7, 4)",
+    ):
+        statement.execute(text)
+    connection.commit()
+    connection.close()
+    source = JdbcSource(spark, url, schema="APP", partitions=4, options={"sessionInitStatement": ""})
+    assert source.list_tables() == ["LINES", "NOTES", "ORDERS"]
+    orders, lines, notes = (source.table(n) for n in ("ORDERS", "LINES", "NOTES"))
+    assert orders.primary_key == ("NUM",) and lines.primary_key == ("NUM", "RANG") and notes.primary_key == () and orders.declared_type("TOTAL") == "DECIMAL"
+    assert orders.df.rdd.getNumPartitions() == 4 and sorted(r.NUM for r in orders.df.collect()) == list(range(1, 41)) and notes.df.count() == 0
+
+
 def test_file_headers_and_digests(spark, tmp_path):
     for name, code in (("a.mdb", 0), ("b.mdb", 1), ("c.mdb", 5)):
         (tmp_path / name).write_bytes(b"\0\1\0\0Standard Jet DB\0" + bytes([code]) + b"\0" * 10)
@@ -83,6 +103,9 @@ def test_a_feed_gives_the_same_changes_as_snapshots(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         query = feed.watch(stream, "T", ["id"], f"file://{tmp_path}/store", f"file://{tmp_path}/changes", f"file://{tmp_path}/check")
         query.awaitTermination()
+    feed.apply_batch(spark.createDataFrame([(9, "z first"), (9, "a last"), (2, "b2"), (2, "c")], schema).coalesce(1), 3, "T", ["id"], f"file://{tmp_path}/store", f"file://{tmp_path}/changes")
+    late = {(r.op, r.key["id"], r.after["v"]) for r in spark.read.parquet(f"file://{tmp_path}/changes").filter("batch = 3").collect()}
+    assert late == {("insert", "I:9", "T:a last")}  # the last row of a key counts; 2 was c before and is c again
     got = [(r.batch, r.op, r.key["id"]) for r in spark.read.parquet(f"file://{tmp_path}/changes").collect()]
     inserts = sorted(k for _, op, k in got if op == "insert")
-    assert inserts == ["I:1", "I:2", "I:3"] and {op for _, op, _ in got} == {"insert", "update"}
+    assert inserts == ["I:1", "I:2", "I:3", "I:9"] and {op for _, op, _ in got} == {"insert", "update"}
