@@ -98,6 +98,16 @@ def snapshot_stats(spark, sf_dir):
 SNAPSHOT_STATS = " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n_rows FROM {t}" for t in COLUMNS)
 
 
+#: What a snapshot takes of a table: floats as amounts, since the text of a double is each engine's own.
+TAKEN = {t: "SELECT " + ", ".join(f"CAST({c} AS DECIMAL(18,4)) AS {c}" if k == "f" else c for c, k in cols) + f" FROM {t}" for t, cols in COLUMNS.items()}
+
+
+def snapshot_all(spark, sf_dir):
+    """A snapshot of every table: all rows read, counted and fingerprinted."""
+    taken = S.take_snapshot(FrameSource(spark, {t: sql(spark, sf_dir, text) for t, text in TAKEN.items()}))
+    return S.stats(taken, spark).select("table", "n_rows", "fingerprint")
+
+
 def top_tables(spark, sf_dir):
     return snapshot_stats(spark, sf_dir).orderBy(F.desc("n_rows"), "table").limit(15)
 
@@ -120,6 +130,12 @@ TABLE_DIGEST = (
     _FPS + " SELECT count(*) AS n_rows, sha256(concat_ws(':', count(*)::VARCHAR, " + ", ".join(f"sum(('0x' || substr(fp, {1 + 15 * k}, 15))::HUGEINT)::HUGEINT::VARCHAR" for k in range(4)) + ")) AS fingerprint FROM p"
 )
 
+SNAPSHOT_ALL = " UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", count(*) AS n_rows, sha256(concat_ws(':', count(*)::VARCHAR, " + ", ".join(f"coalesce(sum(('0x' || substr(fp, {1 + 15 * k}, 15))::HUGEINT), 0)::HUGEINT::VARCHAR" for k in range(4))
+    + f")) AS fingerprint FROM (SELECT {fingerprint([(c, 'm' if k == 'f' else k) for c, k in cols])} AS fp FROM ({TAKEN[t]}))"
+    for t, cols in COLUMNS.items()
+)
+
 # Differences
 
 
@@ -196,6 +212,37 @@ def diff_probable_updates(spark, sf_dir):
     return counts.withColumn("warning", F.lit(warning["code"] if warning else None).cast("string"))
 
 
+def diff_probable_update_pairs(spark, sf_dir):
+    """Which rows are paired, without a cap, in rounds."""
+    columns = [c for c, _ in LINES]
+    found, _ = D.probable_updates(_lines_diff(spark, sf_dir), columns, "lineitem", cap=None)
+    side = lambda name, mark: [F.element_at(name, F.lit(c)).alias(f"{mark}_{c}") for c in columns]
+    return found.filter("op = 'probable_update'").select(*side("before", "b"), *side("after", "a"))
+
+
+_LINE_COLUMNS = ", ".join(c for c, _ in LINES)
+
+
+def _copies(side: str, other: str) -> str:
+    """DuckDB: the last copies of rows that one side has more, numbered in source order."""
+    return f"""SELECT *, row_number() OVER (ORDER BY pos) AS i FROM (
+      SELECT x.*, row_number() OVER (PARTITION BY {", ".join(f"x.{c}" for c, _ in LINES)} ORDER BY x.pos) AS k, coalesce(y.n, 0) AS held FROM {side} x LEFT JOIN {other} y USING ({_LINE_COLUMNS})) WHERE k > held"""
+
+
+#: The sequential choice: step by step, each added row takes the nearest removed row that is free.
+_PAIRED = f"""WITH RECURSIVE b0 AS ({LINES_BEFORE}), a0 AS ({LINES_AFTER}), b AS (SELECT {_CANON_LINES}, row_number() OVER () AS pos FROM b0), a AS (SELECT {_CANON_LINES}, row_number() OVER () AS pos FROM a0),
+  nb AS (SELECT {_LINE_COLUMNS}, count(*) AS n FROM b GROUP BY ALL), na AS (SELECT {_LINE_COLUMNS}, count(*) AS n FROM a GROUP BY ALL), added AS ({_copies("a", "nb")}), removed AS ({_copies("b", "na")}),
+  near AS (SELECT x.i, y.i AS j, ({" + ".join(f"(x.{c} <> y.{c})::INT" for c, _ in LINES)}) AS fields FROM added x, removed y WHERE fields <= 2),
+  step(i, used, got) AS (SELECT 0::BIGINT, []::BIGINT[], []::BIGINT[] UNION ALL
+    SELECT s.i + 1, CASE WHEN p.j IS NULL THEN s.used ELSE list_append(s.used, p.j) END, CASE WHEN p.j IS NULL THEN s.got ELSE list_append(s.got, s.i + 1) END
+    FROM step s LEFT JOIN LATERAL (SELECT arg_min(p.j, (p.fields, p.j)) AS j FROM near p WHERE p.i = s.i + 1 AND NOT list_contains(s.used, p.j)) p ON true WHERE s.i < (SELECT count(*) FROM added)),
+  pair AS (SELECT unnest(got) AS i, unnest(used) AS j FROM step WHERE step.i = (SELECT count(*) FROM added))"""
+UPDATE_PAIRS = f"{_PAIRED} SELECT {', '.join(f'r.{c} AS b_{c}, x.{c} AS a_{c}' for c, _ in LINES)} FROM pair p JOIN added x ON x.i = p.i JOIN removed r ON r.i = p.j"
+PROBABLE_UPDATES = f"""{_PAIRED}, n AS (SELECT x, y, CASE WHEN x * y <= {D.PAIRING_CAP} THEN p ELSE 0 END AS p FROM (SELECT (SELECT count(*) FROM added) AS x, (SELECT count(*) FROM removed) AS y, (SELECT count(*) FROM pair) AS p))
+SELECT op, k AS n, CASE WHEN x * y > {D.PAIRING_CAP} THEN 'appariement_plafond_atteint' END AS warning
+FROM n, LATERAL (SELECT unnest(['row_added', 'row_removed', 'probable_update']) AS op, unnest([x - p, y - p, p]) AS k) WHERE k > 0"""
+
+
 def _changed_schema(spark, sf_dir):
     before = sql(spark, sf_dir, ORDERS_BEFORE)
     after = sql(spark, sf_dir, ORDERS_AFTER).drop("o_orderpriority").withColumn("o_comment", F.lit("new"))
@@ -217,12 +264,10 @@ def diff_common_columns(spark, sf_dir):
 
 
 def _whole_diff(spark, sf_dir):
-    snap = lambda tables: S.Snapshot({t.table.name: t for t in tables})
-    b, a = snap([_orders(spark, sf_dir), _lines(spark, sf_dir)]), snap([_orders(spark, sf_dir, True), _lines(spark, sf_dir, True)])
-    for s, mark in ((b, "b"), (a, "a")):
-        for t in s.tables.values():
-            t.fingerprint = mark  # both tables are known to differ
-    return D.diff_snapshots(spark, b, a, noise_tables=["LINEITEM"], cap=0)
+    """Whole snapshots: two tables that changed and one that didn't, which the fingerprints tell."""
+    nation = load(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    tables = lambda orders, lines: FrameSource(spark, {"orders": sql(spark, sf_dir, orders), "lineitem": sql(spark, sf_dir, lines), "nation": nation}, {"orders": ("o_orderkey",)})
+    return D.diff_snapshots(spark, S.take_snapshot(tables(ORDERS_BEFORE, LINES_BEFORE)), S.take_snapshot(tables(ORDERS_AFTER, LINES_AFTER)), noise_tables=["LINEITEM"])
 
 
 def diff_noise_split(spark, sf_dir):
@@ -231,9 +276,19 @@ def diff_noise_split(spark, sf_dir):
     return mark(result.changes, False).unionByName(mark(result.noise, True))
 
 
-NOISE_SPLIT = f"""SELECT 'orders' AS "table", op, n, false AS noise FROM ({OPS})
-UNION ALL SELECT 'lineitem', 'row_added', count(*), true FROM ({_LINES_BOTH} SELECT * FROM a EXCEPT ALL SELECT * FROM b)
-UNION ALL SELECT 'lineitem', 'row_removed', count(*), true FROM ({_LINES_BOTH} SELECT * FROM b EXCEPT ALL SELECT * FROM a)"""
+NOISE_SPLIT = f"""SELECT 'orders' AS "table", op, n, false AS noise FROM ({OPS}) UNION ALL SELECT 'lineitem', op, n, true FROM ({PROBABLE_UPDATES})"""
+
+
+def diff_tables_come_and_go(spark, sf_dir):
+    """One table is gone, one is new, one is as it was."""
+    frame = lambda name: load(spark, sf_dir, name).select(*[c for c, _ in COLUMNS[name]])
+    source = lambda *names: FrameSource(spark, {n: frame(n) for n in names}, {"supplier": ("s_suppkey",)})
+    result = D.diff_snapshots(spark, S.take_snapshot(source("nation", "region")), S.take_snapshot(source("supplier", "region")))
+    change = spark.createDataFrame([(c["table"], c["change"]) for c in result.schema_changes], "table string, change string")
+    return result.changes.groupBy("table", "op").agg(F.count("*").alias("n")).join(change, "table")
+
+
+COME_AND_GO = "SELECT 'nation' AS \"table\", 'row_removed' AS op, count(*) AS n, 'table_supprimee' AS change FROM nation HAVING count(*) > 0 UNION ALL SELECT 'supplier', 'insert', count(*), 'table_ajoutee' FROM supplier HAVING count(*) > 0"
 
 
 def diff_summary(spark, sf_dir):
@@ -242,7 +297,7 @@ def diff_summary(spark, sf_dir):
 
 
 _PART = "CASE WHEN {0} > 0 THEN {0} || ' ' || CASE WHEN {0} > 1 THEN '{2}' ELSE '{1}' END END"
-DIFF_SUMMARY = f"""WITH n AS (SELECT "table", sum(CASE WHEN op IN ('insert', 'row_added') THEN n ELSE 0 END)::BIGINT AS added, sum(CASE WHEN op = 'update' THEN n ELSE 0 END)::BIGINT AS modified,
+DIFF_SUMMARY = f"""WITH n AS (SELECT "table", sum(CASE WHEN op IN ('insert', 'row_added') THEN n ELSE 0 END)::BIGINT AS added, sum(CASE WHEN op IN ('update', 'probable_update') THEN n ELSE 0 END)::BIGINT AS modified,
   sum(CASE WHEN op IN ('delete', 'row_removed') THEN n ELSE 0 END)::BIGINT AS deleted FROM ({NOISE_SPLIT}) GROUP BY "table")
 SELECT *, concat_ws(', ', {_PART.format("added", "ligne ajoutée", "lignes ajoutées")}, {_PART.format("modified", "ligne modifiée", "lignes modifiées")}, {_PART.format("deleted", "ligne supprimée", "lignes supprimées")}) AS summary FROM n"""
 
@@ -418,6 +473,35 @@ def invalid_inputs(spark, sf_dir):
     return L.prepared(_link_frames(spark)[0]).filter("NOT valid").select("input_id", "value", "type")
 
 
+#: What a user may have typed: new totals of orders (of every other one a cent too much), and each status.
+TYPED = """SELECT CAST(o_orderkey AS INT) AS input_id, 'Total' AS field, 'S' AS screen, replace(CAST(CAST(CAST(o_totalprice AS DECIMAL(18,2)) + CASE WHEN o_orderkey % 2000 = 7 THEN 1234.56 ELSE 1234.57 END AS DECIMAL(18,2)) AS STRING), '.', ',') AS value, 'montant' AS type
+FROM orders WHERE o_orderkey % 1000 = 7 UNION ALL SELECT DISTINCT CAST(-ascii(o_orderstatus) AS INT) AS input_id, 'Statut' AS field, 'S' AS screen, o_orderstatus AS value, 'texte' AS type FROM orders"""
+
+
+def _typed_orders(spark, sf_dir):
+    return sql(spark, sf_dir, TYPED), C.extract_cells(_orders_diff(spark, sf_dir))
+
+
+def links_orders_diff(spark, sf_dir):
+    """Links of typed values to the cells of the orders diff."""
+    inputs, cells = _typed_orders(spark, sf_dir)
+    found = L.matches(inputs, cells).join(cells, H.REF)
+    return found.select("input_id", "type", F.element_at("row", F.lit("o_orderkey")).alias("o_orderkey"), "column", "value", "match_type")
+
+
+def deviations_orders_diff(spark, sf_dir):
+    """Typed totals that are nowhere, and the written ones a digit away."""
+    inputs, cells = _typed_orders(spark, sf_dir)
+    return L.deviations(inputs, cells, L.matches(inputs, cells))
+
+
+_WRITTEN = f"""SELECT substr(o_orderkey, 3)::BIGINT * 10 + list_position([{", ".join(f"'{c}'" for c, _ in ORDERS)}], col) AS row_id, o_orderkey, 'orders' AS tab, col, v FROM (
+  SELECT o_orderkey, "column" AS col, after AS v FROM ({FIELDS}) {" ".join(f"UNION ALL SELECT o_orderkey, '{c}', {c} FROM ({_BOTH} SELECT a.* FROM a ANTI JOIN b ON a.o_orderkey = b.o_orderkey)" for c, _ in ORDERS)})"""
+_at_size = lambda text: text.replace(f"(VALUES {_rows_sql(INPUT_ROWS)}) t(input_id, field, screen, value, type)", f"({TYPED})").replace(f"(VALUES {_rows_sql(CELL_ROWS)}) t(row_id, tab, col, v)", f"({_WRITTEN})")
+LINKS_ORDERS = _at_size(_MATCHED) + " SELECT k.input_id, k.type, w.o_orderkey, k.col AS \"column\", w.v AS value, k.m AS match_type FROM kept k JOIN typed w ON w.row_id = k.row_id"
+DEVIATIONS_ORDERS = _at_size(DEVIATIONS)
+
+
 # Hypotheses
 
 
@@ -461,11 +545,11 @@ def _updates(spark, table, rows, key, column):
 def hyp_counter_update(spark, sf_dir):
     cells = _updates(spark, "COMPTEURS", [(f"T:{k}", f"I:{a}", f"I:{b}") for k, a, b in COUNTERS], "CODE_JOURNAL", "DERNIER_NUM")
     none = spark.createDataFrame([], D.ROW_CHANGES)
-    return H.counter(cells, _context(spark, none, cells)).join(cells, H.REF).select(F.element_at("row", F.lit("CODE_JOURNAL")).alias("journal"), "value")
+    return H.counter(cells, _context(spark, none, cells)).join(cells, H.REF).select(F.element_at("row", F.lit("CODE_JOURNAL")).alias("journal"), "value", "detail")
 
 
 COUNTER_UPDATE = f"""WITH c AS (SELECT * FROM (VALUES {_rows_sql(COUNTERS)}) t(j, a, b)), s AS (SELECT count(*) >= 2 AND count(DISTINCT b - a) = 1 AS shared FROM c)
-SELECT 'T:' || j AS journal, 'I:' || b::VARCHAR AS value FROM c, s WHERE b - a > 0 AND (b - a = 1 OR shared)"""
+SELECT 'T:' || j AS journal, 'I:' || b::VARCHAR AS value, a::VARCHAR || ' → ' || b::VARCHAR AS detail FROM c, s WHERE b - a > 0 AND (b - a = 1 OR shared)"""
 
 
 def hyp_timestamp(spark, sf_dir):
@@ -580,6 +664,25 @@ SELECT DISTINCT 'orders' AS "table", "column", value,
   CASE WHEN "column" = 'o_orderkey' THEN 'max avant = ' || k::VARCHAR WHEN "column" = 'o_totalprice' AND before IS NOT NULL THEN 'delta 1234.56 = montant saisi Montant (1 234,56)' ELSE '' END AS details FROM cells, m"""
 
 
+def _interpreted(spark, sf_dir):
+    before = S.Snapshot({"orders": _orders(spark, sf_dir)})
+    changes = _orders_diff(spark, sf_dir)
+    inputs = spark.createDataFrame([(1, "Montant", "S", "1 234,56", "montant")], L.INPUTS)
+    return changes, inputs, pipeline.interpret(spark, changes, before, inputs, START, END)
+
+
+def interpret_orders(spark, sf_dir):
+    """The computed fields of the whole interpretation."""
+    return _interpreted(spark, sf_dir)[2].computed.select("table", "column", "value", F.array_join("hypotheses", ",").alias("hypotheses"), "details")
+
+
+def reanalyse_orders(spark, sf_dir):
+    """The same found again without the database: counters come from the first analysis, totals are recomputed."""
+    changes, inputs, first = _interpreted(spark, sf_dir)
+    again = pipeline.reanalyse(spark, changes, inputs, START, END, first.computed)
+    return again.computed.select("table", "column", "value", F.array_join("hypotheses", ",").alias("hypotheses"), "details")
+
+
 # Pipelines
 
 
@@ -661,14 +764,14 @@ ALL_TABLE_PROFILE = f"SELECT \"table\", key, rank FROM ({KEYS}) WHERE \"table\"
 
 def queries():
     found = {
-        "snapshot_stats": snapshot_stats, "top_tables_by_rows": top_tables, "row_fingerprint_orders": row_fingerprint_orders, "table_fingerprint_orders": table_fingerprint_orders, "table_digest_orders": table_digest_orders,
+        "snapshot_stats": snapshot_stats, "snapshot_all": snapshot_all, "top_tables_by_rows": top_tables, "row_fingerprint_orders": row_fingerprint_orders, "table_fingerprint_orders": table_fingerprint_orders, "table_digest_orders": table_digest_orders,
         "diff_orders_keyed_ops": diff_orders_keyed_ops, "diff_orders_keyed_inserts": _side("insert", "after"), "diff_orders_keyed_deletes": _side("delete", "before"), "diff_orders_keyed_fields": diff_orders_keyed_fields,
         "diff_lineitem_added": _bag("row_added", "after"), "diff_lineitem_removed": _bag("row_removed", "before"), "diff_key_uniqueness_fallback": diff_key_uniqueness, "diff_pair_candidates_lineitem": diff_pair_candidates,
-        "diff_probable_updates_lineitem": diff_probable_updates, "diff_schema_columns": diff_schema_columns, "diff_schema_common_columns": diff_common_columns, "diff_noise_split": diff_noise_split, "diff_summary": diff_summary,
+        "diff_probable_updates_lineitem": diff_probable_updates, "diff_probable_update_pairs": diff_probable_update_pairs, "diff_tables_come_and_go": diff_tables_come_and_go, "diff_schema_columns": diff_schema_columns, "diff_schema_common_columns": diff_common_columns, "diff_noise_split": diff_noise_split, "diff_summary": diff_summary,
         "profile_key_preference": lambda s, d: _keys(s, d), "profile_key_single": lambda s, d: _keys(s, d).filter("n_columns = 1").select("table", "key"), "profile_key_pair": lambda s, d: _keys(s, d).filter("n_columns = 2").select("table", "key"),
         "profile_relations": profile_relations, "profile_all_tables": all_table_profile,
         "links_all": _links(None), "links_amount": _links("montant"), "links_date": _links("date"), "links_code": _links("code"), "links_text": _links("texte"), "links_exact_precedence": links_precedence,
-        "deviation_osa1": deviations, "invalid_inputs": invalid_inputs,
+        "deviation_osa1": deviations, "invalid_inputs": invalid_inputs, "links_orders_diff": links_orders_diff, "deviations_orders_diff": deviations_orders_diff, "interpret_orders_computed": interpret_orders, "reanalyse_orders_computed": reanalyse_orders,
         "hyp_counter_int": hyp_counter_int, "hyp_counter_text": hyp_counter_text, "hyp_counter_update": hyp_counter_update, "hyp_timestamp": hyp_timestamp, "hyp_sum_lines": hyp_sum_lines, "hyp_copy": hyp_copy, "hyp_sum_lines_all": hyp_sum_lines_all, "hyp_copy_all": hyp_copy_all,
         "hyp_constant": hyp_constant, "hyp_running_total": hyp_running_total, "hyp_hierarchical_total": hyp_hierarchical_total, "computed_fields_all": computed_fields_all,
         "calibration_noise_tables": calibration, "scenario_latest_status": latest_status, "scenario_latest_status_all": latest_status_all, "anonymize_keep_deltas": anonymize, "retype_json_values": retype_values, "scenario_computed_fields": scenario_computed,
@@ -679,7 +782,8 @@ def queries():
 def oracle_sql():
     both = lambda order: f"{_BOTH} {order}"
     found = {
-        "snapshot_stats": SNAPSHOT_STATS, "top_tables_by_rows": f'{SNAPSHOT_STATS} ORDER BY n_rows DESC, "table" LIMIT 15', "row_fingerprint_orders": f"{_FPS} SELECT o_orderkey, fp AS fingerprint FROM p",
+        "snapshot_stats": SNAPSHOT_STATS, "snapshot_all": SNAPSHOT_ALL, "diff_probable_updates_lineitem": PROBABLE_UPDATES, "diff_probable_update_pairs": UPDATE_PAIRS, "diff_tables_come_and_go": COME_AND_GO,
+        "links_orders_diff": LINKS_ORDERS, "deviations_orders_diff": DEVIATIONS_ORDERS, "interpret_orders_computed": COMPUTED, "reanalyse_orders_computed": COMPUTED, "top_tables_by_rows": f'{SNAPSHOT_STATS} ORDER BY n_rows DESC, "table" LIMIT 15', "row_fingerprint_orders": f"{_FPS} SELECT o_orderkey, fp AS fingerprint FROM p",
         "table_fingerprint_orders": f"{_FPS} SELECT count(*) AS n_rows, sha256(string_agg(fp, '' ORDER BY fp)) AS fingerprint FROM p", "table_digest_orders": TABLE_DIGEST,
         "diff_orders_keyed_ops": OPS, "diff_orders_keyed_inserts": both("SELECT a.* FROM a ANTI JOIN b ON a.o_orderkey = b.o_orderkey"), "diff_orders_keyed_deletes": both("SELECT b.* FROM b ANTI JOIN a ON a.o_orderkey = b.o_orderkey"),
         "diff_orders_keyed_fields": FIELDS, "diff_lineitem_added": f"{_LINES_BOTH} SELECT * FROM a EXCEPT ALL SELECT * FROM b", "diff_lineitem_removed": f"{_LINES_BOTH} SELECT * FROM b EXCEPT ALL SELECT * FROM a",
