@@ -58,20 +58,29 @@ server session setting size source sql static status style svg system table task
 TYPED = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "01234567890123456789", "9876543210", "qwertyuiopasdfghjklzxcvbnm", "00000000", "11111111", "--------------------", "====================", "____________________", "////////", "++++++++", "-=-=-=-=-=-=", "xxxxxxxxxxxx", "aaaaaaaaaaaa"]
 
 
+def _in_turn(n: F.Column, forms: list) -> F.Column:
+    """The form whose turn it is; only that one is made."""
+    made = F.when(n % len(forms) == 0, forms[0])
+    for k, form in enumerate(forms[1:], 1):
+        made = made.when(n % len(forms) == k, form)
+    return made
+
+
 def labelled_samples(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFrame:
     """token, random: strings made from digests (base64 of several lengths, alphanumeric, base32, hexadecimal in both cases), and ordinary tokens: those of sampled documents without what the fixed patterns find, and identifiers, paths, dates and names made of neighbouring words."""
     spark = docs.sparkSession
     digest = F.sha2(F.concat(F.lit("sample:"), F.col("id").cast("string")).cast("binary"), 256)
     base64 = F.base64(F.unhex(digest))
     plain = F.regexp_replace(base64, "[+/=]", "")
-    made = F.element_at(F.array(base64, F.substring(base64, 1, 32), F.substring(digest, 1, 40), F.upper(F.substring(digest, 1, 40)), plain, F.translate(base64, "+/", "-_"), F.substring(plain, 1, 20), F.regexp_replace(F.upper(base64), "[^A-Z2-7]", ""), F.regexp_replace(F.lower(base64), "[^a-z0-9]", "")), (F.col("id") % 9 + 1).cast("int"))
+    kinds = [base64, F.substring(base64, 1, 32), F.substring(digest, 1, 40), F.upper(F.substring(digest, 1, 40)), plain, F.translate(base64, "+/", "-_"), F.substring(plain, 1, 20), F.regexp_replace(F.upper(base64), "[^A-Z2-7]", ""), F.regexp_replace(F.lower(base64), "[^a-z0-9]", "")]
+    made = _in_turn(F.col("id"), kinds)
     random = spark.range(RANDOM_SAMPLES).select(made.alias("token"), F.lit(True).alias("random"))
     share = int(min(1.0, SAMPLE_DOCUMENTS / max(1, docs.count())) * (1 << 30))
     sampled = docs.filter(F.pmod(F.xxhash64(doc_id, F.lit("secrets")), F.lit(1 << 30)) < share)
     body = F.coalesce(F.col(text), F.lit(""))
     for pattern in (ASSIGN, ACCESS, HEX):
         body = F.regexp_replace(body, pattern, " ")
-    sampled = sampled.select(body.alias("body"))
+    sampled = sampled.select(body.alias("body")).repartition(spark.sparkContext.defaultParallelism)
     own = sampled.select(F.explode(F.regexp_extract_all("body", F.lit(r"[A-Za-z0-9+/_=-]{2,}"), F.lit(0))).alias("token"))
     words = F.regexp_extract_all("body", F.lit(r"(?<![A-Za-z])[A-Za-z]{2,18}(?![A-Za-z])"), F.lit(0))
     pairs = F.expr("zip_with(words, slice(words, 2, greatest(size(words) - 1, 0)), (a, b) -> struct(lower(a) AS a, lower(coalesce(b, '')) AS b))")
@@ -89,7 +98,7 @@ def labelled_samples(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFr
         F.concat_ws("-", b, F.concat((n % 4000).cast("string"), F.lit("x"), (n % 3000).cast("string"))), F.concat(a, n.cast("string")), F.concat_ws("-", F.substring(F.upper(a), 1, 3), (n % 10000).cast("string")),
         F.concat(F.lit("v"), (n % 9).cast("string"), F.lit("-"), (n % 77).cast("string"), F.lit("_"), b), F.concat_ws("=", a, n.cast("string")), F.concat(F.lit("/"), a, F.lit("/"), b, F.lit("/"), up(a)), F.concat(a, up(b), up(a), (n % 100).cast("string")), F.concat_ws("-", F.substring(F.upper(b), 1, 4), (n % 1000).cast("string"), F.substring(F.upper(a), 1, 3)), F.concat(F.substring(a, 1, 2), F.lit("-"), F.substring(F.upper(b), 1, 2), F.lit("/"), up(b)), F.concat(up(a), F.substring(F.upper(b), 1, 2), F.lit("_"), n.cast("string")), F.concat(F.substring(F.upper(a), 1, 3), up(b)), F.concat(date, F.lit("T"), padded(n % 240000, 6)), F.concat(F.lit("//"), a, F.lit("/"), b, F.lit("/"), (n % 1000).cast("string")),
     ]
-    made = joined.select(F.element_at(F.array(*styles), (F.col("i") % len(styles) + 1).cast("int")).alias("token"))
+    made = joined.select(_in_turn(F.col("i"), styles).alias("token"))
     typed = spark.range(ROW_SAMPLES).select(F.explode(F.array(*[F.lit(t) for t in TYPED])).alias("token"))
     return random.unionByName(own.unionByName(made).unionByName(typed).withColumn("random", F.lit(False)))
 
