@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, mixing, pii, quality, secrets, sharding, simhash, topk, warc
+from . import decontam, fim, langid, mixing, pii, quality, secrets, sharding, simhash, topk, warc
 
 
 def queries():
@@ -17,8 +17,9 @@ def queries():
         "op8_language_id": langid.op8_language_id,
         "op9_decontaminate": decontam.op9_decontaminate,
         "op10_top_k": topk.op10_top_k,
+        "op11_fill_in_middle": fim.op11_fill_in_middle,
     }
 
 
 def oracle_sql():
-    return {"op2_mix_sources": mixing.OP2_SQL, "op6_warc_round_trip": warc.OP6_SQL, "op10_top_k": topk.OP10_SQL}
+    return {"op2_mix_sources": mixing.OP2_SQL, "op6_warc_round_trip": warc.OP6_SQL, "op10_top_k": topk.OP10_SQL, "op11_fill_in_middle": fim.OP11_SQL}
