@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, fim, langid, mixing, pii, quality, secrets, sharding, simhash, topk, warc
+from . import bpe, decontam, fim, langid, mixing, pii, quality, secrets, sharding, simhash, topk, warc
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         "op9_decontaminate": decontam.op9_decontaminate,
         "op10_top_k": topk.op10_top_k,
         "op11_fill_in_middle": fim.op11_fill_in_middle,
+        "op13_bpe": bpe.op13_bpe,
     }
 
 

@@ -1,6 +1,7 @@
 """Fill-in-the-middle, collocations and byte-pair encoding against brute force, SQL and the public library."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from deltascope.llm import catalog, fim
+from deltascope.llm import bpe, catalog, fim
 from tests.conftest import SF
 from tests.llm.conftest import CLASH, DOCS, prose
 from tests.test_queries import plain
@@ -95,3 +96,86 @@ def test_fill_in_middle_of_nothing(no_docs):
 
 def test_fill_in_middle_query(spark, duck):
     assert len(equals_sql(spark, duck, "op11_fill_in_middle")) == 200
+
+
+# Byte-pair encoding
+
+
+@pytest.fixture(scope="module")
+def library():
+    tokenizers, public_tokenizers = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    return tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return bpe.load(pytest.importorskip("public_tokenizers").path("word_bpe_49k.json"))
+
+
+def hard_texts():
+    rng = random.Random(4)
+    some = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    codes = [*range(0x20, 0x3000), *range(0xA000, 0xD7FF), *range(0xE000, 0x20000)]
+    texts = [some("aab'strevmld é1İΣ\n\t!' 　\x1c\x85", rng.randrange(40)) for _ in range(2000)]
+    texts += ["".join(map(chr, rng.choices(codes, k=12))) for _ in range(2000)]
+    special = ["<|endoftext|>", "a<|endoftext|>b <|startoftext|><|startoftext|>", "<|endoftext|", "é<|endoftext|>́x", "<|ENDOFTEXT|>"]
+    return [*texts, *special, "x" * 3000, "haha" * 500, "ab" * 900 + "'s", "'''''s", "''s 's's 'res 'll'lls", "é ́", "", " ", "\U0001f600" * 50, "1" * 400]
+
+
+def test_encoding_equals_the_library(tokenizer, library, monkeypatch):
+    texts = hard_texts()
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    encoder = bpe.Encoder(tokenizer)
+    assert encoder(texts).to_pylist() == want
+    assert 0 < encoder.merged_words < len(encoder.known)
+    assert encoder(texts[::-1]).to_pylist() == want[::-1]  # with remembered words
+    monkeypatch.setattr(bpe, "PIECE", 50)
+    monkeypatch.setattr(bpe, "REMEMBERED", 100)
+    monkeypatch.setattr(bpe, "LONG_WORD", 5)
+    assert bpe.Encoder(tokenizer)(texts).to_pylist() == want
+
+
+def test_every_token_and_pairs_of_tokens(tokenizer, library):
+    byte = {c: b for b, c in enumerate(bpe.byte_characters())}
+    shown = [bytes(byte[c] for c in name.removesuffix("</w>") if c in byte).decode(errors="ignore") for name in tokenizer.names[: len(tokenizer.vocab)]]
+    rng = random.Random(9)
+    texts = shown + ["".join(rng.choices(shown, k=rng.choice([2, 2, 3, 5]))) for _ in range(5000)]
+    assert bpe.Encoder(tokenizer)(texts).to_pylist() == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_ways_of_merging_agree(tokenizer):
+    merges, rng = tokenizer.merges, random.Random(2)
+    words = ["".join(rng.choices("aeinrst", k=rng.randrange(1, 30))).encode() for _ in range(300)]
+    ids, counts, failed = merges.encode(words)
+    assert failed
+    symbols = [[*merges.inner[list(w[:-1])].tolist(), int(merges.final[w[-1]])] for w in words]
+    want = [merges.exact(list(s)) for s in symbols]
+    again, sizes = merges.merge_words(np.array([x for s in symbols for x in s]), np.array(list(map(len, symbols))))
+    flat = [x for w in want for x in w]
+    assert ids.tolist() == again.tolist() == flat and counts.tolist() == sizes.tolist() == list(map(len, want))
+
+
+def test_encode_and_decode_documents(edge_docs, edge_rows, no_docs, tokenizer, library):
+    found = bpe.decode(bpe.encode(edge_docs, tokenizer, carry=("text", "row")), tokenizer).collect()
+    want = Counter()
+    for doc_id, text, *_ in edge_rows:
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        want[doc_id, text, tuple(ids), library.decode(ids, skip_special_tokens=False)] += 1
+    assert Counter((r.doc_id, r.row.text, tuple(r.ids), r.decoded) for r in found) == want
+    assert bpe.decode(bpe.encode(no_docs, tokenizer), tokenizer).collect() == []
+
+
+def test_bpe_query(spark, library):
+    found = {r.doc_id: r for r in catalog.queries()["op13_bpe"](spark, SF).collect()}
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    assert len(found) == len(rows) == 200
+    for r in rows:
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        got = found[r.doc_id]
+        assert (got.n_tokens, got.ids_sha256, got.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))
+
+
+def test_tokenizers_of_another_kind_are_refused():
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    with pytest.raises((ValueError, KeyError, TypeError)):
+        bpe.load(path)
