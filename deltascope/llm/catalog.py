@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, fim, langid, mixing, pii, quality, secrets, sharding, simhash, topk, warc
+from . import bpe, decontam, fim, langid, mixing, phrases, pii, quality, secrets, sharding, simhash, topk, warc
 
 
 def queries():
@@ -18,9 +18,10 @@ def queries():
         "op9_decontaminate": decontam.op9_decontaminate,
         "op10_top_k": topk.op10_top_k,
         "op11_fill_in_middle": fim.op11_fill_in_middle,
+        "op12_collocations": phrases.op12_collocations,
         "op13_bpe": bpe.op13_bpe,
     }
 
 
 def oracle_sql():
-    return {"op2_mix_sources": mixing.OP2_SQL, "op6_warc_round_trip": warc.OP6_SQL, "op10_top_k": topk.OP10_SQL, "op11_fill_in_middle": fim.OP11_SQL}
+    return {"op2_mix_sources": mixing.OP2_SQL, "op6_warc_round_trip": warc.OP6_SQL, "op10_top_k": topk.OP10_SQL, "op11_fill_in_middle": fim.OP11_SQL, "op12_collocations": phrases.OP12_SQL}

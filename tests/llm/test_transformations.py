@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from deltascope.llm import bpe, catalog, fim
+from deltascope.llm import bpe, catalog, fim, perfect_hash, phrases
 from tests.conftest import SF
 from tests.llm.conftest import CLASH, DOCS, prose
 from tests.test_queries import plain
@@ -179,3 +179,84 @@ def test_tokenizers_of_another_kind_are_refused():
     path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
     with pytest.raises((ValueError, KeyError, TypeError)):
         bpe.load(path)
+
+
+# Collocations
+
+
+def collocations_by_hand(rows, least, upto=4, top=2000):
+    """lang -> the phrases with a, l, r, n, score, by rank."""
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    f, n, out = Counter(), Counter(), {}
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\n-\r]", (text or "").translate(low)):
+            words = re.findall("[^ \t]+", piece)
+            n[lang] += len(words)
+            f.update((lang, tuple(words[i : i + k])) for k in range(1, upto + 1) for i in range(len(words) - k + 1))
+    often = {p: a for p, a in f.items() if a >= least and len(p[1]) > 1}
+    over = Counter()
+    for (lang, words), a in often.items():
+        for k in range(2, len(words)):
+            for i in range(len(words) - k + 1):
+                over[lang, words[i : i + k]] = max(over[lang, words[i : i + k]], a)
+    for (lang, words), a in often.items():
+        if 100 * over[lang, words] < 80 * a:
+            cuts = [(2_000_000 * a // (f[lang, words[:k]] + f[lang, words[k:]]), k) for k in range(1, len(words))]
+            score, k = min(cuts)
+            out.setdefault(lang, []).append((-score, -a, " ".join(words).encode(), f[lang, words[:k]], f[lang, words[k:]], n[lang]))
+    return {lang: [(i + 1, p.decode(), -a, l, r, m, -s) for i, (s, a, p, l, r, m) in enumerate(sorted(own)[:top])] for lang, own in out.items()}
+
+
+def ranked(found):
+    out = {}
+    for r in found.orderBy("lang", "rank").collect():
+        out.setdefault(r.lang, []).append((r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score))
+    return out
+
+
+def test_collocations(edge_docs, edge_rows, spark, monkeypatch):
+    more = [(700 + i, "New York, new\tyork. NEW YORK city! é à é à  x x x x\ny\vy\fy\ry " * 3 + "Ünder ÜNDER", lang) for i, lang in enumerate(["en", None, "und", "en", "fr"])]
+    docs = edge_docs.unionByName(spark.createDataFrame([(*r, "a", None, *CLASH) for r in more], DOCS))
+    rows = [(r[1], r[2]) for r in edge_rows] + [(t, lang) for _, t, lang in more]
+    for least in (3, 12):
+        want = collocations_by_hand(rows, least)
+        assert len(want) >= 3 and ranked(phrases.collocations(docs, least=least)) == want
+    monkeypatch.setattr(phrases, "SHARD_KEYS", 20)
+    monkeypatch.setattr(phrases, "GROUP_KEYS", 300)  # several groups of shards, so counts come from several passes
+    monkeypatch.setattr(phrases, "BLOCK", 64)
+    monkeypatch.setattr(phrases, "FILTER_BITS", 64)  # full filters: every phrase is a candidate
+    monkeypatch.setattr(phrases, "FAN_IN", 2)
+    monkeypatch.setattr(phrases, "SLAB", 500)
+    assert ranked(phrases.collocations(docs, least=12, top=7)) == collocations_by_hand(rows, 12, top=7)
+
+
+def test_collocations_of_nothing(no_docs, edge_docs):
+    assert phrases.collocations(no_docs).collect() == []
+    assert phrases.collocations(edge_docs, least=10**6).collect() == []
+
+
+def test_scores_beyond_64_bits(spark):
+    a, l, r = 9 * 10**18, 9 * 10**18, 123
+    got = spark.createDataFrame([(a, l, r)], "a long, l long, r long").select(phrases._score(F.col("a"), F.col("l"), F.col("r"))).first()[0]
+    assert got == 2_000_000 * a // (l + r)
+
+
+def test_perfect_hash():
+    rng = np.random.default_rng(1)
+    h1, h2 = rng.integers(0, 2**64, (2, 20_000), dtype=np.uint64)
+    h1[1] = h1[0]  # told apart by the second hash
+    shard = perfect_hash.shard_of(h1, 7)
+    parts = [perfect_hash.build_shard(h1[shard == s], h2[shard == s]) for s in range(7)]
+    whole = perfect_hash.PerfectHash(parts, 0, 7)
+    slots = whole.slots(h1, h2)
+    assert sorted(slots.tolist()) == list(range(20_000))
+    assert (whole.slots(*rng.integers(0, 2**64, (2, 20_000), dtype=np.uint64)) == -1).all()
+    some = perfect_hash.PerfectHash(parts[2:4], 2, 7).slots(h1, h2)
+    assert ((some >= 0) == ((shard == 2) | (shard == 3))).all() and len(set(some[some >= 0].tolist())) == (some >= 0).sum()
+    none = perfect_hash.PerfectHash([perfect_hash.build_shard(h1[:0], h2[:0])], 0, 1)
+    assert len(none) == 0 and (none.slots(h1[:5], h2[:5]) == -1).all()
+
+
+def test_collocations_query(spark, duck):
+    equals_sql(spark, duck, "op12_collocations")
