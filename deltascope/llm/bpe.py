@@ -37,17 +37,19 @@ import json
 import re
 import unicodedata
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
 
-#: Characters handled at once, words remembered by a task, and bytes from which a word isn't remembered.
-PIECE, REMEMBERED, LONG_WORD = 1 << 21, 200_000, 64
+#: Characters and rows handled at once, words remembered by a task, and bytes from which a word isn't remembered.
+PIECE, ROWS, REMEMBERED, LONG_WORD = 1 << 20, 1000, 400_000, 64
 NEVER = np.int32(2**31 - 1)
 SPACE, LETTER, DIGIT, OTHER, UNKNOWN = range(5)
 #: Unicode's white space, and what follows an apostrophe in a contraction.
@@ -304,7 +306,7 @@ class Encoder:
             kind = self.kinds[points]
         before, after = np.concatenate([[SPACE], kind[:-1]]), np.concatenate([kind, [SPACE] * 4])
         starts = np.append((kind != SPACE) & ((kind != before) | (kind == DIGIT)), [False] * 4)
-        near = np.concatenate([points, [0] * 4])
+        near = np.append(points, np.zeros(4, np.uint32))
         quotes = np.nonzero((points == 0x27) & (before != OTHER))[0]
         for tail in CONTRACTIONS:
             hit = quotes[np.all([near[quotes + 1 + i] == ord(c) for i, c in enumerate(tail)], axis=0)]
@@ -320,7 +322,7 @@ class Encoder:
     def encode_words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """ids of all words, and how many each has."""
         coded = words.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.sizes) > REMEMBERED or len(self.ids) > 16 * REMEMBERED:
             self.forget()
         slot = np.array([self.known.get(w, -1) for w in distinct], np.int64)
@@ -390,7 +392,9 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, *, doc_id="doc_id", text="text
     def run(batches):
         encoder = Encoder(shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], encoder(batch.column(batch.num_columns - 1).to_pylist())], [*batch.schema.names[:-1], "ids"])
+            for a in range(0, batch.num_rows, ROWS):
+                part = batch.slice(a, ROWS)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], encoder(part.column(part.num_columns - 1).to_pylist())], [*batch.schema.names[:-1], "ids"])
 
     rows = docs.select(*([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
@@ -403,7 +407,8 @@ def decode(encoded: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     def run(batches):
         name = shared.value.__getitem__
         for batch in batches:
-            texts = [" ".join(map(name, ids or ())) for ids in batch.column(at).to_pylist()]
+            ids, bounds = batch.column(at).flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(batch.column(at)), 0))]).tolist()
+            texts = [" ".join(map(name, ids[a:b].tolist())) for a, b in pairwise(bounds)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
