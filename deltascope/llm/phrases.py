@@ -26,6 +26,8 @@ columns, whatever their names, aren't read.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -39,7 +41,7 @@ from .perfect_hash import PerfectHash, build_shard, mix, shard_of
 MIN_COUNT, MAX_WORDS, TOP, COVERED = 30, 4, 2000, 80
 PIECE_END, BLANK = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: Bytes of texts handled at once, most bits of a filter, keys of a shard and of a group of shards, slots of a block, blocks summed by one task.
-SLAB, FILTER_BITS, SHARD_KEYS, GROUP_KEYS, BLOCK, FAN_IN = 1 << 22, 1 << 30, 1 << 15, 1 << 22, 1 << 14, 32
+SLAB, FILTER_BITS, SHARD_KEYS, GROUP_KEYS, BLOCK, FAN_IN = 1 << 23, 1 << 30, 1 << 15, 1 << 22, 1 << 14, 32
 
 _LOWER, _KIND = np.arange(256, dtype=np.uint8), np.zeros(256, np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -48,11 +50,11 @@ _KIND[list(BLANK)], _KIND[list(PIECE_END)] = 1, 2
 
 def text_hash(texts: pa.Array) -> np.ndarray:
     """64-bit hashes of texts."""
-    return pd.util.hash_array(np.array(texts.to_pylist(), dtype=object), categorize=False)
+    return pd.util.hash_array(texts.to_numpy(zero_copy_only=False), categorize=False)
 
 
 class Words:
-    """The words of some texts: hashes, the hash of each one's lang, and the piece that each is in (equal for neighbours in one piece only)."""
+    """The words of some texts: hashes, the hash of each one's lang, and the piece that each is in (equal for neighbours in one piece only). langs: hashes by text."""
 
     def __init__(self, texts: pa.Array, langs: np.ndarray):
         wide = texts.cast(pa.large_string())
@@ -60,16 +62,41 @@ class Words:
         data = np.frombuffer(wide.buffers()[2], np.uint8)[starts[0] : starts[-1]] if wide.buffers()[2] is not None else np.zeros(0, np.uint8)
         data, starts = _LOWER[data], starts - starts[0]
         kind = _KIND[data]
-        edge = np.flatnonzero(np.diff(np.minimum(kind, 1), prepend=1, append=1))
-        edge = np.unique(np.concatenate([edge, starts]))
-        begins = edge[:-1][kind[edge[:-1]] == 0] if len(data) else edge[:0]
-        parts = pa.LargeStringArray.from_buffers(len(edge) - 1, pa.py_buffer(edge), pa.py_buffer(data.tobytes())) if len(data) else pa.array([], pa.large_string())
-        self.texts = parts.take(pa.array(np.flatnonzero(kind[edge[:-1]] == 0) if len(data) else [], pa.int64()))
-        text = np.searchsorted(starts, begins, side="right") - 1
-        self.piece = np.searchsorted(np.flatnonzero(kind == 2), begins) + text
-        self.lang, self.text = langs[text], text
-        coded = self.texts.dictionary_encode()
-        self.hash = text_hash(coded.dictionary)[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.uint64)
+        in_word = kind == 0
+        edge = np.ones(len(data) + 1, bool)
+        np.not_equal(in_word[1:], in_word[:-1], out=edge[1:-1])
+        edge[starts] = True  # a word ends with its text
+        places = np.flatnonzero(edge)
+        is_word = in_word[places[:-1]]
+        begins = places[:-1][is_word]
+        parts = pa.StringArray.from_buffers(len(places) - 1, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(data)) if len(data) else pa.array([], pa.string())
+        coded = parts.filter(pa.array(is_word)).dictionary_encode()
+        self.distinct, self.codes = coded.dictionary, coded.indices.to_numpy()
+        self.text = np.repeat(np.arange(len(starts) - 1), np.diff(np.searchsorted(begins, starts)))
+        self.piece = np.cumsum(kind == 2, dtype=np.int32)[begins] + self.text
+        self.langs = langs
+        self.distinct_hash = text_hash(self.distinct)
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return self.distinct_hash[self.codes]
+
+    @cached_property
+    def lang(self) -> np.ndarray:
+        return self.langs[self.text]
+
+    def __len__(self) -> int:
+        return len(self.codes)
+
+    def words_by_lang(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of all distinct words in each lang, and how often they occur; and each word's place among these."""
+        names, lang = np.unique(self.langs, return_inverse=True)
+        code = self.codes.astype(np.int64) * len(names) + lang[self.text]
+        counts = np.bincount(code, minlength=len(self.distinct) * len(names))
+        seen = np.flatnonzero(counts)
+        place = np.zeros(len(counts), np.int32)
+        place[seen] = np.arange(len(seen))
+        return phrase_hash(names[seen % len(names)], [self.distinct_hash[seen // len(names)]]), counts[seen], place[code]
 
     def whole(self, at: np.ndarray, k: int) -> np.ndarray:
         """Of places, those where k words follow in one piece."""
@@ -138,10 +165,11 @@ def _summed(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def safe_places(words: Words, filters: list, upto: int):
     """(k, places): phrases of 1 to `upto` words that pass the filters with all their parts. filters[0]: words; [1]: pairs; [2]: all longer ones. Phrases of a length without a filter yet pass if their parts do."""
-    last = np.flatnonzero(filters[0].has(words.phrase(np.arange(len(words.hash)), 1))) if filters else np.arange(len(words.hash))
+    hashes, _, place = words.words_by_lang()
+    last = np.flatnonzero(filters[0].has(hashes)[place])
     yield 1, last
     for k in range(2, upto + 1):
-        marked = np.zeros(len(words.hash) + 1, bool)
+        marked = np.zeros(len(words) + 1, bool)
         marked[last] = True
         last = words.whole(last[marked[last + 1]], k)
         held = filters[min(k, 3) - 1] if len(filters) >= min(k, 3) else None
@@ -157,8 +185,10 @@ def _level(rows: DataFrame, filters: list, levels: tuple[int, ...], totals: bool
     def run(batches):
         for batch in batches:
             for words, names, langs in _slabs(batch):
-                found = [words.phrase(at, k) for k, at in safe_places(words, shared.value, max(levels)) if k in levels]
-                hashes, counts = _summed(found)
+                if shared.value:
+                    hashes, counts = _summed([words.phrase(at, k) for k, at in safe_places(words, shared.value, max(levels)) if k in levels])
+                else:
+                    hashes, counts, _ = words.words_by_lang()
                 if len(hashes):
                     yield pa.RecordBatch.from_arrays([pa.nulls(len(hashes), pa.string()), pa.array(hashes.view(np.int64)), pa.array(counts, pa.int64())], ["lang", "h", "n"])
                 if totals:
@@ -179,9 +209,9 @@ def _candidates(rows: DataFrame, filters: list, upto: int) -> DataFrame:
                     h1, first = np.unique(words.phrase(at, k), return_index=True)
                     if len(at):
                         at = at[first]
-                        text = pc.binary_join_element_wise(*[words.texts.take(pa.array(at + j)) for j in range(k)], pa.scalar(" ", pa.large_string()))
+                        text = pc.binary_join_element_wise(*[words.distinct.take(pa.array(words.codes[at + j])) for j in range(k)], " ")
                         own = names.take(pa.array(langs[words.text[at]]))
-                        yield pa.RecordBatch.from_arrays([own.cast(pa.string()), text.cast(pa.string()), pa.array(h1.view(np.int64)), pa.array(words.phrase(at, k, 2).view(np.int64))], ["lang", "phrase", "h1", "h2"])
+                        yield pa.RecordBatch.from_arrays([own.cast(pa.string()), text, pa.array(h1.view(np.int64)), pa.array(words.phrase(at, k, 2).view(np.int64))], ["lang", "phrase", "h1", "h2"])
 
     return rows.mapInArrow(run, "lang string, phrase string, h1 long, h2 long").groupBy("lang", "phrase").agg(F.first("h1").alias("h1"), F.first("h2").alias("h2"))
 
