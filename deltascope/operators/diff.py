@@ -2,7 +2,8 @@
 
 Keyed tables are joined on their key's canonical text (never NULL, so the join is
 a plain equi-join); keyless ones are compared as bags by one signed aggregate.
-Both compare hashes of rows first and fetch rows only where something changed.
+Both compare hashes of rows first and fetch rows only where something changed;
+snapshots that are stored in equal buckets are compared in place, without a shuffle.
 Results are long: row_changes(table, key_type, op, key, before, after, ord) and
 field_changes(table, key, column, before, after), with canonical texts; `ord` is
 the row's place in its source.
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.catalog import Table
-from .snapshot import ORD, Snapshot, TableSnapshot, in_order
+from ..sources.storage import written
+from .snapshot import ORD, PRINTS, Snapshot, TableSnapshot, in_order, prints
 
 ROW_CHANGES = "table string, key_type string, op string, row_id long, key map<string,string>, before map<string,string>, after map<string,string>, ord long"
 #: Fields in which a probable update may differ, comparisons beyond which none is sought, and rows under which a candidate key is doubtful.
@@ -42,52 +44,58 @@ def is_unique(rows: DataFrame, key: list[str]) -> bool:
     return rows.groupBy(*[F.col(f"`{k}`") for k in key]).count().filter("count > 1").isEmpty()
 
 
-#: Two 64-bit hashes name a row among the rows of two snapshots.
-_PRINT = ["f1", "f2"]
-
-
-def _print(columns: list[str]) -> list[F.Column]:
-    texts = [F.col(f"`{c}`") for c in columns]
-    return [F.xxhash64(*texts).alias("f1"), F.xxhash64(F.lit("second"), *texts).alias("f2")]
-
-
-def keyed_diff(name: str, before: DataFrame, after: DataFrame, columns: list[str], key: list[str], key_type: str) -> DataFrame:
+def keyed_diff(name: str, before: DataFrame, after: DataFrame, columns: list[str], key: list[str], key_type: str, in_place: bool = False) -> DataFrame:
     """Rows after only: insert; before only: delete; both and unequal: update.
 
-    Only keys and hashes of rows are compared; the rows themselves are fetched for the keys that differ.
+    Keys and hashes of rows are compared, and the keys that differ written as a
+    table; then each side's rows meet that table alone, so unchanged rows aren't
+    shuffled where Spark can broadcast it. With `in_place` both sides are stored in
+    buckets of their key, and whole rows are joined where they are.
     """
     on = [f"k{i}" for i in range(len(key))]
-    keyed = lambda df: in_order(df).select(*[F.col(f"`{k}`").alias(i) for i, k in zip(on, key, strict=True)], *_print(columns), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), ORD)
-    b, a = keyed(before), keyed(after)
-    sides = b.select(*on, F.struct(*_PRINT).alias("b")).join(a.select(*on, F.struct(*_PRINT).alias("a")), on, "full_outer")
+    keys = [F.col(f"`{k}`").alias(i) for i, k in zip(on, key, strict=True)]
+    b, a = in_order(before), in_order(after)
+    whole = lambda df, side: df.select(*keys, F.struct(*[F.col(f"`{c}`") for c in columns]).alias(side), F.col(ORD).alias(f"{side}_ord"))
     op = F.when(F.col("b").isNull(), "insert").when(F.col("a").isNull(), "delete").when(F.col("b") != F.col("a"), "update")
-    differ = sides.select(*on, op.alias("op")).filter("op IS NOT NULL")
-    whole = lambda df, side: df.select(*on, F.col("row").alias(side), F.col(ORD).alias(f"{side}_ord"))
-    both = differ.join(whole(b, "b"), on, "left").join(whole(a, "a"), on, "left")
-    keys = F.map_from_arrays(F.array(*[F.lit(k) for k in key]), F.array(*[F.col(i) for i in on]))
+    if in_place:
+        both = whole(b, "b").join(whole(a, "a"), on, "full_outer").withColumn("op", op).filter("op IS NOT NULL")
+    else:
+        side = lambda df, mark: df.select(*keys, F.struct(*prints(columns)).alias(mark))
+        differ = written(side(b, "b").join(side(a, "a"), on, "full_outer").select(*on, op.alias("op")).filter("op IS NOT NULL"), "changed-keys")
+        fetched = lambda df, mark: whole(df, mark).join(differ.select(*on), on)
+        both = differ.join(fetched(b, "b"), on, "left").join(fetched(a, "a"), on, "left")
+    shown = F.map_from_arrays(F.array(*[F.lit(k) for k in key]), F.array(*[F.col(i) for i in on]))
     changed = both.select(
-        F.lit(name).alias("table"), F.lit(key_type).alias("key_type"), "op", F.lit(0).alias("copy"), keys.alias("key"), F.when(F.col("b").isNotNull(), _map(columns, "b.")).alias("before"),
+        F.lit(name).alias("table"), F.lit(key_type).alias("key_type"), "op", F.lit(0).alias("copy"), shown.alias("key"), F.when(F.col("b").isNotNull(), _map(columns, "b.")).alias("before"),
         F.when(F.col("a").isNotNull(), _map(columns, "a.")).alias("after"), F.coalesce("a_ord", "b_ord").alias("ord"),
     )
     return changed.withColumn("row_id", _row_id(name)).select(*[f.name for f in T.StructType.fromDDL(ROW_CHANGES)])
 
 
-def bag_diff(name: str, before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:
+def bag_diff(name: str, before: DataFrame, after: DataFrame, columns: list[str], in_place: bool = False) -> DataFrame:
     """Copies that one side has more, the last ones in source order: row_added and row_removed.
 
     Hashes of rows are counted with their sign, summed before the shuffle; rows are
     fetched only for hashes whose sum isn't zero. Copies are listed by pieces of the
-    source, so copies of one row, however many, are dealt out.
+    source, so copies of one row, however many, are dealt out. With `in_place` both
+    sides have PRINTS and are stored in buckets of these, so nothing is shuffled.
     """
-    side = lambda df: in_order(df).select(*_print(columns), F.col(ORD).alias("ord"), F.shiftright(ORD, 33).alias("piece"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    hashes = (lambda df: PRINTS) if in_place else (lambda df: prints(columns))
+    side = lambda df: in_order(df).select(*hashes(df), F.col(ORD).alias("ord"), F.shiftright(ORD, 33).alias("piece"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
     b, a = side(before), side(after)
-    signed = b.select(*_PRINT, F.lit(-1).alias("sign")).unionAll(a.select(*_PRINT, F.lit(1).alias("sign")))
-    more = signed.groupBy(*_PRINT).agg(F.sum("sign").alias("n")).filter("n <> 0")
-    later = F.coalesce(F.sum("held").over(Window.partitionBy(*_PRINT).orderBy(F.desc("piece")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    later = F.coalesce(F.sum("held").over(Window.partitionBy(*PRINTS).orderBy(F.desc("piece")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if in_place:
+        counts = lambda df, n: df.groupBy(*PRINTS).agg(F.count("*").alias(n))
+        extra_of = lambda mine, other: counts(mine, "own").join(counts(other, "theirs"), PRINTS, "left").select(*PRINTS, (F.col("own") - F.coalesce("theirs", F.lit(0))).alias("n")).filter("n > 0")
+        more = {-1: extra_of(b, a), 1: extra_of(a, b)}
+    else:
+        signed = b.select(*PRINTS, F.lit(-1).alias("sign")).unionAll(a.select(*PRINTS, F.lit(1).alias("sign")))
+        uneven = signed.groupBy(*PRINTS).agg(F.sum("sign").alias("n")).filter("n <> 0")
+        more = {sign: uneven.filter(F.col("n") * sign > 0).select(*PRINTS, F.abs("n").alias("n")) for sign in (-1, 1)}
 
     def extra(df: DataFrame, sign: int) -> DataFrame:
-        met = df.join(more.filter(F.col("n") * sign > 0).select(*_PRINT, F.abs("n").alias("n")), _PRINT)
-        pieces = met.groupBy(*_PRINT, "piece").agg(F.sort_array(F.collect_list("ord"), asc=False).alias("ords"), F.first("row").alias("row"), F.first("n").alias("n"), F.count("*").alias("held"))
+        met = df.join(more[sign], PRINTS)
+        pieces = met.groupBy(*PRINTS, "piece").agg(F.sort_array(F.collect_list("ord"), asc=False).alias("ords"), F.first("row").alias("row"), F.first("n").alias("n"), F.count("*").alias("held"))
         pieces = pieces.withColumn("later", later).filter("later < n")
         copies = pieces.select("row", "later", F.posexplode(F.slice("ords", 1, F.least(F.col("n") - F.col("later"), F.col("held")).cast("int"))).alias("at", "ord"))
         row, none = _map(columns, "row."), F.lit(None).cast("map<string,string>")
@@ -203,6 +211,7 @@ def diff_table(before: TableSnapshot, after: TableSnapshot, candidate_key=None,
     """Row changes, the schema change if any, and warnings."""
     old, new, name, warnings, schema_change = before.table, after.table, after.table.name, [], None
     columns, rows_before, rows_after, key = new.columns, before.rows, after.rows, new.primary_key
+    layout = before.layout[0] if before.layout is not None and before.layout == after.layout else ()
     if old.signature() != new.signature():
         columns = [c for c in new.columns if c in old.columns]
         lost, gained = [c for c in old.columns if c not in columns], [c for c in new.columns if c not in columns]
@@ -212,19 +221,22 @@ def diff_table(before: TableSnapshot, after: TableSnapshot, candidate_key=None,
             "table": name, "code": "schema_modifie_colonnes_communes", "message": f"{name}: the schema changed; only common columns are compared.",
             "details": {"colonnes_ajoutees": ",".join(gained), "colonnes_supprimees": ",".join(lost), "colonnes_retypees": ",".join(retyped)},
         })
+        layout = ()
         rows_before, rows_after = (in_order(t.rows).select(*[f"`{c}`" for c in columns], ORD) for t in (before, after))
         key = new.primary_key if new.primary_key == old.primary_key and set(new.primary_key) <= set(columns) else ()
     found = None
     if key:  # a declared key that isn't unique doesn't hand over to a candidate
         if is_unique(rows_before, list(key)) and is_unique(rows_after, list(key)):
-            found = keyed_diff(name, rows_before, rows_after, columns, list(key), PRIMARY)
+            found = keyed_diff(name, rows_before, rows_after, columns, list(key), PRIMARY, layout == tuple(key))
     elif candidate_key and set(candidate_key) <= set(columns):
         if is_unique(rows_before, list(candidate_key)) and is_unique(rows_after, list(candidate_key)):
             found = keyed_diff(name, rows_before, rows_after, columns, list(candidate_key), CANDIDATE)
             if (most := max(before.n_rows, after.n_rows)) < SMALL_TABLE:
                 warnings.append({"table": name, "code": "cle_candidate_petite_table", "message": f"{name}: the candidate key was found on {most} rows only.", "details": {"nb_lignes": str(most)}})
     if found is None:
-        found, warning = probable_updates(bag_diff(name, rows_before, rows_after, columns), columns, name, cap)
+        by_row = layout == tuple(PRINTS)
+        bags = (before.stored, after.stored) if by_row else (rows_before, rows_after)
+        found, warning = probable_updates(bag_diff(name, *bags, columns, by_row), columns, name, cap)
         warnings += [warning] if warning else []
     return found, schema_change, warnings
 

@@ -10,21 +10,25 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical, row_fingerprint
 from ..sources.catalog import Source, Table
-
+from ..sources.storage import bucketed, open_bucketed
 
 #: A snapshot's column of row places in source order: unique and rising, not consecutive.
 ORD = "__ord"
+#: Two 64-bit hashes name a row among the rows of two snapshots; a snapshot that is stored in buckets has them beside its rows.
+PRINTS = ["__f1", "__f2"]
 
 
 @dataclass
 class TableSnapshot:
-    """A table as it was: `rows` has one canonical text column for each column of the table, and ORD."""
+    """A table as it was: `rows` has one canonical text column for each column of the table, and ORD. `layout` names the columns and the number of the buckets that it is stored in; then `stored` has PRINTS too."""
 
     table: Table
     rows: DataFrame
     n_rows: int
     fingerprint: str
     seconds: float = 0.0
+    layout: tuple[tuple[str, ...], int] | None = None
+    stored: DataFrame | None = None
 
     @property
     def columns(self) -> list[str]:
@@ -50,6 +54,11 @@ def in_order(rows: DataFrame) -> DataFrame:
     return rows if ORD in rows.columns else rows.withColumn(ORD, F.monotonically_increasing_id())
 
 
+def prints(columns: list[str]) -> list[F.Column]:
+    texts = [F.col(f"`{c}`") for c in columns]
+    return [F.xxhash64(*texts).alias(PRINTS[0]), F.xxhash64(F.lit("second"), *texts).alias(PRINTS[1])]
+
+
 def with_fingerprint(rows: DataFrame, columns: list[str], name: str = "fingerprint") -> DataFrame:
     return rows.withColumn(name, row_fingerprint([F.col(f"`{c}`") for c in columns]))
 
@@ -67,18 +76,32 @@ def table_digest(rows: DataFrame, columns: list[str]) -> DataFrame:
     return prints.agg(F.count("*").alias("n_rows"), F.sha2(F.concat_ws(":", F.count("*").cast("string"), *words).cast("binary"), 256).alias("fingerprint"))
 
 
-def take_table(table: Table, path: str | None = None) -> TableSnapshot:
-    """With a path the rows are written there, so later changes of the source don't reach the snapshot."""
-    began = time.monotonic()
+def take_table(table: Table, path: str | None = None, buckets: int | None = None) -> TableSnapshot:
+    """With a path the rows are written there, so later changes of the source don't reach the snapshot; with `buckets`, by hash of the primary key or, without one, of whole rows."""
+    began, layout, stored = time.monotonic(), None, None
     rows = in_order(canonical_rows(table))
-    if path is not None:
+    if buckets is not None:
+        if path is None:
+            raise ValueError("a snapshot in buckets needs a path")
+        layout = (tuple(table.primary_key) or tuple(PRINTS), buckets)
+        stored = bucketed(rows.select("*", *prints(table.columns)), path, list(layout[0]), buckets)
+        rows = stored.drop(*PRINTS)
+    elif path is not None:
         rows.write.mode("overwrite").parquet(path)
         rows = table.df.sparkSession.read.schema(rows.schema).parquet(path)
     n, fingerprint = table_digest(rows, table.columns).first()
-    return TableSnapshot(table, rows, n, fingerprint, time.monotonic() - began)
+    return TableSnapshot(table, rows, n, fingerprint, time.monotonic() - began, layout, stored)
+
+
+def stored_table(table: Table, path: str, buckets: int) -> TableSnapshot:
+    """A snapshot that was stored in buckets, opened again; `table` says its columns, types and key, and isn't read."""
+    layout = (tuple(table.primary_key) or tuple(PRINTS), buckets)
+    stored = open_bucketed(table.df.sparkSession, path, list(layout[0]), buckets)
+    n, fingerprint = table_digest(stored, table.columns).first()
+    return TableSnapshot(table, stored.drop(*PRINTS), n, fingerprint, 0.0, layout, stored)
 
 
-def take_snapshot(source: Source, ignored=(), path: str | None = None, progress=None) -> Snapshot:
+def take_snapshot(source: Source, ignored=(), path: str | None = None, progress=None, buckets: int | None = None) -> Snapshot:
     """All tables but the ignored ones (in any case of letters). `progress(table, n, of)` may raise to cancel."""
     skip = {i.lower() for i in ignored}
     names = [n for n in source.list_tables() if n.lower() not in skip]
@@ -86,7 +109,7 @@ def take_snapshot(source: Source, ignored=(), path: str | None = None, progress=
     for k, name in enumerate(names):
         if progress is not None:
             progress(name, k, len(names))
-        taken[name] = take_table(source.table(name), None if path is None else f"{path}/{name}")
+        taken[name] = take_table(source.table(name), None if path is None else f"{path}/{name}", buckets)
     return Snapshot(taken)
 
 
