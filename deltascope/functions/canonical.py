@@ -84,6 +84,11 @@ def family(kind: T.DataType) -> str | None:
 def family_key(column: Column, kind: T.DataType, normalise: bool = False) -> Column:
     """A text that is equal for equal values of a family, and never longer than a digest."""
     which = family(kind)
+    if isinstance(kind, T.IntegralType):
+        return column.cast("string")
+    if isinstance(kind, T.DecimalType) and kind.scale <= 6:  # never in scientific notation
+        text = column.cast("string")
+        return F.rtrim(F.rtrim(text, F.lit("0")), F.lit(".")) if kind.scale else text
     if which == "number":
         return exact_number(column.cast("string"))
     if which == "date":

@@ -77,7 +77,7 @@ def counter(cells: DataFrame, ctx: Context) -> DataFrame:
         ints = past.select("table", "column", integer(F.col("value")).alias("v")).filter("v IS NOT NULL")
         # n different values lie one constant step apart exactly if all are whole steps from the least and the range is n - 1 of them: no column is sorted
         range_ = ints.groupBy("table", "column").agg(F.max("v").alias("most"), F.min("v").alias("least"), F.countDistinct("v").cast("decimal(20,0)").alias("n"))
-        wide = range_.withColumn("step", F.when((F.col("n") > 1) & ((F.col("most") - F.col("least")) % (F.col("n") - 1) == 0), F.call_function("div", F.col("most") - F.col("least"), F.col("n") - 1)))
+        wide = range_.withColumn("step", F.when((F.col("n") > 1) & ((F.col("most") - F.col("least")) % (F.col("n") - 1) == 0), F.try_divide(F.col("most") - F.col("least"), F.col("n") - 1).cast("decimal(38,0)")))
         off = ints.join(F.broadcast(wide), ["table", "column"]).groupBy("table", "column").agg(F.max(((F.col("v") - F.col("least")) % F.col("step")) != 0).alias("off"))
         steps = wide.join(off, ["table", "column"]).select("table", "column", "most", F.when(~F.col("off"), F.col("step")).otherwise(F.lit(1)).alias("step"))
         new = cells.filter("is_insert").join(n_inserted, "table")

@@ -7,11 +7,11 @@ truncation rule compares prefixes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canonical import body, day, moment, nfc, number, plain, tag
-from ..functions.matching import amount, one_edit_apart, typed_day
+from ..functions.matching import amount, deletion_keys, one_edit_apart, typed_day
 
 INPUTS = "input_id int, field string, screen string, value string, type string"
 #: Match types with their confidence; exact ones suppress the others.
@@ -96,7 +96,7 @@ def explained(found: DataFrame) -> DataFrame:
 
 
 def deviations(inputs: DataFrame, cells: DataFrame, found: DataFrame) -> DataFrame:
-    """Inputs without any link: `valeur_differente` where an unexplained cell in a sister's column is one edit away, else `introuvable`."""
+    """Inputs without any link: `valeur_differente` where an unexplained cell in a sister's column is one edit away (the first such cell), else `introuvable`."""
     lost = prepared(inputs).filter("valid").join(found.select("input_id").distinct(), "input_id", "left_anti")
     target = F.when(F.col("type") == "montant", plain(F.col("amt"))).when(F.col("type") == "date", F.col("d").cast("string")).otherwise(F.rtrim("txt"))
     lost = lost.withColumn("target", target)
@@ -109,10 +109,15 @@ def deviations(inputs: DataFrame, cells: DataFrame, found: DataFrame) -> DataFra
         F.when(F.col("type") == "montant", plain(n)).when(F.col("type") == "date", F.coalesce(day(cell), F.when(tag(cell) == "T", typed_day(body(cell)))).cast("string"))
         .otherwise(F.when(tag(cell) == "T", F.rtrim(body(cell))).otherwise(whole))
     )
+    sought, order = ["field", "screen", "type", "target"], ["table", *(["ord"] if "ord" in cells.columns else []), "row_id", "column"]
     long_enough = ~F.col("type").isin("texte", "code") | (F.length("target") >= MIN_DEVIATION)
-    near = lost.join(free.select("field", "screen", "table", "column", "row_id", *(["ord"] if "ord" in cells.columns else []), F.col("value").alias("found")), ["field", "screen"]).withColumn("shape", shape)
-    near = near.filter(long_enough & (F.col("shape") != F.col("target")) & one_edit_apart(F.col("shape"), F.col("target")))
-    first = Window.partitionBy("input_id").orderBy("table", *(["ord"] if "ord" in cells.columns else []), "row_id", "column")
-    near = near.withColumn("n", F.row_number().over(first)).filter("n = 1").select("input_id", "table", "column", "found")
+    wanted = lost.filter(long_enough & F.col("target").isNotNull()).select(*sought).distinct()
+    # each value once, with its first cell; a value and a target one edit apart share a key of their deletion neighbourhoods
+    kinds = wanted.select("field", "screen", "type").distinct()
+    values = free.withColumnRenamed("value", "found").join(kinds, ["field", "screen"]).withColumn("shape", shape).filter("shape IS NOT NULL")
+    values = values.groupBy("field", "screen", "type", "shape").agg(F.min(F.struct(*order, "found")).alias("first"))
+    near = wanted.withColumn("k", F.explode(deletion_keys("target"))).join(values.withColumn("k", F.explode(deletion_keys("shape"))), ["field", "screen", "type", "k"])
+    near = near.filter((F.col("shape") != F.col("target")) & one_edit_apart(F.col("shape"), F.col("target")))
+    near = near.groupBy(*sought).agg(F.min("first").alias("first")).select(*sought, "first.table", "first.column", "first.found")
     kind = F.when(F.col("found").isNotNull(), "valeur_differente").otherwise("introuvable")
-    return lost.join(near, "input_id", "left").select("field", "screen", F.col("value").alias("expected"), kind.alias("kind"), "table", "column", F.substring("found", 3, 1 << 30).alias("found"))
+    return lost.join(near, sought, "left").select("field", "screen", F.col("value").alias("expected"), kind.alias("kind"), "table", "column", F.substring("found", 3, 1 << 30).alias("found"))

@@ -18,9 +18,10 @@ from pyspark.sql import types as T
 
 from ..functions.canonical import canonical, family, family_key
 from ..sources.catalog import Source, Table
+from ..sources.storage import written
 
-#: Tables profiled at the same time.
-TABLES_AT_ONCE = 8
+#: Tables profiled at the same time, and one in how many values of a pair is looked at for a witness.
+TABLES_AT_ONCE, SAMPLE_SHARE = 8, 64
 #: Least rows for a key, least distinct values for a relation to count, longest text of a key, declared types that are never keys (by prefix).
 MIN_KEY_ROWS, MIN_RELATION_VALUES, MAX_KEY_TEXT = 2, 3, 255
 NEVER_KEYS = ("DECIMAL", "NUMERIC", "CURRENCY", "MONEY", "FLOAT", "DOUBLE", "REAL", "SINGLE", "DATE", "TIME", "MEMO", "LONGTEXT", "LONGCHAR", "CLOB", "BLOB", "BINARY", "VARBINARY", "LONGBINARY", "OLE", "IMAGE")
@@ -86,20 +87,35 @@ def candidate_keys(table: Table, columns: list) -> list[tuple[str, ...]]:
     single = [c.column for c in eligible if c.n_distinct == n]
     rest = [c for c in eligible if c.column not in single]
     pairs = [(a.column, b.column) for a, b in combinations(rest, 2) if a.n_distinct * b.n_distinct >= n]
-    unique = []
-    if pairs:
-        which = table.non_ascii
-        digest = lambda p: F.xxhash64(*[canonical(F.col(f"`{c}`"), table.kind(c), c in which) for c in p])
-        # a pair whose digests collide anywhere isn't unique unless proven so: estimate first, then count the few that are left
-        close = table.df.agg(*[F.approx_count_distinct(digest(p), 0.02).alias(f"p{i}") for i, p in enumerate(pairs)]).first()
-        likely = [p for p, seen in zip(pairs, close, strict=True) if seen >= 0.85 * n]
-        for p in likely:
-            texts = [canonical(F.col(f"`{c}`"), table.kind(c), c in which).alias(f"k{i}") for i, c in enumerate(p)]
-            if table.df.select(*texts).groupBy("k0", "k1").count().filter("count > 1").isEmpty():
-                unique.append(p)
+    unique = unique_pairs(table, pairs) if pairs else []
     return sorted([(c,) for c in single] + unique, key=lambda k: (max(rank[c] for c in k), len(k), tuple(place[c] for c in k)))
 
 
+def unique_pairs(table: Table, pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Those of the pairs of columns whose values never repeat.
+
+    Refuted by witnesses: for each pair one in SAMPLE_SHARE of its values is chosen
+    by hash, all rows with such a value are grouped, and a value met twice discards
+    the pair for certain. Pairs without a witness are counted over all rows, together
+    in one pass of grouping sets.
+    """
+    names, which = list(dict.fromkeys(c for p in pairs for c in p)), table.non_ascii
+    place = {c: f"c{i}" for i, c in enumerate(names)}
+    texts = table.df.select(*[canonical(F.col(f"`{c}`"), table.kind(c), c in which).alias(place[c]) for c in names])
+    values = F.array(*[F.struct(F.lit(i).alias("pair"), F.col(place[a]).alias("a"), F.col(place[b]).alias("b")) for i, (a, b) in enumerate(pairs)])
+    sample = texts.select(F.explode(F.filter(values, lambda v: F.pmod(F.xxhash64(v["a"], v["b"]), F.lit(SAMPLE_SHARE)) == 0)).alias("v")).select("v.*")
+    refuted = {r.pair for r in sample.groupBy("pair", "a", "b").count().filter("count > 1").select("pair").distinct().collect()}  # as many as there are pairs
+    left = [p for i, p in enumerate(pairs) if i not in refuted]
+    if not left:
+        return []
+    sets = [[place[a], place[b]] for a, b in left]
+    held = list(dict.fromkeys(c for s in sets for c in s))
+    # canonical texts are never null: a null says that the column isn't in the set
+    counted = texts.groupingSets(sets, *held).agg(F.count("*").alias("n")).filter("n > 1")
+    twice = {tuple(r.has) for r in counted.select(F.array(*[F.col(c).isNotNull() for c in held]).alias("has")).distinct().collect()}
+    return [p for p, s in zip(left, sets, strict=True) if tuple(c in s for c in held) not in twice]
+
+
 def relations(counts: DataFrame, keys: DataFrame) -> DataFrame:
     """RELATIONS: columns whose rows (at least 99 %) have their value in a single-column key. keys(table, column)."""
     targets = counts.join(keys.select(F.col("table").alias("dst_table"), F.col("column").alias("dst_column")), (F.col("table") == F.col("dst_table")) & (F.col("column") == F.col("dst_column"))).select("family", "key", "dst_table", "dst_column")
@@ -158,5 +174,8 @@ def profile(source: Source, ignored=(), progress=None) -> Profile:
     union = lambda frames, ddl: reduce(DataFrame.unionByName, frames) if frames else spark.createDataFrame([], ddl)
     counts = union(parts, "table string, column string, family string, key string, n long")
     singles = spark.createDataFrame([(t, k[0]) for t, own in keys.items() for k in own if len(k) == 1], "table string, column string")
-    # small tables about columns, which every hypothesis reads again
-    return Profile(union(columns, COLUMN_PROFILE).persist(), keys, relations(counts, singles).persist(), {t.name: t.primary_key for t in tables}, {t.name: t.skipped for t in tables if t.skipped})
+    # small tables about columns, which every hypothesis reads again; the value counts go
+    found = written(union(columns, COLUMN_PROFILE), "profile-columns"), written(relations(counts, singles), "profile-relations")
+    for own in parts:
+        own.unpersist()
+    return Profile(found[0], keys, found[1], {t.name: t.primary_key for t in tables}, {t.name: t.skipped for t in tables if t.skipped})

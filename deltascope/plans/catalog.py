@@ -18,10 +18,12 @@ from ..operators import cells as C
 from ..operators import diff as D
 from ..operators import hypotheses as H
 from ..operators import links as L
+from ..operators import merkle as M
 from ..operators import profile as P
 from ..operators import snapshot as S
 from ..sources.catalog import FileSource, FrameSource, Table
 from ..sources.scenarios import one_transaction, synthetic
+from ..sources.storage import new_path
 from . import pipeline, trace
 
 #: Columns of the standard tables: i(nteger), f(loat), t(ext), d(ate and time).
@@ -51,6 +53,14 @@ UNION ALL
 SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_quantity AS DECIMAL(18,2)), l_returnflag FROM lineitem WHERE l_orderkey % 500 = 7"""
 LINES = [("l_orderkey", "i"), ("l_partkey", "i"), ("l_suppkey", "i"), ("l_linenumber", "i"), ("l_quantity", "m"), ("l_returnflag", "t")]
 
+#: The same over all columns of lineitem.
+ALL_LINES = [("l_orderkey", "i"), ("l_partkey", "i"), ("l_suppkey", "i"), ("l_linenumber", "i"), ("l_quantity", "m"), ("l_extendedprice", "m"), ("l_discount", "m"), ("l_tax", "m"), ("l_returnflag", "t"), ("l_linestatus", "t"), ("l_shipdate", "d")]
+_LINE_VALUES = ", ".join(f"CAST({c} AS DECIMAL(18,2)) AS {c}" if k == "m" else c for c, k in ALL_LINES)
+ALL_LINES_BEFORE = f"SELECT {_LINE_VALUES} FROM lineitem"
+ALL_LINES_AFTER = f"""
+SELECT {_LINE_VALUES.replace("CAST(l_tax AS DECIMAL(18,2))", "CAST(CASE WHEN l_orderkey % 500 = 11 THEN CAST(l_tax AS DECIMAL(18,2)) + 1 ELSE CAST(l_tax AS DECIMAL(18,2)) END AS DECIMAL(18,2))")} FROM lineitem WHERE l_orderkey % 500 <> 3
+UNION ALL SELECT {_LINE_VALUES} FROM lineitem WHERE l_orderkey % 500 = 7"""
+
 START, END = datetime(2024, 1, 15, 10), datetime(2024, 1, 15, 12)
 
 
@@ -87,6 +97,10 @@ def _lines(spark, sf_dir, after=False):
     return S.snapshot_of(Table("lineitem", sql(spark, sf_dir, LINES_AFTER if after else LINES_BEFORE)))
 
 
+def _all_lines(spark, sf_dir, after=False):
+    return S.snapshot_of(Table("lineitem", sql(spark, sf_dir, ALL_LINES_AFTER if after else ALL_LINES_BEFORE)))
+
+
 def snapshot_stats(spark, sf_dir):
     parts = [load(spark, sf_dir, t).agg(F.count("*").alias("n_rows")).select(F.lit(t).alias("table"), "n_rows") for t in COLUMNS]
     whole = parts[0]
@@ -117,8 +131,34 @@ def row_fingerprint_orders(spark, sf_dir):
     return rows.select(F.substring("o_orderkey", 3, 30).cast("bigint").alias("o_orderkey"), "fingerprint")
 
 
+#: Digits of a leaf of the trees over orders.
+MERKLE_DEPTH = 2
+
+
 def table_fingerprint_orders(spark, sf_dir):
-    return S.exact_table_fingerprint(_orders(spark, sf_dir).rows, [c for c, _ in ORDERS])
+    """The root of the Merkle tree over all orders."""
+    nodes = M.tree(_orders(spark, sf_dir).rows, [c for c, _ in ORDERS], MERKLE_DEPTH)
+    return nodes.filter("level = 0").select("n_rows", F.col("digest").alias("fingerprint"))
+
+
+def merkle_tree_lineitem(spark, sf_dir):
+    """All nodes of the tree over lineitem, all columns."""
+    return M.tree(_all_lines(spark, sf_dir).rows, [c for c, _ in ALL_LINES], MERKLE_DEPTH)
+
+
+def merkle_diff_orders(spark, sf_dir):
+    """Changes of the orders, reading only leaves whose digests differ."""
+    before, after = (M.store(_orders(spark, sf_dir, side), depth=MERKLE_DEPTH) for side in (False, True))
+    changes = D.keyed_diff("orders", *M.changed_parts(before, after), [c for c, _ in ORDERS], ["o_orderkey"], D.PRIMARY)
+    return D.field_changes(changes).select("table", F.element_at("key", F.lit("o_orderkey")).alias("o_orderkey"), "column", "before", "after")
+
+
+def _merkle_sql(source: str, columns: list) -> str:
+    """All nodes, from fingerprints and their numbers of copies."""
+    text = f"WITH p AS (SELECT {fingerprint(columns)} AS fp FROM ({source})), c AS (SELECT fp, count(*) AS n FROM p GROUP BY fp), l{MERKLE_DEPTH} AS (SELECT substr(fp, 1, {MERKLE_DEPTH}) AS prefix, sum(n)::BIGINT AS n_rows, sha256(string_agg(fp || ':' || n::VARCHAR, ',' ORDER BY fp)) AS digest FROM c GROUP BY 1)"
+    for level in range(MERKLE_DEPTH - 1, -1, -1):
+        text += f", l{level} AS (SELECT substr(prefix, 1, {level}) AS prefix, sum(n_rows)::BIGINT AS n_rows, sha256(string_agg(prefix || ':' || digest, ',' ORDER BY prefix)) AS digest FROM l{level + 1} GROUP BY 1)"
+    return text
 
 
 def table_digest_orders(spark, sf_dir):
@@ -156,6 +196,28 @@ def diff_orders_keyed_fields(spark, sf_dir):
     return D.field_changes(_orders_diff(spark, sf_dir)).select("table", F.element_at("key", F.lit("o_orderkey")).alias("o_orderkey"), "column", "before", "after")
 
 
+#: Buckets of the stored snapshots that queries compare.
+BUCKETS = 16
+
+
+def _stored_diff(spark, sf_dir, name: str, texts: tuple[str, str], key=()):
+    """Two snapshots in equal buckets, compared in place."""
+    path = new_path(spark, "snapshots")
+    before, after = (S.take_table(Table(name, sql(spark, sf_dir, text), key), f"{path}/{side}", BUCKETS) for side, text in zip(("before", "after"), texts, strict=True))
+    return D.diff_table(before, after, cap=0)[0]
+
+
+def diff_orders_stored_fields(spark, sf_dir):
+    changes = _stored_diff(spark, sf_dir, "orders", (ORDERS_BEFORE, ORDERS_AFTER), ("o_orderkey",))
+    return D.field_changes(changes).select("table", F.element_at("key", F.lit("o_orderkey")).alias("o_orderkey"), "column", "before", "after")
+
+
+def diff_lineitem_stored_rows(spark, sf_dir):
+    """Rows that one of two stored snapshots has more, over all columns."""
+    changes = _stored_diff(spark, sf_dir, "lineitem", (ALL_LINES_BEFORE, ALL_LINES_AFTER))
+    return changes.select("op", *[F.element_at(F.coalesce("after", "before"), F.lit(c)).alias(c) for c, _ in ALL_LINES])
+
+
 def _side(op: str, side: str):
     def query(spark, sf_dir):
         return _orders_diff(spark, sf_dir).filter(F.col("op") == op).select(*[F.element_at(side, F.lit(c)).alias(c) for c, _ in ORDERS])
@@ -172,6 +234,11 @@ OPS = f"""{_BOTH} SELECT op, count(*) AS n FROM (
 FIELDS = _BOTH + " UNION ALL ".join(f" SELECT 'orders' AS \"table\", a.o_orderkey, '{c}' AS \"column\", b.{c} AS before, a.{c} AS after FROM b JOIN a ON b.o_orderkey = a.o_orderkey WHERE b.{c} <> a.{c}" for c, _ in ORDERS)
 
 
+_CANON_ALL_LINES = ", ".join(f"{canon(c, k)} AS {c}" for c, k in ALL_LINES)
+STORED_ROWS = f"""WITH b0 AS ({ALL_LINES_BEFORE}), a0 AS ({ALL_LINES_AFTER}), b AS (SELECT {_CANON_ALL_LINES} FROM b0), a AS (SELECT {_CANON_ALL_LINES} FROM a0)
+SELECT 'row_added' AS op, * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'row_removed', * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)"""
+
+
 def _bag(op: str, side: str):
     def query(spark, sf_dir):
         return _lines_diff(spark, sf_dir).filter(F.col("op") == op).select(*[F.element_at(side, F.lit(c)).alias(c) for c, _ in LINES])
@@ -501,6 +568,26 @@ _at_size = lambda text: text.replace(f"(VALUES {_rows_sql(INPUT_ROWS)}) t(input_
 LINKS_ORDERS = _at_size(_MATCHED) + " SELECT k.input_id, k.type, w.o_orderkey, k.col AS \"column\", w.v AS value, k.m AS match_type FROM kept k JOIN typed w ON w.row_id = k.row_id"
 DEVIATIONS_ORDERS = _at_size(DEVIATIONS)
 
+#: Every order's total as typed: even ones as written, odd ones an amount off that changes one digit, or more where it carries.
+TYPED_TOTALS = """SELECT CAST(o_orderkey AS INT) AS input_id, 'Total' AS field, 'S' AS screen, replace(CAST(CAST(CAST(o_totalprice AS DECIMAL(18,2)) + CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 10 END AS DECIMAL(18,2)) AS STRING), '.', ',') AS value, 'montant' AS type FROM orders"""
+
+
+def deviations_orders_all(spark, sf_dir):
+    """Every order is new and every total was typed, half of them wrongly: as many lost inputs as free cells under one field."""
+    orders = _orders(spark, sf_dir)
+    changes = D.keyed_diff("orders", orders.rows.limit(0), orders.rows, orders.columns, ["o_orderkey"], D.PRIMARY)
+    inputs, cells = sql(spark, sf_dir, TYPED_TOTALS), C.extract_cells(changes).filter("column = 'o_totalprice'")
+    return L.deviations(inputs, cells, L.matches(inputs, cells))
+
+
+DEVIATIONS_ALL = f"""WITH o AS (SELECT o_orderkey AS k, CAST(o_totalprice AS DECIMAL(18,2)) AS n FROM orders), i AS (SELECT k, CASE WHEN k % 2 = 0 THEN n ELSE n + 10 END AS amt FROM o),
+met AS (SELECT i.k AS input, o.k AS cell, true AS is_exact FROM i JOIN o ON o.n = i.amt UNION ALL SELECT i.k, o.k, false FROM i JOIN o ON o.n = i.amt * 100 UNION ALL SELECT i.k, o.k, false FROM i JOIN o ON o.n * 100 = i.amt),
+kept AS (SELECT * FROM met WHERE is_exact OR input NOT IN (SELECT input FROM met WHERE is_exact)),
+lost AS (SELECT k, amt, {_PLAIN.format("amt")} AS target FROM i WHERE k NOT IN (SELECT input FROM kept)), free AS (SELECT k, n, {_PLAIN.format("n")} AS shape FROM o WHERE k NOT IN (SELECT cell FROM kept)),
+near AS (SELECT l.k, arg_min(f.n, f.k) AS n FROM lost l JOIN free f ON abs(length(l.target) - length(f.shape)) <= 1 WHERE damerau_levenshtein(l.target, f.shape) = 1 GROUP BY l.k)
+SELECT 'Total' AS field, 'S' AS screen, replace(l.amt::DECIMAL(18,2)::VARCHAR, '.', ',') AS expected, CASE WHEN r.k IS NULL THEN 'introuvable' ELSE 'valeur_differente' END AS kind,
+  CASE WHEN r.k IS NOT NULL THEN 'orders' END AS "table", CASE WHEN r.k IS NOT NULL THEN 'o_totalprice' END AS "column", r.n::VARCHAR AS found FROM lost l LEFT JOIN near r ON r.k = l.k"""
+
 
 # Hypotheses
 
@@ -765,13 +852,14 @@ ALL_TABLE_PROFILE = f"SELECT \"table\", key, rank FROM ({KEYS}) WHERE \"table\"
 def queries():
     found = {
         "snapshot_stats": snapshot_stats, "snapshot_all": snapshot_all, "top_tables_by_rows": top_tables, "row_fingerprint_orders": row_fingerprint_orders, "table_fingerprint_orders": table_fingerprint_orders, "table_digest_orders": table_digest_orders,
+        "merkle_tree_lineitem": merkle_tree_lineitem, "merkle_diff_orders": merkle_diff_orders, "diff_orders_stored_fields": diff_orders_stored_fields, "diff_lineitem_stored_rows": diff_lineitem_stored_rows,
         "diff_orders_keyed_ops": diff_orders_keyed_ops, "diff_orders_keyed_inserts": _side("insert", "after"), "diff_orders_keyed_deletes": _side("delete", "before"), "diff_orders_keyed_fields": diff_orders_keyed_fields,
         "diff_lineitem_added": _bag("row_added", "after"), "diff_lineitem_removed": _bag("row_removed", "before"), "diff_key_uniqueness_fallback": diff_key_uniqueness, "diff_pair_candidates_lineitem": diff_pair_candidates,
         "diff_probable_updates_lineitem": diff_probable_updates, "diff_probable_update_pairs": diff_probable_update_pairs, "diff_tables_come_and_go": diff_tables_come_and_go, "diff_schema_columns": diff_schema_columns, "diff_schema_common_columns": diff_common_columns, "diff_noise_split": diff_noise_split, "diff_summary": diff_summary,
         "profile_key_preference": lambda s, d: _keys(s, d), "profile_key_single": lambda s, d: _keys(s, d).filter("n_columns = 1").select("table", "key"), "profile_key_pair": lambda s, d: _keys(s, d).filter("n_columns = 2").select("table", "key"),
         "profile_relations": profile_relations, "profile_all_tables": all_table_profile,
         "links_all": _links(None), "links_amount": _links("montant"), "links_date": _links("date"), "links_code": _links("code"), "links_text": _links("texte"), "links_exact_precedence": links_precedence,
-        "deviation_osa1": deviations, "invalid_inputs": invalid_inputs, "links_orders_diff": links_orders_diff, "deviations_orders_diff": deviations_orders_diff, "interpret_orders_computed": interpret_orders, "reanalyse_orders_computed": reanalyse_orders,
+        "deviation_osa1": deviations, "invalid_inputs": invalid_inputs, "links_orders_diff": links_orders_diff, "deviations_orders_diff": deviations_orders_diff, "deviations_orders_all": deviations_orders_all, "interpret_orders_computed": interpret_orders, "reanalyse_orders_computed": reanalyse_orders,
         "hyp_counter_int": hyp_counter_int, "hyp_counter_text": hyp_counter_text, "hyp_counter_update": hyp_counter_update, "hyp_timestamp": hyp_timestamp, "hyp_sum_lines": hyp_sum_lines, "hyp_copy": hyp_copy, "hyp_sum_lines_all": hyp_sum_lines_all, "hyp_copy_all": hyp_copy_all,
         "hyp_constant": hyp_constant, "hyp_running_total": hyp_running_total, "hyp_hierarchical_total": hyp_hierarchical_total, "computed_fields_all": computed_fields_all,
         "calibration_noise_tables": calibration, "scenario_latest_status": latest_status, "scenario_latest_status_all": latest_status_all, "anonymize_keep_deltas": anonymize, "retype_json_values": retype_values, "scenario_computed_fields": scenario_computed,
@@ -783,8 +871,10 @@ def oracle_sql():
     both = lambda order: f"{_BOTH} {order}"
     found = {
         "snapshot_stats": SNAPSHOT_STATS, "snapshot_all": SNAPSHOT_ALL, "diff_probable_updates_lineitem": PROBABLE_UPDATES, "diff_probable_update_pairs": UPDATE_PAIRS, "diff_tables_come_and_go": COME_AND_GO,
-        "links_orders_diff": LINKS_ORDERS, "deviations_orders_diff": DEVIATIONS_ORDERS, "interpret_orders_computed": COMPUTED, "reanalyse_orders_computed": COMPUTED, "top_tables_by_rows": f'{SNAPSHOT_STATS} ORDER BY n_rows DESC, "table" LIMIT 15', "row_fingerprint_orders": f"{_FPS} SELECT o_orderkey, fp AS fingerprint FROM p",
-        "table_fingerprint_orders": f"{_FPS} SELECT count(*) AS n_rows, sha256(string_agg(fp, '' ORDER BY fp)) AS fingerprint FROM p", "table_digest_orders": TABLE_DIGEST,
+        "links_orders_diff": LINKS_ORDERS, "deviations_orders_diff": DEVIATIONS_ORDERS, "deviations_orders_all": DEVIATIONS_ALL, "interpret_orders_computed": COMPUTED, "reanalyse_orders_computed": COMPUTED, "top_tables_by_rows": f'{SNAPSHOT_STATS} ORDER BY n_rows DESC, "table" LIMIT 15', "row_fingerprint_orders": f"{_FPS} SELECT o_orderkey, fp AS fingerprint FROM p",
+        "merkle_tree_lineitem": _merkle_sql(ALL_LINES_BEFORE, ALL_LINES) + " UNION ALL ".join(f" SELECT {level} AS level, prefix, n_rows, digest FROM l{level}" for level in range(MERKLE_DEPTH + 1)),
+        "merkle_diff_orders": FIELDS, "diff_orders_stored_fields": FIELDS, "diff_lineitem_stored_rows": STORED_ROWS,
+        "table_fingerprint_orders": _merkle_sql(ORDERS_BEFORE, ORDERS) + " SELECT n_rows, digest AS fingerprint FROM l0", "table_digest_orders": TABLE_DIGEST,
         "diff_orders_keyed_ops": OPS, "diff_orders_keyed_inserts": both("SELECT a.* FROM a ANTI JOIN b ON a.o_orderkey = b.o_orderkey"), "diff_orders_keyed_deletes": both("SELECT b.* FROM b ANTI JOIN a ON a.o_orderkey = b.o_orderkey"),
         "diff_orders_keyed_fields": FIELDS, "diff_lineitem_added": f"{_LINES_BOTH} SELECT * FROM a EXCEPT ALL SELECT * FROM b", "diff_lineitem_removed": f"{_LINES_BOTH} SELECT * FROM b EXCEPT ALL SELECT * FROM a",
         "diff_key_uniqueness_fallback": UNIQUENESS, "diff_pair_candidates_lineitem": PAIRS, "diff_schema_columns": SCHEMA_COLUMNS, "diff_schema_common_columns": OPS, "diff_noise_split": NOISE_SPLIT, "diff_summary": DIFF_SUMMARY,

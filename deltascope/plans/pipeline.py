@@ -18,6 +18,7 @@ from ..operators import links as L
 from ..operators.profile import Profile
 from ..operators.snapshot import Snapshot, take_snapshot
 from ..sources.catalog import Source
+from ..sources.storage import new_path
 
 WARNINGS = "table string, code string, message string, details map<string,string>"
 #: Hypotheses that need the first snapshot or the profile: offline they are taken over from the original.
@@ -74,12 +75,12 @@ class Calibration:
 
 
 def calibrate(source: Source, interval: float = 30.0, ignored=(), path: str | None = None, sleep: Callable = time.sleep, now: Callable = datetime.now) -> Calibration:
-    """Two snapshots without an action between them: what changes anyway is noise. Keys aren't guessed here."""
-    start = now()
-    before = take_snapshot(source, ignored, None if path is None else f"{path}/before")
+    """Two snapshots without an action between them: what changes anyway is noise. Keys aren't guessed here. Both are written (without a path, to the shared folder): the source changes meanwhile."""
+    start, path = now(), path or new_path(source.spark, "calibration")
+    before = take_snapshot(source, ignored, f"{path}/before")
     sleep(interval)
     source.refresh()
-    after = take_snapshot(source, ignored, None if path is None else f"{path}/after")
+    after = take_snapshot(source, ignored, f"{path}/after")
     result = D.diff_snapshots(source.spark, before, after)
     found = Calibration(start, now(), interval, ignored=sorted(ignored))
     found.proposed = {r["table"]: r["summary"] for r in D.summary(result.changes).orderBy("table").collect()}  # a row a table

@@ -71,43 +71,50 @@ def _values(row: dict | None) -> dict:
 
 
 def _fields(before: dict, after: dict) -> list[dict]:
-    return [{"champ": k, "avant": json_value(before.get(k)), "apres": json_value(v)} for k, v in after.items() if before.get(k) != v]
+    return [{"colonne": k, "avant": json_value(before.get(k)), "apres": json_value(v)} for k, v in after.items() if before.get(k) != v]
+
+
+#: The list of a table's entry that holds each kind of change.
+LISTS = {"insert": "inserts", "update": "updates", "delete": "deletes", "row_added": "lignes_ajoutees", "row_removed": "lignes_supprimees", "probable_update": "updates_probables"}
+
+
+def _change_to_json(r) -> dict:
+    if r.op in ("insert", "delete"):
+        return {"cle": _values(r.key), "valeurs": _values(r.after if r.op == "insert" else r.before)}
+    if r.op == "update":
+        return {"cle": _values(r.key), "champs": _fields(r.before, r.after)}
+    if r.op == "probable_update":
+        return {"avant": _values(r.before), "apres": _values(r.after), "champs": _fields(r.before, r.after)}
+    return {"valeurs": _values(r.after if r.op == "row_added" else r.before)}
 
 
 def changes_to_json(changes: DataFrame) -> list[dict]:
     tables: dict[str, dict] = {}
     for r in changes.orderBy("table", "op", "ord", "row_id").toLocalIterator():
-        t = tables.setdefault(r["table"], {"table": r["table"], "type_cle": r.key_type, "inserts": [], "updates": [], "deletes": [], "lignes_ajoutees": [], "lignes_supprimees": [], "updates_probables": []})
-        if r.op == "insert":
-            t["inserts"].append({"cle": _values(r.key), "valeurs": _values(r.after)})
-        elif r.op == "delete":
-            t["deletes"].append({"cle": _values(r.key), "valeurs": _values(r.before)})
-        elif r.op == "update":
-            t["updates"].append({"cle": _values(r.key), "champs": _fields(r.before, r.after)})
-        elif r.op == "probable_update":
-            t["updates_probables"].append({"avant": _values(r.before), "apres": _values(r.after), "champs": _fields(r.before, r.after)})
-        else:
-            t["lignes_ajoutees" if r.op == "row_added" else "lignes_supprimees"].append(_values(r.after if r.op == "row_added" else r.before))
+        if r["table"] not in tables:
+            own = ("row_added", "row_removed") if r.key_type == "aucune" else ("insert", "update", "delete")
+            key = {"type": r.key_type, "colonnes": list(r.key or ())}
+            tables[r["table"]] = {"table": r["table"], "cle_utilisee": key} | {LISTS[op]: [] for op in (*own, "probable_update")}
+        tables[r["table"]][LISTS[r.op]].append(_change_to_json(r))
     return list(tables.values())
 
 
 def changes_from_json(spark: SparkSession, changes: list[dict]) -> DataFrame:
     """ROW_CHANGES again; updates hold only their key and changed fields."""
     rows, n = [], 0
-    text = lambda d: {k: typed_text(v) for k, v in d.items()}
+    text = lambda d: None if d is None else {k: typed_text(v) for k, v in d.items()}
     for t in changes:
-        for op, name in (("insert", "inserts"), ("update", "updates"), ("delete", "deletes"), ("row_added", "lignes_ajoutees"), ("row_removed", "lignes_supprimees"), ("probable_update", "updates_probables")):
-            for c in t.get(name, []):
+        for op, name in LISTS.items():
+            for c in t.get(name) or []:
                 n += 1
-                if op in ("insert", "delete"):
-                    key, before, after = text(c["cle"]), None if op == "insert" else text(c["valeurs"]), text(c["valeurs"]) if op == "insert" else None
-                elif op == "update":
-                    key, before, after = text(c["cle"]), text({f["champ"]: f["avant"] for f in c["champs"]}), text({f["champ"]: f["apres"] for f in c["champs"]})
-                elif op == "probable_update":
-                    key, before, after = None, text(c["avant"]), text(c["apres"])
-                else:
-                    key, before, after = None, None if op == "row_added" else text(c), text(c) if op == "row_added" else None
-                rows.append((t["table"], t["type_cle"], op, n, key, before, after, n))
+                before, after = c.get("avant"), c.get("apres")
+                if op == "update":
+                    before, after = ({f["colonne"]: f[side] for f in c["champs"]} for side in ("avant", "apres"))
+                elif op in ("insert", "row_added"):
+                    after = c["valeurs"]
+                elif op in ("delete", "row_removed"):
+                    before = c["valeurs"]
+                rows.append((t["table"], t["cle_utilisee"]["type"], op, n, text(c.get("cle")), text(before), text(after), n))
     return spark.createDataFrame(rows, ROW_CHANGES)
 
 
@@ -188,7 +195,7 @@ def render_report(trace: dict) -> str:
 
     parts = [f"<h1>{e(trace['fiche']['id'])} – {e(trace['fiche'].get('titre'))}</h1>", f"<p>{e(trace['execution'].get('debut'))} – {e(trace['execution'].get('fin'))} ({e(duration(trace['execution']))}) : {e(trace['execution'].get('statut'))}</p>"]
     for t in trace["changements"]:
-        for name in ("inserts", "updates", "deletes", "lignes_ajoutees", "lignes_supprimees", "updates_probables"):
+        for name in filter(t.get, LISTS.values()):
             parts.append(section(f"{t['table']} – {name}", t[name]))
     for name in ("liens", "champs_calcules", "ecarts_saisie", "schema_modifie", "bruit", "avertissements"):
         parts.append(section(name, trace[name]))

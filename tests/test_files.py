@@ -74,10 +74,10 @@ def test_profiles_and_noise_on_disk(spark, tmp_path):
 
 
 def trace_document():
-    update = lambda a, b, c: {"cle": {"Compte": a}, "champs": [{"champ": "Debit", "avant": b, "apres": c}]}
+    update = lambda a, b, c: {"cle": {"Compte": a}, "champs": [{"colonne": "Debit", "avant": b, "apres": c}]}
     changes = [
-        {"table": "compte", "type_cle": "primaire", "inserts": [], "updates": [update("61", "100.0000", "150.0000"), update("612", "7.5000", "57.5000"), update("70", "57.5000", "60.0000")], "deletes": [], "lignes_ajoutees": [], "lignes_supprimees": [], "updates_probables": []},
-        {"table": "ecrit", "type_cle": "primaire", "inserts": [{"cle": {"N": 4}, "valeurs": {"N": 4, "M": "50.0000", "K": "A"}}], "updates": [], "deletes": [], "lignes_ajoutees": [], "lignes_supprimees": [], "updates_probables": []},
+        {"table": "compte", "cle_utilisee": {"type": "primaire", "colonnes": ["Compte"]}, "inserts": [], "updates": [update("61", "100.0000", "150.0000"), update("612", "7.5000", "57.5000"), update("70", "57.5000", "60.0000")], "deletes": [], "updates_probables": []},
+        {"table": "ecrit", "cle_utilisee": {"type": "primaire", "colonnes": ["N"]}, "inserts": [{"cle": {"N": 4}, "valeurs": {"N": 4, "M": "50.0000", "K": "A"}}], "updates": [], "deletes": [], "updates_probables": []},
     ]
     computed = [{"table": "ecrit", "colonne": "N", "valeur": 4, "hypotheses": ["compteur"], "details": "max avant = 3"}, {"table": "ecrit", "colonne": "K", "valeur": "A", "hypotheses": ["copie", "constante"], "details": "copie : copie de sauve1.K (ligne N = 1) ; constante : valeur constante sur toute la table (A)"}]
     values = [{"champ_ecran": "Montant", "ecran": "E", "valeur": "50", "type": "montant"}]
