@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NULL = "N:"
-#: Types without a canonical text: nested ones.
+#: Types whose canonical text is that of their parts.
 NESTED = (T.ArrayType, T.MapType, T.StructType)
 
 
@@ -44,11 +44,28 @@ def canonical(column: Column, kind: T.DataType, normalise: bool = False) -> Colu
         body = F.concat(F.lit("B:"), F.sha2(column, 256))
     elif isinstance(kind, (T.StringType, T.VarcharType, T.CharType)):
         body = F.concat(F.lit("T:"), nfc(text) if normalise else text)
+    elif isinstance(kind, NESTED):
+        body = nfc(_nested(column, kind)) if normalise else _nested(column, kind)
     else:
         raise TypeError(f"no canonical text for {kind.simpleString()}")
     return F.when(column.isNull(), NULL).otherwise(body)
 
 
+def _listed(texts: Column) -> Column:
+    """An array of texts as one, so that different arrays have different texts: commas and backslashes in a part are marked."""
+    return F.array_join(F.transform(texts, lambda t: F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit(","), F.lit("\\,"))), ",")
+
+
+def _nested(column: Column, kind: T.DataType) -> Column:
+    """A: elements in order; S: fields in order; K: keys, in the order of their texts, each with its value."""
+    if isinstance(kind, T.ArrayType):
+        return F.concat(F.lit("A:"), _listed(F.transform(column, lambda x: canonical(x, kind.elementType))))
+    if isinstance(kind, T.StructType):
+        return F.concat(F.lit("S:"), _listed(F.array(*[canonical(column.getField(f.name), f.dataType) for f in kind])))
+    pair = lambda e: F.struct(canonical(e["key"], kind.keyType).alias("k"), canonical(e["value"], kind.valueType).alias("v"))
+    return F.concat(F.lit("K:"), _listed(F.flatten(F.transform(F.array_sort(F.transform(F.map_entries(column), pair)), lambda p: F.array(p["k"], p["v"])))))
+
+
 def row_fingerprint(texts: list[Column]) -> Column:
     """SHA-256 over the length-prefixed canonical texts, in column order."""
     parts = [p for t in texts for p in (F.octet_length(t).cast("string"), F.lit(":"), t)]
@@ -68,6 +85,15 @@ def exact_number(text: Column) -> Column:
     return _stripped(F.when(text.contains("E"), F.coalesce(plain, text)).otherwise(text))
 
 
+def has_text(kind: T.DataType) -> bool:
+    """Whether texts that may need NFC are in it."""
+    if isinstance(kind, T.ArrayType):
+        return has_text(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return has_text(kind.keyType) or has_text(kind.valueType)
+    return any(has_text(f.dataType) for f in kind) if isinstance(kind, T.StructType) else isinstance(kind, T.StringType)
+
+
 def family(kind: T.DataType) -> str | None:
     """Types that profiling compares with each other."""
     if isinstance(kind, T.BooleanType):
@@ -78,6 +104,8 @@ def family(kind: T.DataType) -> str | None:
         return "text"
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return "date"
+    if isinstance(kind, NESTED):
+        return "nested"
     return "binary" if isinstance(kind, T.BinaryType) else None
 
 
@@ -95,6 +123,8 @@ def family_key(column: Column, kind: T.DataType, normalise: bool = False) -> Col
         return F.date_format(column.cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     if which == "binary":
         return F.sha2(column, 256)
+    if which == "nested":
+        return F.when(column.isNotNull(), F.sha2(canonical(column, kind, normalise).cast("binary"), 256))
     if which == "boolean":
         return column.cast("string")
     text = nfc(column.cast("string")) if normalise else column.cast("string")

@@ -44,14 +44,14 @@ def column_profile(table: Table, counts: DataFrame | None = None) -> DataFrame:
     for i, c in enumerate(table.columns):
         kind, col = table.kind(c), F.col(f"`{c}`")
         which = family(kind)
-        usable = F.lit(which != "binary")
+        usable = F.lit(which not in ("binary", "nested"))
         if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
             usable = ~F.coalesce(F.max(F.isnan(col)), F.lit(False))
         low, high = (F.lit(None).cast("string"),) * 2
-        if which != "binary":
+        if which not in ("binary", "nested"):
             low, high = (F.substring(canonical(f(col), kind), 3, 1 << 30) for f in (F.min, F.max))
         longest = F.max(F.length(col)) if which == "text" else F.lit(None)
-        aggs += [F.count(F.when(col.isNull(), 1)).alias(f"nulls{i}"), F.when(usable & F.max(col).isNotNull(), low).alias(f"min{i}"), F.when(usable & F.max(col).isNotNull(), high).alias(f"max{i}"), longest.cast("int").alias(f"long{i}")]
+        aggs += [F.count(F.when(col.isNull(), 1)).alias(f"nulls{i}"), F.when(usable & (F.count(col) > 0), low).alias(f"min{i}"), F.when(usable & (F.count(col) > 0), high).alias(f"max{i}"), longest.cast("int").alias(f"long{i}")]
     wide = table.df.agg(F.count("*").alias("n_rows"), *aggs)
     rows = F.array(*[
         F.struct(F.lit(c).alias("column"), F.lit(i).alias("ordinal"), F.lit(table.declared_type(c)).alias("declared_type"), F.lit(family(table.kind(c))).alias("family"),

@@ -26,14 +26,14 @@ from ..sources.scenarios import one_transaction, synthetic
 from ..sources.storage import new_path
 from . import pipeline, trace
 
-#: Columns of the standard tables: i(nteger), f(loat), t(ext), d(ate and time).
+#: Columns of the standard tables: i(nteger), f(loat), t(ext), d(ate and time), a(rray of floats).
 SCHEMAS = {
     "region": "r_regionkey:i r_name:t", "nation": "n_nationkey:i n_name:t n_regionkey:i", "customer": "c_custkey:i c_name:t c_nationkey:i c_acctbal:f c_mktsegment:t",
     "supplier": "s_suppkey:i s_name:t s_nationkey:i s_acctbal:f", "part": "p_partkey:i p_name:t p_brand:t p_type:t p_size:i p_retailprice:f",
     "orders": "o_orderkey:i o_custkey:i o_orderstatus:t o_totalprice:f o_orderdate:d o_orderpriority:t",
     "lineitem": "l_orderkey:i l_partkey:i l_suppkey:i l_linenumber:i l_quantity:f l_extendedprice:f l_discount:f l_tax:f l_returnflag:t l_linestatus:t l_shipdate:d",
     "events": "event_id:i ts:d user_id:i event_type:t value:f props:t", "documents": "doc_id:i text:t lang:t source:t n_chars:i", "labels": "doc_id:i quality:i toxic:i",
-    "pages": "page_id:i url:t html:t", "benchmark": "item_id:i text:t", "conversations": "conv_id:i turn:i role:t text:t", "embeddings": "vec_id:i label:i",
+    "pages": "page_id:i url:t html:t", "benchmark": "item_id:i text:t", "conversations": "conv_id:i turn:i role:t text:t", "embeddings": "vec_id:i label:i embedding:a",
 }
 COLUMNS = {t: [tuple(c.split(":")) for c in s.split()] for t, s in SCHEMAS.items()}
 
@@ -78,7 +78,7 @@ def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 def canon(column: str, kind: str) -> str:
     """DuckDB: the canonical text of a column."""
     stamp = f"CASE WHEN date_trunc('second', {column}) = {column} THEN strftime({column}, '%Y-%m-%dT%H:%M:%S') ELSE strftime({column}, '%Y-%m-%dT%H:%M:%S.%f') END"
-    body = {"i": f"'I:' || {column}::VARCHAR", "m": f"'M:' || {column}::VARCHAR", "t": f"'T:' || {column}", "d": f"'D:' || {stamp}"}[kind]
+    body = {"i": f"'I:' || {column}::VARCHAR", "m": f"'M:' || {column}::VARCHAR", "t": f"'T:' || {column}", "d": f"'D:' || {stamp}", "a": f"'A:' || array_to_string(list_transform({column}, lambda x: 'M:' || x::VARCHAR), ',')"}[kind]
     return f"coalesce({body}, 'N:')"
 
 
@@ -113,12 +113,13 @@ SNAPSHOT_STATS = " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n_r
 
 
 #: What a snapshot takes of a table: floats as amounts, since the text of a double is each engine's own.
-TAKEN = {t: "SELECT " + ", ".join(f"CAST({c} AS DECIMAL(18,4)) AS {c}" if k == "f" else c for c, k in cols) + f" FROM {t}" for t, cols in COLUMNS.items()}
+_AMOUNTS = {"f": "DECIMAL(18,4)", "a": "DECIMAL(18,4)[]"}
+TAKEN = {t: "SELECT " + ", ".join(f"CAST({c} AS {_AMOUNTS[k]}) AS {c}" if k in _AMOUNTS else c for c, k in cols) + f" FROM {t}" for t, cols in COLUMNS.items()}
 
 
 def snapshot_all(spark, sf_dir):
     """A snapshot of every table: all rows read, counted and fingerprinted."""
-    taken = S.take_snapshot(FrameSource(spark, {t: sql(spark, sf_dir, text) for t, text in TAKEN.items()}))
+    taken = S.take_snapshot(FrameSource(spark, {t: sql(spark, sf_dir, text.replace("DECIMAL(18,4)[]", "ARRAY<DECIMAL(18,4)>")) for t, text in TAKEN.items()}))
     return S.stats(taken, spark).select("table", "n_rows", "fingerprint")
 
 
@@ -274,7 +275,7 @@ SELECT fields, count(*) AS n FROM (SELECT ({" + ".join(f"(x.{c} <> y.{c})::INT"
 
 def diff_probable_updates(spark, sf_dir):
     columns = [c for c, _ in LINES]
-    found, warning = D.probable_updates(_lines_diff(spark, sf_dir), columns, "lineitem")
+    found, warning = D.probable_updates(_lines_diff(spark, sf_dir), columns, "lineitem", cap=None)
     counts = found.groupBy("op").agg(F.count("*").alias("n"))
     return counts.withColumn("warning", F.lit(warning["code"] if warning else None).cast("string"))
 
@@ -305,9 +306,8 @@ _PAIRED = f"""WITH RECURSIVE b0 AS ({LINES_BEFORE}), a0 AS ({LINES_AFTER}), b AS
     FROM step s LEFT JOIN LATERAL (SELECT arg_min(p.j, (p.fields, p.j)) AS j FROM near p WHERE p.i = s.i + 1 AND NOT list_contains(s.used, p.j)) p ON true WHERE s.i < (SELECT count(*) FROM added)),
   pair AS (SELECT unnest(got) AS i, unnest(used) AS j FROM step WHERE step.i = (SELECT count(*) FROM added))"""
 UPDATE_PAIRS = f"{_PAIRED} SELECT {', '.join(f'r.{c} AS b_{c}, x.{c} AS a_{c}' for c, _ in LINES)} FROM pair p JOIN added x ON x.i = p.i JOIN removed r ON r.i = p.j"
-PROBABLE_UPDATES = f"""{_PAIRED}, n AS (SELECT x, y, CASE WHEN x * y <= {D.PAIRING_CAP} THEN p ELSE 0 END AS p FROM (SELECT (SELECT count(*) FROM added) AS x, (SELECT count(*) FROM removed) AS y, (SELECT count(*) FROM pair) AS p))
-SELECT op, k AS n, CASE WHEN x * y > {D.PAIRING_CAP} THEN 'appariement_plafond_atteint' END AS warning
-FROM n, LATERAL (SELECT unnest(['row_added', 'row_removed', 'probable_update']) AS op, unnest([x - p, y - p, p]) AS k) WHERE k > 0"""
+PROBABLE_UPDATES = f"""{_PAIRED}, n AS (SELECT (SELECT count(*) FROM added) AS x, (SELECT count(*) FROM removed) AS y, (SELECT count(*) FROM pair) AS p)
+SELECT op, k AS n, NULL::VARCHAR AS warning FROM n, LATERAL (SELECT unnest(['row_added', 'row_removed', 'probable_update']) AS op, unnest([x - p, y - p, p]) AS k) WHERE k > 0"""
 
 
 def _changed_schema(spark, sf_dir):
@@ -334,7 +334,7 @@ def _whole_diff(spark, sf_dir):
     """Whole snapshots: two tables that changed and one that didn't, which the fingerprints tell."""
     nation = load(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     tables = lambda orders, lines: FrameSource(spark, {"orders": sql(spark, sf_dir, orders), "lineitem": sql(spark, sf_dir, lines), "nation": nation}, {"orders": ("o_orderkey",)})
-    return D.diff_snapshots(spark, S.take_snapshot(tables(ORDERS_BEFORE, LINES_BEFORE)), S.take_snapshot(tables(ORDERS_AFTER, LINES_AFTER)), noise_tables=["LINEITEM"])
+    return D.diff_snapshots(spark, S.take_snapshot(tables(ORDERS_BEFORE, LINES_BEFORE)), S.take_snapshot(tables(ORDERS_AFTER, LINES_AFTER)), noise_tables=["LINEITEM"], cap=None)
 
 
 def diff_noise_split(spark, sf_dir):
@@ -388,7 +388,7 @@ def _profile_columns(name: str):
 def _profile_sql(name: str) -> str:
     parts = []
     for c, k in COLUMNS[name]:
-        low, high = ("NULL", "NULL") if k == "f" else (f"substr({canon(f'min({c})', k)}, 3)", f"substr({canon(f'max({c})', k)}, 3)")
+        low, high = ("NULL", "NULL") if k in "fa" else (f"substr({canon(f'min({c})', k)}, 3)", f"substr({canon(f'max({c})', k)}, 3)")
         parts.append(f"""SELECT '{name}' AS "table", '{c}' AS "column", count(*) AS n_rows, count(*) - count({c}) AS n_nulls,
           CAST(CASE WHEN count(*) = 0 THEN 0 ELSE round_even((count(*) - count({c})) * 100.0 / count(*), 2) END AS DECIMAL(5,2))::DOUBLE AS pct_nulls, count(DISTINCT {c}) AS n_distinct, {low} AS min, {high} AS max FROM {name}""")
     return " UNION ALL ".join(parts)
@@ -441,7 +441,7 @@ def profile_relations(spark, sf_dir):
 
 def _values_sql() -> str:
     text = {"i": ("number", "CAST({0} AS DECIMAL(38,10))::VARCHAR"), "f": ("number", "CAST({0}::VARCHAR AS DECIMAL(38,10))::VARCHAR"), "d": ("date", "strftime({0}, '%Y-%m-%dT%H:%M:%S.%f')"), "t": ("text", "CASE WHEN length({0}) > 64 THEN '#' || sha256({0}) ELSE {0} END")}
-    return " UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c, '{text[k][0]}' AS family, {text[k][1].format(c)} AS key, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY 4" for t, cols in COLUMNS.items() for c, k in cols)
+    return " UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c, '{text[k][0]}' AS family, {text[k][1].format(c)} AS key, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY 4" for t, cols in COLUMNS.items() for c, k in cols if k in text)
 
 
 RELATIONS = f"""WITH v AS (SELECT t, c, family, key, sum(n)::BIGINT AS n FROM ({_values_sql()}) GROUP BY ALL), keys AS (SELECT "table" AS t, key AS c FROM ({KEYS}) WHERE n_columns = 1),
@@ -860,9 +860,9 @@ def queries():
         "profile_relations": profile_relations, "profile_all_tables": all_table_profile,
         "links_all": _links(None), "links_amount": _links("montant"), "links_date": _links("date"), "links_code": _links("code"), "links_text": _links("texte"), "links_exact_precedence": links_precedence,
         "deviation_osa1": deviations, "invalid_inputs": invalid_inputs, "links_orders_diff": links_orders_diff, "deviations_orders_diff": deviations_orders_diff, "deviations_orders_all": deviations_orders_all, "interpret_orders_computed": interpret_orders, "reanalyse_orders_computed": reanalyse_orders,
-        "hyp_counter_int": hyp_counter_int, "hyp_counter_text": hyp_counter_text, "hyp_counter_update": hyp_counter_update, "hyp_timestamp": hyp_timestamp, "hyp_sum_lines": hyp_sum_lines, "hyp_copy": hyp_copy, "hyp_sum_lines_all": hyp_sum_lines_all, "hyp_copy_all": hyp_copy_all,
+        "hyp_counter_int": hyp_counter_int, "hyp_counter_text": hyp_counter_text, "hyp_counter_update": hyp_counter_update, "hyp_timestamp": hyp_timestamp, "hyp_sum_lines": hyp_sum_lines_all, "hyp_copy": hyp_copy_all, "hyp_sum_lines_all": hyp_sum_lines_all, "hyp_copy_all": hyp_copy_all,
         "hyp_constant": hyp_constant, "hyp_running_total": hyp_running_total, "hyp_hierarchical_total": hyp_hierarchical_total, "computed_fields_all": computed_fields_all,
-        "calibration_noise_tables": calibration, "scenario_latest_status": latest_status, "scenario_latest_status_all": latest_status_all, "anonymize_keep_deltas": anonymize, "retype_json_values": retype_values, "scenario_computed_fields": scenario_computed,
+        "calibration_noise_tables": calibration, "scenario_latest_status": latest_status_all, "scenario_latest_status_all": latest_status_all, "anonymize_keep_deltas": anonymize, "retype_json_values": retype_values, "scenario_computed_fields": scenario_computed,
     }
     return found | {f"profile_columns_{t}": _profile_columns(t) for t in COLUMNS}
 
@@ -883,8 +883,8 @@ def oracle_sql():
         "links_all": _links_sql(None), "links_amount": _links_sql("montant"), "links_date": _links_sql("date"), "links_code": _links_sql("code"), "links_text": _links_sql("texte"),
         "links_exact_precedence": f"{_MATCHED} SELECT input_id, count(*) AS n, bool_or(m IN ('exacte', 'espaces_fin')) AS is_exact FROM kept GROUP BY input_id", "deviation_osa1": DEVIATIONS,
         "invalid_inputs": f"{_READY} SELECT input_id, value, type FROM ready WHERE NOT valid",
-        "hyp_counter_int": COUNTER_INT, "hyp_counter_text": COUNTER_TEXT, "hyp_counter_update": COUNTER_UPDATE, "hyp_timestamp": TIMESTAMP, "hyp_sum_lines": SUM_LINES, "hyp_copy": COPY, "hyp_sum_lines_all": SUM_LINES_ALL, "hyp_copy_all": COPY_ALL, "hyp_constant": CONSTANT,
+        "hyp_counter_int": COUNTER_INT, "hyp_counter_text": COUNTER_TEXT, "hyp_counter_update": COUNTER_UPDATE, "hyp_timestamp": TIMESTAMP, "hyp_sum_lines": SUM_LINES_ALL, "hyp_copy": COPY_ALL, "hyp_sum_lines_all": SUM_LINES_ALL, "hyp_copy_all": COPY_ALL, "hyp_constant": CONSTANT,
         "hyp_running_total": RUNNING_TOTAL, "hyp_hierarchical_total": HIERARCHICAL, "computed_fields_all": COMPUTED,
-        "calibration_noise_tables": CALIBRATION, "scenario_latest_status": LATEST_STATUS, "scenario_latest_status_all": LATEST_STATUS_ALL, "anonymize_keep_deltas": ANONYMIZE, "retype_json_values": RETYPE,
+        "calibration_noise_tables": CALIBRATION, "scenario_latest_status": LATEST_STATUS_ALL, "scenario_latest_status_all": LATEST_STATUS_ALL, "anonymize_keep_deltas": ANONYMIZE, "retype_json_values": RETYPE,
     }
     return found | {f"profile_columns_{t}": _profile_sql(t) for t in COLUMNS}

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.canonical import NESTED
+from ..functions.canonical import canonical, family, has_text
 
 #: Names that are never user tables: system and temporary ones.
 HIDDEN = re.compile(r"^(?:MSys|USys|~|sqlite_)")
@@ -29,12 +29,12 @@ class Table:
 
     @property
     def columns(self) -> list[str]:
-        """Comparable columns; nested ones are reported by `skipped`."""
-        return [f.name for f in self.df.schema if not isinstance(f.dataType, NESTED)]
+        """Comparable columns; those without a canonical text are reported by `skipped`."""
+        return [f.name for f in self.df.schema if family(f.dataType) is not None]
 
     @property
     def skipped(self) -> list[str]:
-        return [f.name for f in self.df.schema if isinstance(f.dataType, NESTED)]
+        return [f.name for f in self.df.schema if family(f.dataType) is None]
 
     def kind(self, column: str):
         return self.df.schema[column].dataType
@@ -44,11 +44,11 @@ class Table:
 
     @cached_property
     def non_ascii(self) -> frozenset[str]:
-        """Text columns with anything but ASCII. One aggregate without a shuffle of rows; other text columns skip the NFC function."""
-        texts = [c for c in self.columns if isinstance(self.kind(c), T.StringType)]
+        """Columns that hold text with anything but ASCII. One aggregate without a shuffle of rows; other text columns skip the NFC function."""
+        texts = [c for c in self.columns if has_text(self.kind(c))]
         if not texts:
             return frozenset()
-        found = self.df.agg(*[F.max(F.col(f"`{c}`").rlike(r"[^\x00-\x7F]")).alias(f"c{i}") for i, c in enumerate(texts)]).first()
+        found = self.df.agg(*[F.max((F.col(f"`{c}`") if isinstance(self.kind(c), T.StringType) else canonical(F.col(f"`{c}`"), self.kind(c))).rlike(r"[^\x00-\x7F]")).alias(f"c{i}") for i, c in enumerate(texts)]).first()
         return frozenset(c for i, c in enumerate(texts) if found[i])
 
     def signature(self) -> tuple:

@@ -53,11 +53,24 @@ def test_text_is_nfc_and_not_trimmed(spark):
     assert rows[0] == rows[1] == (f"T:{unicodedata.normalize('NFC', 'é')}",) and rows[2] != rows[3]
 
 
-def test_nested_columns_are_left_out(spark):
-    t = table(spark, [(1, [1.0])], "a int, b array<double>")
-    assert t.columns == ["a"] and t.skipped == ["b"]
+def test_nested_columns_have_texts(spark):
+    kinds = "a array<string>, b struct<x: int, y: array<double>>, c map<string,int>, d interval day to second"
+    rows = [(["a,b", None, "c\\"], (1, [1.5]), {"k": 1, "j": 2}, None), (["a", "b", None, "c\\"], (None, []), {"j": 2, "k": 1}, None), (["e\u0301"], None, {}, None), (["é"], None, None, None), ([], None, None, None), ([""], None, None, None)]
+    t = table(spark, rows, kinds)
+    assert t.columns == ["a", "b", "c"] and t.skipped == ["d"]
+    found = [tuple(r[c] for c in t.columns) for r in S.canonical_rows(t).collect()]
+    assert found[0] == ("A:T:a\\,b,N:,T:c\\\\", "S:I:1,A:F:1.5", "K:T:j,I:2,T:k,I:1") and found[1][1:] == ("S:N:,A:", found[0][2])
+    assert len({r[0] for r in found}) == 5 and found[2][0] == found[3][0] and found[3][1:] == ("N:", "N:")
     with pytest.raises(TypeError):
-        K.canonical(F.col("b"), t.kind("b"))
+        K.canonical(F.col("d"), t.kind("d"))
+    profile = {r.column: r for r in P.column_profile(t).collect()}
+    assert (profile["a"].n_distinct, profile["b"].n_nulls, profile["c"].min) == (5, 4, None)
+
+
+def test_an_update_of_one_element_is_a_field_change(spark):
+    old, new = (table(spark, [(1, [1.0, 2.0]), (2, [x, 4.0])], "a int, b array<double>") for x in (3.0, 3.5))
+    found = D.field_changes(D.keyed_diff("T", S.snapshot_of(old).rows, S.snapshot_of(new).rows, ["a", "b"], ["a"], D.PRIMARY)).collect()
+    assert [(r.column, r.before, r.after) for r in found] == [("b", "A:F:3.0,F:4.0", "A:F:3.5,F:4.0")]
 
 
 def test_fingerprints(spark):
@@ -187,7 +200,7 @@ def test_diffs_compare_hashes_before_rows(spark):
     rows = [(i, f"text {i}") for i in range(50)]
     b, a = (S.canonical_rows(table(spark, r, "ID int, T string")) for r in (rows, rows[1:]))
     plan = D.bag_diff("T", b, a, ["ID", "T"])._jdf.queryExecution().executedPlan().toString()
-    assert "HashAggregate(keys=[f1" in plan and "SortAggregate" not in plan
+    assert "HashAggregate(keys=[__f1" in plan and "SortAggregate" not in plan
     assert D.keyed_diff("T", b, a, ["ID", "T"], ["ID"], D.PRIMARY).count() == 1
 
 

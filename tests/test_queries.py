@@ -40,10 +40,10 @@ def test_latest_status_of_all_users(spark, tmp_path):
 
 
 def test_hypotheses_over_whole_tables(duck):
-    """The SQL of the queries over all rows covers every order and all its lines."""
+    """The SQL covers every order and all its lines."""
     count = lambda text: duck.execute(f"SELECT count(*) FROM ({text})").fetchone()[0]
-    assert count(SQL["hyp_sum_lines_all"]) == count("SELECT DISTINCT l_orderkey FROM lineitem") > count(SQL["hyp_sum_lines"])
-    assert count(SQL["hyp_copy_all"]) == count("SELECT * FROM orders") > count(SQL["hyp_copy"])
+    assert count(SQL["hyp_sum_lines"]) == count("SELECT DISTINCT l_orderkey FROM lineitem")
+    assert count(SQL["hyp_copy"]) == count("SELECT * FROM orders")
 
 
 def test_entry_imports_without_a_session():
