@@ -580,11 +580,13 @@ def deviations_orders_all(spark, sf_dir):
     return L.deviations(inputs, cells, L.matches(inputs, cells))
 
 
+#: DuckDB: a text and the text without any one of its characters.
+_WITHOUT_ONE = "list_append(list_transform(range(1, length({0}) + 1), lambda i: substr({0}, 1, i - 1) || substr({0}, i + 1)), {0})"
 DEVIATIONS_ALL = f"""WITH o AS (SELECT o_orderkey AS k, CAST(o_totalprice AS DECIMAL(18,2)) AS n FROM orders), i AS (SELECT k, CASE WHEN k % 2 = 0 THEN n ELSE n + 10 END AS amt FROM o),
 met AS (SELECT i.k AS input, o.k AS cell, true AS is_exact FROM i JOIN o ON o.n = i.amt UNION ALL SELECT i.k, o.k, false FROM i JOIN o ON o.n = i.amt * 100 UNION ALL SELECT i.k, o.k, false FROM i JOIN o ON o.n * 100 = i.amt),
 kept AS (SELECT * FROM met WHERE is_exact OR input NOT IN (SELECT input FROM met WHERE is_exact)),
 lost AS (SELECT k, amt, {_PLAIN.format("amt")} AS target FROM i WHERE k NOT IN (SELECT input FROM kept)), free AS (SELECT k, n, {_PLAIN.format("n")} AS shape FROM o WHERE k NOT IN (SELECT cell FROM kept)),
-near AS (SELECT l.k, arg_min(f.n, f.k) AS n FROM lost l JOIN free f ON abs(length(l.target) - length(f.shape)) <= 1 WHERE damerau_levenshtein(l.target, f.shape) = 1 GROUP BY l.k)
+near AS (SELECT l.k, arg_min(f.n, f.k) AS n FROM (SELECT *, unnest({_WITHOUT_ONE.format("target")}) AS key FROM lost) l JOIN (SELECT *, unnest({_WITHOUT_ONE.format("shape")}) AS key FROM free) f ON f.key = l.key WHERE damerau_levenshtein(l.target, f.shape) = 1 GROUP BY l.k)
 SELECT 'Total' AS field, 'S' AS screen, replace(l.amt::DECIMAL(18,2)::VARCHAR, '.', ',') AS expected, CASE WHEN r.k IS NULL THEN 'introuvable' ELSE 'valeur_differente' END AS kind,
   CASE WHEN r.k IS NOT NULL THEN 'orders' END AS "table", CASE WHEN r.k IS NOT NULL THEN 'o_totalprice' END AS "column", r.n::VARCHAR AS found FROM lost l LEFT JOIN near r ON r.k = l.k"""
 
