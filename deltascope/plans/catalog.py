@@ -78,7 +78,7 @@ def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 def canon(column: str, kind: str) -> str:
     """DuckDB: the canonical text of a column."""
     stamp = f"CASE WHEN date_trunc('second', {column}) = {column} THEN strftime({column}, '%Y-%m-%dT%H:%M:%S') ELSE strftime({column}, '%Y-%m-%dT%H:%M:%S.%f') END"
-    body = {"i": f"'I:' || {column}::VARCHAR", "m": f"'M:' || {column}::VARCHAR", "t": f"'T:' || {column}", "d": f"'D:' || {stamp}", "a": f"'A:' || array_to_string(list_transform({column}, lambda x: 'M:' || x::VARCHAR), ',')"}[kind]
+    body = {"i": f"'I:' || {column}::VARCHAR", "m": f"'M:' || {column}::VARCHAR", "t": f"'T:' || {column}", "d": f"'D:' || {stamp}", "j": f"'J:' || {column}::VARCHAR", "a": f"'A:' || array_to_string(list_transform({column}, lambda x: 'M:' || x::VARCHAR), ',')"}[kind]
     return f"coalesce({body}, 'N:')"
 
 
@@ -453,35 +453,46 @@ SELECT st AS src_table, sc AS src_column, dt AS dst_table, dc AS dst_column, CAS
 FROM met JOIN total ON total.t = st AND total.c = sc WHERE n_included * 100 >= n_values * 99"""
 
 
-# Links: typed values against written cells, both stated here
-
-INPUT_ROWS = [
-    (1, "Montant", "S", "1 234,56", "montant"), (2, "Montant", "S", "500", "montant"), (3, "Date", "S", "15/01/2024", "date"), (4, "Date", "S", "2024-02-01", "date"),
-    (5, "Code", "S", "6111", "code"), (6, "Code", "S", "0042", "code"), (7, "Libelle", "S", "Test-S003", "texte"), (8, "Libelle", "S", "Facture Dupont", "texte"),
-    (9, "Montant", "S", "1.234,56", "montant"), (10, "Date", "S", "31/02/2024", "date"), (11, "Montant", "S", "0", "montant"), (12, "Montant", "S", "7,25", "montant"),
-    (13, "Libelle", "S", "Test-S030", "texte"), (14, "Autre", "S", "Rien du tout", "texte"), (15, "Montant", "S", "1243,56", "montant"), (16, "Date", "S", "3.2.2024", "date"),
-]
-CELL_ROWS = [
-    (1, "ECR", "MONTANT", "M:1234.56"), (2, "ECR", "CREDIT", "M:-1234.56"), (3, "ECR", "CENTIMES", "I:123456"), (4, "ECR", "TAUX", "M:12.3456"), (5, "ECR", "MONTANT", "M:-500.00"), (6, "ECR", "CENTIMES", "I:50000"),
-    (7, "ECR", "DATE_ECR", "D:2024-01-15T00:00:00"), (8, "ECR", "SAISIE", "D:2024-01-15T00:00:01"), (9, "ECR", "JOUR", "J:2024-01-15"), (10, "ECR", "TEXTE", "T:15.01.2024"), (11, "ECR", "JOUR", "J:2024-02-02"),
-    (12, "CPT", "COMPTE", "I:6111"), (13, "CPT", "COMPTE", "T:6111  "), (14, "CPT", "NUM", "I:42"), (15, "CPT", "NUM", "T:0042"), (16, "CPT", "LIB", "T:TEST-S003"), (17, "CPT", "LIB", "T:Test-S"), (18, "CPT", "LIB", "T:Te"),
-    (19, "CPT", "LIB2", "T:Facture Dupont "), (20, "CPT", "LIB2", "T: Facture Dupont"), (21, "CPT", "TXT", "T:1234.56"), (22, "ECR", "ZERO", "M:0.00"), (23, "ECR", "MONTANT", "M:7.250"), (24, "CPT", "LIB", "T:Test-S003\t"),
-    (25, "ECR", "MONTANT", "M:1234.65"), (26, "CPT", "NUL", "N:"), (27, "CPT", "LOG", "L:1"), (28, "ECR", "JOUR", "J:2024-02-03"), (29, "CPT", "LIB", "T:TEST-S0031"),
-]
+# Links: typed values against written cells
+
+#: A ledger drawn from the given tables, each value written in one of the forms that the rules tell apart: table, its rows, and columns in order of name.
+_CODE, _TEXT = "CAST(p_partkey AS STRING)", "reverse(CAST(p_partkey AS STRING)) || ' ' || p_name"
+_BALANCE, _DATE = "CAST(c_acctbal AS DECIMAL(18,2))", "lpad(CAST(day(o_orderdate) AS STRING), 2, '0') || '{0}' || lpad(CAST(month(o_orderdate) AS STRING), 2, '0') || '{0}' || CAST(year(o_orderdate) AS STRING)"
+LEDGER = {
+    "amounts": (f"""SELECT CASE WHEN c_custkey % 5 = 2 THEN CAST({_BALANCE} * 100 AS BIGINT) END AS cents, CASE WHEN c_custkey % 5 = 1 THEN CAST(-{_BALANCE} AS DECIMAL(18,2)) END AS contra, 'C' || CAST(c_custkey AS STRING) AS id,
+  CASE WHEN c_custkey % 5 = 3 THEN CAST({_BALANCE} / 100 AS DECIMAL(18,4)) END AS rate, CASE WHEN c_custkey % 5 = 0 THEN {_BALANCE} END AS written, c_custkey AS place FROM customer""", [("cents", "i"), ("contra", "m"), ("id", "t"), ("rate", "m"), ("written", "m")]),
+    "codes": (f"""SELECT 'P' || {_CODE} AS id, CASE WHEN p_partkey % 4 = 0 THEN p_partkey END AS num, CASE WHEN p_partkey % 4 = 1 THEN lpad({_CODE}, 8, '0') END AS padded, CASE WHEN p_partkey % 4 = 3 THEN {_CODE} END AS plain,
+  CASE WHEN p_partkey % 4 = 2 THEN {_CODE} || '  ' END AS spaced, p_partkey AS place FROM part""", [("id", "t"), ("num", "i"), ("padded", "t"), ("plain", "t"), ("spaced", "t")]),
+    "days": (f"""SELECT CASE WHEN o_orderkey % 4 = 1 OR day(o_orderdate) % 3 = 0 THEN o_orderdate + INTERVAL 1 SECOND END AS entered, 'O' || CAST(o_orderkey AS STRING) AS id, CASE WHEN o_orderkey % 4 = 0 AND day(o_orderdate) % 3 > 0 THEN o_orderdate END AS made,
+  CASE WHEN o_orderkey % 4 = 2 AND day(o_orderdate) % 3 > 0 THEN {_DATE.format(".")} END AS noted, CASE WHEN o_orderkey % 4 = 3 AND day(o_orderdate) % 3 > 0 THEN CAST(o_orderdate AS DATE) END AS planned, o_orderkey AS place FROM orders""", [("entered", "d"), ("id", "t"), ("made", "d"), ("noted", "t"), ("planned", "j")]),
+    "texts": (f"""SELECT CASE WHEN p_partkey % 5 = 1 THEN upper({_TEXT}) END AS capital, CASE WHEN p_partkey % 5 = 2 THEN substr({_TEXT}, 1, length({_TEXT}) - 2) END AS cut, 'P' || {_CODE} AS id,
+  CASE WHEN p_partkey % 5 = 0 THEN {_TEXT} END AS kept, CASE WHEN p_partkey % 5 = 3 THEN {_TEXT} || '   ' END AS spaced, p_partkey AS place FROM part""", [("capital", "t"), ("cut", "t"), ("id", "t"), ("kept", "t"), ("spaced", "t")]),
+}
+#: What was typed: every balance (some a digit off, some unreadable), day (in four notations), code and text (some with two letters swapped).
+TYPED_LEDGER = f"""SELECT CAST(c_custkey * 4 AS INT) AS input_id, 'Montant' AS field, 'S' AS screen, CASE WHEN c_custkey % 50 = 1 THEN CAST({_BALANCE} AS STRING) || ',5'
+  ELSE substr(replace(CAST(CAST({_BALANCE} + CASE WHEN c_custkey % 9 = 4 THEN 10 ELSE 0 END AS DECIMAL(18,2)) AS STRING), '.', ','), 1, 1) || ' ' || substr(replace(CAST(CAST({_BALANCE} + CASE WHEN c_custkey % 9 = 4 THEN 10 ELSE 0 END AS DECIMAL(18,2)) AS STRING), '.', ','), 2) END AS value, 'montant' AS type FROM customer
+UNION ALL SELECT DISTINCT CAST((year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate)) * 4 + 1 AS INT) AS input_id, 'Date' AS field, 'S' AS screen, CASE WHEN day(o_orderdate) % 4 = 0 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) WHEN day(o_orderdate) % 4 = 1 THEN {_DATE.format("/")}
+  WHEN day(o_orderdate) % 4 = 2 THEN {_DATE.format("-")} ELSE CAST(day(o_orderdate) AS STRING) || '.' || CAST(month(o_orderdate) AS STRING) || '.' || CAST(year(o_orderdate) AS STRING) END AS value, 'date' AS type FROM orders
+UNION ALL SELECT CAST(p_partkey * 4 + 2 AS INT) AS input_id, 'Code' AS field, 'S' AS screen, CASE WHEN p_partkey % 3 = 1 THEN lpad({_CODE}, 8, '0') ELSE {_CODE} END AS value, 'code' AS type FROM part
+UNION ALL SELECT CAST(p_partkey * 4 + 3 AS INT) AS input_id, 'Libelle' AS field, 'S' AS screen, CASE WHEN p_partkey % 7 = 3 THEN substr({_TEXT}, 1, 3) || substr({_TEXT}, 5, 1) || substr({_TEXT}, 4, 1) || substr({_TEXT}, 6) ELSE {_TEXT} END AS value, 'texte' AS type FROM part"""
 
 
-def _link_frames(spark):
-    cells = spark.createDataFrame([(t, i, c, True, v, None, {c: v}) for i, t, c, v in CELL_ROWS], "table string, row_id long, column string, is_insert boolean, value string, before string, row map<string,string>")
-    return spark.createDataFrame(INPUT_ROWS, L.INPUTS), cells
+def _link_frames(spark, sf_dir):
+    """Everything that was typed, and the cells of a diff in which every row of the ledger is new."""
+    cells = []
+    for name, (text, columns) in LEDGER.items():
+        rows = S.snapshot_of(Table(name, sql(spark, sf_dir, text).select(*[c for c, _ in columns]), ("id",))).rows
+        cells.append(C.extract_cells(D.keyed_diff(name, rows.limit(0), rows, [c for c, _ in columns], ["id"], D.PRIMARY)))
+    return sql(spark, sf_dir, TYPED_LEDGER), reduce(DataFrame.unionByName, cells)
 
 
 def _links(kind: str | None):
     def query(spark, sf_dir):
-        inputs, cells = _link_frames(spark)
-        found = L.matches(inputs, cells)
-        found = found if kind is None else found.filter(F.col("type") == kind)
+        inputs, cells = _link_frames(spark, sf_dir)
+        inputs = inputs if kind is None else inputs.filter(F.col("type") == kind)
         confidence = F.create_map(*[F.lit(x) for pair in L.CONFIDENCE.items() for x in pair])[F.col("match_type")]
-        return found.select("input_id", "row_id", "table", "column", "match_type", confidence.alias("confidence"))
+        found = L.matches(inputs, cells).join(cells.select(*H.REF, F.element_at("row", F.lit("id")).alias("id")), H.REF)
+        return found.select("input_id", "id", "table", "column", "match_type", confidence.alias("confidence"))
 
     return query
 
@@ -490,43 +501,68 @@ def _quoted(v) -> str:
     return str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
 
 
-def _rows_sql(rows: list[tuple]) -> str:
+def rows_sql(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(map(_quoted, r)) + ")" for r in rows)
 
 
 _DAYS = "coalesce(CAST(try_strptime(trim({0}), ['%Y-%m-%d', '%d/%m/%Y', '%d-%m-%Y', '%d.%m.%Y']) AS DATE))"
-_READY = f"""WITH inp AS (SELECT *, CASE WHEN type = 'montant' THEN TRY_CAST(replace(regexp_replace(value, '[\\s\\x{{00A0}}\\x{{202F}}]', '', 'g'), ',', '.') AS DECIMAL(28,10)) END AS amt,
-    CASE WHEN type = 'date' THEN {_DAYS.format("value")} END AS d FROM (VALUES {_rows_sql(INPUT_ROWS)}) t(input_id, field, screen, value, type)),
-  cel AS (SELECT *, substr(v, 1, 1) AS tag, substr(v, 3) AS body FROM (VALUES {_rows_sql(CELL_ROWS)}) t(row_id, tab, col, v)),
-  ready AS (SELECT *, CASE WHEN type = 'montant' THEN amt IS NOT NULL WHEN type = 'date' THEN d IS NOT NULL ELSE true END AS valid FROM inp),
-  typed AS (SELECT *, CASE WHEN tag IN ('I', 'M') THEN TRY_CAST(body AS DECIMAL(28,10)) END AS n, CASE WHEN tag = 'D' THEN TRY_CAST(body AS TIMESTAMP) END AS ts,
-    CASE WHEN tag IN ('D', 'J') THEN TRY_CAST(substr(body, 1, 10) AS DATE) WHEN tag = 'T' THEN {_DAYS.format("body")} END AS cd FROM cel)"""
-_MATCHED = f"""{_READY}, met AS (SELECT input_id, field, screen, value, type, row_id, tab, col, CASE
-    WHEN type = 'montant' THEN CASE WHEN n = amt THEN 'exacte' WHEN n = -amt AND amt <> 0 THEN 'signe_inverse' WHEN n = amt * 100 THEN 'x100' WHEN n * 100 = amt THEN 'div100' END
-    WHEN type = 'date' THEN CASE WHEN cd = d AND tag = 'D' AND date_trunc('day', ts) <> ts THEN 'date_heure' WHEN cd = d THEN 'exacte' END
-    WHEN type = 'code' THEN CASE WHEN n = floor(n) AND CAST(n AS BIGINT)::VARCHAR = value THEN 'exacte' WHEN tag = 'T' AND body = value THEN 'exacte' WHEN tag = 'T' AND rtrim(body, ' ') = rtrim(value, ' ') THEN 'espaces_fin' END
-    ELSE CASE WHEN tag <> 'T' THEN NULL WHEN body = value THEN 'exacte' WHEN rtrim(body, ' ') = rtrim(value, ' ') THEN 'espaces_fin' WHEN body = upper(value) THEN 'majuscules'
-      WHEN length(body) >= 3 AND length(body) < length(value) AND starts_with(value, body) THEN 'tronque' END END AS m FROM ready, typed WHERE valid),
-  kept AS (SELECT * FROM met WHERE m IS NOT NULL QUALIFY m IN ('exacte', 'espaces_fin') OR NOT bool_or(m IN ('exacte', 'espaces_fin')) OVER (PARTITION BY input_id))"""
+
+
+def ready_sql(inputs: str) -> str:
+    """DuckDB: inputs(input_id, field, screen, value, type) as they are sought."""
+    return f"""WITH inp AS (SELECT *, CASE WHEN type = 'montant' THEN TRY_CAST(replace(regexp_replace(value, '[\\s\\x{{00A0}}\\x{{202F}}]', '', 'g'), ',', '.') AS DECIMAL(28,10)) END AS amt,
+    CASE WHEN type = 'date' THEN {_DAYS.format("value")} END AS d FROM ({inputs})),
+  ready AS (SELECT *, CASE WHEN type = 'montant' THEN amt IS NOT NULL WHEN type = 'date' THEN d IS NOT NULL ELSE true END AS valid FROM inp)"""
+
+
+def matched_sql(inputs: str, cells: str) -> str:
+    """DuckDB: kept(input and cell, m), rule by rule, for cells(row_id, tab, col, v) with one id a cell; of the rules that a pair meets the first counts."""
+    by_rule = [
+        ("montant", "exacte", "c.n = i.amt"), ("montant", "signe_inverse", "c.n = -i.amt AND i.amt <> 0"), ("montant", "x100", "c.n = i.amt * 100"), ("montant", "div100", "c.n * 100 = i.amt"),
+        ("date", "date_heure", "c.cd = i.d AND c.tag = 'D' AND date_trunc('day', c.ts) <> c.ts"), ("date", "exacte", "c.cd = i.d"),
+        ("code", "exacte", "c.whole = i.value"), ("code", "exacte", "c.txt = i.value"), ("code", "espaces_fin", "rtrim(c.txt, ' ') = rtrim(i.value, ' ')"),
+        ("texte", "exacte", "c.txt = i.value"), ("texte", "espaces_fin", "rtrim(c.txt, ' ') = rtrim(i.value, ' ')"), ("texte", "majuscules", "c.txt = upper(i.value)"), ("texte", "tronque", "c.txt = i.cut"),
+    ]
+    cuts = "(SELECT *, unnest(list_transform(range(3, length(value)), lambda k: substr(value, 1, k::INT))) AS cut FROM ready)"
+    met = " UNION ALL ".join(f"SELECT i.input_id, c.row_id, {n} AS r, '{m}' AS m FROM {cuts if m == 'tronque' else 'ready'} i JOIN typed c ON {on} WHERE i.valid AND i.type = '{kind}'" for n, (kind, m, on) in enumerate(by_rule))
+    return f"""{ready_sql(inputs)}, cel AS (SELECT *, substr(v, 1, 1) AS tag, substr(v, 3) AS body FROM ({cells})),
+  valued AS (SELECT *, CASE WHEN tag IN ('I', 'M') THEN TRY_CAST(body AS DECIMAL(28,10)) END AS n, CASE WHEN tag = 'D' THEN TRY_CAST(body AS TIMESTAMP) END AS ts, CASE WHEN tag = 'T' THEN body END AS txt,
+    CASE WHEN tag IN ('D', 'J') THEN TRY_CAST(substr(body, 1, 10) AS DATE) WHEN tag = 'T' THEN {_DAYS.format("body")} END AS cd FROM cel),
+  typed AS (SELECT *, CASE WHEN n = floor(n) THEN CAST(n AS BIGINT)::VARCHAR END AS whole FROM valued),
+  rules AS ({met}), met AS (SELECT input_id, row_id, arg_min(m, r) AS m FROM rules GROUP BY ALL),
+  best AS (SELECT * FROM met QUALIFY m IN ('exacte', 'espaces_fin') OR NOT bool_or(m IN ('exacte', 'espaces_fin')) OVER (PARTITION BY input_id)),
+  kept AS (SELECT i.input_id, i.field, i.screen, i.value, i.type, c.row_id, c.tab, c.col, m FROM best JOIN ready i USING (input_id) JOIN cel c USING (row_id))"""
+
+
 _CONF = "CASE WHEN m IN ('exacte', 'espaces_fin', 'date_heure') THEN 'haute' WHEN m IN ('x100', 'div100') THEN 'faible' ELSE 'moyenne' END"
 
 
+def _ledger_sql() -> str:
+    cell = lambda k, name, i, c, kind: f"SELECT place * 100 + {10 * k + i} AS row_id, '{name}' AS tab, '{c}' AS col, {canon(c, kind)} AS v, {canon('id', 't')} AS id FROM ({LEDGER[name][0]})"
+    return " UNION ALL ".join(cell(k, name, i, c, kind) for k, name in enumerate(LEDGER) for i, (c, kind) in enumerate(LEDGER[name][1]))
+
+
+_MATCHED = matched_sql(TYPED_LEDGER, _ledger_sql())
+
+
 def _links_sql(kind: str | None) -> str:
-    return f'{_MATCHED} SELECT input_id, row_id, tab AS "table", col AS "column", m AS match_type, {_CONF} AS confidence FROM kept' + (f" WHERE type = '{kind}'" if kind else "")
+    return f'{_MATCHED} SELECT input_id, id, kept.tab AS "table", kept.col AS "column", m AS match_type, {_CONF} AS confidence FROM kept JOIN cel USING (row_id)' + (f" WHERE type = '{kind}'" if kind else "")
 
 
 def links_precedence(spark, sf_dir):
-    inputs, cells = _link_frames(spark)
-    return L.matches(inputs, cells).groupBy("input_id").agg(F.count("*").alias("n"), F.max(F.col("match_type").isin(*L.EXACT)).alias("is_exact"))
+    return L.matches(*_link_frames(spark, sf_dir)).groupBy("input_id").agg(F.count("*").alias("n"), F.max(F.col("match_type").isin(*L.EXACT)).alias("is_exact"))
 
 
 def deviations(spark, sf_dir):
-    inputs, cells = _link_frames(spark)
+    inputs, cells = _link_frames(spark, sf_dir)
     return L.deviations(inputs, cells, L.matches(inputs, cells))
 
 
 _PLAIN = "CASE WHEN contains({0}::VARCHAR, '.') THEN regexp_replace({0}::VARCHAR, '\\.?0+$', '') ELSE {0}::VARCHAR END"
-DEVIATIONS = f"""{_MATCHED}, lost AS (SELECT *, CASE WHEN type = 'montant' THEN {_PLAIN.format("amt")} WHEN type = 'date' THEN d::VARCHAR ELSE rtrim(value, ' ') END AS target
+
+
+def deviations_sql(inputs: str, cells: str) -> str:
+    return f"""{matched_sql(inputs, cells)}, lost AS (SELECT *, CASE WHEN type = 'montant' THEN {_PLAIN.format("amt")} WHEN type = 'date' THEN d::VARCHAR ELSE rtrim(value, ' ') END AS target
     FROM ready WHERE valid AND input_id NOT IN (SELECT input_id FROM kept)),
   near AS (SELECT l.input_id, t.tab, t.col, t.body, row_number() OVER (PARTITION BY l.input_id ORDER BY t.tab, t.row_id, t.col) AS r FROM lost l
     JOIN (SELECT DISTINCT field, screen, tab, col FROM kept) s ON s.field = l.field AND s.screen = l.screen JOIN typed t ON t.tab = s.tab AND t.col = s.col,
@@ -536,8 +572,11 @@ SELECT l.field, l.screen, l.value AS expected, CASE WHEN n.input_id IS NULL THEN
 FROM lost l LEFT JOIN near n ON n.input_id = l.input_id AND n.r = 1"""
 
 
+DEVIATIONS = deviations_sql(TYPED_LEDGER, _ledger_sql())
+
+
 def invalid_inputs(spark, sf_dir):
-    return L.prepared(_link_frames(spark)[0]).filter("NOT valid").select("input_id", "value", "type")
+    return L.prepared(sql(spark, sf_dir, TYPED_LEDGER)).filter("NOT valid").select("input_id", "value", "type")
 
 
 #: What a user may have typed: new totals of orders (of every other one a cent too much), and each status.
@@ -564,9 +603,8 @@ def deviations_orders_diff(spark, sf_dir):
 
 _WRITTEN = f"""SELECT substr(o_orderkey, 3)::BIGINT * 10 + list_position([{", ".join(f"'{c}'" for c, _ in ORDERS)}], col) AS row_id, o_orderkey, 'orders' AS tab, col, v FROM (
   SELECT o_orderkey, "column" AS col, after AS v FROM ({FIELDS}) {" ".join(f"UNION ALL SELECT o_orderkey, '{c}', {c} FROM ({_BOTH} SELECT a.* FROM a ANTI JOIN b ON a.o_orderkey = b.o_orderkey)" for c, _ in ORDERS)})"""
-_at_size = lambda text: text.replace(f"(VALUES {_rows_sql(INPUT_ROWS)}) t(input_id, field, screen, value, type)", f"({TYPED})").replace(f"(VALUES {_rows_sql(CELL_ROWS)}) t(row_id, tab, col, v)", f"({_WRITTEN})")
-LINKS_ORDERS = _at_size(_MATCHED) + " SELECT k.input_id, k.type, w.o_orderkey, k.col AS \"column\", w.v AS value, k.m AS match_type FROM kept k JOIN typed w ON w.row_id = k.row_id"
-DEVIATIONS_ORDERS = _at_size(DEVIATIONS)
+LINKS_ORDERS = matched_sql(TYPED, _WRITTEN) + " SELECT k.input_id, k.type, w.o_orderkey, k.col AS \"column\", w.v AS value, k.m AS match_type FROM kept k JOIN typed w ON w.row_id = k.row_id"
+DEVIATIONS_ORDERS = deviations_sql(TYPED, _WRITTEN)
 
 #: Every order's total as typed: even ones as written, odd ones an amount off that changes one digit, or more where it carries.
 TYPED_TOTALS = """SELECT CAST(o_orderkey AS INT) AS input_id, 'Total' AS field, 'S' AS screen, replace(CAST(CAST(CAST(o_totalprice AS DECIMAL(18,2)) + CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 10 END AS DECIMAL(18,2)) AS STRING), '.', ',') AS value, 'montant' AS type FROM orders"""
@@ -622,23 +660,21 @@ COUNTER_TEXT = """WITH m AS (SELECT max(c_custkey) AS k, max(c_name) AS n FROM c
 SELECT 'customer' AS "table", 'c_custkey' AS "column", 'I:' || (k + 1)::VARCHAR AS value, 'max avant = ' || k::VARCHAR AS detail FROM m
 UNION ALL SELECT 'customer', 'c_name', 'T:Customer#' || lpad((substr(n, 10)::BIGINT + 1)::VARCHAR, 9, '0'), 'max avant = ' || n FROM m"""
 
-COUNTERS = [("ACH", 41, 42), ("VTE", 57, 62), ("OD", 3, 8)]
-
-
-def _updates(spark, table, rows, key, column):
-    """rows(key value, before, after) as cells of updates."""
-    found = [(table, i + 1, column, False, after, before, {key: k, column: after}) for i, (k, before, after) in enumerate(rows)]
-    return spark.createDataFrame(found, "table string, row_id long, column string, is_insert boolean, value string, before string, row map<string,string>")
+#: The number of each customer's orders as two counters; one moves by different steps, the other by one that all share.
+COUNTERS = "SELECT c_custkey, CAST(n AS BIGINT) AS last, CAST(n AS BIGINT) AS lot FROM (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey) t"
+COUNTERS_AFTER = f"SELECT c_custkey, last + CASE c_custkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 4 ELSE -1 END AS last, lot + 5 AS lot FROM ({COUNTERS}) c"
 
 
 def hyp_counter_update(spark, sf_dir):
-    cells = _updates(spark, "COMPTEURS", [(f"T:{k}", f"I:{a}", f"I:{b}") for k, a, b in COUNTERS], "CODE_JOURNAL", "DERNIER_NUM")
-    none = spark.createDataFrame([], D.ROW_CHANGES)
-    return H.counter(cells, _context(spark, none, cells)).join(cells, H.REF).select(F.element_at("row", F.lit("CODE_JOURNAL")).alias("journal"), "value", "detail")
+    before, after = (S.snapshot_of(Table("compteurs", sql(spark, sf_dir, text), ("c_custkey",))) for text in (COUNTERS, COUNTERS_AFTER))
+    changes = D.keyed_diff("compteurs", before.rows, after.rows, before.columns, ["c_custkey"], D.PRIMARY)
+    cells = C.extract_cells(changes)
+    return H.counter(cells, _context(spark, changes, cells)).join(cells, H.REF).select(F.element_at("row", F.lit("c_custkey")).alias("c_custkey"), "column", "value", "detail")
 
 
-COUNTER_UPDATE = f"""WITH c AS (SELECT * FROM (VALUES {_rows_sql(COUNTERS)}) t(j, a, b)), s AS (SELECT count(*) >= 2 AND count(DISTINCT b - a) = 1 AS shared FROM c)
-SELECT 'T:' || j AS journal, 'I:' || b::VARCHAR AS value, a::VARCHAR || ' → ' || b::VARCHAR AS detail FROM c, s WHERE b - a > 0 AND (b - a = 1 OR shared)"""
+COUNTER_UPDATE = f"""WITH c AS (SELECT b.c_custkey AS k, unnest(['last', 'lot']) AS c, unnest([b.last, b.lot]) AS b, unnest([a.last, a.lot]) AS a FROM ({COUNTERS}) b JOIN ({COUNTERS_AFTER}) a USING (c_custkey)),
+s AS (SELECT c, count(*) >= 2 AND count(DISTINCT a - b) = 1 AS shared FROM c GROUP BY c)
+SELECT 'I:' || k::VARCHAR AS c_custkey, c AS "column", 'I:' || a::VARCHAR AS value, b::VARCHAR || ' → ' || a::VARCHAR AS detail FROM c JOIN s USING (c) WHERE a - b = 1 OR (a > b AND shared)"""
 
 
 def hyp_timestamp(spark, sf_dir):
@@ -719,20 +755,23 @@ def hyp_running_total(spark, sf_dir):
 
 RUNNING_TOTAL = "SELECT 'I:' || o_orderkey::VARCHAR AS o_orderkey, 'o_totalprice' AS \"column\", 'delta 1234.56 = montant saisi Montant (1 234,56)' AS detail FROM orders WHERE o_orderkey % 1000 = 7"
 
-ACCOUNTS = [
-    ("6", "1234.5600"), ("61", "1234.5600"), ("612", "1234.5600"), ("6126", "1234.5600"), ("61263", "1234.5600"), ("3", "246.9100"), ("34", "246.9100"), ("345", "246.9100"), ("3455", "246.9100"),
-    ("34552", "246.9100"), ("44", "-1481.4700"), ("441", "-1481.4700"), ("4411", "-1481.4700"), ("441110024", "-1481.4700"), ("70", "50.0000"), ("512", "80.0000"),
-]
+#: Totals of orders on accounts of three levels: nation, customer, and status beneath it.
+_POSTED = "SELECT lpad(CAST(c_nationkey AS STRING), 2, '0') AS nation, lpad(CAST(c_custkey AS STRING), 9, '0') AS customer, o_orderstatus, CAST(o_totalprice AS DECIMAL(18,2)) AS amount FROM orders JOIN customer ON c_custkey = o_custkey"
+ACCOUNTS = f"""SELECT account, CAST(sum(amount) AS DECIMAL(18,2)) AS moved FROM (SELECT nation AS account, amount FROM ({_POSTED}) x
+UNION ALL SELECT nation || customer AS account, amount FROM ({_POSTED}) y UNION ALL SELECT nation || customer || o_orderstatus AS account, amount FROM ({_POSTED}) z) t GROUP BY account"""
 
 
 def hyp_hierarchical_total(spark, sf_dir):
-    cells = _updates(spark, "compte", [(f"T:{a}  ", "M:1000.0000", f"M:{1000 + float(d):.4f}") for a, d in ACCOUNTS], "Compte", "Debit")
-    hit = H.hierarchical_total(cells, _context(spark, None, cells))
-    return hit.join(cells, H.REF).select(F.trim(F.substring(F.element_at("row", F.lit("Compte")), 3, 20)).alias("account"), "detail")
+    after, before = (sql(spark, sf_dir, f"SELECT account AS Compte, CAST(1000 + {moved} AS DECIMAL(18,4)) AS Debit FROM ({ACCOUNTS}) a") for moved in ("moved", "0"))
+    old, new = (S.snapshot_of(Table("compte", t, ("Compte",))) for t in (before, after))
+    changes = D.keyed_diff("compte", old.rows, new.rows, old.columns, ["Compte"], D.PRIMARY)
+    cells = C.extract_cells(changes)
+    hit = H.hierarchical_total(cells, _context(spark, changes, cells))
+    return hit.join(cells, H.REF).select(F.substring(F.element_at("row", F.lit("Compte")), 3, 20).alias("account"), "detail")
 
 
-HIERARCHICAL = f"""WITH c AS (SELECT a, d::DECIMAL(18,4) AS d FROM (VALUES {_rows_sql(ACCOUNTS)}) t(a, d)),
-p AS (SELECT x.a, x.d, y.a AS b FROM c x JOIN c y ON x.d = y.d AND (starts_with(x.a, y.a) OR starts_with(y.a, x.a)) WHERE length(x.a) >= 2 AND length(y.a) >= 2)
+HIERARCHICAL = f"""WITH c AS (SELECT account AS a, moved AS d FROM ({ACCOUNTS}) WHERE moved <> 0),
+p AS (SELECT x.a, x.d, y.a AS b FROM c x JOIN c y ON x.d = y.d AND (starts_with(x.a, y.a) OR starts_with(y.a, x.a)))
 SELECT a AS account, 'delta ' || {_PLAIN.format("d")} || ' identique sur ' || count(*)::VARCHAR || ' comptes liés par préfixe : ' || string_agg(b, ', ' ORDER BY length(b), b) AS detail FROM p GROUP BY a, d HAVING count(*) > 1"""
 
 
@@ -815,18 +854,20 @@ def anonymize(spark, sf_dir):
 
 ANONYMIZE = "SELECT o_orderkey, CAST((('0x' || substr(sha256(CAST(o_totalprice AS DECIMAL(18,4))::VARCHAR), 1, 10))::BIGINT % 1000000000)::DECIMAL(18,4) / 100 AS DECIMAL(18,4))::DOUBLE AS fake_before, o_orderkey::DOUBLE AS delta FROM orders"
 
-JSON_VALUES = ["1234.5600", "12.5", "26", "2024-01-15T10:00:00", "2024-01-15", "2024-02-30", "-0.0100", "texte", "", "2024-01-15T25:00:00"]
+#: Values of the orders and customers as a trace writes them, and days of which some don't exist.
+JSON_VALUES = """SELECT CAST(CAST(o_totalprice AS DECIMAL(18,4)) AS STRING) AS value FROM orders UNION ALL SELECT CAST(CAST(-c_acctbal AS DECIMAL(18,4)) AS STRING) AS value FROM customer UNION ALL SELECT CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS STRING) AS value FROM customer
+UNION ALL SELECT c_name AS value FROM customer UNION ALL SELECT CAST(o_orderkey AS STRING) AS value FROM orders UNION ALL SELECT CAST(CAST(o_orderdate AS DATE) AS STRING) AS value FROM orders
+UNION ALL SELECT substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 1, 8) || '31' AS value FROM orders UNION ALL SELECT CAST(CAST(o_orderdate AS DATE) AS STRING) || 'T' || lpad(CAST(o_orderkey % 23 + CASE WHEN o_orderkey % 10 = 0 THEN 30 ELSE 0 END AS STRING), 2, '0') || ':00:00' AS value FROM orders UNION ALL SELECT '' AS value FROM nation"""
 
 
 def retype_values(spark, sf_dir):
-    rows = spark.createDataFrame([(v,) for v in JSON_VALUES], "value string")
-    return rows.select("value", trace.retyped(F.col("value")).alias("typed"))
+    return sql(spark, sf_dir, JSON_VALUES).select("value", trace.retyped(F.col("value")).alias("typed"))
 
 
-RETYPE = f"""SELECT value, CASE WHEN regexp_full_match(value, '-?[0-9]+\\.[0-9]{{4}}') THEN 'M:' || value
+def retype_sql(values: str) -> str:
+    return f"""SELECT value, CASE WHEN regexp_full_match(value, '-?[0-9]+\\.[0-9]{{4}}') THEN 'M:' || value
   WHEN regexp_full_match(value, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9:.]+') AND TRY_CAST(value AS TIMESTAMP) IS NOT NULL THEN 'D:' || value
-  WHEN regexp_full_match(value, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND TRY_CAST(value AS DATE) IS NOT NULL THEN 'J:' || value ELSE 'T:' || value END AS typed
-  FROM (VALUES {_rows_sql([(v,) for v in JSON_VALUES])}) t(value)"""
+  WHEN regexp_full_match(value, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND TRY_CAST(value AS DATE) IS NOT NULL THEN 'J:' || value ELSE 'T:' || value END AS typed FROM ({values})"""
 
 
 def scenario_computed(spark, sf_dir):
@@ -884,9 +925,9 @@ def oracle_sql():
         "profile_relations": RELATIONS, "profile_all_tables": ALL_TABLE_PROFILE,
         "links_all": _links_sql(None), "links_amount": _links_sql("montant"), "links_date": _links_sql("date"), "links_code": _links_sql("code"), "links_text": _links_sql("texte"),
         "links_exact_precedence": f"{_MATCHED} SELECT input_id, count(*) AS n, bool_or(m IN ('exacte', 'espaces_fin')) AS is_exact FROM kept GROUP BY input_id", "deviation_osa1": DEVIATIONS,
-        "invalid_inputs": f"{_READY} SELECT input_id, value, type FROM ready WHERE NOT valid",
+        "invalid_inputs": f"{ready_sql(TYPED_LEDGER)} SELECT input_id, value, type FROM ready WHERE NOT valid",
         "hyp_counter_int": COUNTER_INT, "hyp_counter_text": COUNTER_TEXT, "hyp_counter_update": COUNTER_UPDATE, "hyp_timestamp": TIMESTAMP, "hyp_sum_lines": SUM_LINES_ALL, "hyp_copy": COPY_ALL, "hyp_sum_lines_all": SUM_LINES_ALL, "hyp_copy_all": COPY_ALL, "hyp_constant": CONSTANT,
         "hyp_running_total": RUNNING_TOTAL, "hyp_hierarchical_total": HIERARCHICAL, "computed_fields_all": COMPUTED,
-        "calibration_noise_tables": CALIBRATION, "scenario_latest_status": LATEST_STATUS_ALL, "scenario_latest_status_all": LATEST_STATUS_ALL, "anonymize_keep_deltas": ANONYMIZE, "retype_json_values": RETYPE,
+        "calibration_noise_tables": CALIBRATION, "scenario_latest_status": LATEST_STATUS_ALL, "scenario_latest_status_all": LATEST_STATUS_ALL, "anonymize_keep_deltas": ANONYMIZE, "retype_json_values": retype_sql(JSON_VALUES),
     }
     return found | {f"profile_columns_{t}": _profile_sql(t) for t in COLUMNS}
