@@ -39,6 +39,11 @@ def _row_id(table: str) -> F.Column:
     return F.xxhash64(F.lit(table), "op", F.to_json("key"), F.to_json("before"), F.to_json("after"), "copy")
 
 
+def with_row_id(changes: DataFrame, table: str) -> DataFrame:
+    """ROW_CHANGES of rows that have `copy`."""
+    return changes.withColumn("row_id", _row_id(table)).select(*[f.name for f in T.StructType.fromDDL(ROW_CHANGES)])
+
+
 def is_unique(rows: DataFrame, key: list[str]) -> bool:
     """NULLs count as equal values."""
     return rows.groupBy(*[F.col(f"`{k}`") for k in key]).count().filter("count > 1").isEmpty()
@@ -69,7 +74,7 @@ def keyed_diff(name: str, before: DataFrame, after: DataFrame, columns: list[str
         F.lit(name).alias("table"), F.lit(key_type).alias("key_type"), "op", F.lit(0).alias("copy"), shown.alias("key"), F.when(F.col("b").isNotNull(), _map(columns, "b.")).alias("before"),
         F.when(F.col("a").isNotNull(), _map(columns, "a.")).alias("after"), F.coalesce("a_ord", "b_ord").alias("ord"),
     )
-    return changed.withColumn("row_id", _row_id(name)).select(*[f.name for f in T.StructType.fromDDL(ROW_CHANGES)])
+    return with_row_id(changed, name)
 
 
 def bag_diff(name: str, before: DataFrame, after: DataFrame, columns: list[str], in_place: bool = False) -> DataFrame:
@@ -104,7 +109,7 @@ def bag_diff(name: str, before: DataFrame, after: DataFrame, columns: list[str],
             none.alias("key"), (none if sign > 0 else row).alias("before"), (row if sign > 0 else none).alias("after"), "ord",
         )
 
-    return extra(b, -1).unionByName(extra(a, 1)).withColumn("row_id", _row_id(name)).select(*[f.name for f in T.StructType.fromDDL(ROW_CHANGES)])
+    return with_row_id(extra(b, -1).unionByName(extra(a, 1)), name)
 
 
 def candidate_pairs(changes: DataFrame, columns: list[str]) -> DataFrame:

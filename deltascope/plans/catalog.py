@@ -24,6 +24,7 @@ from ..operators import snapshot as S
 from ..sources.catalog import FileSource, FrameSource, Table
 from ..sources.scenarios import one_transaction, synthetic
 from ..sources.storage import new_path
+from ..streaming import feed
 from . import pipeline, trace
 
 #: Columns of the standard tables: i(nteger), f(loat), t(ext), d(ate and time), a(rray of floats).
@@ -830,6 +831,30 @@ def calibration(spark, sf_dir):
 CALIBRATION = f'SELECT "table", summary FROM ({DIFF_SUMMARY}) WHERE "table" = \'orders\''
 
 
+#: Orders as a feed: some totals and states changed, some orders ended, some under new keys.
+FED = ["CASE WHEN o_orderkey % 1000 = 5 THEN -o_orderkey ELSE o_orderkey END AS o_orderkey", "CASE WHEN o_orderkey % 1000 = 11 THEN o_orderstatus || ' ' ELSE o_orderstatus END AS o_orderstatus",
+       "CAST(CASE WHEN o_orderkey % 1000 = 7 THEN CAST(o_totalprice AS DECIMAL(18,2)) + 1234.56 ELSE CAST(o_totalprice AS DECIMAL(18,2)) END AS DECIMAL(18,2)) AS o_totalprice", "o_orderkey % 1000 = 3 AS ended"]
+HELD = "SELECT o_orderkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(18,2)) AS o_totalprice FROM orders"
+
+
+def feed_orders(spark, sf_dir):
+    """Every order comes again as a stream over the orders held, and what differs goes out."""
+    initial = sql(spark, sf_dir, HELD)
+    path, schema = new_path(spark, "feed"), load(spark, sf_dir, "orders").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir).selectExpr(*FED)
+    feed.watch(stream, "orders", ["o_orderkey"], f"{path}/changes", f"{path}/checkpoint", "ended", initial).awaitTermination()
+    changes = spark.read.schema(D.ROW_CHANGES).parquet(f"{path}/changes/batch=0")
+    side = lambda c, s: F.element_at(s, F.lit(c))
+    return changes.select("op", side("o_orderkey", "key").alias("o_orderkey"), *[side(c, s).alias(f"{s}_{c[2:]}") for c in ("o_orderstatus", "o_totalprice") for s in ("before", "after")])
+
+
+FED_ORDERS = f"""WITH fed AS (SELECT {", ".join(FED)} FROM orders), a AS (SELECT * FROM fed WHERE NOT ended), b AS ({HELD}), ends AS (SELECT o_orderkey FROM fed WHERE ended),
+text AS (SELECT coalesce(a.o_orderkey, b.o_orderkey) AS k, {", ".join(f"CASE WHEN {s}.o_orderkey IS NOT NULL THEN {canon(f'{s}.{c}', k)} END AS {n}_{c[2:]}" for c, k in (("o_orderstatus", "t"), ("o_totalprice", "m")) for s, n in (("b", "before"), ("a", "after")))}
+  FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey WHERE a.o_orderkey IS NOT NULL OR b.o_orderkey IN (SELECT o_orderkey FROM ends))
+SELECT CASE WHEN before_orderstatus IS NULL THEN 'insert' WHEN after_orderstatus IS NULL THEN 'delete' ELSE 'update' END AS op, 'I:' || k::VARCHAR AS o_orderkey, before_orderstatus, after_orderstatus, before_totalprice, after_totalprice
+FROM text WHERE (before_orderstatus, before_totalprice) IS DISTINCT FROM (after_orderstatus, after_totalprice)"""
+
+
 def latest_status(spark, sf_dir, sheets="SELECT id FROM range(200)"):
     """The latest event type of each user, for users 0 to 199 (or those of `sheets`) whether they have events or not."""
     runs = load(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("id"), F.struct("ts", "event_id").alias("start"), F.col("event_type").alias("status"))
@@ -905,7 +930,7 @@ def queries():
         "deviation_osa1": deviations, "invalid_inputs": invalid_inputs, "links_orders_diff": links_orders_diff, "deviations_orders_diff": deviations_orders_diff, "deviations_orders_all": deviations_orders_all, "interpret_orders_computed": interpret_orders, "reanalyse_orders_computed": reanalyse_orders,
         "hyp_counter_int": hyp_counter_int, "hyp_counter_text": hyp_counter_text, "hyp_counter_update": hyp_counter_update, "hyp_timestamp": hyp_timestamp, "hyp_sum_lines": hyp_sum_lines_all, "hyp_copy": hyp_copy_all, "hyp_sum_lines_all": hyp_sum_lines_all, "hyp_copy_all": hyp_copy_all,
         "hyp_constant": hyp_constant, "hyp_running_total": hyp_running_total, "hyp_hierarchical_total": hyp_hierarchical_total, "computed_fields_all": computed_fields_all,
-        "calibration_noise_tables": calibration, "scenario_latest_status": latest_status_all, "scenario_latest_status_all": latest_status_all, "anonymize_keep_deltas": anonymize, "retype_json_values": retype_values, "scenario_computed_fields": scenario_computed,
+        "calibration_noise_tables": calibration, "scenario_latest_status": latest_status_all, "scenario_latest_status_all": latest_status_all, "feed_orders_changes": feed_orders, "anonymize_keep_deltas": anonymize, "retype_json_values": retype_values, "scenario_computed_fields": scenario_computed,
     }
     return found | {f"profile_columns_{t}": _profile_columns(t) for t in COLUMNS}
 
@@ -928,6 +953,6 @@ def oracle_sql():
         "invalid_inputs": f"{ready_sql(TYPED_LEDGER)} SELECT input_id, value, type FROM ready WHERE NOT valid",
         "hyp_counter_int": COUNTER_INT, "hyp_counter_text": COUNTER_TEXT, "hyp_counter_update": COUNTER_UPDATE, "hyp_timestamp": TIMESTAMP, "hyp_sum_lines": SUM_LINES_ALL, "hyp_copy": COPY_ALL, "hyp_sum_lines_all": SUM_LINES_ALL, "hyp_copy_all": COPY_ALL, "hyp_constant": CONSTANT,
         "hyp_running_total": RUNNING_TOTAL, "hyp_hierarchical_total": HIERARCHICAL, "computed_fields_all": COMPUTED,
-        "calibration_noise_tables": CALIBRATION, "scenario_latest_status": LATEST_STATUS_ALL, "scenario_latest_status_all": LATEST_STATUS_ALL, "anonymize_keep_deltas": ANONYMIZE, "retype_json_values": retype_sql(JSON_VALUES),
+        "calibration_noise_tables": CALIBRATION, "scenario_latest_status": LATEST_STATUS_ALL, "scenario_latest_status_all": LATEST_STATUS_ALL, "feed_orders_changes": FED_ORDERS, "anonymize_keep_deltas": ANONYMIZE, "retype_json_values": retype_sql(JSON_VALUES),
     }
     return found | {f"profile_columns_{t}": _profile_sql(t) for t in COLUMNS}

@@ -1,53 +1,119 @@
 """A feed of rows as a stream of changes.
 
-Each micro-batch is compared with the rows its keys had before, so the result is
-the same as a diff of two snapshots that differ by the batch. Rows are kept in an
-append-only store with the number of their batch, in parts by key; a batch that is
-run again after a failure finds its own output and replaces it.
+The last row of every key is keyed state of the stream, so a micro-batch costs
+what it holds, however much came before: its rows are grouped by key, each key's
+last row is compared with the one in the state, and only what differs goes out.
+The result is that of a diff of two snapshots that differ by the batch. State is
+kept by RocksDB and written as changes to it beside the stream's checkpoint, so a
+lost executor restores it there; a batch that runs again after a failure starts
+from the state before it and replaces its own output.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from ..functions.canonical import has_text
 from ..operators import diff as D
 from ..operators.snapshot import canonical_rows
 from ..sources.catalog import Table
 
+#: What the state's operator gives: the texts of a key and of its rows, in the order of their columns.
+CHANGED = "op string, key array<string>, before array<string>, after array<string>, ord long"
+#: Session settings while a stream starts: a store with named states, whose commits write what changed and not the whole.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@F.pandas_udf(T.LongType())
+def _place(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Rows of a batch numbered as the source gives them, as `monotonically_increasing_id` does, which streams don't have."""
+    at = TaskContext.get().partitionId() << 33
+    for part in parts:
+        yield pd.Series(np.arange(at, at + len(part)))
+        at += len(part)
+
+
+class LastRows(StatefulProcessor):
+    """Compares a key's last row of a batch with the one held, and holds it from then on. Rows of a key are read one by one, so a key may have any number of them."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "texts array<string>")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        last = max(rows, key=lambda r: r.place)
+        held = self.held.get() if self.held.exists() else None
+        before, after = None if held is None else list(held[0]), None if last.gone else list(last.texts)
+        if after == before:
+            return
+        if after is None:
+            self.held.clear()
+        else:
+            self.held.update((after,))
+        yield Row(op="insert" if before is None else "delete" if after is None else "update", key=list(key), before=before, after=after, ord=last.place)
+
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self.held.update((list(initialState.texts),))
+
+    def close(self) -> None:
+        pass
+
+
+def _texts(rows: DataFrame, name: str, key: list[str], columns: list[str], *more) -> DataFrame:
+    """k0, k1, ..., texts: canonical, with NFC for every text, as a stream can't be asked whether it needs it."""
+    table = Table(name, rows.select(*[f"`{c}`" for c in columns]))
+    texts = canonical_rows(table, {c for c in columns if has_text(table.kind(c))}, columns)
+    return texts.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(key)], F.array(*[F.col(f"`{c}`") for c in columns]).alias("texts"), *more)
+
+
+def _columns(stream: DataFrame, name: str, deleted: str | None) -> list[str]:
+    return [c for c in Table(name, stream).columns if c != deleted]
 
-def _read(spark: SparkSession, path: str, schema) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        return spark.createDataFrame([], schema)
 
+def changes_of(stream: DataFrame, name: str, key: list[str], deleted: str | None = None, initial: DataFrame | None = None) -> DataFrame:
+    """CHANGED rows of a stream. `deleted` names a boolean column that marks a row as the end of its key; `initial` holds the rows that the keys have when the stream begins, one a key.
 
-#: Parts of the store by hash of the key: a batch reads only those that its keys are in.
-PARTS = 256
+    Of rows with the same key the last one of a batch counts, in the order in which
+    the source gives them. A mark for a key that isn't there changes nothing.
+    """
+    columns = _columns(stream, name, deleted)
+    on = [f"k{i}" for i in range(len(key))]
+    gone = F.lit(False) if deleted is None else F.coalesce(F.col(f"`{deleted}`").cast("boolean"), F.lit(False))
+    ends = stream.select(*[f"`{c}`" for c in columns], gone.alias("__gone"))
+    # the mark travels as one more canonical column: canonical texts are made by one projection of the source
+    rows = _texts(ends, name, key, [*columns, "__gone"], _place.asNondeterministic()(F.lit(0)).alias("place"))
+    rows = rows.select(*on, F.slice("texts", 1, len(columns)).alias("texts"), (F.element_at("texts", -1) == "L:1").alias("gone"), "place")
+    begun = None if initial is None else _texts(initial, name, key, columns).groupBy(*on)
+    return rows.groupBy(*on).transformWithState(LastRows(), CHANGED, "Update", "None", begun)
 
 
-def apply_batch(batch: DataFrame, number: int, name: str, key: list[str], store: str, changes: str) -> None:
-    """Writes the changes of a batch under {changes}/batch=n and its rows under {store}/batch=n. Of rows with the same key the last one counts, in the order in which the source gives them."""
-    spark = batch.sparkSession
-    rows = canonical_rows(Table(name, batch))
-    columns = rows.columns
-    row, part = F.struct(*[F.col(f"`{c}`") for c in columns]), F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in key]), F.lit(PARTS)).cast("int")
-    last = rows.withColumn("__place", F.monotonically_increasing_id()).groupBy(*[F.col(f"`{k}`") for k in key]).agg(F.max_by(row, "__place").alias("r")).select("r.*").withColumn("__part", part)
-    touched = [r[0] for r in last.select("__part").distinct().collect()]  # at most PARTS
-    schema = T.StructType([*[T.StructField(c, T.StringType()) for c in columns], T.StructField("batch", T.IntegerType()), T.StructField("__part", T.IntegerType())])
-    held = _read(spark, store, schema).filter((F.col("batch") < number) & F.col("__part").isin(touched)).join(last.select(*key), key, "left_semi")
-    before = held.groupBy(*[F.col(f"`{k}`") for k in key]).agg(F.max_by(row, "batch").alias("r")).select("r.*")
-    D.keyed_diff(name, before, last.drop("__part"), columns, key, D.PRIMARY).write.mode("overwrite").parquet(f"{changes}/batch={number}")
-    last.repartition("__part").write.mode("overwrite").partitionBy("__part").parquet(f"{store}/batch={number}")
+def as_row_changes(changed: DataFrame, name: str, key: list[str], columns: list[str]) -> DataFrame:
+    """CHANGED as ROW_CHANGES, the form of every other diff."""
+    named = lambda names, texts: F.when(F.col(texts).isNotNull(), F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.col(texts)))
+    rows = changed.select(F.lit(name).alias("table"), F.lit(D.PRIMARY).alias("key_type"), "op", named(key, "key").alias("key"), named(columns, "before").alias("before"), named(columns, "after").alias("after"), "ord", F.lit(0).alias("copy"))
+    return D.with_row_id(rows, name)
 
 
-def watch(stream: DataFrame, name: str, key: list[str], store: str, changes: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Starts the stream; deletes can't be seen in a feed of rows."""
-    run = lambda batch, number: apply_batch(batch, number, name, key, store, changes)
-    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+def watch(stream: DataFrame, name: str, key: list[str], changes: str, checkpoint: str, deleted: str | None = None, initial: DataFrame | None = None, **trigger) -> StreamingQuery:
+    """Starts the stream, which writes ROW_CHANGES under {changes}/batch=n."""
+    columns, conf = _columns(stream, name, deleted), stream.sparkSession.conf
+    write = lambda batch, number: as_row_changes(batch, name, key, columns).write.mode("overwrite").parquet(f"{changes}/batch={number}")
+    was = {setting: conf.get(setting, None) for setting in STATE_STORE}
+    try:  # a query keeps the settings that it starts with
+        for setting, value in STATE_STORE.items():
+            conf.set(setting, value)
+        found = changes_of(stream, name, key, deleted, initial)
+        return found.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    finally:
+        for setting, value in was.items():
+            conf.unset(setting) if value is None else conf.set(setting, value)

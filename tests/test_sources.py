@@ -1,10 +1,13 @@
 """Sources, small documents, sessions and the change feed."""
 
 import json
+import unicodedata
 from datetime import datetime
 
 import pytest
+from pyspark.sql import types as T
 
+from deltascope.operators import diff as D
 from deltascope.operators import profile as P
 from deltascope.plans import pipeline
 from deltascope.sources import scenarios
@@ -94,18 +97,66 @@ def test_a_scenario_from_start_to_end(spark, tmp_path):
     assert {r["table"] for r in result.noise.collect()} == {"SESSIONS"} and session.state == "REPOS"
 
 
-def test_a_feed_gives_the_same_changes_as_snapshots(spark, tmp_path):
-    source = f"file://{tmp_path}/in"
-    schema = "id int, v string"
-    for rows in ([(1, "a"), (2, "b")], [(2, "c"), (3, "d")], [(1, "a"), (3, "e")]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    for _ in range(2):  # the second run finds nothing new
-        query = feed.watch(stream, "T", ["id"], f"file://{tmp_path}/store", f"file://{tmp_path}/changes", f"file://{tmp_path}/check")
+SCHEMA = "id int, v string, gone boolean"
+
+
+class Feed:
+    """Batches, one file each, watched until all are read."""
+
+    def __init__(self, spark, path, **options):
+        self.spark, self.path, self.options, self.progress = spark, f"file://{path}", options, []
+
+    def send(self, rows):
+        self.spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.path}/in")
+
+    def run(self):
+        stream = self.spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{self.path}/in")
+        query = feed.watch(stream, "T", ["id"], f"{self.path}/changes", f"{self.path}/check", "gone", **self.options)
         query.awaitTermination()
-    feed.apply_batch(spark.createDataFrame([(9, "z first"), (9, "a last"), (2, "b2"), (2, "c")], schema).coalesce(1), 3, "T", ["id"], f"file://{tmp_path}/store", f"file://{tmp_path}/changes")
-    late = {(r.op, r.key["id"], r.after["v"]) for r in spark.read.parquet(f"file://{tmp_path}/changes").filter("batch = 3").collect()}
-    assert late == {("insert", "I:9", "T:a last")}  # the last row of a key counts; 2 was c before and is c again
-    got = [(r.batch, r.op, r.key["id"]) for r in spark.read.parquet(f"file://{tmp_path}/changes").collect()]
-    inserts = sorted(k for _, op, k in got if op == "insert")
-    assert inserts == ["I:1", "I:2", "I:3", "I:9"] and {op for _, op, _ in got} == {"insert", "update"}
+        self.progress += query.recentProgress
+
+    def changes(self, batch):
+        rows = self.spark.read.parquet(f"{self.path}/changes/batch={batch}").collect()
+        return {(r.op, r.key["id"], r.before and r.before["v"], r.after and r.after["v"]) for r in rows}
+
+
+def test_a_feed_gives_the_same_changes_as_snapshots(spark, tmp_path):
+    """Repeats in a batch, equal rows, nulls, deletes of keys that are and aren't there; keys that come back; a second run goes on."""
+    fed, held = Feed(spark, tmp_path), {}
+    batches = [
+        [(1, "a", None), (2, "b", False)], [(2, "c", None), (3, "d", None)], [(1, "a", None), (3, None, None)],
+        [(9, "z first", None), (9, "a last", None), (2, "b2", None), (2, "c", None)], [(1, "a", True), (8, "x", True), (3, "e", None), (3, "e", True)], [(1, "back", None), (3, "e\u0301", None)],
+    ]
+    for n, rows in enumerate(batches):
+        fed.send(rows)
+        if n in (2, 5):
+            fed.run()
+    text = lambda v: "N:" if v is None else "T:" + unicodedata.normalize("NFC", v)
+    for n, rows in enumerate(batches):
+        after = dict(held)
+        for k, v, gone in rows:
+            after[k] = None if gone else text(v)
+        want = {("insert" if held.get(k) is None else "delete" if v is None else "update", f"I:{k}", held.get(k), v) for k, v in after.items() if held.get(k) != v}
+        assert fed.changes(n) == want
+        held = {k: v for k, v in after.items() if v is not None}
+    one = spark.read.parquet(f"{fed.path}/changes/batch=1")
+    assert [f.name for f in one.schema] == [f.name for f in T.StructType.fromDDL(D.ROW_CHANGES)]
+
+
+def test_a_batch_of_a_feed_costs_what_it_holds_and_runs_again_alike(spark, tmp_path):
+    """Later batches read and write as much state as early ones; a batch whose end wasn't noted gives the same rows again."""
+    begun = spark.range(1000).selectExpr("CAST(id AS INT) AS id", "'old' AS v")
+    fed = Feed(spark, tmp_path, initial=begun)
+    for n in range(12):
+        fed.send([(i, f"{n}", None) for i in range(5 * n, 5 * n + 20)])
+    fed.run()
+    updated = [p.stateOperators[0].numRowsUpdated for p in fed.progress if p.numInputRows]
+    assert [p.numInputRows for p in fed.progress if p.numInputRows] == [20] * 12 and updated[1:] == [20] * 11
+    assert {p.stateOperators[0].numRowsTotal for p in fed.progress} == {1000}
+    first = fed.changes(11)
+    assert first == {("update", f"I:{i}", "T:10" if i < 70 else "T:old", "T:11") for i in range(55, 75)}
+    for name in ("11", ".11.crc"):
+        (tmp_path / "check" / "commits" / name).unlink(missing_ok=True)
+    fed.run()
+    assert [p.batchId for p in fed.progress if p.numInputRows].count(11) == 2 and fed.changes(11) == first
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")  # the session's own settings are back
