@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.canonical import canonical, row_fingerprint
 from ..sources.catalog import Source, Table
 from ..sources.storage import bucketed, open_bucketed
+from .running import Run
 
 #: A snapshot's column of row places in source order: unique and rising, not consecutive.
 ORD = "__ord"
@@ -101,15 +102,16 @@ def stored_table(table: Table, path: str, buckets: int) -> TableSnapshot:
     return TableSnapshot(table, stored.drop(*PRINTS), n, fingerprint, 0.0, layout, stored)
 
 
-def take_snapshot(source: Source, ignored=(), path: str | None = None, progress=None, buckets: int | None = None) -> Snapshot:
-    """All tables but the ignored ones (in any case of letters). `progress(table, n, of)` may raise to cancel."""
+def take_snapshot(source: Source, ignored=(), path: str | None = None, progress=None, buckets: int | None = None, run: Run | None = None) -> Snapshot:
+    """All tables but the ignored ones (in any case of letters). `progress(table, n, of)` may raise to cancel between tables; a `run` reports and stops within a table."""
     skip = {i.lower() for i in ignored}
     names = [n for n in source.list_tables() if n.lower() not in skip]
     taken = {}
     for k, name in enumerate(names):
         if progress is not None:
             progress(name, k, len(names))
-        taken[name] = take_table(source.table(name), None if path is None else f"{path}/{name}", buckets)
+        take = lambda name=name: take_table(source.table(name), None if path is None else f"{path}/{name}", buckets)
+        taken[name] = take() if run is None else run.table(name, k, len(names), take, lambda t: t.n_rows)
     return Snapshot(taken)
 
 
