@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 NULL = "N:"
 #: Types whose canonical text is that of their parts.
 NESTED = (T.ArrayType, T.MapType, T.StructType)
+#: The tag of a value in a VARIANT, by the name of its type that Spark shows; objects and arrays have V.
+VARIANT_TAGS = {"BIGINT": "I", "DECIMAL": "M", "DOUBLE": "F", "FLOAT": "F", "BOOLEAN": "L", "STRING": "T", "TIMESTAMP": "D", "TIMESTAMP_NTZ": "D", "DATE": "J", "BINARY": "B", "VOID": "N"}
 
 
 @F.pandas_udf(T.StringType())
@@ -44,6 +46,8 @@ def canonical(column: Column, kind: T.DataType, normalise: bool = False) -> Colu
         body = F.concat(F.lit("B:"), F.sha2(column, 256))
     elif isinstance(kind, (T.StringType, T.VarcharType, T.CharType)):
         body = F.concat(F.lit("T:"), nfc(text) if normalise else text)
+    elif isinstance(kind, T.VariantType):
+        body = _variant(column, normalise)
     elif isinstance(kind, NESTED):
         body = nfc(_nested(column, kind)) if normalise else _nested(column, kind)
     else:
@@ -51,6 +55,31 @@ def canonical(column: Column, kind: T.DataType, normalise: bool = False) -> Colu
     return F.when(column.isNull(), NULL).otherwise(body)
 
 
+def _variant_tag(column: Column) -> Column:
+    tags = F.create_map(*[F.lit(x) for pair in VARIANT_TAGS.items() for x in pair])
+    return F.coalesce(tags[F.regexp_extract(F.schema_of_variant(column), "^[A-Z_]+", 0)], F.lit("V"))
+
+
+def _variant(column: Column, normalise: bool) -> Column:
+    """The text that a column of the value's own type would have, so 1 and '1' differ; a JSON null is NULL. Objects and arrays: V, their types and their JSON. Spark keeps a decimal without trailing zeros here."""
+    shown, mark = F.schema_of_variant(column), _variant_tag(column)
+    text = F.when(shown != "BINARY", column.cast("string"))  # bytes are no text, and a Python function sees every row
+    text = nfc(text) if normalise else text
+    own = lambda kind: canonical(F.try_variant_get(column, "$", kind.simpleString()), kind)
+    return (
+        F.when(shown == "VOID", NULL).when(shown == "BOOLEAN", own(T.BooleanType())).when(shown == "BINARY", own(T.BinaryType())).when(shown == "TIMESTAMP", own(T.TimestampType()))
+        .when(shown == "TIMESTAMP_NTZ", own(T.TimestampNTZType())).when(mark == "V", F.concat(F.lit("V:"), shown, F.lit(":"), text)).otherwise(F.concat(mark, F.lit(":"), text))
+    )
+
+
+def observed_tag(column: Column, kind: T.DataType) -> Column:
+    """The tag of a value's canonical text, without making the text."""
+    if isinstance(kind, T.VariantType):
+        return F.when(column.isNull(), "N").otherwise(_variant_tag(column))
+    tags = ((T.BooleanType, "L"), (T.IntegralType, "I"), (T.DecimalType, "M"), (T.FractionalType, "F"), (T.TimestampType, "D"), (T.TimestampNTZType, "D"), (T.DateType, "J"), (T.BinaryType, "B"), (T.ArrayType, "A"), (T.StructType, "S"), (T.MapType, "K"))
+    return F.when(column.isNull(), "N").otherwise(next((t for cls, t in tags if isinstance(kind, cls)), "T"))
+
+
 def _listed(texts: Column) -> Column:
     """An array of texts as one, so that different arrays have different texts: commas and backslashes in a part are marked."""
     return F.array_join(F.transform(texts, lambda t: F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit(","), F.lit("\\,"))), ",")
@@ -91,7 +120,7 @@ def has_text(kind: T.DataType) -> bool:
         return has_text(kind.elementType)
     if isinstance(kind, T.MapType):
         return has_text(kind.keyType) or has_text(kind.valueType)
-    return any(has_text(f.dataType) for f in kind) if isinstance(kind, T.StructType) else isinstance(kind, T.StringType)
+    return any(has_text(f.dataType) for f in kind) if isinstance(kind, T.StructType) else isinstance(kind, (T.StringType, T.VariantType))
 
 
 def family(kind: T.DataType) -> str | None:
@@ -104,7 +133,7 @@ def family(kind: T.DataType) -> str | None:
         return "text"
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return "date"
-    if isinstance(kind, NESTED):
+    if isinstance(kind, (*NESTED, T.VariantType)):
         return "nested"
     return "binary" if isinstance(kind, T.BinaryType) else None
 
@@ -124,7 +153,7 @@ def family_key(column: Column, kind: T.DataType, normalise: bool = False) -> Col
     if which == "binary":
         return F.sha2(column, 256)
     if which == "nested":
-        return F.when(column.isNotNull(), F.sha2(canonical(column, kind, normalise).cast("binary"), 256))
+        return F.when(observed_tag(column, kind) != "N", F.sha2(canonical(column, kind, normalise).cast("binary"), 256))
     if which == "boolean":
         return column.cast("string")
     text = nfc(column.cast("string")) if normalise else column.cast("string")

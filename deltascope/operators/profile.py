@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.canonical import canonical, family, family_key
+from ..functions.canonical import canonical, family, family_key, observed_tag
 from ..sources.catalog import Source, Table
 from ..sources.storage import written
 
@@ -51,7 +51,7 @@ def column_profile(table: Table, counts: DataFrame | None = None) -> DataFrame:
         if which not in ("binary", "nested"):
             low, high = (F.substring(canonical(f(col), kind), 3, 1 << 30) for f in (F.min, F.max))
         longest = F.max(F.length(col)) if which == "text" else F.lit(None)
-        aggs += [F.count(F.when(col.isNull(), 1)).alias(f"nulls{i}"), F.when(usable & (F.count(col) > 0), low).alias(f"min{i}"), F.when(usable & (F.count(col) > 0), high).alias(f"max{i}"), longest.cast("int").alias(f"long{i}")]
+        aggs += [F.count(F.when(observed_tag(col, kind) == "N", 1)).alias(f"nulls{i}"), F.when(usable & (F.count(col) > 0), low).alias(f"min{i}"), F.when(usable & (F.count(col) > 0), high).alias(f"max{i}"), longest.cast("int").alias(f"long{i}")]
     wide = table.df.agg(F.count("*").alias("n_rows"), *aggs)
     rows = F.array(*[
         F.struct(F.lit(c).alias("column"), F.lit(i).alias("ordinal"), F.lit(table.declared_type(c)).alias("declared_type"), F.lit(family(table.kind(c))).alias("family"),
@@ -66,6 +66,12 @@ def column_profile(table: Table, counts: DataFrame | None = None) -> DataFrame:
     )
 
 
+def observed_types(table: Table) -> DataFrame:
+    """table, column, type, n: how many values of each column have each type (canonical tags, `N` for NULL), counted value by value. Only VARIANT columns can have several."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), observed_tag(F.col(f"`{c}`"), table.kind(c)).alias("type")) for c in table.columns])
+    return table.df.select(F.explode(cells).alias("c")).groupBy("c.column", "c.type").agg(F.count("*").alias("n")).select(F.lit(table.name).alias("table"), "column", "type", "n")
+
+
 def key_rank(column) -> int | None:
     """Of a COLUMN_PROFILE row: integers before short texts before booleans; None: never a key."""
     declared = column.declared_type.upper()

@@ -395,6 +395,37 @@ def _profile_sql(name: str) -> str:
     return " UNION ALL ".join(parts)
 
 
+#: One column that holds values of several types: an event's properties, its number alone, an amount, a text, a list or nothing.
+MIXED = """CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN CAST(event_id AS STRING) WHEN 2 THEN CAST(CAST(event_id AS DECIMAL(18,2)) + 0.25 AS STRING) WHEN 3 THEN '"' || event_type || '"' WHEN 4 THEN '[' || CAST(user_id AS STRING) || ', "' || event_type || '"]'
+  ELSE CASE WHEN event_id % 5 = 0 THEN 'null' WHEN event_id % 5 = 1 THEN 'true' WHEN event_id % 5 = 2 THEN '"' || CAST(event_id AS STRING) || '"' END END"""
+
+
+def _mixed_events(spark, sf_dir, after=False):
+    """Events with a VARIANT; after: some numbers became texts of the same digits."""
+    mixed = MIXED if not after else f"CASE WHEN event_id % 12 = 1 THEN '\"' || CAST(event_id AS STRING) || '\"' ELSE {MIXED} END"
+    return Table("events", sql(spark, sf_dir, f"SELECT event_id, ts, value, event_type, parse_json({mixed}) AS mixed FROM events"), ("event_id",))
+
+
+def profile_observed_types(spark, sf_dir):
+    """How many values of each column have each type."""
+    return P.observed_types(_mixed_events(spark, sf_dir))
+
+
+_TAGS = "CASE json_type({0}) WHEN 'OBJECT' THEN 'V' WHEN 'ARRAY' THEN 'V' WHEN 'VARCHAR' THEN 'T' WHEN 'DOUBLE' THEN 'M' WHEN 'UBIGINT' THEN 'I' WHEN 'BIGINT' THEN 'I' WHEN 'BOOLEAN' THEN 'L' ELSE 'N' END"
+OBSERVED = f"""SELECT 'events' AS "table", c AS "column", t AS type, count(*) AS n FROM (SELECT unnest(['event_id', 'ts', 'value', 'event_type', 'mixed']) AS c,
+  unnest([CASE WHEN event_id IS NULL THEN 'N' ELSE 'I' END, CASE WHEN ts IS NULL THEN 'N' ELSE 'D' END, CASE WHEN value IS NULL THEN 'N' ELSE 'F' END, CASE WHEN event_type IS NULL THEN 'N' ELSE 'T' END, {_TAGS.format(f"CAST({MIXED} AS JSON)")}]) AS t FROM events) GROUP BY ALL"""
+
+
+def diff_mixed_column(spark, sf_dir):
+    """Field changes of a VARIANT column: a number isn't the text of its digits."""
+    before, after = (S.snapshot_of(_mixed_events(spark, sf_dir, late)) for late in (False, True))
+    changes = D.keyed_diff("events", before.rows, after.rows, before.columns, ["event_id"], D.PRIMARY)
+    return D.field_changes(changes).select(F.element_at("key", F.lit("event_id")).alias("event_id"), "column", "before", "after")
+
+
+DIFF_MIXED = "SELECT 'I:' || event_id::VARCHAR AS event_id, 'mixed' AS \"column\", 'I:' || event_id::VARCHAR AS before, 'T:' || event_id::VARCHAR AS after FROM events WHERE event_id % 12 = 1"
+
+
 def _key_frame(spark, keys):
     found = [(name, ",".join(key), len(key), i + 1) for name, own in keys.items() for i, key in enumerate(own)]
     return spark.createDataFrame(found, "table string, key string, n_columns int, rank int")
@@ -925,7 +956,7 @@ def queries():
         "diff_lineitem_added": _bag("row_added", "after"), "diff_lineitem_removed": _bag("row_removed", "before"), "diff_key_uniqueness_fallback": diff_key_uniqueness, "diff_pair_candidates_lineitem": diff_pair_candidates,
         "diff_probable_updates_lineitem": diff_probable_updates, "diff_probable_update_pairs": diff_probable_update_pairs, "diff_tables_come_and_go": diff_tables_come_and_go, "diff_schema_columns": diff_schema_columns, "diff_schema_common_columns": diff_common_columns, "diff_noise_split": diff_noise_split, "diff_summary": diff_summary,
         "profile_key_preference": lambda s, d: _keys(s, d), "profile_key_single": lambda s, d: _keys(s, d).filter("n_columns = 1").select("table", "key"), "profile_key_pair": lambda s, d: _keys(s, d).filter("n_columns = 2").select("table", "key"),
-        "profile_relations": profile_relations, "profile_all_tables": all_table_profile,
+        "profile_observed_types": profile_observed_types, "diff_mixed_column": diff_mixed_column, "profile_relations": profile_relations, "profile_all_tables": all_table_profile,
         "links_all": _links(None), "links_amount": _links("montant"), "links_date": _links("date"), "links_code": _links("code"), "links_text": _links("texte"), "links_exact_precedence": links_precedence,
         "deviation_osa1": deviations, "invalid_inputs": invalid_inputs, "links_orders_diff": links_orders_diff, "deviations_orders_diff": deviations_orders_diff, "deviations_orders_all": deviations_orders_all, "interpret_orders_computed": interpret_orders, "reanalyse_orders_computed": reanalyse_orders,
         "hyp_counter_int": hyp_counter_int, "hyp_counter_text": hyp_counter_text, "hyp_counter_update": hyp_counter_update, "hyp_timestamp": hyp_timestamp, "hyp_sum_lines": hyp_sum_lines_all, "hyp_copy": hyp_copy_all, "hyp_sum_lines_all": hyp_sum_lines_all, "hyp_copy_all": hyp_copy_all,
@@ -947,7 +978,7 @@ def oracle_sql():
         "diff_orders_keyed_fields": FIELDS, "diff_lineitem_added": f"{_LINES_BOTH} SELECT * FROM a EXCEPT ALL SELECT * FROM b", "diff_lineitem_removed": f"{_LINES_BOTH} SELECT * FROM b EXCEPT ALL SELECT * FROM a",
         "diff_key_uniqueness_fallback": UNIQUENESS, "diff_pair_candidates_lineitem": PAIRS, "diff_schema_columns": SCHEMA_COLUMNS, "diff_schema_common_columns": OPS, "diff_noise_split": NOISE_SPLIT, "diff_summary": DIFF_SUMMARY,
         "profile_key_preference": KEYS, "profile_key_single": f'SELECT "table", key FROM ({KEYS}) WHERE n_columns = 1', "profile_key_pair": f'SELECT "table", key FROM ({KEYS}) WHERE n_columns = 2',
-        "profile_relations": RELATIONS, "profile_all_tables": ALL_TABLE_PROFILE,
+        "profile_observed_types": OBSERVED, "diff_mixed_column": DIFF_MIXED, "profile_relations": RELATIONS, "profile_all_tables": ALL_TABLE_PROFILE,
         "links_all": _links_sql(None), "links_amount": _links_sql("montant"), "links_date": _links_sql("date"), "links_code": _links_sql("code"), "links_text": _links_sql("texte"),
         "links_exact_precedence": f"{_MATCHED} SELECT input_id, count(*) AS n, bool_or(m IN ('exacte', 'espaces_fin')) AS is_exact FROM kept GROUP BY input_id", "deviation_osa1": DEVIATIONS,
         "invalid_inputs": f"{ready_sql(TYPED_LEDGER)} SELECT input_id, value, type FROM ready WHERE NOT valid",

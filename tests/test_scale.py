@@ -1,5 +1,6 @@
 """What must hold at any size: plans without a shuffle, joins without hot keys, trees that read only what changed."""
 
+import hashlib
 import json
 import random
 import sqlite3
@@ -220,3 +221,23 @@ def test_amounts_of_all_total_tables_are_anonymised():
     for old, new in zip(given["changements"][3:], made["changements"][3:], strict=True):
         (a, b), (x, y) = ([Decimal(t["updates"][0]["champs"][0][side]) for side in ("avant", "apres")] for t in (old, new))
         assert b - a == y - x and {a, b}.isdisjoint({x, y})
+
+
+def test_values_of_several_types_in_one_column(spark):
+    """A VARIANT's texts are those of columns of each value's own type; types are counted value by value; an update of the type alone is a change."""
+    values = {
+        "CAST(1 AS VARIANT)": "I:1", "parse_json('1')": "I:1", "parse_json('\"1\"')": "T:1", "parse_json('1.50')": "M:1.5", "CAST(CAST(1 AS DOUBLE) AS VARIANT)": "F:1.0", "parse_json('true')": "L:1", "parse_json('false')": "L:0", "parse_json('null')": "N:",
+        "CAST(NULL AS VARIANT)": "N:", "CAST(DATE'2024-01-02' AS VARIANT)": "J:2024-01-02", "CAST(TIMESTAMP'2024-01-02 03:04:05' AS VARIANT)": "D:2024-01-02T03:04:05", "CAST(TIMESTAMP_NTZ'2024-01-02 03:04:05.5' AS VARIANT)": "D:2024-01-02T03:04:05.500000",
+        "parse_json('[1, \"x\"]')": 'V:ARRAY<VARIANT>:[1,"x"]', "parse_json('{\"b\": 1, \"a\": null}')": 'V:OBJECT<a: VOID, b: BIGINT>:{"a":null,"b":1}', "parse_json('\"\"')": "T:", "CAST(X'00ff' AS VARIANT)": "B:" + hashlib.sha256(b"\x00\xff").hexdigest(),
+        "parse_json('\"e\u0301\"')": "T:\u00e9",
+    }
+    rows = spark.sql(" UNION ALL ".join(f"SELECT {i} AS id, {v} AS v" for i, v in enumerate(values)))
+    table = Table("t", rows, ("id",))
+    assert table.columns == ["id", "v"] and table.non_ascii == {"v"}
+    got = {int(r.id[2:]): r.v for r in S.canonical_rows(table).collect()}
+    assert [got[i] for i in range(len(values))] == list(values.values())
+    counted = Counter(text[0] for text in values.values())
+    assert {r.type: r.n for r in P.observed_types(table).filter("column = 'v'").collect()} == counted
+    profile = P.column_profile(table).filter("column = 'v'").first()
+    assert (profile.n_nulls, profile.n_distinct, profile.min) == (counted["N"], len(set(values.values()) - {"N:"}), None)
+    assert P.observed_types(Table("t", rows.limit(0))).isEmpty()
