@@ -22,7 +22,6 @@ from ..operators import merkle as M
 from ..operators import profile as P
 from ..operators import snapshot as S
 from ..sources.catalog import FileSource, FrameSource, Table
-from ..sources.scenarios import one_transaction, synthetic
 from ..sources.storage import new_path
 from ..streaming import feed
 from . import pipeline, trace
@@ -324,7 +323,8 @@ def diff_schema_columns(spark, sf_dir):
     return spark.createDataFrame(rows, "table string, change string, column string, what string")
 
 
-SCHEMA_COLUMNS = "SELECT * FROM (VALUES ('orders', 'colonnes_modifiees', 'o_comment', 'added'), ('orders', 'colonnes_modifiees', 'o_orderpriority', 'removed')) t(\"table\", change, \"column\", what)"
+SCHEMA_COLUMNS = f"""WITH b AS (SELECT column_name AS c FROM (DESCRIBE {ORDERS_BEFORE})), a AS (SELECT column_name AS c FROM (DESCRIBE SELECT * EXCLUDE (o_orderpriority), 'new' AS o_comment FROM ({ORDERS_AFTER})))
+SELECT 'orders' AS "table", 'colonnes_modifiees' AS change, c AS "column", 'added' AS what FROM a WHERE c NOT IN (SELECT c FROM b) UNION ALL SELECT 'orders', 'colonnes_modifiees', c, 'removed' FROM b WHERE c NOT IN (SELECT c FROM a)"""
 
 
 def diff_common_columns(spark, sf_dir):
@@ -927,15 +927,14 @@ def retype_sql(values: str) -> str:
 
 
 def scenario_computed(spark, sf_dir):
-    """A whole scenario on generated tables: snapshot, another program's transaction, snapshot, diff with profiled keys, interpretation."""
-    before_tables = synthetic(spark, 200)
-    keys = {"CLIENTS": ("ID",), "FACTURES": ("NUM",), "SESSIONS": ("ID",)}
-    source = FrameSource(spark, before_tables, keys)
+    """A whole scenario without declared keys: profile, snapshot, snapshot, diff with profiled keys, interpretation."""
+    tables = lambda text: FrameSource(spark, {"orders": sql(spark, sf_dir, text), "nation": load(spark, sf_dir, "nation")}, {"nation": ("n_nationkey",)})
+    source = tables(ORDERS_BEFORE)
     profile = P.profile(source)
-    before, after = S.take_snapshot(source), S.take_snapshot(FrameSource(spark, one_transaction(before_tables), keys))
-    result = D.diff_snapshots(spark, before, after, profile.first_keys(), ["SESSIONS"])
-    inputs = spark.createDataFrame([(1, "Montant", "Facture", "1 234,56", "montant"), (2, "Commentaire", "Facture", "test-sim", "texte")], L.INPUTS)
-    found = pipeline.interpret(spark, result.changes, before, inputs, datetime(2024, 6, 1, 10, 14), datetime(2024, 6, 1, 10, 16), profile)
+    before, after = S.take_snapshot(source, path=new_path(spark, "before")), S.take_snapshot(tables(ORDERS_AFTER), path=new_path(spark, "after"))
+    result = D.diff_snapshots(spark, before, after, profile.first_keys())
+    inputs = spark.createDataFrame([(1, "Montant", "S", "1 234,56", "montant")], L.INPUTS)
+    found = pipeline.interpret(spark, result.changes, before, inputs, START, END, profile)
     return found.computed.select("table", "column", "value", F.array_join("hypotheses", ",").alias("hypotheses"), "details")
 
 
@@ -970,7 +969,7 @@ def oracle_sql():
     both = lambda order: f"{_BOTH} {order}"
     found = {
         "snapshot_stats": SNAPSHOT_STATS, "snapshot_all": SNAPSHOT_ALL, "diff_probable_updates_lineitem": PROBABLE_UPDATES, "diff_probable_update_pairs": UPDATE_PAIRS, "diff_tables_come_and_go": COME_AND_GO,
-        "links_orders_diff": LINKS_ORDERS, "deviations_orders_diff": DEVIATIONS_ORDERS, "deviations_orders_all": DEVIATIONS_ALL, "interpret_orders_computed": COMPUTED, "reanalyse_orders_computed": COMPUTED, "top_tables_by_rows": f'{SNAPSHOT_STATS} ORDER BY n_rows DESC, "table" LIMIT 15', "row_fingerprint_orders": f"{_FPS} SELECT o_orderkey, fp AS fingerprint FROM p",
+        "links_orders_diff": LINKS_ORDERS, "deviations_orders_diff": DEVIATIONS_ORDERS, "deviations_orders_all": DEVIATIONS_ALL, "interpret_orders_computed": COMPUTED, "reanalyse_orders_computed": COMPUTED, "scenario_computed_fields": COMPUTED, "top_tables_by_rows": f'{SNAPSHOT_STATS} ORDER BY n_rows DESC, "table" LIMIT 15', "row_fingerprint_orders": f"{_FPS} SELECT o_orderkey, fp AS fingerprint FROM p",
         "merkle_tree_lineitem": _merkle_sql(ALL_LINES_BEFORE, ALL_LINES) + " UNION ALL ".join(f" SELECT {level} AS level, prefix, n_rows, digest FROM l{level}" for level in range(MERKLE_DEPTH + 1)),
         "merkle_diff_orders": FIELDS, "diff_orders_stored_fields": FIELDS, "diff_lineitem_stored_rows": STORED_ROWS,
         "table_fingerprint_orders": _merkle_sql(ORDERS_BEFORE, ORDERS) + " SELECT n_rows, digest AS fingerprint FROM l0", "table_digest_orders": TABLE_DIGEST,
