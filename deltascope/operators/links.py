@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import body, day, moment, nfc, number, plain, tag
 from ..functions.matching import amount, deletion_keys, one_edit_apart, typed_day
+from ..sources.storage import by_shuffle, many, written
 
 INPUTS = "input_id int, field string, screen string, value string, type string"
 #: Match types with their confidence; exact ones suppress the others.
@@ -77,12 +78,14 @@ def cell_keys(cells: DataFrame) -> DataFrame:
 
 def matches(inputs: DataFrame, cells: DataFrame) -> DataFrame:
     """input_id, field, screen, input, table, row_id, column, match_type: what stays after exact matches have suppressed tolerated ones of the same input."""
-    left = meeting_keys(prepared(inputs)).withColumnRenamed("value", "input")
+    # equal inputs count once; an input and a cell share one key at most, so no pair is met twice
+    left = meeting_keys(prepared(inputs.distinct())).withColumnRenamed("value", "input")
     right = cell_keys(cells.select("table", "row_id", "column", "value"))
-    met = left.join(right, "k").withColumn("match_type", match_type(F.col("value"))).filter("match_type IS NOT NULL")
-    met = met.select("input_id", "field", "screen", "input", "type", "table", "row_id", "column", "match_type").distinct()
+    met = by_shuffle(left, many(inputs)).join(right, "k").withColumn("match_type", match_type(F.col("value"))).filter("match_type IS NOT NULL")
+    # the pairs are read several times, the cells once
+    met = written(met.select("input_id", "field", "screen", "input", "type", "table", "row_id", "column", "match_type"), "matches")
     exact = F.col("match_type").isin(*EXACT)
-    any_exact = met.groupBy("input_id").agg(F.max(exact).alias("has_exact"))
+    any_exact = by_shuffle(met.groupBy("input_id").agg(F.max(exact).alias("has_exact")), many(met))
     return met.join(any_exact, "input_id").filter(exact | ~F.col("has_exact")).drop("has_exact")
 
 
@@ -97,11 +100,14 @@ def explained(found: DataFrame) -> DataFrame:
 
 def deviations(inputs: DataFrame, cells: DataFrame, found: DataFrame) -> DataFrame:
     """Inputs without any link: `valeur_differente` where an unexplained cell in a sister's column is one edit away (the first such cell), else `introuvable`."""
-    lost = prepared(inputs).filter("valid").join(found.select("input_id").distinct(), "input_id", "left_anti")
+    lost = prepared(inputs).filter("valid").join(by_shuffle(found.select("input_id").distinct(), many(inputs)), "input_id", "left_anti")
     target = F.when(F.col("type") == "montant", plain(F.col("amt"))).when(F.col("type") == "date", F.col("d").cast("string")).otherwise(F.rtrim("txt"))
     lost = lost.withColumn("target", target)
     sisters = found.select("field", "screen", "table", "column").distinct()
-    free = cells.join(explained(found), ["table", "row_id", "column"], "left_anti").join(sisters, ["table", "column"])
+    known = written(explained(found), "explained")
+    # sisters and kinds are as many as screens have fields: broadcast, lest all cells of a column meet in one task
+    free = cells.select("table", "row_id", "column", "value", *(["ord"] if "ord" in cells.columns else [])).join(F.broadcast(sisters), ["table", "column"])
+    free = free.join(by_shuffle(known, many(known)), ["table", "row_id", "column"], "left_anti")
     cell = F.col("found")
     n = number(cell)
     whole = F.when(n == F.floor(n), n.cast("decimal(38,0)").cast("string"))
@@ -114,10 +120,12 @@ def deviations(inputs: DataFrame, cells: DataFrame, found: DataFrame) -> DataFra
     wanted = lost.filter(long_enough & F.col("target").isNotNull()).select(*sought).distinct()
     # each value once, with its first cell; a value and a target one edit apart share a key of their deletion neighbourhoods
     kinds = wanted.select("field", "screen", "type").distinct()
-    values = free.withColumnRenamed("value", "found").join(kinds, ["field", "screen"]).withColumn("shape", shape).filter("shape IS NOT NULL")
-    values = values.groupBy("field", "screen", "type", "shape").agg(F.min(F.struct(*order, "found")).alias("first"))
-    near = wanted.withColumn("k", F.explode(deletion_keys("target"))).join(values.withColumn("k", F.explode(deletion_keys("shape"))), ["field", "screen", "type", "k"])
-    near = near.filter((F.col("shape") != F.col("target")) & one_edit_apart(F.col("shape"), F.col("target")))
+    values = free.withColumnRenamed("value", "found").join(F.broadcast(kinds), ["field", "screen"]).withColumn("shape", shape).filter("shape IS NOT NULL")
+    values = written(values.groupBy("field", "screen", "type", "shape").agg(F.min(F.struct(*order, "found")).alias("first")), "free-values")
+    shapes = values.select("field", "screen", "type", "shape").withColumn("k", F.explode(deletion_keys("shape")))
+    near = by_shuffle(wanted.withColumn("k", F.explode(deletion_keys("target")))).join(shapes, ["field", "screen", "type", "k"])
+    near = near.filter((F.col("shape") != F.col("target")) & one_edit_apart(F.col("shape"), F.col("target"))).select(*sought, "shape").distinct()
+    near = near.join(by_shuffle(values), ["field", "screen", "type", "shape"])
     near = near.groupBy(*sought).agg(F.min("first").alias("first")).select(*sought, "first.table", "first.column", "first.found")
     kind = F.when(F.col("found").isNotNull(), "valeur_differente").otherwise("introuvable")
-    return lost.join(near, sought, "left").select("field", "screen", F.col("value").alias("expected"), kind.alias("kind"), "table", "column", F.substring("found", 3, 1 << 30).alias("found"))
+    return lost.join(by_shuffle(near), sought, "left").select("field", "screen", F.col("value").alias("expected"), kind.alias("kind"), "table", "column", F.substring("found", 3, 1 << 30).alias("found"))

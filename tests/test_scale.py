@@ -241,3 +241,27 @@ def test_values_of_several_types_in_one_column(spark):
     profile = P.column_profile(table).filter("column = 'v'").first()
     assert (profile.n_nulls, profile.n_distinct, profile.min) == (counted["N"], len(set(values.values()) - {"N:"}), None)
     assert P.observed_types(Table("t", rows.limit(0))).isEmpty()
+
+
+def test_many_changed_keys_are_never_broadcast(spark, monkeypatch):
+    before, after = (S.snapshot_of(Table("T", f, ("id",))).rows for f in two_sides(spark))
+    added = D.keyed_diff("T", before.limit(0), before, ["id", "k", "t"], ["id"], D.PRIMARY)
+    assert "Join" not in plan(added) and added.count() == 3000
+    few = D.keyed_diff("T", before, after, ["id", "k", "t"], ["id"], D.PRIMARY)
+    monkeypatch.setattr(D, "FEW_ROWS", 10)
+    found = D.keyed_diff("T", before, after, ["id", "k", "t"], ["id"], D.PRIMARY)
+    assert "Broadcast" not in plan(found) and as_set(found) == as_set(few)
+
+
+def test_links_and_deviations_of_many_inputs_are_joined_by_shuffle(spark, monkeypatch):
+    from deltascope.sources import storage
+
+    monkeypatch.setattr(storage, "FEW_ROWS", 10)
+    rows = [("T", i, "total", True, f"M:{1000 + i}.00", None, {"id": f"I:{i}"}) for i in range(60)]
+    cells = spark.createDataFrame(rows, "table string, row_id long, column string, is_insert boolean, value string, before string, row map<string,string>")
+    inputs = spark.createDataFrame([(i, "Total", "S", str(1000 + i if i < 40 else 9000 + i), "montant") for i in range(60)], L.INPUTS)
+    found = L.matches(inputs, cells)
+    lost = L.deviations(inputs, cells, found)
+    # only sisters and kinds, as many as screens have fields, may be broadcast, and these are in tables already
+    assert "Broadcast" not in plan(found) and "Broadcast" not in plan(lost)
+    assert found.count() == 40 and Counter(r.kind for r in lost.collect()) == {"valeur_differente": 20}
