@@ -265,3 +265,15 @@ def test_links_and_deviations_of_many_inputs_are_joined_by_shuffle(spark, monkey
     # only sisters and kinds, as many as screens have fields, may be broadcast, and these are in tables already
     assert "Broadcast" not in plan(found) and "Broadcast" not in plan(lost)
     assert found.count() == 40 and Counter(r.kind for r in lost.collect()) == {"valeur_differente": 20}
+
+
+def test_copies_from_a_large_table_are_joined_by_shuffle(spark, monkeypatch):
+    from deltascope.sources import storage
+
+    monkeypatch.setattr(storage, "FEW_ROWS", 10)
+    rows = [("T", i, c, True, v, None, {"id": f"I:{i}", "fk": f"I:{i}", "name": f"T:n{i}"}) for i in range(40) for c, v in (("fk", f"I:{i}"), ("name", f"T:n{i}"))]
+    cells = spark.createDataFrame(rows, "table string, row_id long, column string, is_insert boolean, value string, before string, row map<string,string>")
+    held = storage.written(spark.createDataFrame([(f"I:{i}", f"T:n{i if i < 30 else 0}") for i in range(40)], "key string, label string"), "test")
+    rel = spark.createDataFrame([("T", "fk", "U", "key", "normale")], "src_table string, src_column string, dst_table string, dst_column string, confidence string")
+    found = H.copied(cells, H.Context(cells, cells, None, None, None, {"U": held}, relations=rel))
+    assert found.count() == 30 and plan(found).count("SortMergeJoin") >= 2
