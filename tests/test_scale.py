@@ -277,3 +277,9 @@ def test_copies_from_a_large_table_are_joined_by_shuffle(spark, monkeypatch):
     rel = spark.createDataFrame([("T", "fk", "U", "key", "normale")], "src_table string, src_column string, dst_table string, dst_column string, confidence string")
     found = H.copied(cells, H.Context(cells, cells, None, None, None, {"U": held}, relations=rel))
     assert found.count() == 30 and plan(found).count("SortMergeJoin") >= 2
+
+
+def test_probable_updates_read_the_compared_tables_once(spark):
+    before, after = (S.snapshot_of(Table("T", f)).rows for f in two_sides(spark))
+    found, _ = D.probable_updates(D.bag_diff("T", before, after, ["id", "k", "t"]), ["id", "k", "t"], "T", cap=None)
+    assert "Range (" not in plan(found)
