@@ -49,7 +49,7 @@ from pyspark.sql import types as T
 from .common import table
 
 #: Characters and rows handled at once, words remembered by a task, and bytes from which a word isn't remembered.
-PIECE, ROWS, REMEMBERED, LONG_WORD = 1 << 20, 1000, 400_000, 64
+PIECE, ROWS, REMEMBERED, LONG_WORD = 1 << 18, 1000, 100_000, 64
 NEVER = np.int32(2**31 - 1)
 SPACE, LETTER, DIGIT, OTHER, UNKNOWN = range(5)
 #: Unicode's white space, and what follows an apostrophe in a contraction.

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -260,3 +261,18 @@ def test_perfect_hash():
 
 def test_collocations_query(spark, duck):
     equals_sql(spark, duck, "op12_collocations")
+
+
+def test_bpe_encoder_holds_little(tokenizer):
+    """Two tasks of an executor each have an encoder: the bound of what it remembers and handles at once holds whatever the texts."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdefghijklmnop  ", k=60_000)) for _ in range(60)]
+    encoder = bpe.Encoder(tokenizer)
+    encoder(texts[:1])
+    tracemalloc.start()
+    for text in texts:
+        encoder([text])
+    encoder(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20 and len(encoder.sizes) < 200_000
