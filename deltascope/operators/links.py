@@ -7,7 +7,7 @@ truncation rule compares prefixes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canonical import body, day, moment, nfc, number, plain, tag
@@ -76,17 +76,41 @@ def cell_keys(cells: DataFrame) -> DataFrame:
     return cells.withColumn("k", F.explode(F.filter(keys, lambda x: x.isNotNull())))
 
 
-def matches(inputs: DataFrame, cells: DataFrame) -> DataFrame:
-    """input_id, field, screen, input, table, row_id, column, match_type: what stays after exact matches have suppressed tolerated ones of the same input."""
-    # equal inputs count once; an input and a cell share one key at most, so no pair is met twice
-    left = meeting_keys(prepared(inputs.distinct())).withColumnRenamed("value", "input")
-    right = cell_keys(cells.select("table", "row_id", "column", "value"))
-    met = by_shuffle(left, many(inputs)).join(right, "k").withColumn("match_type", match_type(F.col("value"))).filter("match_type IS NOT NULL")
-    # the pairs are read several times, the cells once
-    met = written(met.select("input_id", "field", "screen", "input", "type", "table", "row_id", "column", "match_type"), "matches")
-    exact = F.col("match_type").isin(*EXACT)
-    any_exact = by_shuffle(met.groupBy("input_id").agg(F.max(exact).alias("has_exact")), many(met))
-    return met.join(any_exact, "input_id").filter(exact | ~F.col("has_exact")).drop("has_exact")
+def value_pairs(inputs: DataFrame, cells: DataFrame) -> DataFrame:
+    """input, type, value, match_type: typed values with the written ones that they match. Values are compared once, however many inputs and cells hold them, so pairs grow with the different values."""
+    left = meeting_keys(prepared(inputs.select("value", "type").distinct())).withColumnRenamed("value", "input")
+    # a typed and a written value share one key at most, so no pair is met twice
+    met = by_shuffle(left, many(inputs)).join(cell_keys(cells.select("value").distinct()), "k").withColumn("match_type", match_type(F.col("value"))).filter("match_type IS NOT NULL")
+    return written(met.select("input", "type", "value", "match_type"), "value-pairs")
+
+
+def linked_inputs(inputs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Inputs (equal ones once) with a match, and `has_exact`: whether an exact one suppresses the tolerated ones of the same input_id."""
+    best = pairs.groupBy("input", "type").agg(F.max(F.col("match_type").isin(*EXACT)).alias("has_exact"))
+    asked = inputs.filter("input_id IS NOT NULL").select("input_id", "field", "screen", F.col("value").alias("input"), "type").distinct().join(by_shuffle(best, many(pairs)), ["input", "type"])
+    return asked.withColumn("has_exact", F.max("has_exact").over(Window.partitionBy("input_id")))
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    return df.filter(F.col("match_type").isin(*EXACT) | ~F.col("has_exact"))
+
+
+def matches(inputs: DataFrame, cells: DataFrame, carry=()) -> DataFrame:
+    """input_id, field, screen, input, table, row_id, column, match_type and the cells' columns of `carry`: what stays after exact matches have suppressed tolerated ones of the same input. Inputs and cells with equal values meet last, and nothing is shuffled after that."""
+    pairs = value_pairs(inputs, cells)
+    at = by_shuffle(pairs, many(pairs)).join(cells.select("table", "row_id", "column", "value", *carry), "value")
+    found = _kept(linked_inputs(inputs, pairs).join(by_shuffle(at, many(inputs)), ["input", "type"]))
+    return found.select("input_id", "field", "screen", "input", "type", "table", "row_id", "column", "match_type", *carry)
+
+
+def match_counts(inputs: DataFrame, cells: DataFrame) -> DataFrame:
+    """input_id, n, is_exact: how many of `matches` each input has, counted by values and not by pairs of inputs and cells."""
+    pairs = value_pairs(inputs, cells)
+    held = cells.groupBy("value").agg(F.count("*").alias("n"))
+    exact = F.col("match_type").isin(*EXACT).alias("exact")
+    n = by_shuffle(pairs, many(pairs)).join(held, "value").groupBy("input", "type", "match_type").agg(F.sum("n").alias("n"))
+    found = _kept(linked_inputs(inputs, pairs).join(by_shuffle(n, many(inputs)), ["input", "type"]))
+    return found.groupBy("input_id").agg(F.sum("n").alias("n"), F.max(exact).alias("is_exact"))
 
 
 def links(found: DataFrame) -> DataFrame:
@@ -98,16 +122,25 @@ def explained(found: DataFrame) -> DataFrame:
     return found.select("table", "row_id", "column").distinct()
 
 
-def deviations(inputs: DataFrame, cells: DataFrame, found: DataFrame) -> DataFrame:
-    """Inputs without any link: `valeur_differente` where an unexplained cell in a sister's column is one edit away (the first such cell), else `introuvable`."""
-    lost = prepared(inputs).filter("valid").join(by_shuffle(found.select("input_id").distinct(), many(inputs)), "input_id", "left_anti")
+def deviations(inputs: DataFrame, cells: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """Inputs without any link: `valeur_differente` where an unexplained cell in a sister's column is one edit away (the first such cell), else `introuvable`. Without `found` (the matches) these are sought by values, and pairs of inputs and cells are never made."""
+    if found is None:
+        pairs = value_pairs(inputs, cells)
+        asked = written(linked_inputs(inputs, pairs), "linked-inputs")
+        shown = asked.select("field", "screen", "input", "type", "has_exact").distinct().join(by_shuffle(pairs, many(pairs)), ["input", "type"])
+        shown = written(_kept(shown).select("field", "screen", "value").distinct(), "explained")
+        # which cells are explained depends on their values alone
+        known, on, linked = shown.select("value").distinct(), ["value"], asked.select("input_id").distinct()
+        sisters = cells.select("table", "column", "value").distinct().join(by_shuffle(shown, many(shown)), "value").select("field", "screen", "table", "column").distinct()
+    else:
+        known, on, linked = written(explained(found), "explained"), ["table", "row_id", "column"], found.select("input_id").distinct()
+        sisters = found.select("field", "screen", "table", "column").distinct()
+    lost = prepared(inputs).filter("valid").join(by_shuffle(linked, many(inputs)), "input_id", "left_anti")
     target = F.when(F.col("type") == "montant", plain(F.col("amt"))).when(F.col("type") == "date", F.col("d").cast("string")).otherwise(F.rtrim("txt"))
     lost = lost.withColumn("target", target)
-    sisters = found.select("field", "screen", "table", "column").distinct()
-    known = written(explained(found), "explained")
     # sisters and kinds are as many as screens have fields: broadcast, lest all cells of a column meet in one task
     free = cells.select("table", "row_id", "column", "value", *(["ord"] if "ord" in cells.columns else [])).join(F.broadcast(sisters), ["table", "column"])
-    free = free.join(by_shuffle(known, many(known)), ["table", "row_id", "column"], "left_anti")
+    free = free.join(by_shuffle(known, many(known)), on, "left_anti")
     cell = F.col("found")
     n = number(cell)
     whole = F.when(n == F.floor(n), n.cast("decimal(38,0)").cast("string"))

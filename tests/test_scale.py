@@ -283,3 +283,16 @@ def test_probable_updates_read_the_compared_tables_once(spark):
     before, after = (S.snapshot_of(Table("T", f)).rows for f in two_sides(spark))
     found, _ = D.probable_updates(D.bag_diff("T", before, after, ["id", "k", "t"]), ["id", "k", "t"], "T", cap=None)
     assert "Range (" not in plan(found)
+
+
+def test_equal_inputs_and_cells_meet_by_value(spark):
+    """300 inputs and 300 cells of one amount: one pair of values, whatever is asked of the 90,000 links."""
+    cells = spark.createDataFrame([("T", i, "total", True, "M:12.50", None, {"id": f"I:{i}"}, i) for i in range(300)] + [("T", 900, "total", True, "M:-12.50", None, {"id": "I:900"}, 900)], "table string, row_id long, column string, is_insert boolean, value string, before string, row map<string,string>, ord long")
+    inputs = spark.createDataFrame([(i, "Total", "S", "12,50" if i < 299 else "-7", "montant") for i in range(300)], L.INPUTS)
+    assert Counter(r.match_type for r in L.value_pairs(inputs, cells).collect()) == {"exacte": 1, "signe_inverse": 1}
+    counts = L.match_counts(inputs, cells).collect()
+    assert Counter((r.n, r.is_exact) for r in counts) == {(300, True): 299}
+    found = L.matches(inputs, cells, carry=("ord",))
+    assert found.count() == 299 * 300 and found.select("input_id", "ord").distinct().count() == 299 * 300
+    lost = L.deviations(inputs, cells)
+    assert [tuple(r) for r in lost.collect()] == [tuple(r) for r in L.deviations(inputs, cells, found).collect()] == [("Total", "S", "-7", "introuvable", None, None, None)]
