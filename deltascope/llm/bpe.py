@@ -385,8 +385,14 @@ def load(path: str) -> Tokenizer:
         return Tokenizer(file.read())
 
 
-def encode(docs: DataFrame, tokenizer: Tokenizer, *, doc_id="doc_id", text="text", carry=()) -> DataFrame:
-    """The columns of `carry` as a struct `row` where there are any, and doc_id, ids."""
+def _joined(ids: pa.Array, names: list[str]) -> pa.StringArray:
+    """The tokens of each list of ids, joined by a space."""
+    flat, bounds = ids.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0))]).tolist()
+    return pa.array([" ".join(map(names.__getitem__, flat[a:b].tolist())) for a, b in pairwise(bounds)], pa.string())
+
+
+def encode(docs: DataFrame, tokenizer: Tokenizer, *, doc_id="doc_id", text="text", carry=(), decoded: bool = False) -> DataFrame:
+    """The columns of `carry` as a struct `row` where there are any, and doc_id, ids; with `decoded` also what `decode` gives, made in the same Python process."""
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
     def run(batches):
@@ -394,10 +400,13 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, *, doc_id="doc_id", text="text
         for batch in batches:
             for a in range(0, batch.num_rows, ROWS):
                 part = batch.slice(a, ROWS)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], encoder(part.column(part.num_columns - 1).to_pylist())], [*batch.schema.names[:-1], "ids"])
+                ids = encoder(part.column(part.num_columns - 1).to_pylist())
+                more = [_joined(ids, shared.value.names)] if decoded else []
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, *more], [*batch.schema.names[:-1], "ids", *(["decoded"] if decoded else [])])
 
     rows = docs.select(*([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    made = [T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField("decoded", T.StringType())] if decoded else [])]
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *made]))
 
 
 def decode(encoded: DataFrame, tokenizer: Tokenizer) -> DataFrame:
@@ -405,11 +414,8 @@ def decode(encoded: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     shared, at = encoded.sparkSession.sparkContext.broadcast(tokenizer.names), encoded.columns.index("ids")
 
     def run(batches):
-        name = shared.value.__getitem__
         for batch in batches:
-            ids, bounds = batch.column(at).flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(batch.column(at)), 0))]).tolist()
-            texts = [" ".join(map(name, ids[a:b].tolist())) for a, b in pairwise(bounds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _joined(batch.column(at), shared.value)], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
 
@@ -418,7 +424,7 @@ def op13_bpe(spark, sf_dir):
     import public_tokenizers
 
     tokenizer = load(public_tokenizers.path("word_bpe_49k.json"))
-    found = decode(encode(table(spark, sf_dir, "documents"), tokenizer), tokenizer)
+    found = encode(table(spark, sf_dir, "documents"), tokenizer, decoded=True)  # one Python process a task, not two
     digest = lambda c: F.sha2(c.cast("binary"), 256)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(ids).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))

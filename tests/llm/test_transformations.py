@@ -276,3 +276,9 @@ def test_bpe_encoder_holds_little(tokenizer):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 100 << 20 and len(encoder.sizes) < 200_000
+
+
+def test_bpe_query_needs_one_python_process_a_task(spark, tokenizer, edge_docs):
+    assert catalog.queries()["op13_bpe"](spark, SF)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    two = bpe.decode(bpe.encode(edge_docs, tokenizer, carry=("row",)), tokenizer).collect()
+    assert Counter(map(str, bpe.encode(edge_docs, tokenizer, carry=("row",), decoded=True).collect())) == Counter(map(str, two))
