@@ -8,11 +8,11 @@ columns and all keys cost one self-join on (family, key), not a loop over pairs.
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,16 +30,47 @@ COLUMN_PROFILE = "table string, column string, ordinal int, declared_type string
 RELATIONS = "src_table string, src_column string, dst_table string, dst_column string, inclusion_rate decimal(5,4), n_values long, n_included long, inclusion_rate_distinct decimal(5,4), n_distinct_src long, n_distinct_included long, confidence string"
 
 
+#: Fields that hold values as they are while they are counted; texts are made of the different values alone, not of every row's.
+AS_THEY_ARE = {"l": "bigint", "d": "double", "t": "timestamp_ntz", "s": "string"}
+
+
+def _held(column, kind: T.DataType, normalise: bool) -> tuple[str, F.Column]:
+    """The field of AS_THEY_ARE for a value, and what it holds: equal exactly where `family_key` is."""
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        return "l", column.cast("bigint")
+    if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+        return "d", column.cast("double")
+    if family(kind) == "date":
+        return "t", column.cast("timestamp_ntz")
+    return "s", family_key(column, kind, normalise)
+
+
+def _key_of(kind: T.DataType) -> F.Column:
+    """`family_key` of what `_held` gave."""
+    if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+        return family_key(F.col("d").cast(kind), kind)
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        return family_key(F.col("l").cast(kind), kind)
+    return family_key(F.col("t"), T.TimestampNTZType()) if family(kind) == "date" else F.col("s")
+
+
 def value_counts(table: Table, normalise: set[str] | None = None) -> DataFrame:
     """table, column, family, key, n over the non-null values of all columns."""
     which = table.non_ascii if normalise is None else normalise
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(family(table.kind(c))).alias("family"), family_key(F.col(f"`{c}`"), table.kind(c), c in which).alias("key")) for c in table.columns])
-    long = table.df.select(F.explode(cells).alias("c")).select(F.lit(table.name).alias("table"), "c.column", "c.family", "c.key").filter("key IS NOT NULL")
-    return long.groupBy("table", "column", "family", "key").agg(F.count("*").alias("n"))
-
-
-def column_profile(table: Table, counts: DataFrame | None = None) -> DataFrame:
-    """COLUMN_PROFILE rows. Bounds need one ordered family: a NaN in a float column leaves it without."""
+    kinds = [table.kind(c) for c in table.columns]
+    held = [_held(F.col(f"`{c}`"), kind, c in which) for c, kind in zip(table.columns, kinds, strict=True)]
+    used = [f for f in AS_THEY_ARE if any(f == own for own, _ in held)]
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), *[(value if f == own else F.lit(None).cast(AS_THEY_ARE[f])).alias(f) for f in used]) for i, (own, value) in enumerate(held)])
+    found = table.df.select(F.explode(cells).alias("c")).select("c.*").filter(reduce(lambda a, b: a | b, [F.col(f).isNotNull() for f in used]))
+    found = found.groupBy("i", *used).agg(F.count("*").alias("n"))
+    by_kind = {kind: [i for i, k in enumerate(kinds) if k == kind] for kind in kinds}
+    key = F.coalesce(*[F.when(F.col("i").isin(own), _key_of(kind)) for kind, own in by_kind.items()])
+    listed = lambda texts: F.element_at(F.array(*[F.lit(t) for t in texts]), F.col("i") + 1)
+    return found.select(F.lit(table.name).alias("table"), listed(table.columns).alias("column"), listed([family(k) for k in kinds]).alias("family"), key.alias("key"), "n")
+
+
+def column_facts(table: Table, bounds: bool = True) -> DataFrame:
+    """COLUMN_PROFILE but for the distinct counts: one aggregate in one row. Bounds need one ordered family: a NaN in a float column leaves it without."""
     aggs = []
     for i, c in enumerate(table.columns):
         kind, col = table.kind(c), F.col(f"`{c}`")
@@ -48,7 +79,7 @@ def column_profile(table: Table, counts: DataFrame | None = None) -> DataFrame:
         if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
             usable = ~F.coalesce(F.max(F.isnan(col)), F.lit(False))
         low, high = (F.lit(None).cast("string"),) * 2
-        if which not in ("binary", "nested"):
+        if bounds and which not in ("binary", "nested"):
             low, high = (F.substring(canonical(f(col), kind), 3, 1 << 30) for f in (F.min, F.max))
         longest = F.max(F.length(col)) if which == "text" else F.lit(None)
         aggs += [F.count(F.when(observed_tag(col, kind) == "N", 1)).alias(f"nulls{i}"), F.when(usable & (F.count(col) > 0), low).alias(f"min{i}"), F.when(usable & (F.count(col) > 0), high).alias(f"max{i}"), longest.cast("int").alias(f"long{i}")]
@@ -58,7 +89,12 @@ def column_profile(table: Table, counts: DataFrame | None = None) -> DataFrame:
                  F.col(f"nulls{i}").alias("n_nulls"), F.col(f"min{i}").alias("min"), F.col(f"max{i}").alias("max"), F.col(f"long{i}").alias("max_length"))
         for i, c in enumerate(table.columns)
     ])
-    long = wide.select("n_rows", F.explode(rows).alias("c")).select("n_rows", "c.*")
+    return wide.select("n_rows", F.explode(rows).alias("c")).select("n_rows", "c.*")
+
+
+def column_profile(table: Table, counts: DataFrame | None = None) -> DataFrame:
+    """COLUMN_PROFILE rows."""
+    long = column_facts(table)
     distinct = (value_counts(table) if counts is None else counts.filter(F.col("table") == table.name)).groupBy("column").agg(F.count("*").alias("n_distinct"))
     share = F.bround(F.col("n_nulls").cast("decimal(20,0)") * 100 / F.greatest(F.col("n_rows"), F.lit(1)), 2).cast("decimal(5,2)")
     return long.join(distinct, "column", "left").select(
@@ -97,6 +133,12 @@ def candidate_keys(table: Table, columns: list) -> list[tuple[str, ...]]:
     return sorted([(c,) for c in single] + unique, key=lambda k: (max(rank[c] for c in k), len(k), tuple(place[c] for c in k)))
 
 
+def _as_held(column, kind: T.DataType, normalise: bool) -> F.Column:
+    """Equal exactly where canonical texts are; numbers and plain texts stay as they are stored."""
+    plain = isinstance(kind, (T.IntegralType, T.BooleanType)) or (isinstance(kind, T.StringType) and not normalise)
+    return column if plain else canonical(column, kind, normalise)
+
+
 def unique_pairs(table: Table, pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
     """Those of the pairs of columns whose values never repeat.
 
@@ -107,19 +149,20 @@ def unique_pairs(table: Table, pairs: list[tuple[str, str]]) -> list[tuple[str,
     """
     names, which = list(dict.fromkeys(c for p in pairs for c in p)), table.non_ascii
     place = {c: f"c{i}" for i, c in enumerate(names)}
-    texts = table.df.select(*[canonical(F.col(f"`{c}`"), table.kind(c), c in which).alias(place[c]) for c in names])
-    values = F.array(*[F.struct(F.lit(i).alias("pair"), F.col(place[a]).alias("a"), F.col(place[b]).alias("b")) for i, (a, b) in enumerate(pairs)])
-    sample = texts.select(F.explode(F.filter(values, lambda v: F.pmod(F.xxhash64(v["a"], v["b"]), F.lit(SAMPLE_SHARE)) == 0)).alias("v")).select("v.*")
+    held = table.df.select(*[_as_held(F.col(f"`{c}`"), table.kind(c), c in which).alias(place[c]) for c in names])
+    chosen = lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(SAMPLE_SHARE)) == 0
+    text = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    values = F.array(*[F.when(chosen(place[a], place[b]), F.struct(F.lit(i).alias("pair"), text(place[a]).alias("a"), text(place[b]).alias("b"))) for i, (a, b) in enumerate(pairs)])
+    sample = held.select(F.explode(values).alias("v")).filter("v IS NOT NULL").select("v.*")
     refuted = {r.pair for r in sample.groupBy("pair", "a", "b").count().filter("count > 1").select("pair").distinct().collect()}  # as many as there are pairs
     left = [p for i, p in enumerate(pairs) if i not in refuted]
     if not left:
         return []
     sets = [[place[a], place[b]] for a, b in left]
-    held = list(dict.fromkeys(c for s in sets for c in s))
-    # canonical texts are never null: a null says that the column isn't in the set
-    counted = texts.groupingSets(sets, *held).agg(F.count("*").alias("n")).filter("n > 1")
-    twice = {tuple(r.has) for r in counted.select(F.array(*[F.col(c).isNotNull() for c in held]).alias("has")).distinct().collect()}
-    return [p for p, s in zip(left, sets, strict=True) if tuple(c in s for c in held) not in twice]
+    used = list(dict.fromkeys(c for s in sets for c in s))
+    counted = held.groupingSets(sets, *used).agg(F.count("*").alias("n"), F.array(*[F.grouping(c) == 0 for c in used]).alias("has")).filter("n > 1")
+    twice = {tuple(r.has) for r in counted.select("has").distinct().collect()}
+    return [p for p, s in zip(left, sets, strict=True) if tuple(c in s for c in used) not in twice]
 
 
 def relations(counts: DataFrame, keys: DataFrame) -> DataFrame:
@@ -173,6 +216,22 @@ def profile_tables(tables: list[Table], progress=None) -> tuple[list[DataFrame],
     return parts, columns, keys
 
 
+def table_keys(tables: list[Table]) -> dict[str, list[tuple[str, ...]]]:
+    """The candidate keys of each table and nothing else: values are counted only of columns that may be keys, and no counts are kept."""
+
+    def one(table: Table):
+        facts = column_facts(table, bounds=False).collect()
+        may = [c.column for c in facts if key_rank(c) is not None and c.n_nulls == 0]
+        if not may or facts[0].n_rows < MIN_KEY_ROWS:
+            return []
+        narrow = replace(table, df=table.df.select(*[f"`{c}`" for c in may]))
+        distinct = {r.column: r["count"] for r in value_counts(narrow).groupBy("column").count().collect()}
+        return candidate_keys(narrow, [Row(**c.asDict(), n_distinct=distinct[c.column]) for c in facts if c.column in distinct])
+
+    with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
+        return dict(zip([t.name for t in tables], pool.map(one, tables), strict=True))
+
+
 def profile(source: Source, ignored=(), progress=None) -> Profile:
     skip, spark = {i.lower() for i in ignored}, source.spark
     tables = [source.table(n) for n in source.list_tables() if n.lower() not in skip]

@@ -11,6 +11,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from deltascope.functions.canonical import family, family_key
 from deltascope.functions.matching import deletion_keys, one_edit_apart
 from deltascope.operators import diff as D
 from deltascope.operators import hypotheses as H
@@ -150,6 +151,33 @@ def test_merkle_tree(spark):
     assert [M.depth_for(n) for n in (0, 4096 * 16, 4096 * 16 + 1, 10**12)] == [1, 1, 2, 7]
 
 
+def test_values_are_counted_as_they_are_stored(spark):
+    """Texts of numbers and moments are made of the different values, after they were counted."""
+    rows = [(1, 1.5, 2.5, "2024-01-01 00:00:00", True, "x"), (1, -0.0, 1e-5, "2024-01-01 00:00:00", False, "y" * 70), (2, 0.0, 1e300, None, None, None), (None, float("nan"), 0.1, "2024-01-01 00:00:00.5", True, "1")]
+    frame = spark.createDataFrame(rows, "i int, d double, e double, t string, b boolean, s string").select("i", "d", F.col("e").cast("float").alias("f"), F.col("t").cast("timestamp").alias("t"), "b", "s", F.col("i").cast("decimal(9,2)").alias("m"), F.to_date("t").alias("j"))
+    table = Table("t", frame)
+    want = Counter((c, family(table.kind(c)), k[0]) for c in table.columns for k in frame.select(family_key(F.col(c), table.kind(c))).collect() if k[0] is not None)
+    below = plan(P.value_counts(table)).split("partial_count", 1)[1]
+    assert "regexp_replace" not in below and "date_format" not in below
+    assert {(r.column, r.family, r.key): r.n for r in P.value_counts(table).collect()} == want
+
+
+def test_keys_alone_count_columns_that_may_be_keys(spark, monkeypatch):
+    frame = spark.range(300).selectExpr("id DIV 10 AS a", "id % 10 AS b", "CAST(id AS DOUBLE) AS d", "repeat('x', 300) || id AS long", "CAST(id AS STRING) AS s", "nullif(id, 5) AS n")
+    tables = [Table("t", frame), Table("one", frame.limit(1)), Table("none", frame.limit(0))]
+    assert P.table_keys(tables) == P.profile_tables(tables)[2] == {"t": [("a", "b"), ("s",)], "one": [], "none": []}
+    counted, count = [], P.value_counts
+    monkeypatch.setattr(P, "value_counts", lambda table, *more: counted.append(table.columns) or count(table, *more))
+    P.table_keys(tables)
+    assert counted == [["a", "b", "s"]]
+
+
+def test_pairs_with_null_are_told_apart(spark):
+    """A NULL is a value like another here, and no column that isn't in the set."""
+    table = Table("t", spark.createDataFrame([(None, 1, 1), (None, 2, 1), (1, 1, 2), (1, 2, 2)], "a int, b int, c int"))
+    assert P.unique_pairs(table, [("a", "b"), ("a", "c"), ("b", "c")]) == [("a", "b"), ("b", "c")]
+
+
 @pytest.mark.parametrize("share", [1, 3, 10**6])
 def test_unique_pairs(spark, monkeypatch, share):
     monkeypatch.setattr(P, "SAMPLE_SHARE", share)
