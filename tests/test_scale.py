@@ -5,6 +5,7 @@ import json
 import random
 import sqlite3
 from collections import Counter
+from datetime import datetime
 from decimal import Decimal
 from itertools import combinations
 
@@ -22,7 +23,7 @@ from deltascope.operators import snapshot as S
 from deltascope.plans import files, pipeline, trace
 from deltascope.sources.catalog import FrameSource, Table
 from deltascope.sources.sqlite import SqliteSource
-from deltascope.sources.storage import new_path
+from deltascope.sources.storage import buckets_for, new_path
 
 
 def plan(df):
@@ -66,6 +67,34 @@ def test_stored_snapshots_are_compared_without_a_shuffle(spark, never_broadcast,
     assert again[0].rows.columns == [*again[0].table.columns, S.ORD]
 
 
+def test_stored_rows_of_every_type_are_told_apart(spark):
+    """Values are shuffled, and texts made where they are written; hashes of values are equal exactly where texts are."""
+    ddl = "i int, j int, s string, d double, m decimal(9,2), t timestamp, b boolean, y binary, a array<string>"
+    row = (1, None, "e\u0301", 0.0, Decimal("1.50"), datetime(2024, 1, 1, 0, 0, 0, 500000), True, b"x", ["e\u0301"])
+    changed = [(None, 1, *row[2:]), (*row[:3], -0.0, *row[4:]), (*row[:7], None, row[8]), (*row[:8], [None]), (*row[:2], None, *row[3:])]
+    before = spark.createDataFrame([row, row], ddl)
+    after = spark.createDataFrame([(*row[:2], "\u00e9", *row[3:8], ["\u00e9"]), *changed], ddl)  # the first has the same text
+    stored = [S.take_table(Table("T", f), new_path(spark, "test"), 3) for f in (before, after)]
+    plain = [S.take_table(Table("T", f)) for f in (before, after)]
+    assert [s.fingerprint for s in stored] == [s.fingerprint for s in plain]
+    found = as_set(D.diff_table(*stored, cap=0)[0])
+    assert found == as_set(D.diff_table(*plain, cap=0)[0]) and Counter(op for op, _, _ in found.elements()) == {"row_removed": 1, "row_added": 5}
+    ascii_only = [S.take_table(Table("T", spark.createDataFrame([("a",), (t,)], "s string")), new_path(spark, "test"), 3) for t in ("b", "\u00e9")]
+    assert Counter(r.op for r in D.diff_table(*ascii_only, cap=0)[0].collect()) == {"row_removed": 1, "row_added": 1}
+    # the same declared type over other types: hashes of values say nothing, texts do
+    retyped = [S.take_table(Table("T", spark.createDataFrame([(Decimal("1.00"),)], f"m {kind}"), (), {"m": "MONEY"}), new_path(spark, "test"), 3) for kind in ("decimal(9,2)", "decimal(20,2)")]
+    assert D.diff_table(*retyped, cap=0)[0].count() == 0
+
+
+def test_values_and_not_texts_are_shuffled_into_buckets(spark, monkeypatch):
+    dealt, frame = [], type(spark.range(0))
+    repartition = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda df, *by: dealt.append(df.dtypes) or repartition(df, *by))
+    S.take_table(Table("T", spark.range(10).selectExpr("id", "CAST(id AS DECIMAL(18,2)) AS m")), new_path(spark, "test"), 3)
+    assert dealt == [[("id", "bigint"), ("m", "decimal(18,2)"), (S.ORD, "bigint")]]
+    assert [buckets_for(n) for n in (0, 8_000_000, 8_000_001, 216_000_000)] == [16, 16, 17, 432]
+
+
 def test_changed_rows_are_fetched_without_shuffling_the_others(spark):
     before, after = (S.snapshot_of(Table("T", f, ("id",))) for f in two_sides(spark))
     changes = D.keyed_diff("T", before.rows, after.rows, ["id", "k", "t"], ["id"], D.PRIMARY)
