@@ -160,3 +160,23 @@ def test_a_batch_of_a_feed_costs_what_it_holds_and_runs_again_alike(spark, tmp_p
     fed.run()
     assert [p.batchId for p in fed.progress if p.numInputRows].count(11) == 2 and fed.changes(11) == first
     assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")  # the session's own settings are back
+
+
+def test_many_keys_of_a_feed_share_values_of_the_state(spark, tmp_path, monkeypatch):
+    """A call of the state serves a group of keys; the groups are those that the stream began with, whatever it is given later."""
+    monkeypatch.setattr(feed, "many", lambda rows: True)
+    monkeypatch.setattr(feed, "MANY_GROUPS", 8)
+    begun = spark.range(200).selectExpr("CAST(id AS INT) AS id", "CASE WHEN id % 2 = 0 THEN 'a\"\\\\\u00e9' END AS v")
+    fed = Feed(spark, tmp_path, initial=begun)
+    fed.send([(i, "new", i % 3 == 0) for i in range(150, 250)])
+    fed.run()
+    old = lambda i: None if i >= 200 else "N:" if i % 2 else "T:a\"\\\u00e9"
+    want = {("delete" if i % 3 == 0 else "insert" if i >= 200 else "update", f"I:{i}", old(i), None if i % 3 == 0 else "T:new") for i in range(150, 250) if i < 200 or i % 3}
+    assert fed.changes(0) == want
+    assert {p.stateOperators[0].numRowsTotal for p in fed.progress} == {8}
+    monkeypatch.setattr(feed, "MANY_GROUPS", 5)
+    fed.options = {}
+    fed.send([(i, None, True) for i in range(250)])
+    fed.run()
+    gone = {("delete", f"I:{i}", "T:new" if i >= 150 else old(i), None) for i in range(250) if i < 150 or i % 3}
+    assert fed.changes(1) == gone and fed.progress[-1].stateOperators[0].numRowsTotal == 0
