@@ -18,10 +18,12 @@ from pyspark.sql import types as T
 
 from ..functions.canonical import canonical, family, family_key, observed_tag
 from ..sources.catalog import Source, Table
-from ..sources.storage import written
+from ..sources.storage import by_shuffle, few, many, written
 
 #: Tables profiled at the same time, and one in how many values of a pair is looked at for a witness.
 TABLES_AT_ONCE, SAMPLE_SHARE = 8, 64
+#: One in how many values is looked at to refute relations, which takes over 1 % of all rows.
+RELATION_SHARE = 16
 #: Least rows for a key, least distinct values for a relation to count, longest text of a key, declared types that are never keys (by prefix).
 MIN_KEY_ROWS, MIN_RELATION_VALUES, MAX_KEY_TEXT = 2, 3, 255
 NEVER_KEYS = ("DECIMAL", "NUMERIC", "CURRENCY", "MONEY", "FLOAT", "DOUBLE", "REAL", "SINGLE", "DATE", "TIME", "MEMO", "LONGTEXT", "LONGCHAR", "CLOB", "BLOB", "BINARY", "VARBINARY", "LONGBINARY", "OLE", "IMAGE")
@@ -166,15 +168,33 @@ def unique_pairs(table: Table, pairs: list[tuple[str, str]]) -> list[tuple[str,
 
 
 def relations(counts: DataFrame, keys: DataFrame) -> DataFrame:
-    """RELATIONS: columns whose rows (at least 99 %) have their value in a single-column key. keys(table, column)."""
-    targets = counts.join(keys.select(F.col("table").alias("dst_table"), F.col("column").alias("dst_column")), (F.col("table") == F.col("dst_table")) & (F.col("column") == F.col("dst_column"))).select("family", "key", "dst_table", "dst_column")
+    """RELATIONS: columns whose rows (at least 99 %) have their value in a single-column key. keys(table, column).
+
+    Keys and totals are as many as there are columns and broadcast, so that no column's values meet in one task. Many
+    values are looked at by one in RELATION_SHARE first: a pair of columns of which over 1 % of all rows are missing there
+    is refuted for certain, and only columns of the pairs that are left are joined whole.
+    """
+    targets = counts.join(F.broadcast(keys.select(F.col("table").alias("dst_table"), F.col("column").alias("dst_column"))), (F.col("table") == F.col("dst_table")) & (F.col("column") == F.col("dst_column"))).select("family", "key", "dst_table", "dst_column")
     source = counts.select(F.col("table").alias("src_table"), F.col("column").alias("src_column"), "family", "key", "n")
-    met = source.join(targets, ["family", "key"]).filter("NOT (src_table = dst_table AND src_column = dst_column)")
-    met = met.groupBy("src_table", "src_column", "family", "dst_table", "dst_column").agg(F.sum("n").alias("n_included"), F.count("*").alias("n_distinct_included"))
-    totals = source.groupBy("src_table", "src_column").agg(F.sum("n").alias("n_values"), F.count("*").alias("n_distinct_src"))
+    src, dst, large = ["src_table", "src_column"], ["dst_table", "dst_column"], many(counts)
+
+    def included(source: DataFrame, targets: DataFrame) -> DataFrame:
+        met = source.join(by_shuffle(targets, large), ["family", "key"]).filter("NOT (src_table = dst_table AND src_column = dst_column)")
+        return met.groupBy(*src, "family", *dst).agg(F.sum("n").alias("n_included"), F.count("*").alias("n_distinct_included"))
+
+    chosen = F.pmod(F.xxhash64("key"), F.lit(RELATION_SHARE)) == 0
+    totals = source.groupBy(*src, "family").agg(F.sum("n").alias("n_values"), F.count("*").alias("n_distinct_src"), F.coalesce(F.sum(F.when(chosen, F.col("n"))), F.lit(0)).alias("n_chosen"))
+    if large:
+        totals = written(totals, "relation-totals")
+        asked = keys.join(totals.select(F.col("src_table").alias("table"), F.col("src_column").alias("column"), "family"), ["table", "column"]).select(F.col("table").alias("dst_table"), F.col("column").alias("dst_column"), "family")
+        seen = included(source.filter(chosen), targets.filter(chosen)).drop("n_distinct_included")
+        pairs = totals.join(F.broadcast(asked), "family").join(seen, [*src, "family", *dst], "left").filter("NOT (src_table = dst_table AND src_column = dst_column)")
+        pairs = written(pairs.filter((F.col("n_chosen") - F.coalesce("n_included", F.lit(0))) * 100 <= F.col("n_values")).select(*src, *dst), "relation-pairs")
+        source, targets = (df.join(F.broadcast(pairs.select(*on).distinct()), on, "left_semi") for df, on in ((source, src), (targets, dst)))
+    met, totals = included(source, targets), F.broadcast(totals.drop("family", "n_chosen"))
     rate = lambda a, b: F.bround(F.col(a).cast("decimal(20,0)") / F.col(b), 4).cast("decimal(5,4)")
     weak = (F.col("family") == "boolean") | (F.col("n_distinct_src") < MIN_RELATION_VALUES)
-    return met.join(totals, ["src_table", "src_column"]).filter(F.col("n_included") * 100 >= F.col("n_values") * 99).select(
+    return met.join(totals, src).filter(F.col("n_included") * 100 >= F.col("n_values") * 99).select(
         "src_table", "src_column", "dst_table", "dst_column", rate("n_included", "n_values").alias("inclusion_rate"), "n_values", "n_included",
         rate("n_distinct_included", "n_distinct_src").alias("inclusion_rate_distinct"), "n_distinct_src", "n_distinct_included", F.when(weak, "faible").otherwise("normale").alias("confidence"),
     )
@@ -201,7 +221,7 @@ def profile_tables(tables: list[Table], progress=None) -> tuple[list[DataFrame],
     """Value counts, column profiles and candidate keys of each table. The tables' jobs don't depend on each other, so several run at once."""
 
     def one(table: Table):
-        counts = value_counts(table).persist()
+        counts = written(value_counts(table), "value-counts")
         columns = column_profile(table, counts)
         return counts, columns, candidate_keys(table, columns.collect())
 
@@ -238,9 +258,7 @@ def profile(source: Source, ignored=(), progress=None) -> Profile:
     parts, columns, keys = profile_tables(tables, progress)
     union = lambda frames, ddl: reduce(DataFrame.unionByName, frames) if frames else spark.createDataFrame([], ddl)
     counts = union(parts, "table string, column string, family string, key string, n long")
-    singles = spark.createDataFrame([(t, k[0]) for t, own in keys.items() for k in own if len(k) == 1], "table string, column string")
-    # small tables about columns, which every hypothesis reads again; the value counts go
+    singles = few(spark, [(t, k[0]) for t, own in keys.items() for k in own if len(k) == 1], "table string, column string")
+    # small tables about columns, which every hypothesis reads again
     found = written(union(columns, COLUMN_PROFILE), "profile-columns"), written(relations(counts, singles), "profile-relations")
-    for own in parts:
-        own.unpersist()
     return Profile(found[0], keys, found[1], {t.name: t.primary_key for t in tables}, {t.name: t.skipped for t in tables if t.skipped})

@@ -18,7 +18,7 @@ from ..operators import links as L
 from ..operators.profile import Profile
 from ..operators.snapshot import Snapshot, take_snapshot
 from ..sources.catalog import Source
-from ..sources.storage import new_path
+from ..sources.storage import few, new_path, written
 
 WARNINGS = "table string, code string, message string, details map<string,string>"
 #: Hypotheses that need the first snapshot or the profile: offline they are taken over from the original.
@@ -44,9 +44,9 @@ def interpret(
     profile: Profile | None = None, ignored_tables=H.IGNORED_TABLES,
 ) -> Interpretation:
     """Links and deviations of the inputs, then hypotheses for every cell that no input explains."""
-    changes = changes.persist()
-    cells = C.extract_cells(changes).persist()
-    found = L.matches(inputs, cells).persist()
+    changes = written(changes, "changes")
+    cells = written(C.extract_cells(changes), "cells")
+    found = written(L.matches(inputs, cells), "matches")
     warnings = L.invalid_inputs(L.prepared(inputs))
     if profile is None:
         names = ", ".join(H.NEEDS_PROFILE)
@@ -174,7 +174,7 @@ class Session:
         after = take_snapshot(self.source, self.ignored, f"{self.work}/after")
         result = D.diff_snapshots(spark, self.before, after, self.profile.first_keys() if self.profile else None, self.noise)
         inputs = [(i, v["champ_ecran"], v["ecran"], v["valeur"], v["type"]) for i, v in enumerate(self.scenario["valeurs_saisies"])]
-        frame = spark.createDataFrame(inputs, L.INPUTS)
+        frame = few(spark, inputs, L.INPUTS)
         found = interpret(spark, result.changes, self.before, frame, self.start, end, self.profile)
         self.state = "REPOS"
         return result, found

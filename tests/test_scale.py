@@ -353,3 +353,46 @@ def test_equal_inputs_and_cells_meet_by_value(spark):
     assert found.count() == 299 * 300 and found.select("input_id", "ord").distinct().count() == 299 * 300
     lost = L.deviations(inputs, cells)
     assert [tuple(r) for r in lost.collect()] == [tuple(r) for r in L.deviations(inputs, cells, found).collect()] == [("Total", "S", "-7", "introuvable", None, None, None)]
+
+
+def test_relations_of_many_values_refute_pairs_first(spark, monkeypatch, never_broadcast):
+    from deltascope.sources import storage
+
+    wide = spark.range(4000).select("id", (F.col("id") % 50).alias("few"), F.when(F.col("id") % 200 == 7, -F.col("id")).otherwise(F.col("id") * 3 % 4000).alias("most"), (F.col("id") + 41).alias("moved"), (F.col("id") + 40).alias("near"), (F.col("id") + 0.5).alias("half"), F.concat(F.lit("t"), "id").alias("text"))
+    small = spark.range(20).select(F.col("id").alias("no"), F.concat(F.lit("t"), "id").alias("name"))
+    parts, _, keys = P.profile_tables([Table("W", wide), Table("S", small)])
+    singles = storage.few(spark, [(t, k[0]) for t, own in keys.items() for k in own if len(k) == 1], "table string, column string")
+    whole = P.relations(parts[0].unionByName(parts[1]), singles)
+    # no column's values meet in one task
+    assert "hashpartitioning(table" not in plan(whole) and "hashpartitioning(dst_table" not in plan(whole)
+    monkeypatch.setattr(storage, "FEW_ROWS", 10)
+    found = P.relations(parts[0].unionByName(parts[1]), singles)
+    assert set(found.collect()) == set(whole.collect())
+    pairs = {(r.src_column, r.dst_column) for r in found.collect()}
+    assert {("few", "id"), ("most", "id"), ("near", "id"), ("no", "id"), ("name", "text")} <= pairs and not {("moved", "id"), ("half", "id"), ("id", "no")} & pairs
+
+
+def test_many_changed_keys_fetch_their_rows_alone(spark, monkeypatch):
+    before, after = (S.snapshot_of(Table("T", f, ("id",))).rows for f in two_sides(spark))
+    small = D.keyed_diff("T", before, after, ["id", "k", "t"], ["id"], D.PRIMARY)
+    monkeypatch.setattr(D, "FEW_ROWS", 10)
+    found = D.keyed_diff("T", before, after, ["id", "k", "t"], ["id"], D.PRIMARY)
+    assert "Range (" not in plan(found) and as_set(found) == as_set(small)
+    monkeypatch.setattr(D, "MANY_KEYS", 10)
+    assert as_set(D.keyed_diff("T", before, after, ["id", "k", "t"], ["id"], D.PRIMARY)) == as_set(small)
+    # a key that repeats in either side is none
+    for pair in ((before, after.unionAll(after)), (before.unionAll(before), after)):
+        assert D.changed_keys(*pair, ["id", "k", "t"], ["id"]) is None
+
+
+def test_counters_read_the_snapshot_for_what_was_written_alone(spark):
+    before = spark.range(1000).select(F.concat(F.lit("I:"), "id").alias("id"), F.concat(F.lit("I:"), F.col("id") * 4).alias("four"), F.concat(F.lit("T:no"), "id").alias("code"), F.concat(F.lit("M:"), "id").alias("m"))
+    written = {"id": "I:1000", "four": "I:4000", "m": "M:1000"}
+    cells = spark.createDataFrame([("T", 1, c, True, v, None, {}, 1) for c, v in written.items()], "table string, row_id long, column string, is_insert boolean, value string, before string, row map<string,string>, ord long")
+    changes = spark.createDataFrame([("T", D.NO_KEY, "row_added", 1, None, None, written, 1)], D.ROW_CHANGES)
+    found = H.counter(cells, H.Context(changes, cells, None, None, None, {"T": before}))
+    assert "Range (" not in plan(found)
+    assert {(r.column, r.detail) for r in found.collect()} == {("id", "max avant = 999"), ("four", "max avant = 3996")}
+    far = spark.createDataFrame([("I:99999999999999999990",), ("I:-5",), ("I:-4",)], "id string")
+    cells = cells.filter("column = 'id'").withColumn("value", F.lit("I:99999999999999999991"))
+    assert [r.detail for r in H.counter(cells, H.Context(changes, cells, None, None, None, {"T": far})).collect()] == ["max avant = 99999999999999999990"]
