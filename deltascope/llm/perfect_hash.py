@@ -4,7 +4,8 @@ Keys are pairs of 64-bit hashes. A shard's keys go to a bit array of GAMMA bits
 each; keys alone on their bit are settled, the others go to the next, smaller
 array. A key's slot is the number of set bits before its own, over all shards, so
 slots run from 0 to the number of keys without a gap. Any other pair would get
-some slot as well: each slot's stored second hash tells them apart.
+some slot as well: each slot's stored second hash tells them apart. Where no others
+are looked up, these needn't be stored.
 """
 
 from __future__ import annotations
@@ -44,19 +45,19 @@ def build_shard(h1: np.ndarray, h2: np.ndarray) -> tuple[list[int], bytes, bytes
 
 
 class PerfectHash:
-    """The shards first to first + len(parts) - 1 of n_shards; pairs of other shards have no slot."""
+    """The shards first to first + len(parts) - 1 of n_shards; pairs of other shards have no slot. Parts without stored hashes (None) are for looking up keys alone."""
 
-    def __init__(self, parts: list[tuple[list[int], bytes, bytes]], first: int, n_shards: int):
+    def __init__(self, parts: list[tuple[list[int], bytes, bytes | None]], first: int, n_shards: int):
         self.first, self.n_shards = first, n_shards
         depth = max((len(p[0]) for p in parts), default=0)
         self.sizes = np.array([[*p[0], *[0] * (depth - len(p[0]))] for p in parts], np.int64).reshape(len(parts), depth)
         self.begins = np.cumsum(self.sizes).reshape(self.sizes.shape) - self.sizes
         self.words = np.frombuffer(b"".join(p[1] for p in parts), np.uint64)
         self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)])
-        self.keys = np.frombuffer(b"".join(p[2] for p in parts), np.uint64)
+        self.keys = None if any(p[2] is None for p in parts) else np.frombuffer(b"".join(p[2] for p in parts), np.uint64)
 
     def __len__(self) -> int:
-        return len(self.keys)
+        return int(self.before[-1])
 
     def slots(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """Each pair's slot, or -1 if it isn't a key."""
@@ -64,6 +65,8 @@ class PerfectHash:
         shard = shard_of(h1, self.n_shards) - self.first
         at = np.flatnonzero((shard >= 0) & (shard < len(self.sizes)))
         for level in range(self.sizes.shape[1]):
+            if not len(at):
+                break
             size = self.sizes[shard[at], level]
             at, size = at[size > 0], size[size > 0]
             place = self.begins[shard[at], level] + _bit(h1[at], h2[at], level, size.astype(np.uint64))
@@ -71,7 +74,7 @@ class PerfectHash:
             hit = (word >> bit & np.uint64(1)) == 1
             below = word[hit] & ((np.uint64(1) << bit[hit]) - np.uint64(1))
             slot = self.before[place[hit] >> 6] + np.bitwise_count(below)
-            own = self.keys[slot] == h2[at[hit]]
+            own = slice(None) if self.keys is None else self.keys[slot] == h2[at[hit]]
             found[at[hit][own]] = slot[own]
             at = at[~hit]
         return found

@@ -8,14 +8,16 @@ hashes only add up, so no frequent phrase is lost. Phrases that pass with all
 their parts are the candidates, as texts in a table.
 
 A minimal perfect hash gives each candidate a slot; it is built in shards of a
-bounded size. Mappers look up every phrase of their texts that passes the
-filters, verify it by the slot's stored key, and bincount slots in one numpy
-array; arrays are cut into blocks and summed in a tree. A candidate and both
-sides of all its cuts are then read by slot from the sums. Where candidates are
-more than GROUP_KEYS, groups of shards follow each other, each with a pass of its
-own, so what a task or the driver holds has a bound that no input moves: filters
-of at most FILTER_BITS bits (fuller ones only let more candidates through), and
-hash and sums of GROUP_KEYS keys.
+bounded size. Mappers look up every phrase of their texts that passes the filters
+(those are the candidates, so the hash needs no keys to tell others apart),
+bincount the slots and write what they found by blocks of slots; blocks are summed
+in a tree. What a mapper writes has a bound by its own texts, so all of it grows
+with the input, not with mappers times candidates. A candidate and both sides of
+all its cuts are then joined with the sums by slot. Where candidates are more than
+GROUP_KEYS, groups of shards follow each other, each with a pass of its own, so
+what a task or the driver holds has a bound that no input moves: filters of at
+most FILTER_BITS bits (fuller ones only let more candidates through), and a hash
+of GROUP_KEYS keys.
 
 Defined results: null text is empty, a null lang is `und`; only A-Z are lowered;
 words and pieces are as PIECE_END and BLANK say, in bytes of UTF-8; texts of any
@@ -26,7 +28,8 @@ columns, whatever their names, aren't read.
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
+from itertools import chain, starmap
 
 import numpy as np
 import pandas as pd
@@ -41,7 +44,11 @@ from .perfect_hash import PerfectHash, build_shard, mix, shard_of
 MIN_COUNT, MAX_WORDS, TOP, COVERED = 30, 4, 2000, 80
 PIECE_END, BLANK = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: Bytes of texts handled at once, most bits of a filter, keys of a shard and of a group of shards, slots of a block, blocks summed by one task.
-SLAB, FILTER_BITS, SHARD_KEYS, GROUP_KEYS, BLOCK, FAN_IN = 1 << 23, 1 << 30, 1 << 15, 1 << 22, 1 << 14, 32
+SLAB, FILTER_BITS, SHARD_KEYS, GROUP_KEYS, BLOCK, FAN_IN = 1 << 22, 1 << 30, 1 << 15, 1 << 27, 1 << 14, 32
+
+#: Slots of a phrase, and of the left and the right side of each of its cuts.
+SIDES = [f"{side}{cut}" for cut in range(1, MAX_WORDS) for side in ("left", "right")]
+SLOTS = ["slot", *SIDES]
 
 _LOWER, _KIND = np.arange(256, dtype=np.uint8), np.zeros(256, np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -66,14 +73,16 @@ class Words:
         edge = np.ones(len(data) + 1, bool)
         np.not_equal(in_word[1:], in_word[:-1], out=edge[1:-1])
         edge[starts] = True  # a word ends with its text
-        places = np.flatnonzero(edge)
+        places = np.flatnonzero(edge).astype(np.int32)
         is_word = in_word[places[:-1]]
         begins = places[:-1][is_word]
-        parts = pa.StringArray.from_buffers(len(places) - 1, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(data)) if len(data) else pa.array([], pa.string())
+        ends = np.flatnonzero(kind == 2).astype(np.int32)
+        del kind, in_word, edge  # two tasks of an executor each have a slab: what is as long as its texts goes first
+        parts = pa.StringArray.from_buffers(len(places) - 1, pa.py_buffer(places), pa.py_buffer(data)) if len(data) else pa.array([], pa.string())
         coded = parts.filter(pa.array(is_word)).dictionary_encode()
         self.distinct, self.codes = coded.dictionary, coded.indices.to_numpy()
-        self.text = np.repeat(np.arange(len(starts) - 1), np.diff(np.searchsorted(begins, starts)))
-        self.piece = np.cumsum(kind == 2, dtype=np.int32)[begins] + self.text
+        self.text = np.repeat(np.arange(len(starts) - 1, dtype=np.int32), np.diff(np.searchsorted(begins, starts.astype(np.int32))))
+        self.piece = np.searchsorted(ends, begins).astype(np.int32) + self.text
         self.langs = langs
         self.distinct_hash = text_hash(self.distinct)
 
@@ -129,6 +138,11 @@ def _slabs(batch: pa.RecordBatch):
         done = upto
 
 
+def _by_slab(batches, work):
+    """What work(words, names, langs) yields for every slab; one is gone before the next is made."""
+    return chain.from_iterable(starmap(work, chain.from_iterable(map(_slabs, batches))))
+
+
 class Filter:
     """A set of hashes with false positives, as bits."""
 
@@ -182,116 +196,143 @@ def _level(rows: DataFrame, filters: list, levels: tuple[int, ...], totals: bool
     """lang, h, n: occurrences by hash of the phrases of these lengths that may be frequent; and with `totals` those of all words by lang, with a null hash."""
     shared = rows.sparkSession.sparkContext.broadcast(filters)
 
-    def run(batches):
-        for batch in batches:
-            for words, names, langs in _slabs(batch):
-                if shared.value:
-                    hashes, counts = _summed([words.phrase(at, k) for k, at in safe_places(words, shared.value, max(levels)) if k in levels])
-                else:
-                    hashes, counts, _ = words.words_by_lang()
-                if len(hashes):
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(hashes), pa.string()), pa.array(hashes.view(np.int64)), pa.array(counts, pa.int64())], ["lang", "h", "n"])
-                if totals:
-                    n = np.bincount(langs[words.text], minlength=len(names))
-                    yield pa.RecordBatch.from_arrays([names.cast(pa.string()), pa.nulls(len(names), pa.int64()), pa.array(n, pa.int64())], ["lang", "h", "n"])
+    def count(words, names, langs):
+        if shared.value:
+            hashes, counts = _summed([words.phrase(at, k) for k, at in safe_places(words, shared.value, max(levels)) if k in levels])
+        else:
+            hashes, counts, _ = words.words_by_lang()
+        if len(hashes):
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(hashes), pa.string()), pa.array(hashes.view(np.int64)), pa.array(counts, pa.int64())], ["lang", "h", "n"])
+        if totals:
+            n = np.bincount(langs[words.text], minlength=len(names))
+            yield pa.RecordBatch.from_arrays([names.cast(pa.string()), pa.nulls(len(names), pa.int64()), pa.array(n, pa.int64())], ["lang", "h", "n"])
 
-    return rows.mapInArrow(run, "lang string, h long, n long")
+    return rows.mapInArrow(lambda batches: _by_slab(batches, count), "lang string, h long, n long")
 
 
 def _candidates(rows: DataFrame, filters: list, upto: int) -> DataFrame:
-    """lang, words (in order), h1, h2 of all candidates, each once."""
+    """lang, phrase (words in order) of all candidates, each once."""
     shared = rows.sparkSession.sparkContext.broadcast(filters)
 
-    def run(batches):
-        for batch in batches:
-            for words, names, langs in _slabs(batch):
-                for k, at in safe_places(words, shared.value, upto):
-                    h1, first = np.unique(words.phrase(at, k), return_index=True)
-                    if len(at):
-                        at = at[first]
-                        text = pc.binary_join_element_wise(*[words.distinct.take(pa.array(words.codes[at + j])) for j in range(k)], " ")
-                        own = names.take(pa.array(langs[words.text[at]]))
-                        yield pa.RecordBatch.from_arrays([own.cast(pa.string()), text, pa.array(h1.view(np.int64)), pa.array(words.phrase(at, k, 2).view(np.int64))], ["lang", "phrase", "h1", "h2"])
+    def texts(words, names, langs):
+        for k, at in safe_places(words, shared.value, upto):
+            at = at[~pd.Series(words.phrase(at, k)).duplicated().to_numpy()]
+            if len(at):
+                text = pc.binary_join_element_wise(*[words.distinct.take(pa.array(words.codes[at + j])) for j in range(k)], " ")
+                own = names.take(pa.array(langs[words.text[at]]))
+                yield pa.RecordBatch.from_arrays([own.cast(pa.string()), text], ["lang", "phrase"])
+
+    return rows.mapInArrow(lambda batches: _by_slab(batches, texts), "lang string, phrase string").distinct()
+
+
+class Phrases:
+    """Phrases as texts: how many words each has, and hashes of their parts."""
+
+    def __init__(self, langs: pa.Array, texts: pa.Array):
+        words = pc.split_pattern(texts, " ")
+        coded, lang = words.flatten().dictionary_encode(), langs.dictionary_encode()
+        self.n, begins = pc.list_value_length(words).to_numpy(), words.offsets.to_numpy()
+        self.begins, self.words = begins[:-1] - begins[0], text_hash(coded.dictionary)[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.uint64)
+        self.langs = text_hash(lang.dictionary)[lang.indices.to_numpy()] if len(lang) else np.zeros(0, np.uint64)
 
-    return rows.mapInArrow(run, "lang string, phrase string, h1 long, h2 long").groupBy("lang", "phrase").agg(F.first("h1").alias("h1"), F.first("h2").alias("h2"))
+    def part(self, rows: np.ndarray, a: int, b: int, seed: int = 1) -> np.ndarray:
+        return phrase_hash(self.langs[rows], [self.words[self.begins[rows] + j] for j in range(a, b)], seed)
 
 
 def hash_shards(candidates: DataFrame, n_shards: int) -> DataFrame:
-    """shard, n, sizes, bits, keys."""
+    """shard, sizes, bits."""
 
     def place(batches):
         for batch in batches:
-            shard = shard_of(batch.column(0).to_numpy().view(np.uint64), n_shards)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), *batch.columns], ["shard", "h1", "h2"])
+            phrases = Phrases(batch.column(0), batch.column(1))
+            for k in np.unique(phrases.n).tolist():
+                rows = np.flatnonzero(phrases.n == k)
+                h1, h2 = phrases.part(rows, 0, k), phrases.part(rows, 0, k, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(shard_of(h1, n_shards)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["shard", "h1", "h2"])
 
     def build(keys, rows):
-        sizes, bits, stored = build_shard(*(rows.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2")))
-        kinds = [("shard", pa.int64()), ("n", pa.int64()), ("sizes", pa.list_(pa.int64())), ("bits", pa.binary()), ("keys", pa.binary())]
-        return pa.Table.from_pylist([{"shard": keys[0].as_py(), "n": rows.num_rows, "sizes": sizes, "bits": bits, "keys": stored}], pa.schema(kinds))
+        sizes, bits, _ = build_shard(*(rows.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2")))
+        kinds = [("shard", pa.int64()), ("sizes", pa.list_(pa.int64())), ("bits", pa.binary())]
+        return pa.Table.from_pylist([{"shard": keys[0].as_py(), "sizes": sizes, "bits": bits}], pa.schema(kinds))
 
-    return candidates.select("h1", "h2").mapInArrow(place, "shard long, h1 long, h2 long").groupBy("shard").applyInArrow(build, "shard long, n long, sizes array<long>, bits binary, keys binary")
+    return candidates.select("lang", "phrase").mapInArrow(place, "shard long, h1 long, h2 long").groupBy("shard").applyInArrow(build, "shard long, sizes array<long>, bits binary")
 
 
-def count_slots(rows: DataFrame, filters: list, upto: int, hashed: PerfectHash) -> np.ndarray:
-    """How often each key of the hash occurs in the texts."""
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast((filters, hashed))
+def _cells(values: np.ndarray, begins: np.ndarray) -> pa.Array:
+    """Runs of an array as bytes."""
+    offsets = np.append(begins, len(values)).astype(np.int32) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
-    def run(batches):
+
+def _blocks(slots: np.ndarray, n: np.ndarray):
+    """Sums of some slots, in order, as batches (block, places, n): the slots' places in their block as 16 bits each and the sums as 8 bits each, or as 64 bits each in rows of their own if they are larger."""
+    for some, kind in ((n < 256, np.uint8), (n >= 256, np.int64)):
+        own = slots[some]
+        block = own // BLOCK
+        begins = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(own) else np.zeros(0, np.int64)
+        if len(begins):
+            yield pa.RecordBatch.from_arrays([pa.array(block[begins].astype(np.int64)), _cells((own % BLOCK).astype(np.uint16), begins), _cells(n[some].astype(kind), begins)], ["block", "places", "n"])
+
+
+def _from_cells(places: pa.Scalar, n: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    at = np.frombuffer(places.as_buffer(), np.uint16)
+    return at, np.frombuffer(n.as_buffer(), np.uint8 if n.as_buffer().size == len(at) else np.int64)
+
+
+def slot_counts(rows: DataFrame, filters: list, upto: int, hashed: PerfectHash, base: int) -> DataFrame:
+    """slot, n: how often each key of the hash, whose slots begin at `base`, occurs in the texts."""
+    shared = rows.sparkSession.sparkContext.broadcast((filters, hashed))
+
+    def look_up(words, names, langs):
         filters, hashed = shared.value
-        total = np.zeros(-(-len(hashed) // BLOCK) * BLOCK, np.int64)
-        for batch in batches:
-            for words, _, _ in _slabs(batch):
-                for k, at in safe_places(words, filters, upto):
-                    slots = hashed.slots(words.phrase(at, k), words.phrase(at, k, 2))
-                    total += np.bincount(slots[slots >= 0], minlength=len(total))
-        blocks = total.reshape(-1, BLOCK)
-        some = np.flatnonzero(blocks.any(1))
-        for i in some.tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([blocks[i].tobytes()], pa.binary())], ["block", "n"])
+        slots = np.concatenate([hashed.slots(words.phrase(at, k), words.phrase(at, k, 2)) for k, at in safe_places(words, filters, upto)])
+        return _blocks(*np.unique(slots[slots >= 0], return_counts=True))
+
+    def total_of(rows):
+        total = np.zeros(BLOCK, np.int64)
+        for places, n in zip(rows.column("places"), rows.column("n"), strict=True):
+            at, own = _from_cells(places, n)
+            total[at] += own
+        some = np.flatnonzero(total)
+        return some, total[some]
 
     def add(keys, rows):
-        total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in rows.column("n"))
-        return pa.table({"block": [keys[0].as_py()], "task": [keys[1].as_py()], "n": [total.tobytes()]}, schema=pa.schema([("block", pa.int64()), ("task", pa.int64()), ("n", pa.binary())]))
+        some, n = total_of(rows)
+        batches = [pa.RecordBatch.from_arrays([b.column(0), pa.array([keys[1].as_py()] * len(b), pa.int64()), b.column(1), b.column(2)], ["block", "task", "places", "n"]) for b in _blocks(keys[0].as_py() * BLOCK + some, n)]
+        return pa.Table.from_batches(batches)
+
+    def listed(keys, rows):
+        some, n = total_of(rows)
+        return pa.table({"slot": base + keys[0].as_py() * BLOCK + some, "n": n})
 
-    parts, width = rows.mapInArrow(run, "block long, n binary").withColumn("task", F.spark_partition_id().cast("long")), rows.rdd.getNumPartitions()
-    while width > 1:
-        parts, width = parts.withColumn("task", F.floor(F.col("task") / FAN_IN)).groupBy("block", "task").applyInArrow(add, "block long, task long, n binary"), -(-width // FAN_IN)
-    total = np.zeros((-(-len(hashed) // BLOCK), BLOCK), np.int64)
-    for r in parts.toLocalIterator():
-        total[r.block] += np.frombuffer(r.n, np.int64)
-    return total.ravel()[: len(hashed)]
+    # one Python process a task: more would each keep memory that the next pass needs
+    parts, width = rows.mapInArrow(lambda batches: _by_slab(batches, look_up), "block long, places binary, n binary").withColumn("task", F.spark_partition_id().cast("long")), rows.rdd.getNumPartitions()
+    while width > FAN_IN:
+        parts, width = parts.withColumn("task", F.floor(F.col("task") / FAN_IN)).groupBy("block", "task").applyInArrow(add, "block long, task long, places binary, n binary"), -(-width // FAN_IN)
+    return parts.groupBy("block").applyInArrow(listed, "slot long, n long")
 
 
-def _read(candidates: DataFrame, hashed: PerfectHash, counts: np.ndarray) -> DataFrame:
-    """candidates(lang, phrase, f): f has the counts of the phrase, then of both sides of each cut; those in this hash are filled in, others stay null."""
-    shared = candidates.sparkSession.sparkContext.broadcast((hashed, counts))
+def _with_slots(candidates: DataFrame, hashed: PerfectHash, base: int) -> DataFrame:
+    """candidates(lang, phrase, SLOTS): those in this hash are filled in, others stay as they are."""
+    shared = candidates.sparkSession.sparkContext.broadcast(hashed)
 
     def run(batches):
-        hashed, counts = shared.value
+        hashed = shared.value
         for batch in batches:
-            words = pc.split_pattern(batch.column(1), " ")
-            n, begins, coded = pc.list_value_length(words).to_numpy(), words.offsets.to_numpy(), words.flatten().dictionary_encode()
-            hashes, begins = text_hash(coded.dictionary)[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.uint64), begins[:-1] - begins[0]
-            lang = batch.column(0).dictionary_encode()
-            langs = text_hash(lang.dictionary)[lang.indices.to_numpy()] if len(lang) else np.zeros(0, np.uint64)
-            found = np.full((len(n), 2 * MAX_WORDS - 1), -1, np.int64)
-            for k in np.unique(n).tolist():
-                rows = np.flatnonzero(n == k)
+            phrases = Phrases(batch.column(0), batch.column(1))
+            found = np.full((len(SLOTS), len(phrases.n)), -1, np.int64)
+            for k in np.unique(phrases.n).tolist():
+                rows = np.flatnonzero(phrases.n == k)
                 for column, (a, b) in enumerate([(0, k), *[part for cut in range(1, k) for part in ((0, cut), (cut, k))]]):
-                    own = [hashes[begins[rows] + j] for j in range(a, b)]
-                    slots = hashed.slots(phrase_hash(langs[rows], own), phrase_hash(langs[rows], own, 2))
-                    found[rows[slots >= 0], column] = counts[slots[slots >= 0]]
-            new = pa.array(found.ravel(), mask=found.ravel() < 0)
-            old = pc.list_flatten(batch.column(2))
-            f = pc.coalesce(new, old) if len(old) else new
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, found.shape[1], dtype=np.int32)), f)], ["lang", "phrase", "f"])
+                    slots = hashed.slots(phrases.part(rows, a, b), phrases.part(rows, a, b, 2))
+                    found[column, rows[slots >= 0]] = base + slots[slots >= 0]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pc.coalesce(pa.array(new, mask=new < 0), batch.column(c)) for c, new in zip(SLOTS, found, strict=True)]], ["lang", "phrase", *SLOTS])
 
-    return candidates.mapInArrow(run, "lang string, phrase string, f array<long>")
+    return candidates.mapInArrow(run, f"lang string, phrase string, {', '.join(f'{c} long' for c in SLOTS)}")
 
 
-def phrase_counts(docs: DataFrame, *, text="text", lang="lang", least=MIN_COUNT, upto=MAX_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(phrases, totals): lang, phrase, f of all phrases of 1 to `upto` words with f[0] >= `least`, f as `_read` says; lang, n."""
+def phrase_counts(docs: DataFrame, *, text="text", lang="lang", least=MIN_COUNT, upto=MAX_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(phrases, counts, totals): lang, phrase, SLOTS of all candidates of 1 to `upto` words, sides that they don't have null; slot, n of those that occur `least` times; lang, n."""
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     first = written(_level(rows, [], (1,), True).groupBy("lang", "h").agg(F.sum("n").alias("n")), "phrase-words")
     totals = first.filter("h IS NULL").select("lang", "n")
@@ -301,13 +342,16 @@ def phrase_counts(docs: DataFrame, *, text="text", lang="lang", least=MIN_COUNT,
     candidates = written(_candidates(rows, filters, upto), "phrase-candidates")
     n_shards = max(1, -(-candidates.count() // SHARD_KEYS))
     shards = written(hash_shards(candidates, n_shards), "phrase-shards")
-    found = candidates.select("lang", "phrase", F.lit(None).cast("array<long>").alias("f"))
+    found, counts, base = candidates.select("lang", "phrase", *[F.lit(None).cast("long").alias(c) for c in SLOTS]), [], 0
     step = max(1, GROUP_KEYS // SHARD_KEYS)
     for a in range(0, n_shards, step):
-        own = {r.shard: (r.sizes, r.bits, r.keys) for r in shards.filter(F.col("shard").between(a, a + step - 1)).select("shard", "sizes", "bits", "keys").collect()}
-        hashed = PerfectHash([own.get(s, ([], b"", b"")) for s in range(a, min(a + step, n_shards))], a, n_shards)
-        found = written(_read(found, hashed, count_slots(rows, filters, upto, hashed)), "phrase-counts")
-    return found.filter(F.col("f")[0] >= least), totals
+        own = {r.shard: (r.sizes, r.bits, None) for r in shards.filter(F.col("shard").between(a, a + step - 1)).collect()}
+        hashed = PerfectHash([own.get(s, ([], b"", None)) for s in range(a, min(a + step, n_shards))], a, n_shards)
+        counts.append(written(slot_counts(rows, filters, upto, hashed, base).filter(F.col("n") >= least), "phrase-counts"))
+        found, base = _with_slots(found, hashed, base), base + len(hashed)
+        if a + step < n_shards:
+            found = written(found, "phrase-slots")
+    return found, reduce(DataFrame.unionByName, counts), totals
 
 
 def _score(a: Column, l: Column, r: Column) -> Column:
@@ -317,15 +361,19 @@ def _score(a: Column, l: Column, r: Column) -> Column:
 
 def collocations(docs: DataFrame, *, text="text", lang="lang", least=MIN_COUNT, upto=MAX_WORDS, top=TOP, covered=COVERED) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each lang's `top` phrases by the score of their weakest cut, without those that a longer one covers."""
-    found, totals = phrase_counts(docs, text=text, lang=lang, least=least, upto=upto)
-    words, f = F.split("phrase", " "), F.col("f")
-    rows = found.withColumns({"words": words, "k": F.size(words), "a": f[0]}).filter("k > 1")
-    cuts = F.transform(F.sequence(F.lit(1), F.col("k") - 1), lambda c: F.struct(_score(F.col("a"), F.element_at(f, 2 * c), F.element_at(f, 2 * c + 1)).alias("score"), c.alias("cut"), F.element_at(f, 2 * c).alias("l"), F.element_at(f, 2 * c + 1).alias("r")))
-    rows = rows.withColumn("best", F.array_min(cuts)).select("lang", "phrase", "words", "k", "a", "best.score", "best.l", "best.r")
-    inner = lambda n: F.transform(F.sequence(F.lit(0), F.col("k") - n), lambda i: F.array_join(F.slice("words", i + 1, F.lit(n)), " "))
-    longer = rows.filter("k > 2").select("lang", "a", F.explode(F.flatten(F.array(*[F.when(F.col("k") > n, inner(n)).otherwise(F.array().cast("array<string>")) for n in range(2, upto)]))).alias("phrase"))
-    most = longer.groupBy("lang", "phrase").agg(F.max("a").alias("over"))
-    kept = rows.join(most, ["lang", "phrase"], "left").filter(F.col("over").isNull() | (F.col("over").cast("decimal(20,0)") * 100 < F.col("a").cast("decimal(20,0)") * covered))
+    found, counts, totals = phrase_counts(docs, text=text, lang=lang, least=least, upto=upto)
+    # by shuffle: compressed, slots are a small part of what they are in a driver's memory
+    count = lambda slot, n: counts.select(F.col("slot").alias(slot), F.col("n").alias(n)).hint("merge")
+    # parts of a phrase that occurs `least` times do so too, so no join loses one
+    rows = written(found.filter("left1 IS NOT NULL").join(count("slot", "a"), "slot"), "phrases")
+    sides = F.array(*[F.struct(F.lit(cut).alias("cut"), F.col(f"left{cut}").alias("left"), F.col(f"right{cut}").alias("right")) for cut in range(1, MAX_WORDS)])
+    cuts = rows.select("slot", "a", F.explode(F.filter(sides, lambda side: side["left"].isNotNull())).alias("side")).select("slot", "a", "side.*").join(count("left", "l"), "left").join(count("right", "r"), "right")
+    best = cuts.groupBy("slot").agg(F.min(F.struct(_score(F.col("a"), F.col("l"), F.col("r")).alias("score"), "cut", "l", "r")).alias("best"))
+    # a longer phrase occurs no more often than the one within it that is longer by one word, so these alone say what is covered
+    inner = rows.filter("left2 IS NOT NULL").select("a", F.explode(F.array("right1", F.coalesce(*[f"left{cut}" for cut in range(MAX_WORDS - 1, 1, -1)]))).alias("slot"))
+    most = inner.groupBy("slot").agg(F.max("a").alias("over"))
+    kept = rows.drop(*SIDES).join(best, "slot").join(most, "slot", "left").filter(F.col("over").isNull() | (F.col("over").cast("decimal(20,0)") * 100 < F.col("a").cast("decimal(20,0)") * covered))
+    kept = kept.select("lang", "phrase", "a", "best.score", "best.l", "best.r")
     order = [F.desc("score"), F.desc("a"), "phrase"]
     kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
     return kept.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -259,6 +259,41 @@ def test_perfect_hash():
     assert len(none) == 0 and (none.slots(h1[:5], h2[:5]) == -1).all()
 
 
+def test_sums_of_slots_grow_with_the_texts_and_not_with_the_candidates():
+    """A mapper of few phrases writes few bytes, however many candidates there are; large sums are kept whole."""
+    slots, n = np.array([0, 5, 5_000_000, 5_000_001, 90_000_000]), np.array([1, 10**12, 255, 256, 7])
+    batches = list(phrases._blocks(slots, n))
+    assert sum(len(x.as_py()) for b in batches for c in ("places", "n") for x in b.column(c)) == 3 * 3 + 2 * 10
+    found = {}
+    for b in batches:
+        for block, places, own in zip(*b.columns, strict=True):
+            at, own = phrases._from_cells(places, own)
+            found |= dict(zip((block.as_py() * phrases.BLOCK + at.astype(np.int64)).tolist(), own.tolist(), strict=True))
+    assert found == dict(zip(slots.tolist(), n.tolist(), strict=True))
+
+
+def test_slots_without_stored_keys():
+    """Where only keys are looked up a key takes a few bits, so a mapper can hold many of them in one pass."""
+    h1, h2 = np.random.default_rng(2).integers(0, 2**64, (2, 20_000), dtype=np.uint64)
+    shard = perfect_hash.shard_of(h1, 7)
+    parts = [(*perfect_hash.build_shard(h1[shard == s], h2[shard == s])[:2], None) for s in range(7)]
+    hashed = perfect_hash.PerfectHash(parts, 0, 7)
+    assert len(hashed) == 20_000 and sorted(hashed.slots(h1, h2).tolist()) == list(range(20_000))
+    assert hashed.keys is None and hashed.words.nbytes + hashed.before.nbytes < 20_000
+
+
+def test_counts_of_phrases_are_joined_by_slot(spark, edge_docs, edge_rows):
+    """Sums and slots are tables: the driver gathers no counts, and every side of a cut has a sum."""
+    found, counts, _ = phrases.phrase_counts(edge_docs, least=3)
+    slots, n = [r.asDict() for r in found.collect()], {r.slot: r.n for r in counts.collect()}
+    frequent = [r for r in slots if r["slot"] in n]
+    assert len({r["slot"] for r in slots}) == len(slots) and len(frequent) == len(n) > 100
+    for r in frequent:
+        k = len(r["phrase"].split(" "))
+        assert [r[c] is None for c in phrases.SIDES] == [c >= 2 * (k - 1) for c in range(len(phrases.SIDES))]
+        assert all(n[r[c]] >= n[r["slot"]] for c in phrases.SIDES if r[c] is not None)
+
+
 def test_collocations_query(spark, duck):
     equals_sql(spark, duck, "op12_collocations")
 
