@@ -12,7 +12,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from deltascope.functions.canonical import family, family_key
+from deltascope.functions.canonical import family, family_key, number
 from deltascope.functions.matching import deletion_keys, one_edit_apart
 from deltascope.operators import diff as D
 from deltascope.operators import hypotheses as H
@@ -20,6 +20,7 @@ from deltascope.operators import links as L
 from deltascope.operators import merkle as M
 from deltascope.operators import profile as P
 from deltascope.operators import snapshot as S
+from deltascope.operators.cells import extract_cells
 from deltascope.plans import files, pipeline, trace
 from deltascope.sources.catalog import FrameSource, Table
 from deltascope.sources.sqlite import SqliteSource
@@ -396,3 +397,35 @@ def test_counters_read_the_snapshot_for_what_was_written_alone(spark):
     far = spark.createDataFrame([("I:99999999999999999990",), ("I:-5",), ("I:-4",)], "id string")
     cells = cells.filter("column = 'id'").withColumn("value", F.lit("I:99999999999999999991"))
     assert [r.detail for r in H.counter(cells, H.Context(changes, cells, None, None, None, {"T": far})).collect()] == ["max avant = 99999999999999999990"]
+
+
+def test_sums_of_children_are_dealt_by_row_and_not_by_table(spark, never_broadcast):
+    """Relations are few and broadcast whatever Spark knows of their size: joined by shuffle they sent all children of a table to one task."""
+    changes = spark.createDataFrame([("child", None, "row_added", i, None, None, {"fk": f"I:{i % 5}", "v": f"M:{i}.50"}, i) for i in range(20)] + [("parent", "primaire", "insert", 100 + i, {"id": f"I:{i}"}, None, {"id": f"I:{i}", "total": f"M:{30 + 4 * i + 2}.00"}, i) for i in range(5)], D.ROW_CHANGES)
+    cells = extract_cells(changes)
+    rel = spark.createDataFrame([("child", "fk", "parent", "id", "normale")], "src_table string, src_column string, dst_table string, dst_column string, confidence string")
+    hit = H.sum_of_children(cells.filter("column = 'total'"), H.Context(changes, cells, None, datetime(2024, 1, 1), datetime(2024, 1, 2), relations=rel))
+    assert not [line for line in plan(hit).splitlines() if "SortMergeJoin [src_table" in line and "fk" not in line or "SortMergeJoin [table" in line]
+    assert sorted((r.row_id, r.detail) for r in hit.collect()) == [(100 + i, "somme de child.v (4 lignes liées)") for i in range(5)]
+
+
+@pytest.mark.parametrize("few_rows", [D.FEW_ROWS, 1])
+def test_rows_of_a_new_table_are_listed_where_they_are(spark, monkeypatch, never_broadcast, few_rows):
+    """Where a side is empty only hashes are shuffled to find repeated rows; changes, their numbers and places are the same as when both sides are compared."""
+    monkeypatch.setattr(D, "FEW_ROWS", few_rows)
+    rows = S.in_order(S.canonical_rows(Table("T", spark.range(300).selectExpr("id % 250 AS a", "concat('text ', CASE WHEN id < 40 THEN 0 ELSE id % 250 END) AS b").repartition(5))))
+    rows = rows.union(rows.limit(7)).localCheckpoint()
+    other = S.in_order(S.canonical_rows(Table("T", spark.createDataFrame([(-1, "no such row")], "a long, b string"))))
+    shown = lambda df, op: sorted((r.row_id, r.ord, sorted((r.after or r.before).items())) for r in df.filter(F.col("op") == op).collect())
+    for op, sides, both in (("row_added", (rows.limit(0), rows), (other, rows)), ("row_removed", (rows, rows.limit(0)), (rows, other))):
+        alone = D.bag_diff("T", *sides, ["a", "b"])
+        assert shown(alone, op) == shown(D.bag_diff("T", *both, ["a", "b"]), op)
+        assert alone.count() == 307 == alone.select("row_id").distinct().count()
+    # rows that occur once meet the repeated ones' hashes alone, and aren't grouped
+    assert "SortAggregate" not in plan(alone) and plan(alone).count("LeftAnti") == 1
+
+
+def test_short_numbers_are_read_as_they_are(spark):
+    texts = ["M:1.50", "M:-0.10", "F:0.1", "F:1.0E10", "F:NaN", "I:12", "T:1", "M:" + "9" * 28 + ".1234567891", "M:0.12345678911", "M:0.12345678910000", "M:" + "9" * 29]
+    want = [Decimal("1.50"), Decimal("-0.10"), Decimal("0.1"), Decimal("1E10"), None, Decimal(12), None, Decimal("9" * 28 + ".1234567891"), None, Decimal("0.1234567891"), None]
+    assert [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(number(F.col("t"))).collect()] == want
